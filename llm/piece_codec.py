@@ -222,10 +222,8 @@ def encode(texts: DataFrame, model: str, text_col: str = "text", keep: tuple[str
             starts = ends - (np.concatenate([n for _, n in rows]) if rows else 0)
             yield batch([(n, b.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [("ids", ints(at, flat)), ("starts", ints(at, starts)), ("ends", ints(at, ends))])
 
-    kept = base.drop("_source_text").schema
-    for name in ("ids", "starts", "ends"):
-        kept = kept.add(name, "array<int>")
-    return base.mapInArrow(run, kept)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema[:-1])
+    return map_arrow(base, run, schema + "ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(pieces: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -94,3 +94,12 @@ def hash_runs(words: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     np.cumsum(words * up[: len(words)], out=sums[1:])
     n = len(words) - length + 1
     return mix((sums[length:] - sums[:n]) * down[:n] + np.uint64(length), 2 + lane)
+
+
+def prefix_hashes(raw: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hash of the n bytes from each start), A-Z lower-cased; meaningless where fewer bytes follow."""
+    up, down = _power_tables(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[0][_LOWER[raw]] * up[: len(raw)], out=sums[1:])
+    for n in lengths:
+        yield n, mix((sums[np.minimum(starts + n, len(raw))] - sums[starts]) * down[starts], 5)
