@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -231,9 +232,7 @@ def decode(pieces: DataFrame, model: str, ids_col: str = "ids", text_col: str =
     ship(pieces.sparkSession)
 
     @F.pandas_udf("string")
-    def text(ids: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def text(ids: pd.Series) -> pd.Series:
         library = codec(model).library
         return pd.Series(["" if x is None or not len(x) else library.decode(x.tolist()) for x in ids], dtype=object)
 
