@@ -1,0 +1,525 @@
+"""Registered queries over the given tables, each with SQL of the same result where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import dates, identifiers, records, text
+from .operators import audit, batching, extract, jobs
+from .plans import search
+from .streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+_W = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')"
+_NORM = (
+    r"trim(regexp_replace(regexp_replace(translate(lower(text), 'ё" + text.QUOTES.replace("'", "''") + text.DASHES + "', 'е" + '"' * len(text.QUOTES) + "-" * len(text.DASHES) + r"'), '["
+    + text.INVISIBLE
+    + r"]', '', 'g'), '[\s\x0B\x85\p{Z}]+', ' ', 'g'))"
+)
+
+
+# --- search -------------------------------------------------------------------------------------
+
+
+def _search(spark, sf_dir, words, mode):
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.text_search(docs, "text", search.compile_query(words, mode)).select("doc_id", "rank")
+
+
+def _rank_sql(words: str) -> str:
+    listed = ", ".join(f"'{w}'" for w in words.split())
+    return f"len(list_filter({_W}, lambda x: list_contains([{listed}], x)))::BIGINT AS rank"
+
+
+@query(f"SELECT doc_id, {_rank_sql('the and')} FROM documents WHERE list_has_all({_W}, ['the', 'and'])")
+def search_all_words(spark, sf_dir):
+    return _search(spark, sf_dir, "the and", "all")
+
+
+@query(f"SELECT doc_id, {_rank_sql('license lizenz der')} FROM documents WHERE list_has_any({_W}, ['license', 'lizenz', 'der'])")
+def search_any_word(spark, sf_dir):
+    return _search(spark, sf_dir, "license lizenz der", "any")
+
+
+@query(f"SELECT doc_id, {_rank_sql('of the')} FROM documents WHERE contains(' ' || array_to_string({_W}, ' ') || ' ', ' of the ')")
+def search_phrase(spark, sf_dir):
+    return _search(spark, sf_dir, '"of the"', "phrase")
+
+
+@query(f"SELECT doc_id, {_rank_sql('licens')} FROM documents WHERE len(list_filter({_W}, lambda x: starts_with(x, 'licens'))) > 0")
+def search_prefix(spark, sf_dir):
+    return _search(spark, sf_dir, "licens*", "all")
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE contains(lower(text), 'mit license')")
+def search_substring(spark, sf_dir):
+    return t(spark, sf_dir, "documents").where(search.substring_predicate("text", "MIT License")).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, {_rank_sql('the')} FROM documents WHERE list_has_all({_W}, ['the']) ORDER BY rank DESC, doc_id LIMIT 21")
+def search_ranked_page(spark, sf_dir):
+    return search.page(_search(spark, sf_dir, "the", "all"), [F.desc("rank"), F.asc("doc_id")], 0, 20)
+
+
+@query(f"SELECT count(*) AS hits FROM documents WHERE list_has_all({_W}, ['the', 'and'])")
+def search_count(spark, sf_dir):
+    return _search(spark, sf_dir, "the and", "all").agg(F.count("*").alias("hits"))
+
+
+@query(f"SELECT token, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest({_W}) AS token FROM documents) GROUP BY ALL")
+def inverted_index(spark, sf_dir):
+    return search.token_index(t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, unnest({_W}) AS w FROM documents), h AS (SELECT doc_id, w, count(*) AS tf FROM x WHERE w IN ('license', 'version') GROUP BY ALL),
+    d AS (SELECT w, count(*) AS df FROM h GROUP BY w), n AS (SELECT count(*) AS n FROM documents)
+    SELECT doc_id AS id, round(sum(tf * ln(1 + n / df)), 6) AS rank FROM h JOIN d USING (w), n GROUP BY doc_id HAVING count(*) = 2"""
+)
+def index_search(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    index = search.token_index(docs, "doc_id", "text")
+    return search.index_search(index, search.compile_query("license version"), docs.count()).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE lower(c_name) LIKE 'customer#00000001%'")
+def name_prefix(spark, sf_dir):
+    return t(spark, sf_dir, "customer").where(search.starts_or_equals("c_name", "Customer#00000001", False)).select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS d FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1995-03-01' AND DATE '1995-03-31'")
+def date_range(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    return t(spark, sf_dir, "orders").where((F.col("o_orderdate") >= "1995-03-01") & (F.col("o_orderdate") < "1995-04-01")).select("o_orderkey", day.alias("d"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 51 OFFSET 100")
+def page_plus_one(spark, sf_dir):
+    return search.page(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 2, 50)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 200")
+def keyset_page(spark, sf_dir):
+    return search.keyset_page(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000, 200)
+
+
+# --- text, identifiers, dates ---------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits FROM customer")
+def digits_only(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select("c_custkey", text.digits_only(F.col("c_name")).alias("digits"))
+
+
+@query("SELECT p_partkey, translate(upper(regexp_replace(p_name || p_brand, '[^\\p{L}\\p{Nd}]', '', 'g')), 'АВЕКМНОРСТУХ', 'ABEKMHOPCTYX') AS plate FROM part")
+def plate_translate(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", identifiers.normalize_plate(F.concat("p_name", "p_brand")).alias("plate"))
+
+
+@query(f"SELECT doc_id, sha256({_NORM}) AS h FROM documents")
+def text_normalize(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("h"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{Nd}]+'))::INT AS n FROM documents")
+def token_count(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(text.words(F.col("text"))).alias("n"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN length(text) > 0 THEN ceil(a / 3.6::DOUBLE + (length(text) - a + w) / 1.8::DOUBLE)::BIGINT + 1 ELSE 0 END AS tokens
+    FROM (SELECT doc_id, text, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS a, length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS w FROM documents)"""
+)
+def token_estimate(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", records.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '…' ELSE text END AS shown FROM documents")
+def capped_text(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", text.capped(F.col("text"), 100).alias("shown"))
+
+
+@query(
+    r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')) AS v FROM documents)
+    SELECT DISTINCT doc_id, 'email' AS fact_type, lower(v) AS normalized_value FROM f"""
+)
+def email_facts(spark, sf_dir):
+    mail = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"), F.lit(0))
+    found = t(spark, sf_dir, "documents").select("doc_id", F.explode(mail).alias("v"))
+    return found.select("doc_id", F.lit("email").alias("fact_type"), identifiers.search_key(F.lit("email"), F.col("v")).alias("normalized_value")).distinct()
+
+
+@query(
+    r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '\+?[0-9][0-9 ()\-]{5,}[0-9]')) AS v FROM documents), k AS (SELECT doc_id, regexp_replace(v, '[^0-9]', '', 'g') AS k FROM f)
+    SELECT DISTINCT doc_id, k AS normalized_value FROM k WHERE length(k) BETWEEN 5 AND 400"""
+)
+def phone_keys(spark, sf_dir):
+    runs = F.regexp_extract_all("text", F.lit(r"\+?[0-9][0-9 ()\-]{5,}[0-9]"), F.lit(0))
+    found = t(spark, sf_dir, "documents").select("doc_id", F.explode(runs).alias("v"))
+    return found.select("doc_id", identifiers.search_key(F.lit("phone"), F.col("v")).alias("normalized_value")).where("normalized_value IS NOT NULL").distinct()
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN strftime(o_orderdate, '%Y-%m-%d') < '1850-01-01' THEN 'year too early' WHEN o_orderdate::DATE > DATE '1996-01-01' THEN 'date in the future'
+        WHEN day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) THEN 'ambiguous order of day and month' END AS reason,
+    CASE WHEN o_orderdate::DATE <= DATE '1996-01-01' AND NOT (day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)) THEN o_orderdate::DATE END AS birth_date FROM orders"""
+)
+def birth_date_slashed(spark, sf_dir):
+    day = F.col("o_orderdate")
+    checked = dates.check_birth_date(F.date_format(day, "yyyy-MM-dd"), F.concat(F.lit("born "), F.date_format(day, "dd/MM/yyyy")), F.lit("1996-01-01").cast("date"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", checked.alias("c")).select("o_orderkey", "c.reason", F.col("c.date").alias("birth_date"))
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id, regexp_replace(text, '[^0-9.]', '  ', 'g') AS x FROM documents), d AS (SELECT doc_id, unnest(regexp_extract_all(' ' || x || ' ', '[ .]([0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})[ .]', 1)) AS v FROM p)
+    SELECT doc_id, try_strptime(v, '%d.%m.%Y')::DATE AS d FROM d WHERE try_strptime(v, '%d.%m.%Y') IS NOT NULL"""
+)
+def dotted_dates(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.explode(dates.dotted_dates(F.col("text"))).alias("d"))
+
+
+@query()
+def mask_secrets(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(text.mask_secrets(F.col("text")), 256).alias("h"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, regexp_extract_all(lower(event_type || ' ' || props), '[a-z0-9]+') AS ws FROM events)
+    SELECT event_id, len(list_filter(ws, lambda x: starts_with(x, 'purch'))) > 0 AS plausible FROM e"""
+)
+def plausible_variant(spark, sf_dir):
+    said = F.concat_ws(" ", "event_type", "props")
+    return t(spark, sf_dir, "events").select("event_id", text.plausible_variant(F.lit("purchas"), said).alias("plausible"))
+
+
+# --- hashes, ids, documents -------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+@query("""SELECT c_custkey, sha256('[["c_name",' || to_json(c_name) || '],["c_mktsegment",' || to_json(c_mktsegment) || ']]') AS record_hash FROM customer""")
+def record_hash(spark, sf_dir):
+    pair = lambda n: F.struct(F.lit(n).alias("name"), F.col(n).alias("value"))
+    return t(spark, sf_dir, "customer").select("c_custkey", records.record_hash(F.array(pair("c_name"), pair("c_mktsegment"))).alias("record_hash"))
+
+
+@query("SELECT doc_id, 'v1-' || substring(sha256(source || chr(10) || lang || chr(10) || coalesce(text, '')), 1, 16) AS version FROM documents")
+def stable_id(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", records.extraction_version(F.lit("v1"), F.col("source"), F.col("lang"), F.col("text")).alias("version"))
+
+
+@query("SELECT o_custkey, sha256(string_agg(o_orderkey || ':' || o_orderpriority, '|' ORDER BY o_orderdate, o_orderkey)) AS h FROM orders GROUP BY o_custkey")
+def listagg_hash(spark, sf_dir):
+    joined = audit.ordered_list(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderpriority"), [F.col("o_orderdate"), F.col("o_orderkey")])
+    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sha2(joined, 256).alias("h"))
+
+
+@query()
+def canonical_hash(spark, sf_dir):
+    return audit.canonical_hash(t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"])
+
+
+@query("""SELECT c_custkey, '{"name":' || to_json(c_name) || ',"segment":' || to_json(c_mktsegment) || ',"note":null}' AS doc FROM customer""")
+def all_json_min(spark, sf_dir):
+    doc = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit(None).cast("string").alias("note"))
+    return t(spark, sf_dir, "customer").select("c_custkey", F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_prop(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+
+
+@query("SELECT event_id, props IS NOT NULL AND json_valid(props) AS valid FROM events")
+def json_valid(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", records.is_json(F.col("props")).alias("valid"))
+
+
+@query(
+    """SELECT o_custkey, CASE WHEN count(*) > 4 THEN array_to_string(list('Документ: ' || o_orderkey ORDER BY o_orderkey)[1:4], '; ') || '; ещё ' || (count(*) - 4)
+    ELSE string_agg('Документ: ' || o_orderkey, '; ' ORDER BY o_orderkey) END AS summary FROM orders GROUP BY o_custkey"""
+)
+def facts_summary(spark, sf_dir):
+    fact = F.struct(F.lit("document").alias("type"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("k"))
+    facts = F.array_sort(F.collect_list(fact), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    none = F.array().cast("array<struct<raw_value:string>>")
+    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(facts.alias("f")).select("o_custkey", records.facts_summary(F.col("f"), none).alias("summary"))
+
+
+@query("SELECT o_custkey, ceil(count(*) / 10)::BIGINT AS requests, ((count(*) * 120 * 0.5 + count(*) * 80 * 1.5) / 1000000)::DOUBLE AS cost FROM orders GROUP BY o_custkey")
+def cost_estimate(spark, sf_dir):
+    n = F.count("*")
+    made = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(records.cost_estimate(n, 10, n * 120, n * 80, 0.5, 1.5).alias("e"))
+    return made.select("o_custkey", F.col("e.requests").alias("requests"), F.col("e.cost").alias("cost"))
+
+
+# --- joins ------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def lookup_join(spark, sf_dir):
+    nation = t(spark, sf_dir, "nation")
+    return t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"))
+
+
+@query("SELECT c_custkey FROM customer SEMI JOIN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') o ON c_custkey = o_custkey")
+def semi_identifier(spark, sf_dir):
+    urgent = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return t(spark, sf_dir, "customer").select("c_custkey").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
+def anti_new_rows(spark, sf_dir):
+    seen = t(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("c_custkey"))
+    return jobs.new_versions(t(spark, sf_dir, "customer").select("c_custkey"), seen, ["c_custkey"])
+
+
+@query(
+    """SELECT o_orderkey, l_linenumber, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal < 0)"""
+)
+def three_way_commit_join(spark, sf_dir):
+    lines = t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_suppkey")
+    bad = t(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    owned = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    return lines.join(bad, "l_suppkey", "left_anti").join(owned, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", "c_name")
+
+
+@query("SELECT DISTINCT c_mktsegment, o_orderpriority FROM customer JOIN orders ON c_custkey = o_custkey")
+def distinct_fact_values(spark, sf_dir):
+    joined = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    return joined.select("c_mktsegment", "o_orderpriority").distinct()
+
+
+@query(
+    """SELECT c_custkey, c_mktsegment, count(o_orderkey) AS files, coalesce(sum(CAST(o_totalprice AS DECIMAL(18, 2))), 0)::DECIMAL(28, 2) AS total
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL"""
+)
+def job_rollup(spark, sf_dir):
+    files = t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    made = jobs.job_rollup(t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), files, "c_custkey", {"total": F.col("o_totalprice").cast("decimal(18,2)")})
+    return made.withColumn("total", F.col("total").cast("decimal(28,2)"))
+
+
+@query(
+    """SELECT o_orderkey, o_orderstatus, confirmed, rows FROM orders LEFT JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS confirmed, count(*) AS rows FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON o_orderkey = k"""
+)
+def file_rollup(spark, sf_dir):
+    log = t(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("confirmed"), F.lit(1).cast("long").alias("rows"))
+    progress = jobs.merged_progress(log, ["o_orderkey"], "confirmed", ["rows"])
+    return jobs.with_progress(t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), progress, ["o_orderkey"])
+
+
+@query(
+    """WITH f AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id), j AS (SELECT user_id, min(ts) AS started FROM events WHERE event_type = 'view' GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events)
+    SELECT user_id, started FROM j, n WHERE started < now - INTERVAL 1440 MINUTES AND user_id NOT IN (SELECT user_id FROM f, n WHERE last > now - INTERVAL 1440 MINUTES)"""
+)
+def stale_jobs(spark, sf_dir):
+    events = t(spark, sf_dir, "events")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    started = events.where("event_type = 'view'").groupBy("user_id").agg(F.min("ts").alias("started"))
+    files = events.groupBy("user_id").agg(F.max("ts").alias("last"))
+    return jobs.stale_jobs(started, files, "user_id", F.lit(True), "started", "last", now, 1440)
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN s_acctbal > 9000 THEN 'completed' WHEN c_custkey IS NULL THEN 'missing' WHEN s_nationkey <> c_nationkey THEN 'changed' ELSE 'resume' END AS action
+    FROM supplier LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 > 0) ON s_suppkey = c_custkey"""
+)
+def resume_plan(spark, sf_dir):
+    present = t(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"))
+    planned = t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return jobs.resume_plan(planned, present, "s_suppkey", ["s_nationkey"], F.col("s_acctbal") > 9000).select("s_suppkey", "action")
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT lower(trim(c_name)) AS id FROM customer WHERE c_custkey % 5 > 0), a AS (SELECT lower(trim(c_name)) AS id, count(*) AS answers FROM customer JOIN nation ON n_nationkey < 2 OR c_custkey % 7 = 0 AND n_nationkey < 3 WHERE c_custkey % 4 = 0 GROUP BY 1)
+    SELECT coalesce(s.id, a.id) AS id, coalesce(answers, 0) AS answers, CASE WHEN s.id IS NULL THEN 'unknown' WHEN answers IS NULL THEN 'missing' WHEN answers > 1 THEN 'duplicate' ELSE 'ok' END AS state FROM s FULL JOIN a ON s.id = a.id"""
+)
+def match_answers(spark, sf_dir):
+    customer = t(spark, sf_dir, "customer")
+    sent = customer.where("c_custkey % 5 > 0").select(F.col("c_name").alias("source_row_id"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("c_custkey") % 7 == 0, 3).otherwise(2)))
+    answered = customer.where("c_custkey % 4 = 0").select(F.col("c_name").alias("source_row_id"), copies.alias("copy"))
+    return extract.match_answers(sent, answered)
+
+
+# --- aggregates, windows ------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS saved, count(*) FILTER (l_returnflag = 'N') AS no_facts, count(*) FILTER (l_returnflag = 'R') AS errors FROM lineitem GROUP BY l_orderkey"
+)
+def outcome_counts(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    return audit.conditional_counts(t(spark, sf_dir, "lineitem"), ["l_orderkey"], saved=flag == "A", no_facts=flag == "N", errors=flag == "R")
+
+
+@query(
+    """SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS n_distinct, min(l_linenumber) AS first, max(l_linenumber) AS last,
+    count(*) = count(DISTINCT l_linenumber) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AS dense FROM lineitem GROUP BY l_orderkey"""
+)
+def dense_ordinals(spark, sf_dir):
+    return audit.dense_ordinals(t(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return audit.duplicate_keys(t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    """SELECT o_custkey, count(*) FILTER (o_orderkey < p) AS inversions FROM (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) GROUP BY o_custkey"""
+)
+def id_inversions(spark, sf_dir):
+    return audit.order_inversions(t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey")
+
+
+@query(
+    """WITH m AS (SELECT user_id, event_id, event_type <> 'purchase' AS bad, sum(CASE WHEN event_type <> 'purchase' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events)
+    SELECT user_id, min(event_id) AS start, max(event_id) AS "end", count(*) AS length FROM m WHERE bad GROUP BY user_id, g HAVING count(*) >= 10"""
+)
+def error_streaks(spark, sf_dir):
+    return audit.error_streaks(t(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") != "purchase", 10)
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM d)
+    SELECT l_orderkey, coalesce(max(l_linenumber) FILTER (l_linenumber = rn), 0)::BIGINT AS confirmed FROM r GROUP BY l_orderkey"""
+)
+def contiguous_checkpoint(spark, sf_dir):
+    return audit.contiguous_checkpoint(t(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+@query(
+    """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type DESC) AS k FROM c)
+    SELECT user_id, event_type AS majority, n, (n / total)::DOUBLE AS share FROM r WHERE k = 1"""
+)
+def majority_type(spark, sf_dir):
+    return audit.majority(t(spark, sf_dir, "events"), ["user_id"], "event_type")
+
+
+@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def percentile_exact(spark, sf_dir):
+    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"))
+
+
+@query(
+    """SELECT count(*) FILTER (a AND b) AS matched, count(*) FILTER (a AND NOT b) AS missing, count(*) FILTER (b AND NOT a) AS extra, (count(*) FILTER (a AND b) / count(*) FILTER (a))::DOUBLE AS recall, (count(*) FILTER (a AND b) / count(*) FILTER (b))::DOUBLE AS "precision"
+    FROM (SELECT k, bool_or(w = 1) AS a, bool_or(w = 2) AS b FROM (SELECT DISTINCT o_custkey AS k, 1 AS w FROM orders UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_acctbal > 0) GROUP BY k)"""
+)
+def golden_comparison(spark, sf_dir):
+    found = t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return audit.golden_comparison(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), found, ["k"])
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, ceil(o_totalprice / 1000)::BIGINT AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    f AS (SELECT o_custkey, o_orderkey, i, 0 AS batch, 1 AS n, w FROM o WHERE i = 1 UNION ALL
+        SELECT o.o_custkey, o.o_orderkey, o.i, CASE WHEN f.n + 1 > 4 OR f.w + o.w > 500 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n + 1 > 4 OR f.w + o.w > 500 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n + 1 > 4 OR f.w + o.w > 500 THEN o.w ELSE f.w + o.w END
+        FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.i = f.i + 1)
+    SELECT o_custkey, o_orderkey, batch FROM f"""
+)
+def greedy_batches(spark, sf_dir):
+    return batching.greedy_batches(t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", F.ceil(F.col("o_totalprice") / 1000), 4, 500)
+
+
+# --- extraction -----------------------------------------------------------------------------------------
+
+
+def _customer_records(spark, sf_dir):
+    pair = lambda n, c: F.struct(F.lit(n).alias("name"), c.cast("string").alias("value"))
+    phone = F.concat(F.lit("+7 ("), F.lpad(F.col("c_nationkey").cast("string"), 3, "0"), F.lit(") "), F.lpad((F.col("c_custkey") % 10000000).cast("string"), 7, "0"))
+    fields = F.array(pair("ФИО", F.concat(F.lit("Testov Ivan "), "c_mktsegment")), pair("Телефон", phone), pair("E-mail", F.concat(F.lit("User"), F.col("c_custkey").cast("string"), F.lit("@Example.org"))), pair("Дата рождения", F.lit("15.02.1990")))
+    return t(spark, sf_dir, "customer").select("c_custkey", fields.alias("fields"))
+
+
+@query(
+    """SELECT c_custkey, 'Testov' AS surname, 'Ivan' AS name, c_mktsegment AS patronymic, DATE '1990-02-15' AS birth_date, 2 AS n_facts, '7' || lpad(c_nationkey::VARCHAR, 3, '0') || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') AS phone,
+    'user' || c_custkey || '@example.org' AS email, 'identified' AS identity_status, 1 AS outcome FROM customer"""
+)
+def extract_and_verify(spark, sf_dir):
+    made = extract.verify(extract.extract_by_columns(_customer_records(spark, sf_dir)), F.lit("2024-01-01").cast("date"))
+    one = lambda kind: F.filter("facts", lambda f: f["type"] == kind)[0]["search_key"]
+    return made.select("c_custkey", "surname", "name", "patronymic", "birth_date", F.size("facts").alias("n_facts"), one("phone").alias("phone"), one("email").alias("email"), "identity_status", "outcome")
+
+
+@query(
+    """SELECT c_custkey, 'Testov Ivan ' || c_mktsegment || ' 1990-02-15 15.02.1990 +7 (' || lpad(c_nationkey::VARCHAR, 3, '0') || ') ' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') || ' +7' || lpad(c_nationkey::VARCHAR, 3, '0') || lpad((c_custkey % 10000000)::VARCHAR, 7, '0')
+    || ' User' || c_custkey || '@Example.org user' || c_custkey || '@example.org' AS all_text FROM customer"""
+)
+def document_projection(spark, sf_dir):
+    made = extract.verify(extract.extract_by_columns(_customer_records(spark, sf_dir)), F.lit("2024-01-01").cast("date"))
+    said = records.facts_text(F.col("facts"), F.col("unresolved"))
+    whole = records.search_text(F.col("surname"), F.col("name"), F.col("patronymic"), F.col("birth_date"), F.col("birth_place"), said, F.lit(None).cast("string"))
+    return made.select("c_custkey", whole.alias("all_text"))
+
+
+# --- event time and set operations: beyond the surveyed operators, for completeness ------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_window(spark, sf_dir):
+    return ingest.tumbling(t(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"], n=F.count("*"))
+
+
+@query(
+    """SELECT time_bucket(INTERVAL 30 MINUTES, ts) - s * INTERVAL 30 MINUTES AS window_start, event_type, count(*) AS n FROM events, range(0, 2) r(s) GROUP BY ALL"""
+)
+def sliding_window(spark, sf_dir):
+    return ingest.sliding(t(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes", ["event_type"], n=F.count("*"))
+
+
+@query(
+    """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT min(ts) AS session_start, user_id, count(*) AS n FROM b GROUP BY user_id, s"""
+)
+def session_window(spark, sf_dir):
+    return ingest.sessions(t(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"], n=F.count("*"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18, 2)))::DECIMAL(28, 2) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(28,2)").alias("qty"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def intersect(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(t(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_custkey % 100 AS k FROM customer EXCEPT ALL SELECT s_suppkey % 100 FROM supplier")
+def except_all(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("k")).exceptAll(t(spark, sf_dir, "supplier").select(F.col("s_suppkey") % 100))
