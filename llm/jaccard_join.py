@@ -323,24 +323,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plane, bits = repeated_plane(wanted, wanted.count(), repeated=False)
     want = spark.sparkContext.broadcast(plane)
 
-    def wanted_sets(batches):
+    def wanted_texts(batches):
         for b in batches:
-            keep = hits(np.asarray(b.column(0)).view(np.uint64), want.value, bits)
-            b = b.filter(pa.array(keep))
-            for r0, r1, raw, offsets in steps(b.column(1)):
+            yield b.filter(pa.array(hits(np.asarray(b.column(0)).view(np.uint64), want.value, bits)))
+
+    def to_sets(batches):
+        for b in batches:
+            for r0, r1, raw, offsets in steps(b.column(b.num_columns - 1)):
                 sets = shingle_sets(raw, offsets, shingle_words)
-                at = np.r_[0, np.cumsum([len(s) for s in sets])]
-                flat = np.concatenate(sets).view(np.int64)
-                yield batch([("doc_key", b.column(0)[r0:r1]), ("shingles", pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)))])
+                at, flat = np.r_[0, np.cumsum([len(s) for s in sets])], np.concatenate(sets).view(np.int64)
+                kept = [(n, b.column(i)[r0:r1]) for i, n in enumerate(b.schema.names[:-1])]
+                yield batch([*kept, ("shingles", pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)))])
+
+    def with_sets(places: DataFrame) -> DataFrame:
+        """``places`` and the set of its x: the texts, smaller than their sets, move to the places."""
+        near = map_arrow(texts, wanted_texts, "doc_key long, text string")
+        named = ", ".join(f"{n} {t}" for n, t in places.dtypes)
+        at = near.join(places, F.col("doc_key") == F.col("x")).select(*places.columns, "text")
+        return map_arrow(at, to_sets, f"{named}, shingles array<long>")
 
-    sets = map_arrow(texts, wanted_sets, "doc_key long, shingles array<long>")
     sizes = found.groupBy(F.col("y").alias("c")).agg(F.ceil(F.count("*") / F.lit(CLUSTER_ROWS)).cast("int").alias("blocks"))
     placed = found.join(sizes, F.col("y") == F.col("c")).select("y", "x", "blocks", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"))
     heads = sizes.select(F.col("c").alias("y"), F.col("c").alias("x"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     placed = checkpoint(placed.unionByName(heads))
-    full = placed.join(sets, placed.x == sets.doc_key).select("y", "x", "block", "shingles", "blocks")
     schema = "y long, a long, b long, block int, linked boolean"
-    first = checkpoint(full.drop("blocks").groupBy("y", "block").applyInArrow(_check(num, den), schema))
+    first = checkpoint(with_sets(placed.drop("blocks")).groupBy("y", "block").applyInArrow(_check(num, den), schema))
     edges = first.where("linked").select("a", "b")
 
     away = checkpoint(first.where("NOT linked").select(F.col("y").alias("wy"), F.col("a").alias("wa"), F.col("block").alias("wb")))
@@ -354,8 +361,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         members_at = members_at.where("is_away OR oy IS NOT NULL").select("y", "x", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         pairs_of = members_at.select("y", "lo", "hi").distinct()
         tops = pairs_of.select("y", F.col("y").alias("x"), F.lit(-1).alias("block"), "lo", "hi")
-        met = members_at.unionByName(tops).join(sets, F.col("x") == F.col("doc_key")).select("y", "x", "block", "lo", "hi", "shingles")
-        second = met.groupBy("y", "lo", "hi").applyInArrow(_check(num, den), schema)
+        second = with_sets(members_at.unionByName(tops)).groupBy("y", "lo", "hi").applyInArrow(_check(num, den), schema)
         edges = edges.unionByName(second.where("linked AND block = -1").select("a", "b"))
 
     parts = checkpoint(components(edges))

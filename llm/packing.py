@@ -96,11 +96,13 @@ class WordIds:
     """Ids of white-space separated chunks as little-endian 32-bit bytes, computed once in a process.
 
     The tokenizer drops white space before it splits and merges, so a text's ids are those of its
-    chunks in order.  New chunks of one group of texts are encoded together: chunks of letters and
-    then other signs are joined to one text and cut again behind the ids that end a word.
+    chunks in order, and a chunk of letters followed by signs gives the ids of its letters and then
+    of its signs.  New letters of one group of texts are encoded together, joined to one text, and
+    cut again behind the ids that end a word.
     """
 
-    _PLAIN = re.compile(r"[^\W\d_]+")
+    #: Letters, then ASCII signs but the apostrophe, which the tokenizer takes together with letters.
+    _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -115,24 +117,28 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, chunks: set[bytes]) -> None:
-        plain = {}
+        plain, signs = [], {"": b""}
         for chunk in chunks:
             text = chunk.decode("utf-8", "replace")
-            if self._PLAIN.fullmatch(text):
-                plain[chunk] = text
+            parts = self._PLAIN.fullmatch(text)
+            if parts:
+                letters, rest = parts.groups()
+                if rest not in signs:
+                    signs[rest] = self._ids(rest).tobytes()
+                plain.append((chunk, letters, signs[rest]))
             else:
                 self.known[chunk] = self._ids(text).tobytes()
         for group in itertools.batched(plain, 4096):
-            ids = self._ids(" ".join([plain[c] for c in group]))
+            ids = self._ids(" ".join([letters for _, letters, _ in group]))
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group):  # every chunk gives at least one word, so each gave exactly one
                 data, start = ids.tobytes(), 0
-                for chunk, end in zip(group, (4 * ends).tolist(), strict=True):
-                    self.known[chunk] = data[start:end]
+                for (chunk, _, rest), end in zip(group, (4 * ends).tolist(), strict=True):
+                    self.known[chunk] = data[start:end] + rest
                     start = end
             else:
-                for chunk in group:
-                    self.known[chunk] = self._ids(plain[chunk]).tobytes()
+                for chunk, letters, rest in group:
+                    self.known[chunk] = self._ids(letters).tobytes() + rest
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each whole text."""

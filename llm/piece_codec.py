@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import batch, col, ints, map_arrow, ship
 
-#: Words that a process keeps (about 200 MB at most), the longest that it keeps, and texts encoded together.
-_CACHED_WORDS, _CACHED_CHARS, _TOGETHER = 1_000_000, 64, 256
+#: Words that a process keeps (about 100 MB at most), the longest that it keeps, and texts encoded and handed on together.
+_CACHED_WORDS, _CACHED_CHARS, _TOGETHER = 400_000, 64, 256
 _SPACE = "▁"
 
 
@@ -215,13 +215,14 @@ def encode(texts: DataFrame, model: str, text_col: str = "text", keep: tuple[str
     def run(batches):
         c = codec(model)
         for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
-            rows = [r for low in range(0, len(texts), _TOGETHER) for r in c.encode(texts[low : low + _TOGETHER])]
-            at = np.r_[0, np.cumsum([len(i) for i, _ in rows])]
-            flat = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int32)
-            ends = np.concatenate([np.cumsum(n) for _, n in rows]) if rows else flat
-            starts = ends - (np.concatenate([n for _, n in rows]) if rows else 0)
-            yield batch([(n, b.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [("ids", ints(at, flat)), ("starts", ints(at, starts)), ("ends", ints(at, ends))])
+            for low in range(0, b.num_rows, _TOGETHER):
+                part = b.slice(low, _TOGETHER)
+                rows = c.encode([t or "" for t in part.column(b.num_columns - 1).to_pylist()])
+                at = np.r_[0, np.cumsum([len(i) for i, _ in rows])]
+                flat = np.concatenate([i for i, _ in rows])
+                ends = np.concatenate([np.cumsum(n) for _, n in rows])
+                starts = ends - np.concatenate([n for _, n in rows])
+                yield batch([(n, part.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [("ids", ints(at, flat)), ("starts", ints(at, starts)), ("ends", ints(at, ends))])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema[:-1])
     return map_arrow(base, run, schema + "ids array<int>, starts array<int>, ends array<int>")
