@@ -11,6 +11,7 @@ ranks come from per-task counters and a prefix sum over tasks, so no length gath
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -107,6 +108,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task on each core
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -114,7 +116,8 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        # Of the library's calls the one that leaves out offsets.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, chunks: set[bytes]) -> None:
         plain, signs = [], {"": b""}
@@ -146,9 +149,10 @@ class WordIds:
         if len(self.known) >= _CACHED_WORDS:
             self.known = {}
         known = self.known
-        new = {w for words in split for w in words if w not in known}
+        parts = [list(map(known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, parts, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
         self.learn(new)
-        out = [b"".join([known[w] for w in words]) for words in split]
+        out = [b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, parts, strict=True)]
         for w in new:
             if len(w) > _CACHED_BYTES:
                 del known[w]
