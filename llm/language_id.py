@@ -145,8 +145,15 @@ _models: dict[str, Model] = {}
 def learn(taught: DataFrame):
     """(languages, counts): the frozen statistics of ``taught`` (doc_id, text, lang); rows of null text or language teach nothing."""
     rows = taught.where("text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")
-    sample = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_TEXTS)
+    hashed = rows.withColumn("hashed", F.xxhash64("doc_id", "text"))
+    # The edge of each language's sample comes from the hashes alone; then only the samples' texts move.
+    order = Window.partitionBy("lang").orderBy("hashed")
+    first = hashed.select("lang", "hashed").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_TEXTS)
+    edges = {r.lang: r.edge for r in first.groupBy("lang").agg(F.max("hashed").alias("edge")).collect()}
+    if not edges:
+        return [], []
+    edge = F.create_map(*[F.lit(x) for pair in edges.items() for x in pair])[F.col("lang")]
+    sample = hashed.where(F.col("hashed") <= edge)
     parts = map_arrow(sample.select("text", "lang").repartition(16), _count, "lang string, gram long, n long")
     counts = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN).orderBy("lang", "gram").toArrow()
     lang = np.array(counts.column("lang").to_pylist(), dtype=object)

@@ -202,8 +202,11 @@ def learn(labelled: DataFrame) -> np.ndarray:
     The sample is the SAMPLE_ROWS rows of smallest hashed id, or all rows if there are fewer.  Null
     labels teach nothing; without any label, or with one kind of label only, scores are the same for all texts.
     """
-    rows = labelled.where("label IS NOT NULL").select(F.xxhash64("doc_id").alias("hashed"), F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    sample = rows.orderBy("hashed", "text", "label").limit(SAMPLE_ROWS).repartition(16)
+    text = F.coalesce("text", F.lit(""))
+    rows = labelled.where("label IS NOT NULL").select(F.xxhash64("doc_id", text).alias("hashed"), text.alias("text"), F.col("label").cast("int").alias("label"))
+    # The sample's edge comes from the hashes alone; then only the sample's texts move.
+    edge = rows.select("hashed").orderBy("hashed").limit(SAMPLE_ROWS).agg(F.max("hashed")).first()[0]
+    sample = rows.where(F.col("hashed") <= F.lit(edge)).repartition(16)
     lists = map_arrow(sample, _labelled, "hashed long, label int, features array<int>, twin array<int>")
     found = map_arrow(lists.repartition(1), _train, "feature int, weight double").collect()
     weights = np.zeros((1 << BITS) + LENGTHS + 1, np.float32)
