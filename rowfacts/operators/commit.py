@@ -51,6 +51,8 @@ class Store:
         """
         if self.read("commit_log").where(F.col("commit_id") == commit_id).limit(1).count():
             return {"duplicate": 1, "new_rows": 0, "observations": 0, "present": 0}
+        if "error" not in verified.columns:
+            verified = verified.withColumn("error", F.lit(None).cast("struct<code:string,message:string>"))
         rows = verified.dropDuplicates(KEY)
         fresh = rows.join(self.read("row_outcomes").select(*KEY), KEY, "left_anti").persist()
         try:
