@@ -136,7 +136,7 @@ def _labelled(batches):
             yield batch([("hashed", b.column(0)[r0:r1]), ("label", b.column(2)[r0:r1]), ("features", lists), ("twin", twin)])
 
 
-def fit(labels: np.ndarray, at: np.ndarray, flat: np.ndarray, twin_at: np.ndarray, twin_flat: np.ndarray) -> np.ndarray:
+def fit(labels: np.ndarray, at: np.ndarray, flat: np.ndarray, twin_at: np.ndarray, twin_flat: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
     """Weights (the last is the bias) from feature lists in CSR form; deterministic for a given order of rows.
 
     Follow-the-regularised-leader steps with an absolute penalty, so that most weights are zero.
@@ -145,6 +145,7 @@ def fit(labels: np.ndarray, at: np.ndarray, flat: np.ndarray, twin_at: np.ndarra
     active = np.bincount(flat, minlength=size) >= LEAST_TEXTS
     weights, sums, squares = np.zeros(size), np.zeros(size), np.zeros(size)
     order_of = np.random.default_rng(7)
+    order = np.arange(len(labels)) if order is None else order
     share = float(labels.mean()) if len(labels) else 0.5
     weight_of = np.where(labels > 0, 0.5 / max(share, 0.02), 0.5 / max(1 - share, 0.02)) ** BALANCE
 
@@ -156,7 +157,7 @@ def fit(labels: np.ndarray, at: np.ndarray, flat: np.ndarray, twin_at: np.ndarra
         return row[keep], f[keep]
 
     for _ in range(PASSES):
-        for pick in np.array_split(order_of.permutation(len(labels)), max(1, len(labels) // STEP_TEXTS)):
+        for pick in np.array_split(order[order_of.permutation(len(labels))], max(1, len(labels) // STEP_TEXTS)):
             if not len(pick):
                 continue
             row, f = rows_of(pick, at, flat)
@@ -188,25 +189,30 @@ def _train(batches):
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
-    table = pa.Table.from_batches(parts).sort_by([("hashed", "ascending"), ("label", "ascending")]).combine_chunks()
-    lists = [table.column(c).combine_chunks() for c in ("features", "twin")]
-    csr = [(np.r_[0, np.cumsum(np.asarray(x.value_lengths()))], np.asarray(x.flatten())) for x in lists]
-    weights = fit(np.asarray(table.column("label")).astype(float), *csr[0], *csr[1])
+    table = pa.Table.from_batches(parts)
+    labels, hashed = np.asarray(table.column("label")).astype(float), np.asarray(table.column("hashed"))
+    lists = [table.column(c) for c in ("features", "twin")]
+    csr = [(np.r_[0, np.cumsum(np.concatenate([np.asarray(c.value_lengths()) for c in x.chunks]))], np.concatenate([np.asarray(c.flatten()) for c in x.chunks])) for x in lists]
+    # Rows arrive in any order: they are numbered by hash, label and length before anything random.
+    order = np.lexsort((np.diff(csr[0][0]), labels, hashed))
+    weights = fit(labels, *csr[0], *csr[1], order)
     used = np.flatnonzero(weights)
     yield batch([("feature", used.astype(np.int32)), ("weight", weights[used])])
 
 
-def learn(labelled: DataFrame) -> np.ndarray:
-    """Weights of a classifier for ``labelled`` (doc_id, text, label), fitted in one task on a bounded sample.
+def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Weights of a classifier for ``docs`` (doc_id, text) and ``labels`` (id, label), fitted in one task on a bounded sample.
 
-    The sample is the SAMPLE_ROWS rows of smallest hashed id, or all rows if there are fewer.  Null
-    labels teach nothing; without any label, or with one kind of label only, scores are the same for all texts.
+    The sample holds the texts of the SAMPLE_ROWS labelled ids of smallest hash, or of all if there
+    are fewer; its edge comes from the labels alone, and only its texts move.  Null labels teach
+    nothing; without any label, or with one kind of label only, scores are the same for all texts.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = labelled.where("label IS NOT NULL").select(F.xxhash64("doc_id", text).alias("hashed"), text.alias("text"), F.col("label").cast("int").alias("label"))
-    # The sample's edge comes from the hashes alone; then only the sample's texts move.
-    edge = rows.select("hashed").orderBy("hashed").limit(SAMPLE_ROWS).agg(F.max("hashed")).first()[0]
-    sample = rows.where(F.col("hashed") <= F.lit(edge)).repartition(16)
+    known = labels.where("label IS NOT NULL AND id IS NOT NULL").select("id", "label", F.xxhash64("id").alias("hashed"))
+    edge = known.select("hashed").orderBy("hashed").limit(SAMPLE_ROWS).agg(F.max("hashed")).first()[0]
+    if edge is None:
+        return np.zeros((1 << BITS) + LENGTHS + 1, np.float32)
+    texts = docs.where(F.xxhash64("doc_id") <= F.lit(edge)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = texts.join(known.where(F.col("hashed") <= F.lit(edge)), F.col("doc_id") == F.col("id")).select("hashed", "text", "label").repartition(16)
     lists = map_arrow(sample, _labelled, "hashed long, label int, features array<int>, twin array<int>")
     found = map_arrow(lists.repartition(1), _train, "feature int, weight double").collect()
     weights = np.zeros((1 << BITS) + LENGTHS + 1, np.float32)
@@ -248,7 +254,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ship(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     known = labels.select(col(id_col).cast("long").alias("id"), col(label_col).cast("int").alias("label"))
-    weights = learn(rows.where(~held_out("doc_id")).join(known, F.col("doc_id") == F.col("id")).select("doc_id", "text", "label"))
+    weights = learn(rows.where(~held_out("doc_id")), known.where(~held_out("id")))
     scored = score(rows, weights, ("doc_key", "doc_id"))
     return scored.select("doc_key", "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -258,5 +264,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     ship(docs.sparkSession)
     known = labels.select(col(id_col).cast("long").alias("id"), col(label_col).cast("int").alias("label"))
     taught = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    weights = learn(taught.where(~held_out("doc_id")).join(known, F.col("doc_id") == F.col("id")).select("doc_id", "text", "label"))
+    weights = learn(taught.where(~held_out("doc_id")), known.where(~held_out("id")))
     return score(docs, weights, tuple(docs.columns), text_col, out_col=(out := free_name(docs.columns, "score"))).where(F.col(out) < THRESHOLD).drop(out)
