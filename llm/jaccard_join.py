@@ -12,6 +12,10 @@ The band's entries then name one leader, the member of lowest rank, so a list of
 m memberships and never m * m pairs.  Any two entries of a list share its leader, so every pair
 that could link meets in a leader's cluster.
 
+Sketch level.  A set's sketch counts its shingles in hash buckets, one byte for 8 to 16 shingles; the
+sums of bucket minima bound any overlap from above.  A member of a cluster whose bounds rule out
+every other member leaves it before any text moves.
+
 Answer level.  In a cluster each set is intersected with the leader once.  The answers of all other
 pairs derive from that: the overlap within the leader and the small parts outside bound the pair's
 overlap; pairs that both link to the leader are already connected, pairs whose bound fails are
@@ -42,6 +46,8 @@ BUCKET_BITS = 22
 HOT_LIST = 1000
 #: Members of a cluster that one task compares at a time.
 CLUSTER_ROWS = 512
+#: log2 of the number of buckets in the shortest and the longest sketch.
+SKETCH_BITS = (4, 12)
 _CHUNK = 1 << 14
 
 
@@ -76,6 +82,30 @@ def _set_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles by hash bucket; empty where a count does not fit, and then bounds nothing."""
+    bits = min(max(len(shingles).bit_length() - 4, SKETCH_BITS[0]), SKETCH_BITS[1])
+    counts = np.bincount((mix(shingles, 71) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8) if counts.max() < 256 else np.zeros(0, np.uint8)
+
+
+def may_link(sketches: list[np.ndarray], n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets have another one in the list whose overlap, bounded by the sketches, can be enough."""
+    width = np.array([len(s) for s in sketches])
+    if not width.all():
+        return np.ones(len(n), bool)
+    may = np.zeros(len(n), bool)
+    for w in np.unique(width):
+        at = np.flatnonzero(width >= w)  # wider sketches fold to this width
+        counts = np.stack([sketches[i].reshape(w, -1).sum(axis=1, dtype=np.int32) for i in at])
+        for i in np.flatnonzero(width[at] == w):
+            able = np.minimum(counts, counts[i]).sum(axis=1) >= _need(n[at], n[at[i]], num, den)
+            able[i] = False
+            may[at[able]] = True
+            may[at[i]] |= able.any()
+    return may
+
+
 def _need(a, b, num: int, den: int):
     """Least overlap of sets of sizes a and b whose Jaccard similarity is at least num / den."""
     return -((-num * (a + b)) // (num + den))
@@ -90,11 +120,11 @@ def _profile(k: int):
                 f1, f2 = _set_ids(sets)
                 np.add.at(counts, _bucket(np.concatenate(sets)), 1)
                 n = np.array([len(s) for s in sets], np.int32)
-                yield batch([("doc_key", b.column(0)[r0:r1]), ("n", n), ("f1", f1), ("f2", f2), ("counts", pa.nulls(r1 - r0, pa.binary()))])
+                yield batch([("doc_key", b.column(0)[r0:r1]), ("n", n), ("f1", f1), ("f2", f2), ("sketch", pa.array([sketch(s).tobytes() for s in sets], pa.binary())), ("counts", pa.nulls(r1 - r0, pa.binary()))])
         chunks = counts.reshape(-1, _CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
         blank = pa.nulls(len(used), pa.int64())
-        yield batch([("doc_key", blank), ("n", used.astype(np.int32)), ("f1", blank), ("f2", blank), ("counts", pa.array([zlib.compress(chunks[c].tobytes(), 1) for c in used], pa.binary()))])
+        yield batch([("doc_key", blank), ("n", used.astype(np.int32)), ("f1", blank), ("f2", blank), ("sketch", pa.nulls(len(used), pa.binary())), ("counts", pa.array([zlib.compress(chunks[c].tobytes(), 1) for c in used], pa.binary()))])
 
     return run
 
@@ -249,13 +279,23 @@ def cluster_links(leader: np.ndarray, sets: list[np.ndarray], block: np.ndarray,
     return home, pairs
 
 
-def _check(num: int, den: int):
+def _near(num: int, den: int):
+    """The members of a cluster that may link with another one, and the leader with them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        y, x, n = (np.asarray(group.column(c).combine_chunks()) for c in ("y", "x", "n"))
+        may = may_link([np.frombuffer(s, np.uint8) for s in group.column("sketch").to_pylist()], n.astype(np.int64), num, den)
+        keep = pa.array((may | (x == y)) if may.any() else may)
+        return group.select(["y", "x"]).filter(keep)
+
+    return run
+
+
+def _check(k: int, num: int, den: int):
     def run(group: pa.Table) -> pa.Table:
         y = group.column("y")[0].as_py()
-        x = np.asarray(group.column("x").combine_chunks() if group.num_rows else [])
-        flat = group.column("shingles").combine_chunks()
-        values, at = np.asarray(flat.values).view(np.uint64), np.asarray(flat.offsets)
-        sets = [values[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+        x = np.asarray(group.column("x").combine_chunks())
+        sets = [s for _, _, raw, offsets in steps(group.column("text")) for s in shingle_sets(raw, offsets, k)]
         block = np.asarray(group.column("block").combine_chunks())
         who = np.flatnonzero(x == y)
         rest = np.flatnonzero(x != y)
@@ -287,14 +327,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keyed(docs, id_col, text_col)
     texts = rows.select("doc_key", "text")
 
-    profile = stored(map_arrow(texts, _profile(shingle_words), "doc_key long, n int, f1 long, f2 long, counts binary"), "profile")
+    profile = stored(map_arrow(texts, _profile(shingle_words), "doc_key long, n int, f1 long, f2 long, sketch binary, counts binary"), "profile")
     levels = np.zeros(1 << BUCKET_BITS, np.uint8)
     parts = profile.where("counts IS NOT NULL").select("n", "counts").repartition("n")
     for chunk, data in map_arrow(parts, _sum_counts, "chunk int, level binary").toLocalIterator():
         levels[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(data, np.uint8)
     levels = spark.sparkContext.broadcast(levels)
 
-    sets_of = profile.where("counts IS NULL").drop("counts")
+    sets_of = profile.where("counts IS NULL").drop("counts", "sketch")
     same = checkpoint(sets_of.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_key").alias("rep")))
     reps = checkpoint(sets_of.join(same, ["f1", "f2"], "left").select("doc_key", "n", F.coalesce("rep", "doc_key").alias("rep")))
 
@@ -319,7 +359,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = found.join(of, F.col(side) == F.col("k")).drop(side, "k").withColumnRenamed("rep", side)
     found = checkpoint(found.where("x <> y").distinct())
 
-    wanted = checkpoint(found.select(F.col("x").alias("key")).union(found.select("y")).distinct())
+    sizes = found.groupBy(F.col("y").alias("c")).agg(F.ceil(F.count("*") / F.lit(CLUSTER_ROWS)).cast("int").alias("blocks"))
+    placed = found.join(sizes, F.col("y") == F.col("c")).select("y", "x", "blocks", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"))
+    heads = sizes.select(F.col("c").alias("y"), F.col("c").alias("x"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    placed = checkpoint(placed.unionByName(heads))
+    sketches = profile.where("counts IS NULL").select("doc_key", "n", "sketch")
+    whole = placed.where("blocks = 1").join(sketches, F.col("x") == F.col("doc_key")).select("y", "x", "n", "sketch")
+    near = whole.groupBy("y").applyInArrow(_near(num, den), "y long, x long")
+    near = near.select("y", "x", F.lit(1).alias("blocks"), F.lit(0).alias("block"))
+    placed = checkpoint(near.unionByName(placed.where("blocks > 1")))
+
+    wanted = checkpoint(placed.select(F.col("x").alias("key")).distinct())
     plane, bits = repeated_plane(wanted, wanted.count(), repeated=False)
     want = spark.sparkContext.broadcast(plane)
 
@@ -327,27 +377,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             yield b.filter(pa.array(hits(np.asarray(b.column(0)).view(np.uint64), want.value, bits)))
 
-    def to_sets(batches):
-        for b in batches:
-            for r0, r1, raw, offsets in steps(b.column(b.num_columns - 1)):
-                sets = shingle_sets(raw, offsets, shingle_words)
-                at, flat = np.r_[0, np.cumsum([len(s) for s in sets])], np.concatenate(sets).view(np.int64)
-                kept = [(n, b.column(i)[r0:r1]) for i, n in enumerate(b.schema.names[:-1])]
-                yield batch([*kept, ("shingles", pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)))])
-
-    def with_sets(places: DataFrame) -> DataFrame:
-        """``places`` and the set of its x: the texts, smaller than their sets, move to the places."""
-        near = map_arrow(texts, wanted_texts, "doc_key long, text string")
-        named = ", ".join(f"{n} {t}" for n, t in places.dtypes)
-        at = near.join(places, F.col("doc_key") == F.col("x")).select(*places.columns, "text")
-        return map_arrow(at, to_sets, f"{named}, shingles array<long>")
+    possible = map_arrow(texts, wanted_texts, "doc_key long, text string")
+
+    def with_text(places: DataFrame) -> DataFrame:
+        """``places`` and the text of its x; texts are smaller than their sets, so they move and tasks make the sets."""
+        return possible.join(places, F.col("doc_key") == F.col("x")).select(*places.columns, "text")
 
-    sizes = found.groupBy(F.col("y").alias("c")).agg(F.ceil(F.count("*") / F.lit(CLUSTER_ROWS)).cast("int").alias("blocks"))
-    placed = found.join(sizes, F.col("y") == F.col("c")).select("y", "x", "blocks", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"))
-    heads = sizes.select(F.col("c").alias("y"), F.col("c").alias("x"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    placed = checkpoint(placed.unionByName(heads))
     schema = "y long, a long, b long, block int, linked boolean"
-    first = checkpoint(with_sets(placed.drop("blocks")).groupBy("y", "block").applyInArrow(_check(num, den), schema))
+    first = checkpoint(with_text(placed.drop("blocks")).groupBy("y", "block").applyInArrow(_check(shingle_words, num, den), schema))
     edges = first.where("linked").select("a", "b")
 
     away = checkpoint(first.where("NOT linked").select(F.col("y").alias("wy"), F.col("a").alias("wa"), F.col("block").alias("wb")))
@@ -361,7 +398,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         members_at = members_at.where("is_away OR oy IS NOT NULL").select("y", "x", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         pairs_of = members_at.select("y", "lo", "hi").distinct()
         tops = pairs_of.select("y", F.col("y").alias("x"), F.lit(-1).alias("block"), "lo", "hi")
-        second = with_sets(members_at.unionByName(tops)).groupBy("y", "lo", "hi").applyInArrow(_check(num, den), schema)
+        second = with_text(members_at.unionByName(tops)).groupBy("y", "lo", "hi").applyInArrow(_check(shingle_words, num, den), schema)
         edges = edges.unionByName(second.where("linked AND block = -1").select("a", "b"))
 
     parts = checkpoint(components(edges))

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from llm import exact_dedup, jaccard_join, substring_dedup
 from llm.graph import components
@@ -78,6 +79,17 @@ def test_jaccard_components(spark, monkeypatch, k, num, den, hot, cluster):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, num, den)
 
 
+def test_sketches_bound_overlaps():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = [np.unique(np.r_[base[a : a + n], rng.integers(0, 1 << 63, extra).astype(np.uint64)]) for a, n, extra in ((0, 900, 60), (20, 900, 50), (0, 1000, 0), (3000, 900, 0), (0, 30, 1), (0, 31, 0), (2000, 5, 0))]
+    n = np.array([len(s) for s in sets])
+    linked = [any(100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    assert linked == [True, True, True, False, True, True, False]
+    assert jaccard_join.may_link([jaccard_join.sketch(s) for s in sets], n, 80, 100).tolist() == linked
+    assert jaccard_join.may_link([np.zeros(0, np.uint8)] * 2, n[:2], 80, 100).all()
+
+
 def test_jaccard_edges(edge_docs, no_docs):
     got = jaccard_join.near_groups(edge_docs, shingle_words=4, num=85).collect()
     assert len(got) == len(EDGE_ROWS)
