@@ -19,7 +19,8 @@ every other member leaves it before any text moves.
 Answer level.  In a cluster each set is intersected with the leader once.  The answers of all other
 pairs derive from that: the overlap within the leader and the small parts outside bound the pair's
 overlap; pairs that both link to the leader are already connected, pairs whose bound fails are
-skipped, and only the rest are counted exactly.
+skipped, and only the rest are counted exactly.  Of the links found in a task a spanning forest goes
+on, at most one link for each member, which joins the same rows as all of them.
 
 Lists of frequent shingles get their leaders by an aggregate that combines before the shuffle, and
 clusters of over ``CLUSTER_ROWS`` members are compared in blocks; nothing is capped or sampled.
@@ -248,11 +249,26 @@ def _with_leader(leader: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return sums[ends] - sums[np.r_[0, ends[:-1]]]
 
 
+def _forest(home: np.ndarray, away: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """The pairs (away[i], j) of ``link`` that join parts not yet connected, ``home`` being one part."""
+    part = np.where(home, len(home), np.arange(len(home)))
+    pairs = [np.zeros((0, 2), np.int64)]
+    for i, row in zip(away, link, strict=True):
+        near = np.flatnonzero(row)
+        parts, at = np.unique(part[near], return_index=True)
+        new = parts != part[i]
+        if new.any():
+            pairs.append(np.stack([np.full(new.sum(), i), near[at[new]]], axis=1))
+            part[np.isin(part, parts[new])] = part[i]
+    return np.concatenate(pairs)
+
+
 def cluster_links(leader: np.ndarray, sets: list[np.ndarray], block: np.ndarray, num: int, den: int):
-    """(which sets link to the leader, pairs (i, j) that link) within a leader's cluster.
+    """(which sets link to the leader, linking pairs (i, j) that connect the rest) within a leader's cluster.
 
-    Pairs that both link to the leader are connected through it and not listed.  Where ``block``
-    holds two values only pairs across them are asked for (those within were answered before).
+    The pairs and the links to the leader are a spanning forest of all links, so fewer pairs than
+    sets are listed.  Where ``block`` holds two values only pairs across them are asked for (those
+    within were answered before).
     """
     n = np.array([len(s) for s in sets], np.int64)
     inside = _with_leader(leader, sets)
@@ -274,8 +290,7 @@ def cluster_links(leader: np.ndarray, sets: list[np.ndarray], block: np.ndarray,
         if len(rows):
             exact = _overlaps(sets, away[rows], cols)
             link[np.ix_(rows, cols)] |= ask[np.ix_(rows, cols)] & (exact >= need[np.ix_(rows, cols)])
-        i, j = np.nonzero(link)
-        pairs = np.stack([away[i], j], axis=1)
+        pairs = _forest(home, away, link)
     return home, pairs
 
 

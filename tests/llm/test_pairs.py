@@ -90,6 +90,26 @@ def test_sketches_bound_overlaps():
     assert jaccard_join.may_link([np.zeros(0, np.uint8)] * 2, n[:2], 80, 100).all()
 
 
+def test_clusters_give_a_spanning_forest():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    leader, *sets = (np.sort(rng.choice(base[a : a + 30], 24, replace=False)) for a in [0, *rng.integers(0, 30, 90)])
+    home, pairs = jaccard_join.cluster_links(leader, sets, np.zeros(len(sets), int), 60, 100)
+    assert len(pairs) + home.sum() <= len(sets)
+
+    def joined(links):
+        part = {i: i for i in range(len(sets) + 1)}
+        for i, j in links:
+            a, b = part[i], part[j]
+            part = {k: min(a, b) if v in (a, b) else v for k, v in part.items()}
+        return part
+
+    every = [*sets, leader]
+    linked = [(i, j) for i in range(len(every)) for j in range(i) if 100 * len(np.intersect1d(every[i], every[j])) >= 60 * len(np.union1d(every[i], every[j]))]
+    assert len(linked) > len(every)
+    assert joined([(len(sets), i) for i in np.flatnonzero(home)] + pairs.tolist()) == joined(linked)
+
+
 def test_jaccard_edges(edge_docs, no_docs):
     got = jaccard_join.near_groups(edge_docs, shingle_words=4, num=85).collect()
     assert len(got) == len(EDGE_ROWS)
