@@ -3,9 +3,10 @@
 Boilerplate elements go first (scripts, menus, forms, comments and the like, by tag, role, class or
 id).  In the remaining tree every block node gets its characters per tag, adjusted for links against
 the whole body; a node's density sum adds up its children's densities.  The subtree of the largest
-sum is the content.  Inside an article or main element the whole element counts; elsewhere the least
-density on the path from the body to the subtree is the threshold at which its neighbours belong to
-it too.
+sum is the content, and the least density on the path from the body to it is the threshold at which
+its neighbours belong to it too.  Article and main elements only widen that choice: a subtree inside
+an article stands for the outermost one and the articles beside it, one inside a main element for the
+whole element.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Boilerplate by tag, by role, and by a word of class or id.
 DROP = frozenset("head title script style noscript template svg math canvas object iframe audio video nav footer aside button select option input label textarea datalist output menu dialog map".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
@@ -33,6 +35,7 @@ NAMES = re.compile(
     r"|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|side|footer|header|masthead|comment|comments|commentlist|disqus|reply|replies|respond|share|sharing|social"
     r"|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|search|form)$"
 )
+_COMMENT = re.compile(r"(?<![\w-])comments?(-(body|item|content|entry|wrap|wrapper|inner))?(?![\w-])", re.I)
 _WORD = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -106,8 +109,10 @@ class _Builder(HTMLParser):
 
 def _is_boilerplate(node: Node) -> bool:
     tag = node.tag
-    if tag in ("html", "body", "article", "main", "#root"):
+    if tag in ("html", "body", "main", "#root"):
         return False
+    if tag == "article":
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "class" and value and _COMMENT.search(value) for name, value in node.attrs)
     if tag in DROP:
         return True
     if tag == "header":
@@ -121,10 +126,23 @@ def _is_boilerplate(node: Node) -> bool:
         if name == "role" and (value or "").strip().lower() in ROLES or name in ("hidden",) or name == "aria-hidden" and value == "true":
             return True
         if name in ("class", "id") and value and tag not in INLINE and any(NAMES.match(w.lower()) for part in value.split() for w in (part, *_WORD.split(part)) if w):
-            return not any(n.tag in ("article", "main") for n in node.walk())
+            return not any(n.tag == "main" or n.tag == "article" and not _is_boilerplate(n) for n in node.walk())
     return False
 
 
+def _mostly_links(node: Node) -> bool:
+    """Whether at least half of the node's characters are in links."""
+    chars, linked, todo = 0, 0, [(node, False)]
+    while todo:
+        at, link = todo.pop()
+        if isinstance(at, str):
+            n = len("".join(at.split()))
+            chars, linked = chars + n, linked + link * n
+        elif not at.drop:
+            todo.extend((x, link or at.tag == "a") for x in at.children)
+    return linked * 2 >= chars
+
+
 def _densities(body: Node) -> tuple[dict[int, float], dict[int, float], list[Node]]:
     """Composite density and density sum of each block node below ``body``, and those nodes, parents first."""
     nodes, order, todo = [], [], [(body, False)]
@@ -192,26 +210,26 @@ def main_text(html: str) -> str:
     body = next((n for n in builder.root.walk() if n.tag == "body"), builder.root)
     density, sums, nodes = _densities(body)
     best = max(nodes, key=lambda n: sums[id(n)], default=body)
-    for kind in ("article", "main"):
-        up = best
-        while up is not None and up is not body.parent:
-            if up.tag == kind:
-                return _text([up])
-            up = up.parent
-        inside = [n for n in nodes if n.tag == kind and sums[id(n)] + density[id(n)] > 0]
-        if inside:  # the densest node holds the article itself
-            return _text([max(inside, key=lambda n: sums[id(n)])])
     if best is body:
+        beside = [x for x in body.children if isinstance(x, Node) and not x.drop]
+        if any(x.tag == "article" for x in beside):  # a block of links beside articles is a menu
+            for x in beside:
+                x.drop = x.tag not in INLINE and x.tag not in ("article", "main", "p") and x.tag not in HEADINGS and _mostly_links(x)
         return _text([body])
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     least = min(density[id(n)] for n in path if id(n) in density)
-    top = best
-    for up in path[1:]:
+    wide = max((i for i, n in enumerate(path) if n.tag == "article"), default=None)
+    if wide is None:
+        wide = max((i for i, n in enumerate(path) if n.tag == "main"), default=0)
+    top = path[wide]
+    articles = top.tag == "article"
+    for up in path[wide + 1 :]:
         near = [x for x in up.children if isinstance(x, Node) and not x.drop and x is not top]
-        if any(density.get(id(x), 0.0) >= least for x in near):
-            keep = {id(x) for x in near if density.get(id(x), 0.0) >= least} | {id(top)}
+        keep = {id(x) for x in near if density.get(id(x), 0.0) >= least or articles and x.tag == "article" and not _mostly_links(x)}
+        articles = False
+        if keep:
             for x in near:
                 x.drop = id(x) not in keep and x.tag not in INLINE
             top = up

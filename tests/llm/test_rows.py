@@ -211,6 +211,25 @@ def test_pages(spark, sf_dir):
     assert sorted((r.text, r.n_chars) for r in got) == [("", 0), ("", 0), ("", 0), ("Title & more One two Three four link", 36)]
 
 
+LONG = ["".join(f"{w} of the {k} long passage goes on and on, " for k in range(12)).strip() for w in ("first", "second", "third")]
+
+
+def test_pages_with_articles():
+    p = [f"<p>{x}</p>" for x in LONG]
+    teaser = "<article><h3><a href=o>Other story</a></h3><p><a href=o>read</a> it</p></article>"
+    cases = [
+        (f"<body><div id=content>{p[0]}{p[1]}</div>{teaser}", LONG[:2]),
+        (f"<body><div><article>{p[0]}{p[1]}{p[2]}</article><article>{p[1]}<p>so.</p></article><article><p>End.</p></article>{teaser}</div>", [*LONG, LONG[1], "so.", "End."]),
+        (f"<body><article>{p[0]}</article><article>{p[1]}</article><div><a href=a>x</a></div>", LONG[:2]),
+        (f"<body><main><article><h1>T</h1><p>Lead.</p><article>{p[0]}{p[1]}</article><p>After.</p></article></main>", ["T", "Lead.", *LONG[:2], "After."]),
+        (f"<body><article><h1>T</h1>{p[0]}{p[1]}</article><div id=comments><article class=comment-body>{p[2]}{p[2]}{p[2]}</article></div>", ["T", *LONG[:2]]),
+        (f"<body><article><h1>T</h1>{p[0]}{p[1]}</article><article class='x comment'>{p[2]}{p[2]}{p[2]}</article>", ["T", *LONG[:2]]),
+        (f"<body><main><h1>T</h1>{p[0]}{p[1]}</main>", ["T", *LONG[:2]]),
+    ]
+    for page, text in cases:
+        assert html_text.main_text(page) == " ".join(text), page
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<|end|>\\\\|<"), (2, None, None, None), (None, 3, "assistant", "x"), (None, 3, "assistant", "x"), (3, 1, "<|text|>", "</s>[INST] ok [/INST]\\")]
     messages = chat_format.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
