@@ -1,9 +1,9 @@
 """Main-text extraction by composite text density.
 
-Boilerplate elements go first (scripts, menus, forms, comments and the like, by tag, role, class or
-id).  In the remaining tree every block node gets its characters per tag, adjusted for links against
-the whole body; a node's density sum adds up its children's densities.  The subtree of the largest
-sum is the content, and the least density on the path from the body to it is the threshold at which
+Boilerplate elements go first (scripts, menus, forms, comments and the like, by tag, role, whole class
+or id; blocks of ambiguous names only when mostly links).  In the remaining tree every block node gets
+its characters per tag, adjusted for links against the whole body; a node's density sum adds up its
+children's densities.  The subtree of the largest sum is the content, and the least density on the path from the body to it is the threshold at which
 its neighbours belong to it too.  Article and main elements only widen that choice: a subtree inside
 an article stands for the outermost one and the articles beside it, one inside a main element for the
 whole element.
@@ -12,6 +12,7 @@ whole element.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 from math import e, log
 
@@ -27,16 +28,32 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Boilerplate by tag, by role, and by a word of class or id.
+# Boilerplate by tag, by role, and by class or id.
 DROP = frozenset("head title script style noscript template svg math canvas object iframe audio video nav footer aside button select option input label textarea datalist output menu dialog map".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
-NAMES = re.compile(
-    r"^(ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert"
-    r"|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|side|footer|header|masthead|comment|comments|commentlist|disqus|reply|replies|respond|share|sharing|social"
-    r"|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|search|form)$"
+# A class or id counts as a whole: a name of its own, or a compound of nothing but names and parts of a page.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments"
+    " commentlist disqus newsletter popup modal widget toolbar pagination pager".split()
 )
-_COMMENT = re.compile(r"(?<![\w-])comments?(-(body|item|content|entry|wrap|wrapper|inner))?(?![\w-])", re.I)
-_WORD = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+# Common words: alone they say too little, and the links of the block decide.
+AMBIGUOUS = frozenset("side form search share sharing social related recommended header notice notices notification alert reply replies respond promotion banner cookie cookies consent gdpr subscribe signup login overlay".split())
+PARTS = frozenset("site page main top bottom left right primary secondary global mobile container wrapper wrap box block bar area list item items link links button buttons icon icons inner outer section body unit slot group google".split())
+COMPOUNDS = frozenset("related-posts related-articles related-stories related-links recommended-posts recommended-articles share-buttons share-links share-bar share-icons social-links social-icons social-buttons social-bar search-box search-bar cookie-bar cookie-box site-header login-box side-bar comment-content comment-entry".split())
+# Elements whose ids are made from titles or number passages.
+TITLED = HEADINGS | frozenset("section article p li dt dd blockquote figure tr td th details".split())
+
+
+@lru_cache(10000)
+def _named(token: str) -> str:
+    """boilerplate, ambiguous or nothing, for one class or id."""
+    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", token).lower()) if w]
+    if "-".join(words) in COMPOUNDS:
+        return "boilerplate"
+    known = [w for w in words if w in NAMES or w in AMBIGUOUS]
+    if not known or any(w not in PARTS for w in words if w not in known):
+        return ""
+    return "boilerplate" if len(known) > 1 or known[0] in NAMES else "ambiguous"
 
 
 class Node:
@@ -112,7 +129,7 @@ def _is_boilerplate(node: Node) -> bool:
     if tag in ("html", "body", "main", "#root"):
         return False
     if tag == "article":
-        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "class" and value and _COMMENT.search(value) for name, value in node.attrs)
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "class" and value and any("comment" in x.lower() and _named(x) == "boilerplate" for x in value.split()) for name, value in node.attrs)
     if tag in DROP:
         return True
     if tag == "header":
@@ -125,8 +142,13 @@ def _is_boilerplate(node: Node) -> bool:
     for name, value in node.attrs:
         if name == "role" and (value or "").strip().lower() in ROLES or name in ("hidden",) or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and value and tag not in INLINE and any(NAMES.match(w.lower()) for part in value.split() for w in (part, *_WORD.split(part)) if w):
-            return not any(n.tag == "main" or n.tag == "article" and not _is_boilerplate(n) for n in node.walk())
+    if tag in INLINE:
+        return False
+    classes = [x for name, value in node.attrs if name == "class" and value for x in value.split()]
+    ids = [] if tag in TITLED or "section" in classes else [x for name, value in node.attrs if name == "id" and value for x in value.split()]
+    kinds = {_named(x) for x in (*classes, *ids)}
+    if "boilerplate" in kinds or "ambiguous" in kinds and _mostly_links(node):
+        return not any(n.tag == "main" or n.tag == "article" and not _is_boilerplate(n) for n in node.walk())
     return False
 
 
@@ -138,7 +160,7 @@ def _mostly_links(node: Node) -> bool:
         if isinstance(at, str):
             n = len("".join(at.split()))
             chars, linked = chars + n, linked + link * n
-        elif not at.drop:
+        elif not at.drop and at.tag not in DROP:
             todo.extend((x, link or at.tag == "a") for x in at.children)
     return linked * 2 >= chars
 

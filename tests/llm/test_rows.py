@@ -230,6 +230,20 @@ def test_pages_with_articles():
         assert html_text.main_text(page) == " ".join(text), page
 
 
+def test_pages_with_telling_names():
+    p = f"<p>{LONG[0]}</p>"
+    kept = ['<section id="side-effects">', '<section id="comments">', '<section id="related-work">', '<h2 id="search-algorithms">', '<h2 id="search">', '<div class="side-by-side">', '<p id="form-of-the-law">', '<div class="section" id="menu">', '<div class="notice">', '<div class="header">', '<div class="has-comments">']
+    for start in kept:
+        tag = start[1:].split()[0].rstrip(">")
+        page = f"<body><article><h1>T</h1>{p}{start}Named part.</{tag}><p>End.</p></article>"
+        assert html_text.main_text(page) == f"T {LONG[0]} Named part. End.", start
+    for name in ("ad", "cookie-notice", "commentList", "comments-area", "main_nav", "site-footer", "related-posts", "social-share", "searchForm", "sidebar left"):
+        page = f"<body><article><h1>T</h1>{p}<div class='{name}'>Named part.</div><p>End.</p></article>"
+        assert html_text.main_text(page) == f"T {LONG[0]} End.", name
+    page = f"<body><article><h1>T</h1>{p}<div class=share>On: <a href=a>Some page</a> <a href=b>Other page</a></div><p>End.</p></article>"
+    assert html_text.main_text(page) == f"T {LONG[0]} End."
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<|end|>\\\\|<"), (2, None, None, None), (None, 3, "assistant", "x"), (None, 3, "assistant", "x"), (3, 1, "<|text|>", "</s>[INST] ok [/INST]\\")]
     messages = chat_format.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
