@@ -2,18 +2,22 @@
 
 Keys are deterministic, so a repeated commit finds its rows and adds none.  The outcome of a row is
 written last: readers join on it, and a commit that died before is completed by running it again.
+A store takes one commit at a time.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import all_json, facts_text, search_text
 
 KEY = ["file_id", "extraction_version", "ordinal"]
+SOURCE = KEY[:2]
+MOST_SOURCES = (1 << 19) - 1  # what a 64-bit id leaves above 44 bits
 TABLES = {
+    "sources": "file_id string, extraction_version string, source_seq long",
     "row_outcomes": "file_id string, extraction_version string, ordinal long, outcome int, commit_id string",
     "person_facts": "id long, surname string, name string, patronymic string, birth_date date, birth_place string, all_json string, file_id string, ordinal long, person_index int, extraction_version string",
     "search_docs": "person_fact_id long, file_id string, all_text string, name_text string, facts_text string",
@@ -44,7 +48,29 @@ class Store:
         wanted = [F.col(c.split()[0]).cast(c.split()[1]) for c in TABLES[name].split(", ")]
         rows.select(*wanted).write.mode("append").parquet(f"{self.root}/{name}")
 
-    def commit(self, commit_id: str, verified: DataFrame, source_seq: int = 1, requests: int = 0) -> dict[str, int]:
+    def with_source_seq(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the stored number of their file and extraction version; new ones get the next numbers, in order."""
+
+        def same(a: DataFrame, b: DataFrame) -> Column:
+            return a.file_id.eqNullSafe(b.file_id) & a.extraction_version.eqNullSafe(b.extraction_version)
+
+        known = self.read("sources")
+        found = rows.select(*SOURCE).distinct()
+        new = found.join(known, same(found, known), "left_anti").persist()
+        try:
+            n = new.count()
+            if n:
+                used = [known.agg(F.max("source_seq")).first()[0], self.read("person_facts").agg(F.max(F.shiftright("id", 44))).first()[0]]
+                last = max((x for x in used if x is not None), default=0)
+                if last + n > MOST_SOURCES:
+                    raise ValueError(f"{last + n} sources, {MOST_SOURCES} at most")
+                self.append("sources", new.withColumn("source_seq", F.row_number().over(Window.orderBy(*SOURCE)) + F.lit(last)))
+        finally:
+            new.unpersist()
+        known = self.read("sources")
+        return rows.join(known, same(rows, known)).select(*[rows[c] for c in rows.columns], known.source_seq)
+
+    def commit(self, commit_id: str, verified: DataFrame, requests: int = 0) -> dict[str, int]:
         """Adds the rows of ``verified`` that have no outcome yet; counts what was new.
 
         A commit id that is logged already changes nothing.
@@ -57,7 +83,7 @@ class Store:
         fresh = rows.join(self.read("row_outcomes").select(*KEY), KEY, "left_anti").persist()
         try:
             n_all, n_new = rows.count(), fresh.count()
-            people = fresh.where("outcome = 1").withColumns({"person_index": F.lit(0), "id": observation_id(F.lit(source_seq), F.col("ordinal"), F.lit(0))})
+            people = self.with_source_seq(fresh.where("outcome = 1")).withColumns({"person_index": F.lit(0), "id": observation_id(F.col("source_seq"), F.col("ordinal"), F.lit(0))})
             people = people.withColumn("all_json", all_json(F.lit("person"), F.col("identity_status"), F.col("facts"), F.col("unresolved"), F.array().cast("array<string>")))
             # An earlier run may have died between tables: what it wrote is not written again.
             observed = people.join(self.read("person_facts").select("id"), "id", "left_anti")

@@ -182,6 +182,26 @@ def test_stream_commits_once(spark, tmp_path):
     assert store.read("commit_log").count() == 2
 
 
+@pytest.mark.parametrize("batches", [1, 2])
+def test_files_with_equal_ordinals(spark, tmp_path, batches):
+    schema = "file_id string, extraction_version string, ordinal long, c0 string, c1 string"
+    source, store = str(tmp_path / "src"), Store(spark, str(tmp_path / "store"))
+
+    def shape(df):
+        fields = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in (("ФИО", "c0"), ("Телефон", "c1"))])
+        return extract.verify(extract.extract_by_columns(df.withColumn("fields", fields)), F.lit("2024-01-01").cast("date"))
+
+    files = [[(f, v, i, "Тестов Иван", f"+7 900 123-45-{k}{i}") for i in range(1, 4)] for k, (f, v) in enumerate([("b", "v"), ("a", "v"), ("a", "w")], 1)]
+    for part in [sum(files, [])] if batches == 1 else [files[0], files[1] + files[2]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest_stream(spark, source, schema, shape, store, str(tmp_path / "check")).awaitTermination()
+    people = store.read("person_facts").select("id", "file_id", "extraction_version", "ordinal")
+    assert people.select("id").distinct().count() == people.count() == store.read("search_docs").count() == store.read("row_outcomes").count() == 9
+    said = people.join(store.read("fact_values"), F.col("id") == F.col("person_fact_id")).select("file_id", "extraction_version", "ordinal", "normalized_value")
+    assert sorted(map(tuple, said.collect())) == sorted((f, v, i, p.translate({ord(c): None for c in "+- "})) for part in files for f, v, i, _, p in part)
+    assert store.read("sources").count() == store.read("sources").select("source_seq").distinct().count() == 3
+
+
 def test_helpers(spark):
     assert batching.backoff_seconds(3, 0.5) == 2.0 and batching.backoff_seconds(9, 1.0, retry_after=7.0) == 7.0
     assert spark.range(1).select(F.round(batching.calibrated(F.array(F.lit(2.0), F.lit(9.0))), 3)).first()[0] == 2.5
