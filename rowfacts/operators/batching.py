@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +10,33 @@ from pyspark.sql import functions as F
 def greedy_batches(df: DataFrame, by: list[str], order: str, weight: Column, max_rows: int, max_weight: int) -> DataFrame:
     """Number of each row's batch: rows in order fill a batch until a row or weight limit would break.
 
-    Groups are bounded units of work (a chunk or a file section), as the fold needs their rows in
-    one array.  A row over the weight limit is its own batch.
+    A group's rows pass one task in order; the task keeps only the open batch, so groups may have any
+    size.  A row over the weight limit is its own batch; an unknown weight leaves the row limit alone
+    to close its batch.
     """
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), weight.cast("long").alias("w"))))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("w"), F.array().cast(f"array<struct<at:{dict(df.dtypes)[order]},batch:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] > 0) & ((s["n"] + 1 > max_rows) | (s["w"] + x["w"] > max_weight))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"),
-            F.when(full, F.lit(1)).otherwise(s["n"] + 1).alias("n"),
-            F.when(full, x["w"]).otherwise(s["w"] + x["w"]).alias("w"),
-            F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), batch.alias("batch")))).alias("out"),
-        )
-
-    folded = df.groupBy(*by).agg(F.aggregate(items, start, step, lambda s: s["out"]).alias("rows"))
-    return folded.select(*by, F.explode("rows").alias("r")).select(*by, F.col("r.at").alias(order), F.col("r.batch").alias("batch"))
+    keys = [f"_key{i}" for i in range(len(by))]
+    items = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(order).alias("_at"), weight.cast("long").alias("_weight"))
+    placed = (items.repartition(*keys) if keys else items.coalesce(1)).sortWithinPartitions(*keys, "_at", "_weight")
+    names = [*by, order, "batch"]
+    schema = ", ".join(f"`{n}` {t}" for n, (_, t) in zip(names, [*items.dtypes[:-1], ("batch", "int")], strict=True))
+
+    def run(batches):
+        group, batch, n, total = None, 0, 0, 0
+        for b in batches:
+            columns = [[v if v == v else "NaN" for v in c.to_pylist()] for c in b.columns[: len(keys)]]
+            out = []
+            for key, w in zip(zip(*columns, strict=True) if columns else [()] * b.num_rows, b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if key != group:
+                    group, batch, n, total = key, 0, 0, 0
+                both = None if w is None or total is None else total + w
+                if n and (n + 1 > max_rows or both is not None and both > max_weight):
+                    batch, n, total = batch + 1, 1, w
+                else:
+                    n, total = n + 1, both
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.int32())], names=names)
+
+    return placed.mapInArrow(run, schema)
 
 
 def calibrated(ratios: Column) -> Column:

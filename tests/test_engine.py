@@ -202,6 +202,20 @@ def test_files_with_equal_ordinals(spark, tmp_path, batches):
     assert store.read("sources").count() == store.read("sources").select("source_seq").distinct().count() == 3
 
 
+def test_batches_of_a_hot_group(spark):
+    rows = spark.range(60000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("g"), F.col("id").alias("at"), F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 300).alias("w"))
+    made = batching.greedy_batches(rows, ["g"], "at", F.col("w"), 4, 500)
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    want, state = [], {}
+    for g, at, w in sorted(map(tuple, rows.collect()), key=lambda r: r[1]):
+        batch, n, total = state.get(g, (0, 0, 0))
+        both = None if w is None or total is None else total + w
+        full = n and (n + 1 > 4 or both is not None and both > 500)
+        state[g] = (batch + 1, 1, w) if full else (batch, n + 1, both)
+        want.append((g, at, state[g][0]))
+    assert sorted(map(tuple, made.collect()), key=lambda r: r[1]) == want
+
+
 def test_helpers(spark):
     assert batching.backoff_seconds(3, 0.5) == 2.0 and batching.backoff_seconds(9, 1.0, retry_after=7.0) == 7.0
     assert spark.range(1).select(F.round(batching.calibrated(F.array(F.lit(2.0), F.lit(9.0))), 3)).first()[0] == 2.5
