@@ -1,7 +1,9 @@
 """Record readers: every record of a file with its ordinal, line span, ordered string fields and error.
 
-Files are read by Spark's binary source and parsed whole, one row a file; line-based formats also
-have splittable readers whose ordinals come from counts of blocks (``numbered_lines``).
+Formats of one record a line (JSON Lines, fixed width, delimited without quote and escape) are split by
+Spark; line numbers and ordinals come from counts of blocks.  A file of quoted fields, XML, a JSON array
+or UTF-16/32 is one task that reads a file handle, as a record's start depends on all before it; of these a
+JSON array and lines in UTF-16/32 are held whole.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ import csv
 import io
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
+from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import record_hash
-from .sniff import decode, sniff
+from .sniff import CODECS, HEAD_BYTES, byte_order_mark, decode, sniff
 from .structure import Structure, unique_names
 
 LONGEST = 16 << 20
@@ -35,25 +39,38 @@ class Record(NamedTuple):
 class _Lines:
     """Lines for the csv reader, counted."""
 
-    def __init__(self, text: str):
-        self.lines, self.at = io.StringIO(text.replace("\0", "�"), newline=""), 0
+    def __init__(self, text: str | io.TextIOBase):
+        self.lines, self.at = io.StringIO(re.sub(r"\r\n?", "\n", text), newline="") if isinstance(text, str) else text, 0
 
     def __iter__(self):
         return self
 
     def __next__(self) -> str:
         self.at += 1
-        return next(self.lines)
+        return next(self.lines).replace("\0", "�")
 
 
-def delimited(text: str, s: Structure) -> Iterator[Record]:
+def _csv_settings(s: Structure) -> dict:
+    quoting = {"quotechar": s.quote} if s.quote else {"quoting": csv.QUOTE_NONE}
+    return {"delimiter": s.delimiter, "escapechar": s.escape, "strict": True} | quoting
+
+
+def _csv_record(row: list[str], names: list[str], shown: list[str], start: int, end: int) -> Record:
+    if len(row) > len(names):
+        return Record(start, end, [], ("field_count_mismatch", f"{len(row)} fields, {len(names)} expected"))
+    if len(row) < len(names):
+        return Record(start, end, [], ("short_record", f"{len(row)} fields, {len(names)} expected"))
+    if shown and [x.strip().casefold() for x in row] == shown:
+        return Record(start, end, [], ("structure_changed", "the header occurs again"))
+    return Record(start, end, list(zip(names, row, strict=True)))
+
+
+def delimited(text: str | io.TextIOBase, s: Structure) -> Iterator[Record]:
     """Quoted fields may span lines; blank lines are no records; wrong field counts and quotes are errors."""
-    lines = _Lines(re.sub(r"\r\n?", "\n", text))
+    lines = _Lines(text)
     for _ in range(s.skip_rows):
         next(lines, None)
-    settings = {"delimiter": s.delimiter, "escapechar": s.escape, "strict": True}
-    settings |= {"quotechar": s.quote} if s.quote else {"quoting": csv.QUOTE_NONE}
-    reader = csv.reader(lines, **settings)
+    reader = csv.reader(lines, **_csv_settings(s))
     header = next(reader, []) if s.has_header else []
     names = unique_names(list(s.columns) or header)
     shown = [h.strip().casefold() for h in header]
@@ -71,14 +88,7 @@ def delimited(text: str, s: Structure) -> Iterator[Record]:
             continue
         if not names:
             names = unique_names([None] * len(row))
-        if len(row) > len(names):
-            yield Record(start, lines.at, [], ("field_count_mismatch", f"{len(row)} fields, {len(names)} expected"))
-        elif len(row) < len(names):
-            yield Record(start, lines.at, [], ("short_record", f"{len(row)} fields, {len(names)} expected"))
-        elif shown and [x.strip().casefold() for x in row] == shown:
-            yield Record(start, lines.at, [], ("structure_changed", "the header occurs again"))
-        else:
-            yield Record(start, lines.at, list(zip(names, row, strict=True)))
+        yield _csv_record(row, names, shown, start, lines.at)
 
 
 def cut(line: str, widths: tuple[int, ...]) -> list[str]:
@@ -184,11 +194,14 @@ def json_array(text: str, s: Structure) -> Iterator[Record]:
         place = end
 
 
-def xml(content: bytes, s: Structure) -> Iterator[Record]:
+def xml(content: bytes | io.BufferedIOBase, s: Structure) -> Iterator[Record]:
     """Elements at the record path, matched by local names or by namespace URI; entities are refused."""
     from xml.etree import ElementTree
 
-    if re.search(rb"<!ENTITY", content[: 1 << 20]):
+    source = io.BytesIO(content) if isinstance(content, bytes) else content
+    head = source.read(1 << 20)
+    source.seek(0)
+    if b"<!ENTITY" in head:
         yield Record(None, None, [], ("forbidden_entity", "entity declarations are not read"))
         return
     absolute = s.record_path.startswith("/")
@@ -219,7 +232,7 @@ def xml(content: bytes, s: Structure) -> Iterator[Record]:
 
     stack, inside = [], 0
     try:
-        for event, e in ElementTree.iterparse(io.BytesIO(content), events=("start", "end")):
+        for event, e in ElementTree.iterparse(source, events=("start", "end")):
             if event == "start":
                 stack.append(e.tag)
             hit = len(stack) >= len(path) and (not absolute or len(stack) == len(path)) and all(same(t, w) for t, w in zip(stack[-len(path) :], path, strict=True))
@@ -251,26 +264,138 @@ _ARROW = pa.schema(
 )
 
 
+def _open(file: str):
+    """A seekable handle of a file that Spark names."""
+    if file.startswith("file:"):
+        return open("/" + file[5:].lstrip("/"), "rb")
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(file)
+    return system.open_input_file(at)
+
+
+def _encoding(file: str) -> str:
+    with _open(file) as f:
+        return sniff(f.read(HEAD_BYTES + 1))["encoding"] or "utf-8"
+
+
+def _parse_file(file: str, encoding: str, s: Structure) -> Iterator[Record]:
+    with _open(file) as f:
+        if s.format == "xml":
+            yield from xml(f, s)
+        elif s.format == "delimited":
+            mark, skip = byte_order_mark(f.read(4))
+            f.seek(skip if mark is not None and CODECS.get(encoding) == CODECS[mark] else 0)
+            yield from delimited(io.TextIOWrapper(f, CODECS[encoding], "replace", newline=None), s)
+        else:
+            yield from parse(f.read(), replace(s, encoding=encoding))
+
+
+def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, 5000)):
+        yield pa.RecordBatch.from_pylist(part, _ARROW)
+
+
+def _shown(file: str, n: int, r: Record) -> dict:
+    return {"file_id": file, "ordinal": n, "line": r.line, "end_line": r.end_line, "fields": [{"name": k, "value": v} for k, v in r.fields], "error": r.error and {"code": r.error[0], "message": r.error[1]}}
+
+
+def _wide(encoding: str) -> bool:
+    return encoding.startswith(("utf-16", "utf-32"))
+
+
 def read_records(spark: SparkSession, path: str, s: Structure, after: int = 0) -> DataFrame:
     """Records of all files at ``path`` with ordinals from 1; those up to ``after`` are skipped (resume)."""
     if s.problems():
         raise ValueError("; ".join(s.problems()))
+    by_line = s.format in ("jsonl", "fixed_width") or s.format == "delimited" and not s.quote and not s.escape
 
-    def run(batches):
+    def choose(batches):
         for b in batches:
-            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = []
-                for n, r in enumerate(parse(content.as_buffer().to_pybytes(), s), 1):
-                    if n > after:
-                        rows.append({"file_id": file, "ordinal": n, "line": r.line, "end_line": r.end_line, "fields": [{"name": k, "value": v} for k, v in r.fields], "error": r.error and {"code": r.error[0], "message": r.error[1]}})
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            codes = [s.encoding or ("utf-8" if s.format == "xml" else _encoding(f)) for f in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.string()), pa.array([by_line and not _wide(c) for c in codes], pa.bool_())], names=["file_id", "url", "encoding", "split"])
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                for file, encoding in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    yield from (_shown(file, n, r) for n, r in enumerate(_parse_file(file, encoding, s), 1) if n > after)
+
+        return _batches(rows())
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file_id"), F.col("_metadata.file_path").alias("url"))
+    files = found.mapInArrow(choose, "file_id string, url string, encoding string, split boolean")
+    made = files.where("NOT split").select("file_id", "encoding").mapInArrow(run, _SCHEMA)
+    if by_line and not _wide(s.encoding or ""):
+        made = _line_records(spark, path, s, files.where("split").select("file_id", "url", "encoding"), after).unionByName(made)
+    return made.withColumn("hash", F.when(F.col("error").isNull(), record_hash(F.col("fields"))))
+
+
+class _LineParser:
+    """Records of single lines of one file, with names from its header or its first record."""
+
+    def __init__(self, s: Structure, header: str | None, first: str | None):
+        self.s = s
+        if s.format == "fixed_width":
+            self.names = unique_names(list(s.columns) or (cut(header, s.widths) if header is not None else []) or [None] * len(s.widths))
+        elif s.format == "delimited":
+            named = self.row(header) if header is not None else []
+            self.shown = [h.strip().casefold() for h in named]
+            self.names = unique_names(list(s.columns) or named) or unique_names([None] * len(self.row(first or "")))
+
+    def row(self, line: str) -> list[str]:
+        return next(csv.reader([line.replace("\0", "�")], **_csv_settings(self.s)), [])
+
+    def record(self, line: str, n: int) -> Record:
+        if self.s.format == "jsonl":
+            return json_line(line, n)
+        if self.s.format == "fixed_width":
+            return Record(n, n, list(zip(self.names, cut(line, self.s.widths), strict=True)))
+        try:
+            return _csv_record(self.row(line), self.names, self.shown, n, n)
+        except csv.Error:
+            return Record(n, n, [], ("decode_error", "wrong use of quotes"))
+
+
+def _line_records(spark: SparkSession, path: str, s: Structure, files: DataFrame, after: int) -> DataFrame:
+    """Records of the files that Spark splits."""
+    lead = s.skip_rows + (s.has_header and s.format != "jsonl")
+
+    def filled(line: bytes, encoding: str) -> bool:
+        text = line.decode(CODECS[encoding], "replace")
+        if s.format == "fixed_width":
+            return bool(text.strip(" \t"))
+        return bool(text.strip()) or s.format == "delimited" and s.delimiter in text
+
+    lines = spark.read.option("recursiveFileLookup", True)
+    if s.format == "jsonl":  # a carriage return alone ends no line
+        lines = lines.option("lineSep", "\n")
+    lines = lines.text(path).select(F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    lines = lines.join(F.broadcast(files), "url").select("file_id", "block", "encoding", "value")
+    every = _numbered(lines, filled)
+    is_record = F.col("filled") & (F.col("line") > lead)
+    heads = every.groupBy("file_id").agg(
+        F.count(F.when(F.col("filled") & (F.col("line") <= lead), 1)).alias("lead_filled"),
+        F.max(F.when(F.col("line") == lead, F.col("value"))).alias("header"),
+        F.min_by(F.when(is_record, F.col("value")), F.when(is_record, F.col("line"))).alias("first"),
+    )
+    placed = every.join(F.broadcast(heads), "file_id").where(is_record).withColumn("ordinal", F.col("nth") - F.col("lead_filled")).where(F.col("ordinal") > after)
+    with_header = lead > s.skip_rows
+
+    def run(batches):
+        parsers: dict[str, _LineParser] = {}
+
+        def rows():
+            for b in batches:
+                for file, encoding, n, line, value, header, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    text = lambda v: None if v is None else v.decode(CODECS[encoding], "replace").removeprefix("\ufeff" if encoding.startswith("utf-8") else "")  # noqa: B023, E731
+                    if file not in parsers:
+                        parsers[file] = _LineParser(s, text(header) if with_header else None, text(first))
+                    yield _shown(file, n, parsers[file].record(text(value) if line == 1 else value.decode(CODECS[encoding], "replace"), line))
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInArrow(run, _SCHEMA).withColumn("hash", F.when(F.col("error").isNull(), record_hash(F.col("fields"))))
+        return _batches(rows())
+
+    return placed.select("file_id", "encoding", "ordinal", "line", "value", "header", "first").mapInArrow(run, _SCHEMA)
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -285,21 +410,33 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", name.alias("name"), ext.alias("extension"), hint.alias("hint"), "length", "modificationTime", F.sha2("content", 256).alias("content_hash"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, ordinal, value) of text files that Spark splits: a block's lines are numbered in its task, and counts of earlier blocks are added."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), "value")
+def _numbered(lines: DataFrame, filled: Callable[[bytes, str], bool]) -> DataFrame:
+    """(file_id, block, encoding, value) with line, filled and nth: a block's lines are numbered in its task, and counts of earlier blocks are added."""
 
     def number(batches):
-        at: dict[tuple, int] = {}
+        at: dict[tuple, list[int]] = {}
         for b in batches:
-            place = []
-            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at[key] = at.get(key, 0) + 1
-                place.append(at[key])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int64())], names=["file_id", "block", "value", "place"])
-
-    counted = lines.mapInArrow(number, "file_id string, block long, value string, place long")
+            place, full, nth = [], [], []
+            for file, block, encoding, value in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                count = at.setdefault((file, block), [0, 0])
+                some = filled(value, encoding)
+                count[0] += 1
+                count[1] += some
+                place.append(count[0])
+                full.append(some)
+                nth.append(count[1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int64()), pa.array(full, pa.bool_()), pa.array(nth, pa.int64())], names=[*names, "place", "filled", "in_block"])
+
+    names = lines.columns
+    counted = lines.mapInArrow(number, "file_id string, block long, encoding string, value binary, place long, filled boolean, in_block long")
     before = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counted.groupBy(F.col("file_id").alias("f"), F.col("block").alias("b")).agg(F.count("*").alias("n"))
-    bases = blocks.select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return counted.join(bases, (F.col("file_id") == F.col("f")) & (F.col("block") == F.col("b"))).select("file_id", (F.col("base") + F.col("place")).alias("ordinal"), "value")
+    blocks = counted.groupBy(F.col("file_id").alias("f"), F.col("block").alias("b")).agg(F.count("*").alias("n"), F.max("in_block").alias("m"))
+    bases = blocks.select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("full_base"))
+    joined = counted.join(F.broadcast(bases), (F.col("file_id") == F.col("f")) & (F.col("block") == F.col("b")))
+    return joined.select("file_id", "encoding", "value", (F.col("base") + F.col("place")).alias("line"), "filled", (F.col("full_base") + F.col("in_block")).alias("nth"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, ordinal, value) of text files that Spark splits."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), F.lit("utf-8").alias("encoding"), F.col("value").cast("binary").alias("value"))
+    return _numbered(lines, lambda line, encoding: True).select("file_id", F.col("line").alias("ordinal"), F.col("value").cast("string").alias("value"))

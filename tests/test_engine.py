@@ -216,6 +216,32 @@ def test_batches_of_a_hot_group(spark):
     assert sorted(map(tuple, made.collect()), key=lambda r: r[1]) == want
 
 
+def test_big_files_are_split(spark, tmp_path):
+    made = {
+        "d": (Structure("delimited", quote=None), "x;Имя\r\n1;a\r\n \r\n;\n1\n\"q;b\n" + "7;ж\n" * 900),
+        "n": (Structure("delimited", quote=None, has_header=False, skip_rows=2), "no\n\n\n1;2\n3;4;5\n" + "7;8\n" * 900),
+        "f": (Structure("fixed_width", widths=(5, 4)), "Имя  Год\nИван 1990\n\nАнна 1991 и далее\n" + "Олег 2000\n" * 900),
+        "j": (Structure("jsonl", skip_rows=1), '{"a":0}\n{"a":\r1}\r\n\n[1]\n{\n' + '{"a":"ж"}\n' * 900),
+        "q": (Structure("delimited"), 'x;y\n"1\n2";3\n' + "7;ж\n" * 900),
+        "x": (Structure("xml", record_path="/e/r"), "<e>" + "<r><n>A</n></r>" * 900 + "</e>"),
+    }
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for name, (s, text) in made.items():
+            for code in ("utf-8", "cp1251", "utf-16") if name != "x" else ("utf-8",):
+                file = tmp_path / f"{name} {code}" / "a b.txt"
+                file.parent.mkdir()
+                file.write_bytes(text.encode(code))
+                got = read_records(spark, str(file.parent), s, after=1)
+                rows = sorted((r.ordinal, r.line, r.end_line, [tuple(x) for x in r.fields], r.error and tuple(r.error)) for r in got.withColumn("part", F.spark_partition_id()).collect())
+                assert rows == [(n, r.line, r.end_line, r.fields, r.error) for n, r in enumerate(parse(file.read_bytes(), s), 1) if n > 1], (name, code)
+                if name in "dnfj" and code != "utf-16":
+                    assert got.where("ordinal > 1").select(F.spark_partition_id().alias("p")).distinct().count() > 2
+                assert got.select("file_id").distinct().first()[0] == f"file:{file}"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_helpers(spark):
     assert batching.backoff_seconds(3, 0.5) == 2.0 and batching.backoff_seconds(9, 1.0, retry_after=7.0) == 7.0
     assert spark.range(1).select(F.round(batching.calibrated(F.array(F.lit(2.0), F.lit(9.0))), 3)).first()[0] == 2.5
