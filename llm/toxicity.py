@@ -85,16 +85,14 @@ def _core(raw, starts, ends):
     sign = np.zeros(256, bool)
     sign[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
     starts, ends = starts.copy(), ends.copy()
-    for _ in range(8):  # signs in longer runs stay
-        cut = (ends > starts) & sign[raw[np.maximum(ends - 1, 0)]]
-        if not cut.any():
-            break
-        ends -= cut
-    for _ in range(8):
-        cut = (ends > starts) & sign[raw[np.minimum(starts, max(len(raw) - 1, 0))]]
-        if not cut.any():
-            break
-        starts += cut
+    is_sign = sign[raw]
+    turns = np.r_[0, np.flatnonzero(is_sign[1:] != is_sign[:-1]) + 1, len(raw)]  # starts of runs
+    cut = np.flatnonzero(ends > starts)
+    cut = cut[is_sign[ends[cut] - 1]]
+    ends[cut] = np.maximum(starts[cut], turns[np.searchsorted(turns, ends[cut] - 1, "right") - 1])
+    cut = np.flatnonzero(ends > starts)
+    cut = cut[is_sign[starts[cut]]]
+    starts[cut] = np.minimum(ends[cut], turns[np.searchsorted(turns, starts[cut], "right")])
     return starts, ends
 
 

@@ -211,6 +211,17 @@ def test_pages(spark, sf_dir):
     assert sorted((r.text, r.n_chars) for r in got) == [("", 0), ("", 0), ("", 0), ("Title & more One two Three four link", 36)]
 
 
+def test_words_in_long_runs_of_signs():
+    def features(*texts):
+        data = [t.encode() for t in texts]
+        rows, found = toxicity.text_features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        return [sorted(found[rows == i].tolist()) for i in range(len(texts))]
+
+    words = features(*["word other"] * 5)
+    assert features("word other", "!" * 9 + "word" + "*" * 30 + " other", "word" + "!" * 9 + " other", "!" * 40 + "word other" + "?" * 9, "?" * 9 + "word " + "*" * 40 + " other") == words
+    assert features("", "!" * 40) == features("", "!!")
+
+
 LONG = ["".join(f"{w} of the {k} long passage goes on and on, " for k in range(12)).strip() for w in ("first", "second", "third")]
 
 
