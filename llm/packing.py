@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import batch, keyed, map_arrow, ship, stored
 
-#: Chunks that a task keeps (about 200 MB at most), the longest that it keeps, and texts encoded together.
-_CACHED_WORDS, _CACHED_BYTES, _TOGETHER = 1_000_000, 64, 256
+#: Chunks and words that a process keeps (about 400 MB at most), the longest that it keeps, and texts encoded together.
+_CACHED_WORDS, _CACHED_BYTES, _TOGETHER = 1_200_000, 64, 256
+#: Bytes that do not stand for themselves in the vocabulary are numbered from 256 on.
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b and b != 0xAD))}
 
 
 class CapacityTree:
@@ -98,71 +101,127 @@ class WordIds:
 
     The tokenizer drops white space before it splits and merges, so a text's ids are those of its
     chunks in order, and a chunk of letters followed by signs gives the ids of its letters and then
-    of its signs.  New letters of one group of texts are encoded together, joined to one text, and
-    cut again behind the ids that end a word.
+    of its signs.  Words of Latin letters, normalised, go to the tokenizer's merges directly, in the
+    characters that stand for their bytes.  Other new letters of one group of texts are encoded
+    together, joined to one text, and cut again behind the ids that end a word.
+
+    Chunks and words are kept in a young and an old table: a hit in the old one moves to the young
+    one, and when the young one is full it replaces the old one, so that rare chunks leave and
+    frequent ones stay.
     """
 
-    #: Letters, then ASCII signs but the apostrophe, which the tokenizer takes together with letters.
-    _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
+    #: ASCII signs but the apostrophe, which the tokenizer takes together with letters.
+    _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
+    _LATIN = re.compile("[a-zß-öø-ɏ]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = _CACHED_WORDS):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task on each core
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.most = most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
 
     def _ids(self, text: str) -> np.ndarray:
         # Of the library's calls the one that leaves out offsets.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, chunks: set[bytes]) -> None:
-        plain, signs = [], {"": b""}
+    def _of_words(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of letters."""
+        young, old = self.words
+        out, new = {}, []
+        for word in words:
+            ids = young.get(word)
+            if ids is None:
+                ids = old.get(word)
+                if ids is None:
+                    if not word.isascii():
+                        new.append(word)
+                        continue
+                    ids = self._merged(word.decode())
+                if len(word) <= _CACHED_BYTES:
+                    young[word] = ids
+            out[word] = ids
+        for group in itertools.batched(new, 4096):
+            normal = self.tokenizer.normalizer.normalize_str(b" ".join(group).decode()).split(" ")
+            if len(normal) != len(group):
+                normal = [""] * len(group)
+            rest = []
+            for word, text in zip(group, normal, strict=True):
+                if self._LATIN.fullmatch(text):
+                    out[word] = self._merged(text.encode().decode("latin-1").translate(_BYTE_CHARS))
+                else:
+                    rest.append(word)
+            if rest:
+                out.update(zip(rest, self._by_library([w.decode() for w in rest]), strict=True))
+            young.update((w, out[w]) for w in group if len(w) <= _CACHED_BYTES)
+        if len(young) >= self.most // 2:
+            self.words = ({}, young)
+        return out
+
+    def _merged(self, shown: str) -> bytes:
+        made = [t.id for t in self.merge(shown)]
+        return struct.pack(f"<{len(made)}I", *made)
+
+    def _by_library(self, words: list[str]) -> list[bytes]:
+        ids = self._ids(" ".join(words))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):  # every one gives at least one word, so each gave exactly one
+            data = ids.tobytes()
+            return [data[a:z] for a, z in itertools.pairwise([0, *(4 * ends).tolist()])]
+        return [self._ids(w).tobytes() for w in words]
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new chunks."""
+        out, parts, signs = {}, [], {b"": b""}
         for chunk in chunks:
-            text = chunk.decode("utf-8", "replace")
-            parts = self._PLAIN.fullmatch(text)
-            if parts:
-                letters, rest = parts.groups()
-                if rest not in signs:
-                    signs[rest] = self._ids(rest).tobytes()
-                plain.append((chunk, letters, signs[rest]))
+            word = chunk.rstrip(self._SIGNS)
+            if word.isalpha():  # of bytes: ASCII letters only
+                parts.append((chunk, word.lower(), chunk[len(word) :]))
+            elif not word.isascii() and word.decode("utf-8", "replace").isalpha():
+                parts.append((chunk, word, chunk[len(word) :]))
             else:
-                self.known[chunk] = self._ids(text).tobytes()
-        for group in itertools.batched(plain, 4096):
-            ids = self._ids(" ".join([letters for _, letters, _ in group]))
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(group):  # every chunk gives at least one word, so each gave exactly one
-                data, start = ids.tobytes(), 0
-                for (chunk, _, rest), end in zip(group, (4 * ends).tolist(), strict=True):
-                    self.known[chunk] = data[start:end] + rest
-                    start = end
-            else:
-                for chunk, letters, rest in group:
-                    self.known[chunk] = self._ids(letters).tobytes() + rest
+                out[chunk] = self._ids(chunk.decode("utf-8", "replace")).tobytes()
+        ids = self._of_words({word for _, word, _ in parts})
+        for chunk, word, rest in parts:
+            if rest not in signs:
+                signs[rest] = self._ids(rest.decode()).tobytes()
+            out[chunk] = ids[word] + signs[rest]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each whole text."""
         split = [t.split() for t in texts]
-        if len(self.known) >= _CACHED_WORDS:
-            self.known = {}
-        known = self.known
-        parts = [list(map(known.get, words)) for words in split]
+        parts = [list(map(self.young.get, words)) for words in split]
         new = {w for words, ids in zip(split, parts, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        self.learn(new)
-        out = [b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, parts, strict=True)]
-        for w in new:
-            if len(w) > _CACHED_BYTES:
-                del known[w]
-        return out
+        known = {w: self.old[w] for w in new if w in self.old}
+        known |= self.learn(new - known.keys())
+        self.young.update((w, i) for w, i in known.items() if len(w) <= _CACHED_BYTES)
+        if len(self.young) >= self.most // 2:
+            self.young, self.old = {}, self.young
+        return [b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, parts, strict=True)]
+
+
+_codecs: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The tokenizer of a path with what it has learned, one in a process: tasks of a worker share it."""
+    if path not in _codecs:
+        _codecs[path] = WordIds(path)
+    return _codecs[path]
 
 
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches):
         task = TaskContext.get().partitionId()
-        ids_of, rank = WordIds(path), defaultdict(int)
+        ids_of, rank = word_ids(path), defaultdict(int)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows = []
