@@ -1,8 +1,9 @@
 """SentencePiece encoding with spans in the original bytes, and decoding.
 
-Normalisation is the model's own: at each place the longest prefix known to the compiled character
-map is replaced, and every normalised byte records the original bytes it came from.  Pieces are
-measured in normalised bytes and projected through that record.
+Every text passes the model's own normalisation: at each place the longest prefix known to the compiled
+character map is replaced, and every normalised byte records the original byte it came from (its own
+where nothing is replaced, else the first that was).  The library merges the normalised text as it is,
+and pieces, measured in normalised bytes, are projected through that record.
 """
 
 from __future__ import annotations
@@ -10,103 +11,134 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import batch, col, ints, map_arrow, ship
+from .words import steps
 
-#: Words that a process keeps (about 100 MB at most), the longest that it keeps, and texts encoded and handed on together.
-_CACHED_WORDS, _CACHED_CHARS, _TOGETHER = 400_000, 64, 256
-_SPACE = "▁"
+#: Runs that a process keeps (about 200 MB at most), the longest that it keeps, bytes of text normalised and rows handed on together.
+_CACHED_RUNS, _CACHED_BYTES, _STEP_BYTES, _TOGETHER = 800_000, 64, 1 << 19, 256
+_MARK = "▁".encode()
+_TAIL = {True: re.compile(b"(?: |%b)*\\Z" % _MARK), False: re.compile(rb" *\Z")}
 
 
 class CharacterMap:
     """Longest-prefix lookup in a compiled character map: a double-array trie and a pool of strings."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, symbols: tuple[bytes, ...] = ()):
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.pool = blob[4 + size :]
-
-    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
-        """(bytes consumed, replacement) of the longest entry that starts at ``at``."""
+        #: User-defined pieces stay as they are; longest first.
+        self.symbols = sorted(symbols, key=len, reverse=True)
+        #: Bytes with which an entry may start.
+        self.first = np.array([self._step(self._child(0), b) is not None for b in range(256)]) if self.units else np.zeros(256, bool)
+        self.first[[s[0] for s in self.symbols]] = True
+
+    def _child(self, node: int) -> int:
+        unit = self.units[node]
+        return node ^ (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def _step(self, base: int, byte: int) -> int | None:
+        node = base ^ byte
+        return node if node < len(self.units) and self.units[node] & 0x800000FF == byte else None
+
+    def longest(self, data: bytes, at: int, stop: int) -> tuple[int, bytes] | None:
+        """(bytes consumed, replacement) of the longest entry that starts at ``at`` and ends by ``stop``."""
+        for symbol in self.symbols:
+            if data.startswith(symbol, at, stop):
+                return len(symbol), symbol
         if not self.units:
             return None
-        node, found = 0, None
-        unit = self.units[0]
-        node ^= (unit >> 10) << ((unit & 0x200) >> 6)
-        for end in range(at, len(data)):
-            node ^= data[end]
-            if node >= len(self.units):
-                break
-            unit = self.units[node]
-            if unit & 0x800000FF != data[end]:
+        base, found = self._child(0), None
+        for end in range(at, stop):
+            node = self._step(base, data[end])
+            if node is None:
                 break
-            node ^= (unit >> 10) << ((unit & 0x200) >> 6)
-            if unit >> 8 & 1:
-                start = self.units[node] & 0x7FFFFFFF
+            base = self._child(node)
+            if self.units[node] >> 8 & 1:
+                start = self.units[base] & 0x7FFFFFFF
                 found = end + 1 - at, self.pool[start : self.pool.index(b"\0", start)]
         return found
 
 
 class Normalizer:
-    """The model's normalisation with, for each normalised byte, the original offset it starts at."""
-
-    def __init__(self, spec):
-        self.map = CharacterMap(spec.precompiled_charsmap)
-        self.dummy, self.trim, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-
-    def __call__(self, text: bytes) -> tuple[bytes, list[int]]:
-        """(normalised text, offsets): byte i came from original bytes offsets[i] up to the next larger offset."""
-        parts: list[tuple[bytes, int]] = []
-        at = 0
-        while at < len(text):
-            hit = self.map.longest(text, at)
-            if hit is None:
-                lead = text[at]
-                n = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                hit = n, text[at : at + n]
-            parts.append((hit[1], at))
-            at += hit[0]
-        end = len(text)
-        if self.trim:
-            while parts and parts[0][0].strip(b" ") == b"":
-                parts.pop(0)
-            while parts and parts[-1][0].strip(b" ") == b"":
-                end = parts.pop()[1]
-        if not parts:
-            return b"", [end]
-        space = _SPACE.encode() if self.escape else b" "
-        out, offsets = bytearray(), []
-        if self.dummy:
-            out += space
-            offsets += [parts[0][1]] * len(space)
-        blank = False
-        for new, start in parts:
-            for byte in new:
-                if byte == 0x20:
-                    if not (self.trim and blank):
-                        out += space
-                        offsets += [start] * len(space)
-                    blank = True
-                else:
-                    out.append(byte)
-                    offsets.append(start)
-                    blank = False
+    """The model's normalisation of many texts at once, with the origin of every normalised byte."""
+
+    def __init__(self, spec, symbols: tuple[bytes, ...] = (), suffix: bool = False):
+        self.map = CharacterMap(spec.precompiled_charsmap, symbols)
+        self.dummy, self.trim, self.escape, self.suffix = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, suffix
+
+    def _mapped(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(mapped bytes, their origins, row offsets into them)."""
+        places = np.flatnonzero(self.map.first[raw])
+        if not len(places):
+            return raw, np.arange(len(raw)), offsets
+        data, stops = raw.tobytes(), offsets[np.searchsorted(offsets, places, "right")]
+        size, done, new = np.ones(len(raw), np.int64), 0, []
+        for at, stop in zip(places.tolist(), stops.tolist(), strict=True):
+            hit = self.map.longest(data, at, stop) if at >= done else None
+            if hit:
+                done = at + hit[0]
+                size[at:done] = 0
+                size[at] = len(hit[1])
+                new.append((at, hit[1]))
+        origin = np.repeat(np.arange(len(raw)), size)
+        out, at = raw[origin], np.r_[0, np.cumsum(size)]
+        if new:
+            starts = at[[a for a, _ in new]]
+            lengths = np.array([len(x) for _, x in new])
+            place = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            out[place] = np.frombuffer(b"".join([x for _, x in new]), np.uint8)
+        return out, origin, at[offsets]
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(normalised bytes, row offsets into them, origin of each byte in ``raw``) of the texts in ``raw``."""
+        text, origin, rows = self._mapped(raw, offsets)
+        space = text == 0x20
+        keep = np.ones(len(text), bool)
+        some = np.flatnonzero(np.diff(offsets) > 0)
         if self.trim:
-            while out.endswith(space):
-                end = offsets[len(out) - len(space)]
-                del out[-len(space) :], offsets[-len(space) :]
-        return bytes(out), offsets + [end]
+            behind = np.r_[True, space[:-1]] if len(text) else space
+            behind[rows[:-1][rows[:-1] < len(text)]] = True
+            keep = ~(space & behind)
+            full = np.flatnonzero(np.diff(rows))
+            blank = text[rows[1:][full] - 1]
+            for i in full[(blank == 0x20) | self.escape & (blank == _MARK[-1])].tolist():
+                # At the end of a text a literal mark counts as a space.
+                end = _TAIL[self.escape].search(text[rows[i] : rows[i + 1]].tobytes())
+                keep[rows[i] + end.start() : rows[i + 1]] = False
+            count = np.r_[0, np.cumsum(keep)]
+            some = np.flatnonzero(count[rows[1:]] > count[rows[:-1]])
+        if self.dummy and len(some):
+            kept = np.flatnonzero(keep)
+            first = np.searchsorted(kept, rows[some])
+            begins = np.where(first < len(kept), origin[kept[np.minimum(first, len(kept) - 1)]] if len(kept) else 0, offsets[some + 1])
+            begins = offsets[some + 1] if self.suffix else np.minimum(begins, offsets[some + 1])
+            at = rows[some + 1] if self.suffix else rows[some]
+            text, origin, keep, space = np.insert(text, at, 0x20), np.insert(origin, at, begins), np.insert(keep, at, True), np.insert(space, at, True)
+            added = np.zeros(len(rows), np.int64)
+            added[some + 1] = 1
+            rows = rows + np.cumsum(added)
+        size = keep.astype(np.int64)
+        if self.escape:
+            size[space & keep] = len(_MARK)
+        ends = np.r_[0, np.cumsum(size)]
+        out, origin = np.repeat(text, size), np.repeat(origin, size)
+        if self.escape:
+            marks = ends[:-1][space & keep]
+            for i, byte in enumerate(_MARK):
+                out[marks + i] = byte
+        return out, ends[rows], origin
 
 
 class Codec:
-    """One loaded model: ids and piece lengths in original bytes, and decoding.
+    """One loaded model: ids and byte spans of whole texts, and decoding.
 
     Where no piece has a space mark after another character, merges never cross the start of a run
-    of space marks, so a text's pieces are those of its runs-and-words, and frequent ones are kept.
+    of space marks, so a text's pieces are those of its runs-and-words, and frequent ones are kept,
+    as in ``packing.WordIds``, in a young and an old table.
     """
 
     def __init__(self, path: str):
@@ -116,80 +148,66 @@ class Codec:
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         spec, trainer = proto.normalizer_spec, proto.trainer_spec
-        self.normalize = Normalizer(spec)
-        self.byte_ids = {i for i, p in enumerate(proto.pieces) if p.type == p.BYTE}
+        symbols = tuple(p.piece.encode() for p in proto.pieces if p.type == p.USER_DEFINED)
+        self.normalize = Normalizer(spec, symbols, trainer.treat_whitespace_as_suffix)
         self.names = [p.piece for p in proto.pieces]
-        plain = not spec.precompiled_charsmap and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and spec.escape_whitespaces
-        whole = any(_SPACE in p.piece.lstrip(_SPACE) or p.type in (p.USER_DEFINED, p.CONTROL) and _SPACE in p.piece for p in proto.pieces)
-        self.by_word = plain and not whole and trainer.model_type == trainer.BPE and not trainer.treat_whitespace_as_suffix and _SPACE in self.names
-        self.by_word = self.by_word and not any(p.type == p.USER_DEFINED for p in proto.pieces)
-        #: Original bytes of each piece in a text whose only space marks are spaces.
-        self.widths = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) - 2 * p.piece.count(_SPACE) for p in proto.pieces], np.int32)
-        self.words: dict[str, bytes] = {}
-        self.runs = re.compile(f"[ {_SPACE}]+[^ {_SPACE}]*")
-
-    def _lengths(self, text: bytes, ids: list[int]) -> list[int]:
-        """The original bytes that each piece covers: normalised lengths projected through the offsets."""
-        normal, offsets = self.normalize(text)
-        out, at, done, unknown = [], 0, 0, self.library.unk_id()
-        for i in ids:
-            if i in self.byte_ids:
-                at += 1
-            elif i == unknown:
-                at += 1
-                while at < len(normal) and normal[at] & 0xC0 == 0x80:
-                    at += 1
-            else:
-                at += len(self.names[i].encode())
-            inside = at < len(normal) and normal[at] & 0xC0 == 0x80 and offsets[at] == offsets[at - 1] and i in self.byte_ids
-            edge = offsets[at] + (sum(1 for k in range(at - 1, -1, -1) if offsets[k] == offsets[at]) if inside else 0)
-            edge = max(edge, done)
-            out.append(edge - done)
-            done = edge
-        if out:
-            out[-1] += len(text) - done
-        return out
-
-    def _learn(self, runs: set[str]) -> None:
-        """Runs of space marks and a word; the library's dummy prefix stands for the first mark."""
-        alone = np.array([self.names.index(_SPACE)], np.int32).tobytes()
-        new = list(runs)
-        for run, ids in zip(new, self.library.encode([r[1:] for r in new], num_threads=1), strict=True):
-            self.words[run] = np.array(ids, np.int32).tobytes() if ids else alone
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, original bytes that each covers) of each whole text."""
-        if not self.by_word:
-            found = self.library.encode(texts, num_threads=1)
-            return [(np.array(i, np.int32), np.array(self._lengths(t.encode(), i), np.int32)) for t, i in zip(texts, found, strict=True)]
-        split = []
+        #: Normalised bytes of each piece.
+        self.widths = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        inner = any("▁" in p.piece.lstrip("▁") or p.type == p.USER_DEFINED and "▁" in p.piece for p in proto.pieces)
+        self.by_run = trainer.model_type == trainer.BPE and trainer.byte_fallback and spec.escape_whitespaces and not inner
+        # The same merges without any normalisation: they take the normalised text as it is.
+        spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, False
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.runs = re.compile(b"(?:%b)+(?:(?!%b).)*|(?:(?!%b).)+" % (_MARK, _MARK, _MARK), re.DOTALL)
+
+    def _by_runs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all normalised texts, row offsets into them)."""
+        split, young = [], self.young
         for t in texts:
-            if not t:
-                split.append([])
-            elif "  " in t or _SPACE in t or t[0] == " " or t[-1] == " ":
-                split.append(self.runs.findall(" " + t))
-            else:
-                split.append([" " + w for w in t.split(" ")])
-        if len(self.words) >= _CACHED_WORDS:
-            self.words = {}
-        words = self.words
-        new = {r for runs in split for r in runs if r not in words}
-        self._learn(new)
-        out = []
-        for t, runs in zip(texts, split, strict=True):
-            ids = np.frombuffer(b"".join([words[r] for r in runs]), np.int32)
-            if _SPACE in t:
-                lengths = np.array(self._lengths(t.encode(), ids.tolist()), np.int32)
-            else:
-                lengths = self.widths[ids]
-                lengths[:1] -= 1  # the dummy prefix covers nothing
-            out.append((ids, lengths))
-        for r in new:
-            if len(r) > _CACHED_CHARS:
-                del words[r]
-        return out
+            words = t.split(_MARK)
+            # Without the first mark every word stands for itself behind one mark; else runs are cut one by one.
+            split.append(words[1:] if words[0] == b"" and b"" not in words[1:] else [b"\0" + r for r in self.runs.findall(t)])
+        parts = [list(map(young.get, words)) for words in split]
+        new = {w for words, ids in zip(split, parts, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        known = {w: self.old[w] for w in new if w in self.old}
+        asked = list(new - known.keys())
+        texts_of = [(w[1:] if w.startswith(b"\0") else _MARK + w).decode("utf-8", "replace") for w in asked]
+        for w, ids in zip(asked, self.bare.encode(texts_of, num_threads=1), strict=True):
+            known[w] = np.array(ids, np.int32).tobytes()
+        young.update((w, i) for w, i in known.items() if len(w) <= _CACHED_BYTES)
+        if len(young) >= _CACHED_RUNS // 2:
+            self.young, self.old = {}, young
+        rows = [b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, parts, strict=True)]
+        return np.frombuffer(b"".join(rows), np.int32), np.r_[0, np.cumsum([len(r) // 4 for r in rows])]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, row offsets into them, start and end byte of each piece in its text) of the texts in ``raw``."""
+        normal, rows, origin = self.normalize(raw, offsets)
+        data = normal.tobytes()
+        texts = [data[a:z] for a, z in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+        if self.by_run:
+            ids, at = self._by_runs(texts)
+            widths = self.widths[ids]
+        else:
+            shown = [t.decode("utf-8", "replace") for t in texts]
+            made = self.bare.encode(shown, num_threads=1)
+            ids, at = np.array([i for x in made for i in x], np.int32), np.r_[0, np.cumsum([len(x) for x in made])]
+            widths = self.widths[ids]
+            unknown = np.flatnonzero(ids == self.bare.unk_id())
+            if len(unknown):  # what an unknown piece stands for is told by its surface
+                surface = [p for x in self.bare.encode(shown, out_type=str, num_threads=1) for p in x]
+                widths[unknown] = [len(surface[i].encode()) for i in unknown.tolist()]
+        ends = np.r_[origin, len(raw)][np.minimum(np.cumsum(widths), len(origin))]
+        some = np.flatnonzero(np.diff(at))
+        ends[at[some + 1] - 1] = offsets[some + 1]
+        base = np.repeat(offsets[:-1], np.diff(at))
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        starts[at[some]] = offsets[some]
+        return ids, at, starts - base, ends - base
 
 
 _codecs: dict[str, Codec] = {}
@@ -215,26 +233,35 @@ def encode(texts: DataFrame, model: str, text_col: str = "text", keep: tuple[str
     def run(batches):
         c = codec(model)
         for b in batches:
-            for low in range(0, b.num_rows, _TOGETHER):
-                part = b.slice(low, _TOGETHER)
-                rows = c.encode([t or "" for t in part.column(b.num_columns - 1).to_pylist()])
-                at = np.r_[0, np.cumsum([len(i) for i, _ in rows])]
-                flat = np.concatenate([i for i, _ in rows])
-                ends = np.concatenate([np.cumsum(n) for _, n in rows])
-                starts = ends - np.concatenate([n for _, n in rows])
-                yield batch([(n, part.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [("ids", ints(at, flat)), ("starts", ints(at, starts)), ("ends", ints(at, ends))])
+            kept = [(n, b.column(i)) for i, n in enumerate(b.schema.names[:-1])]
+            for r0, r1, raw, offsets in steps(b.column(b.num_columns - 1), _STEP_BYTES):
+                ids, at, starts, ends = c.encode(raw, offsets)
+                for low in range(0, r1 - r0, _TOGETHER):
+                    rows = at[low : min(low + _TOGETHER, r1 - r0) + 1]
+                    part = slice(rows[0], rows[-1])
+                    lists = [(name, ints(rows - rows[0], x[part])) for name, x in (("ids", ids), ("starts", starts), ("ends", ends))]
+                    yield batch([(n, x[r0 + low : r0 + low + len(rows) - 1]) for n, x in kept] + lists)
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema[:-1])
     return map_arrow(base, run, schema + "ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(pieces: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``pieces`` with one more column: the library's decoding of each row's ids; null ids decode to the empty text."""
-    ship(pieces.sparkSession)
+    """``pieces`` with one more column: the library's decoding of each row's ids; null ids decode to the empty text.
+
+    A column that has the new one's name already is an error, as its values would be lost.
+    """
+    if text_col.lower() in {c.lower() for c in pieces.columns}:
+        raise ValueError(f"{text_col} is a column already")
+    base = pieces.select("*", col(ids_col).cast("array<int>").alias("_decoded_ids"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema[:-1])
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
+    def run(batches):
         library = codec(model).library
-        return pd.Series(["" if x is None or not len(x) else library.decode(x.tolist()) for x in ids], dtype=object)
+        for b in batches:
+            for low in range(0, b.num_rows, _TOGETHER):
+                part = b.slice(low, _TOGETHER)
+                texts = [library.decode(ids) if ids else "" for ids in part.column(b.num_columns - 1).to_pylist()]
+                yield batch([(n, part.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [(text_col, pa.array(texts, pa.string()))])
 
-    return pieces.withColumn(text_col, text(col(ids_col)))
+    return map_arrow(base, run, schema + f"`{text_col}` string")

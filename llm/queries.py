@@ -33,12 +33,16 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     pieces = piece_codec.encode(table(spark, sf_dir, "documents"), model, keep=("doc_id",))
-    decoded = piece_codec.decode(pieces.drop("starts", "ends"), model)
+    # The spans cover each text without gaps; a hash of them stands for all.
+    spans = pieces.select("doc_id", "ids", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64("starts", "ends").alias("spans_hash"))
+    decoded = piece_codec.decode(spans, model)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         _hex_sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         _hex_sha(F.col("decoded")).alias("decoded_sha256"),
+        "n_bytes",
+        "spans_hash",
     )
 
 

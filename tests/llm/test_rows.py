@@ -82,43 +82,97 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def _joined(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+
+SIGNS = [" ", "▁", "a", "b", "é", "日", "🎉", "\n", "<0x0A>", "the", "\t", "</s>", "ﬁ", "Ａ", "ａ\u0301", "½", "\u3000"]
+
+
+def _odd_texts(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
 def test_pieces_equal_the_library(spark, edge_docs, no_docs):
     model = tokenizer_path("piece_bpe_32k.model")
     codec = piece_codec.codec(model)
-    rng = random.Random(3)
-    signs = [" ", "▁", "a", "b", "é", "日", "🎉", "\n", "<0x0A>", "the", "\t", "</s>"]
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
-    for t, (ids, lengths) in zip(texts, codec.encode(texts), strict=True):
-        assert ids.tolist() == codec.library.encode(t)
-        assert lengths.sum() == len(t.encode()) and (lengths >= 0).all()
+    texts = _odd_texts(1500, 3)
+    ids, at, starts, ends = codec.encode(*_joined(texts))
+    for i, t in enumerate(texts):
+        part = slice(at[i], at[i + 1])
+        assert ids[part].tolist() == codec.library.encode(t)
+        assert t.encode() == b"".join(t.encode()[a:z] for a, z in zip(starts[part], ends[part], strict=True))
+        for piece, a, z in zip(ids[part].tolist(), starts[part], ends[part], strict=True):
+            said = t.encode()[a:z].replace(b" ", "▁".encode())
+            name = codec.names[piece]
+            shown = bytes([int(name[1:-1], 16)]) if codec.library.is_byte(piece) else name.encode()
+            assert said == shown or a == 0 and said == shown[3:]  # the dummy prefix covers nothing
     rows = piece_codec.decode(piece_codec.encode(edge_docs, model, keep=("doc_id", "text")), model).collect()
     assert len(rows) == len(EDGE_ROWS)
     for r in rows:
         assert list(r.ids) == codec.library.encode(r.text or "") and r.decoded == codec.library.decode(list(r.ids))
         assert r.starts[1:] == r.ends[:-1]
     assert piece_codec.encode(no_docs, model).count() == 0
+    with pytest.raises(ValueError, match="column already"):
+        piece_codec.decode(piece_codec.encode(edge_docs, model, keep=("text",)), model, text_col="text")
+
+
+def test_few_cached_runs(monkeypatch):
+    monkeypatch.setattr(piece_codec, "_CACHED_RUNS", 8)
+    codec = piece_codec.Codec(tokenizer_path("piece_bpe_32k.model"))
+    for seed in range(40):
+        texts = _odd_texts(5, seed)
+        ids, at, _, _ = codec.encode(*_joined(texts))
+        assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == [codec.library.encode(t) for t in texts]
+        assert len(codec.young) <= 80
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize(("dummy", "trim", "escape"), [(True, True, True), (True, False, True), (False, True, False)])
+def test_real_character_maps_and_alignment(rule, dummy, trim, escape):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=dummy, remove_extra_whitespaces=trim, escape_whitespaces=escape)
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(library.serialized_model_proto())
+    assert len(proto.normalizer_spec.precompiled_charsmap) > 200_000
+    texts = _odd_texts(600, 5)
+    raw, offsets = _joined(texts)
+    out, rows, origin = piece_codec.Normalizer(proto.normalizer_spec)(raw, offsets)
+    for i, t in enumerate(texts):
+        got = out[rows[i] : rows[i + 1]].tobytes().decode()
+        want, places = library.normalize(t, with_offsets=True)
+        assert got == want
+        at, mine = 0, []
+        for c in got:
+            mine.append(len(t.encode()[: origin[rows[i] + at] - offsets[i]].decode()))
+            at += len(c.encode())
+        assert mine == places[: len(mine)]
+
+
+def test_spans_through_a_character_map():
+    codec = piece_codec.Codec(tokenizer_path("piece_bpe_32k.model"))
 
-
-def _character_map(entries):
-    """A compiled map of one-byte keys: enough of a double array to follow by hand."""
-    units, pool = [0] * 1024, b""
-    units[0] = 256 << 10
-    for key, value in entries.items():
-        node = 256 ^ key
-        units[node] = key | 1 << 8 | (node ^ (512 + key)) << 10
-        units[512 + key] = len(pool) | 1 << 31
-        pool += value + b"\0"
-    return len(units).__mul__(4).to_bytes(4, "little") + np.array(units, "<u4").tobytes() + pool
-
-
-def test_character_map_and_alignment():
     class Spec:
-        precompiled_charsmap = _character_map({ord("A"): b"aa", ord("Z"): b""})
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+        precompiled_charsmap = proto.normalizer_spec.precompiled_charsmap
         add_dummy_prefix, remove_extra_whitespaces, escape_whitespaces = True, True, True
 
-    text, offsets = piece_codec.Normalizer(Spec)(b"  Ab Z  c ")
-    assert text.decode() == "▁aab▁c"
-    assert offsets == [2, 2, 2, 2, 2, 3, 4, 4, 4, 8, 9]
+    codec.normalize = piece_codec.Normalizer(Spec)
+    text = "  ﬁne　 Ａrt x "
+    ids, _, starts, ends = codec.encode(*_joined([text]))
+    assert codec.library.decode(ids.tolist()) == "fine Art x"
+    said = [text.encode()[a:z].decode() for a, z in zip(starts, ends, strict=True)]
+    assert "".join(said) == text and said[-1] == " x "
+    words = [i for i, piece in enumerate(ids.tolist()) if codec.names[piece].startswith("▁")]
+    assert ["".join(said[a:z]) for a, z in zip(words, [*words[1:], len(said)], strict=True)] == ["  ﬁne", "　 Ａrt", " x "]
 
 
 def test_toxicity(spark, sf_dir, edge_docs, no_docs):
