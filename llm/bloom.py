@@ -2,8 +2,11 @@
 
 Tasks set bits in planes of ``2**bits`` bits and emit only the chunks they touched; the chunks are
 merged by streaming tasks keyed by chunk, never by gathering filters.  The finished plane that is
-sent to the executors has at most ``2**MAX_BITS`` bits (32 MB), whatever the input.  Beyond that
-size the filter grows denser and lets more rows through: callers treat a hit as "possibly" only.
+sent to the executors has at most ``2**MAX_BITS`` bits (32 MB), which serve 22 million keys at 12 bits
+each.  For more keys the setting ``llm.bloom.maxBits`` of the session raises the bound: 32 gives 512 MB,
+which an executor holds once and a filling task twice, for 358 million keys.  Beyond the bound the filter
+grows denser and lets more rows through: callers treat a hit as "possibly" only, so results stay the
+same and more rows shuffle.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ from .words import mix
 MIN_BITS, MAX_BITS, PROBES, CHUNK_BYTES = 16, 28, 4, 1 << 13
 
 
-def bits_for(rows: int, per_row: int = 12) -> int:
-    """log2 of the plane's bits for so many keys."""
-    return int(np.clip(np.ceil(np.log2(max(rows, 1) * per_row)), MIN_BITS, MAX_BITS))
+def bits_for(rows: int, most: int = MAX_BITS, per_row: int = 12) -> int:
+    """log2 of the plane's bits for so many keys, ``most`` at most."""
+    return int(np.clip(np.ceil(np.log2(max(rows, 1) * per_row)), MIN_BITS, most))
 
 
 def slots(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -80,7 +83,7 @@ def _emit(planes: Planes):
 
 def repeated_plane(keys: DataFrame, rows: int, key: str = "key", repeated: bool = True) -> tuple[np.ndarray, int]:
     """The plane (bytes) and its log2 size: bits hit by two or more rows, or by any row if not ``repeated``."""
-    bits = bits_for(rows)
+    bits = bits_for(rows, int(keys.sparkSession.conf.get("llm.bloom.maxBits", str(MAX_BITS))))
 
     def fill(batches):
         planes = Planes(bits)

@@ -30,11 +30,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in tests a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on one machine a temporary one."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
-        known = getattr(sc, "_llm_shared", None) or tempfile.mkdtemp(prefix="spark-")
+        known = getattr(sc, "_llm_shared", None)
+        if known is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = known or tempfile.mkdtemp(prefix="spark-")
         sc._llm_shared = known
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(known)
@@ -65,6 +68,15 @@ def free_name(taken: Iterable[str], base: str) -> str:
     return name
 
 
+def free_names(taken: Iterable[str], names: Iterable[str]) -> list[str]:
+    """``names`` in order, each one free as in ``free_name``."""
+    used, out = list(taken), []
+    for name in names:
+        out.append(free_name(used, name))
+        used.append(out[-1])
+    return out
+
+
 def col(name: str):
     """A column by its exact name, dots and backquotes included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -90,9 +102,14 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, st
     return stored(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_key, doc_id, text): the two columns of ``docs`` with the key of ``with_key``."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, unique: bool = False) -> DataFrame:
+    """(doc_key, doc_id, text): the two columns of ``docs`` with the key of ``with_key``.
+
+    With ``unique`` the caller knows that the ids are a key, so they are not counted again.
+    """
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    if unique:
+        return rows.select(F.col("doc_id").alias("doc_key"), "doc_id", "text")
     return with_key(rows, "doc_id", "text")[0].select("doc_key", "doc_id", "text")
 
 

@@ -29,16 +29,16 @@ def _digests(batches):
         yield batch([("doc_key", b.column(0)), ("doc_id", b.column(1)), ("key", key), ("sha", pa.array(hashed, pa.binary()))])
 
 
-def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
     """(doc_key, doc_id, keep_id, group_size, kept, sha): one row for each row of ``docs``.
 
     Texts are equal if identical after lower-casing A-Z; null counts as the empty text.  Of equal
     texts the row with the largest id stays; rows of equal or null ids are ordered as ``keyed`` says
     (nulls lowest), and of fully equal rows one stays.  Other columns are not read.  An empty table
-    gives an empty result.
+    gives an empty result.  ``unique`` as in ``common.keyed``.
     """
     schema = "doc_key long, doc_id long, key long, sha binary"
-    hashed = stored(map_arrow(keyed(docs, id_col, text_col), _digests, schema), "digests")
+    hashed = stored(map_arrow(keyed(docs, id_col, text_col, unique), _digests, schema), "digests")
     plane, bits = repeated_plane(hashed, hashed.count())
     seen = docs.sparkSession.sparkContext.broadcast(plane)
 
@@ -72,6 +72,6 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
     rows, key = with_key(docs, id_col, text_col)
-    dropped = text_groups(rows, key, text_col).where("NOT kept").select("doc_key")
+    dropped = text_groups(rows, key, text_col, unique=True).where("NOT kept").select("doc_key")
     gone = free_name(rows.columns, "gone_key")
     return rows.join(dropped.withColumnRenamed("doc_key", gone), col(key) == F.col(gone), "left_anti").drop(key)

@@ -3,8 +3,10 @@
 Boilerplate elements go first (scripts, menus, forms, comments and the like, by tag, role, whole class
 or id; blocks of ambiguous names only when mostly links).  In the remaining tree every block node gets
 its characters per tag, adjusted for links against the whole body; a node's density sum adds up its
-children's densities.  The subtree of the largest sum is the content, and the least density on the path from the body to it is the threshold at which
-its neighbours belong to it too.  Article and main elements only widen that choice: a subtree inside
+children's densities.  The subtree of the largest sum is the content, and the least density on the path
+from the body to it is the threshold at which its neighbours belong to it too; a neighbouring container
+must also carry as much as the content's average block (its own density sum, or its density if it has
+no blocks), as a single short line is dense by itself.  Article and main elements only widen that choice: a subtree inside
 an article stands for the outermost one and the articles beside it, one inside a main element for the
 whole element.
 """
@@ -19,7 +21,7 @@ from math import e, log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, col, map_arrow
+from .common import batch, col, free_names, map_arrow
 
 # Fixed values of HTML: elements without content, elements that stay inside a line, elements that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +42,8 @@ NAMES = frozenset(
 AMBIGUOUS = frozenset("side form search share sharing social related recommended header notice notices notification alert reply replies respond promotion banner cookie cookies consent gdpr subscribe signup login overlay".split())
 PARTS = frozenset("site page main top bottom left right primary secondary global mobile container wrapper wrap box block bar area list item items link links button buttons icon icons inner outer section body unit slot group google".split())
 COMPOUNDS = frozenset("related-posts related-articles related-stories related-links recommended-posts recommended-articles share-buttons share-links share-bar share-icons social-links social-icons social-buttons social-bar search-box search-bar cookie-bar cookie-box site-header login-box side-bar comment-content comment-entry".split())
+# Elements that are text by themselves, not containers of it.
+TEXT = HEADINGS | frozenset("p pre blockquote ul ol dl table figure".split())
 # Elements whose ids are made from titles or number passages.
 TITLED = HEADINGS | frozenset("section article p li dt dd blockquote figure tr td th details".split())
 
@@ -242,6 +246,13 @@ def main_text(html: str) -> str:
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     least = min(density[id(n)] for n in path if id(n) in density)
+    average = sums[id(best)] / max(1, sum(1 for x in best.children if isinstance(x, Node) and not x.drop and id(x) in density and density[id(x)] > 0))
+
+    def belongs(x: Node) -> bool:
+        if density.get(id(x), 0.0) < least:
+            return False
+        return x.tag in TEXT or (sums.get(id(x), 0.0) or density[id(x)]) >= average
+
     wide = max((i for i, n in enumerate(path) if n.tag == "article"), default=None)
     if wide is None:
         wide = max((i for i, n in enumerate(path) if n.tag == "main"), default=0)
@@ -249,7 +260,7 @@ def main_text(html: str) -> str:
     articles = top.tag == "article"
     for up in path[wide + 1 :]:
         near = [x for x in up.children if isinstance(x, Node) and not x.drop and x is not top]
-        keep = {id(x) for x in near if density.get(id(x), 0.0) >= least or articles and x.tag == "article" and not _mostly_links(x)}
+        keep = {id(x) for x in near if belongs(x) or articles and x.tag == "article" and not _mostly_links(x)}
         articles = False
         if keep:
             for x in near:
@@ -267,14 +278,15 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     Character references are decoded, white space inside a block becomes one space, blocks are
     joined by one space.  A null or empty page, and one without text, gives the empty string.  Pages
     are independent: nulls, repeated rows and other columns are carried as they are; an empty table
-    gives an empty result.
+    gives an empty result.  Where ``keep`` has a text or n_chars column already, the new one is text_1 or n_chars_1.
     """
+    text, size = free_names(keep, ("text", "n_chars"))
     base = pages.select(*[col(c) for c in keep], col(html_col).cast("string").alias("_source_html"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema[:-1])
 
     def run(batches):
         for b in batches:
             texts = [main_text(h) if h else "" for h in b.column(b.num_columns - 1).to_pylist()]
-            yield batch([(n, b.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [("text", pa.array(texts, pa.string())), ("n_chars", pa.array([len(t) for t in texts], pa.int64()))])
+            yield batch([(n, b.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [(text, pa.array(texts, pa.string())), (size, pa.array([len(t) for t in texts], pa.int64()))])
 
-    return map_arrow(base, run, schema + "text string, n_chars long")
+    return map_arrow(base, run, schema + f"{text} string, {size} long")

@@ -19,11 +19,14 @@ every other member leaves it before any text moves.
 Answer level.  In a cluster each set is intersected with the leader once.  The answers of all other
 pairs derive from that: the overlap within the leader and the small parts outside bound the pair's
 overlap; pairs that both link to the leader are already connected, pairs whose bound fails are
-skipped, and only the rest are counted exactly.  Of the links found in a task a spanning forest goes
-on, at most one link for each member, which joins the same rows as all of them.
+skipped, and only the rest are counted exactly.  ``near_pairs`` lists every linking pair of different
+sets.  ``near_groups`` needs to know only which rows hang together: of the links found in a task a
+spanning forest goes on, at most one link for each member, which joins the same rows as all of them.
 
 Lists of frequent shingles get their leaders by an aggregate that combines before the shuffle, and
-clusters of over ``CLUSTER_ROWS`` members are compared in blocks; nothing is capped or sampled.
+clusters of over ``CLUSTER_ROWS`` members are compared in blocks.  All members meet the leader once;
+where blocks have to meet, sketches move first, and only texts whose bounds leave a partner in the other
+block follow.  Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -90,8 +93,11 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint8) if counts.max() < 256 else np.zeros(0, np.uint8)
 
 
-def may_link(sketches: list[np.ndarray], n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which sets have another one in the list whose overlap, bounded by the sketches, can be enough."""
+def may_link(sketches: list[np.ndarray], n: np.ndarray, num: int, den: int, block: np.ndarray | None = None, away: np.ndarray | None = None) -> np.ndarray:
+    """Which sets have another one in the list whose overlap, bounded by the sketches, can be enough.
+
+    With ``block`` only pairs across its two values are asked for of which one at least is ``away``.
+    """
     width = np.array([len(s) for s in sketches])
     if not width.all():
         return np.ones(len(n), bool)
@@ -100,10 +106,13 @@ def may_link(sketches: list[np.ndarray], n: np.ndarray, num: int, den: int) -> n
         at = np.flatnonzero(width >= w)  # wider sketches fold to this width
         counts = np.stack([sketches[i].reshape(w, -1).sum(axis=1, dtype=np.int32) for i in at])
         for i in np.flatnonzero(width[at] == w):
-            able = np.minimum(counts, counts[i]).sum(axis=1) >= _need(n[at], n[at[i]], num, den)
-            able[i] = False
+            ask = at != at[i]
+            if block is not None:
+                ask &= (block[at] != block[at[i]]) & (away[at] | away[at[i]])
+            some = np.flatnonzero(ask)
+            able = some[np.minimum(counts[some], counts[i]).sum(axis=1) >= _need(n[at[some]], n[at[i]], num, den)]
             may[at[able]] = True
-            may[at[i]] |= able.any()
+            may[at[i]] |= len(able) > 0
     return may
 
 
@@ -263,17 +272,18 @@ def _forest(home: np.ndarray, away: np.ndarray, link: np.ndarray) -> np.ndarray:
     return np.concatenate(pairs)
 
 
-def cluster_links(leader: np.ndarray, sets: list[np.ndarray], block: np.ndarray, num: int, den: int):
-    """(which sets link to the leader, linking pairs (i, j) that connect the rest) within a leader's cluster.
+def cluster_links(leader: np.ndarray, sets: list[np.ndarray], block: np.ndarray, num: int, den: int, every: bool = False):
+    """(which sets link to the leader, linking pairs (i, j) within a leader's cluster).
 
-    The pairs and the links to the leader are a spanning forest of all links, so fewer pairs than
-    sets are listed.  Where ``block`` holds two values only pairs across them are asked for (those
-    within were answered before).
+    With ``every`` all linking pairs are listed.  Otherwise the pairs and the links to the leader are
+    a spanning forest of all links, so fewer pairs than sets are listed, and no pair is asked for of
+    which both link to the leader.  Where ``block`` holds two values only pairs across them are asked
+    for (those within were answered before).
     """
     n = np.array([len(s) for s in sets], np.int64)
     inside = _with_leader(leader, sets)
     home = inside >= _need(n, len(leader), num, den)
-    away = np.flatnonzero(~home)
+    away = np.arange(len(sets)) if every else np.flatnonzero(~home)
     pairs = np.zeros((0, 2), np.int64)
     if len(away) and len(sets) > 1:
         outside = n - inside
@@ -282,6 +292,8 @@ def cluster_links(leader: np.ndarray, sets: list[np.ndarray], block: np.ndarray,
         known = inside[away][:, None] + inside[None, :] - len(leader) >= need  # they overlap that much in the leader alone
         ask = bound >= need
         ask[np.arange(len(away)), away] = False
+        if every:
+            ask &= away[:, None] < np.arange(len(sets))[None, :]
         if block.min() != block.max():
             ask &= block[away][:, None] != block[None, :]
         link = ask & known
@@ -290,7 +302,7 @@ def cluster_links(leader: np.ndarray, sets: list[np.ndarray], block: np.ndarray,
         if len(rows):
             exact = _overlaps(sets, away[rows], cols)
             link[np.ix_(rows, cols)] |= ask[np.ix_(rows, cols)] & (exact >= need[np.ix_(rows, cols)])
-        pairs = _forest(home, away, link)
+        pairs = np.argwhere(link) if every else _forest(home, away, link)
     return home, pairs
 
 
@@ -306,7 +318,18 @@ def _near(num: int, den: int):
     return run
 
 
-def _check(k: int, num: int, den: int):
+def _meet(num: int, den: int):
+    """The members of two blocks of a cluster that may link across them, one of the two at least being away from the leader."""
+
+    def run(group: pa.Table) -> pa.Table:
+        x, n, block, away = (np.asarray(group.column(c).combine_chunks()) for c in ("x", "n", "block", "is_away"))
+        may = may_link([np.frombuffer(s, np.uint8) for s in group.column("sketch").to_pylist()], n.astype(np.int64), num, den, block, away)
+        return group.select(["y", "x", "block", "lo", "hi"]).filter(pa.array(may))
+
+    return run
+
+
+def _check(k: int, num: int, den: int, every: bool):
     def run(group: pa.Table) -> pa.Table:
         y = group.column("y")[0].as_py()
         x = np.asarray(group.column("x").combine_chunks())
@@ -314,7 +337,7 @@ def _check(k: int, num: int, den: int):
         block = np.asarray(group.column("block").combine_chunks())
         who = np.flatnonzero(x == y)
         rest = np.flatnonzero(x != y)
-        home, pairs = cluster_links(sets[who[0]], [sets[i] for i in rest], block[rest], num, den) if len(rest) else (np.zeros(0, bool), np.zeros((0, 2), int))
+        home, pairs = cluster_links(sets[who[0]], [sets[i] for i in rest], block[rest], num, den, every) if len(rest) else (np.zeros(0, bool), np.zeros((0, 2), int))
         x = x[rest]
         a = np.concatenate([x, x[pairs[:, 0]]])
         b = np.concatenate([np.full(len(x), y), x[pairs[:, 1]]])
@@ -325,21 +348,13 @@ def _check(k: int, num: int, den: int):
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_key, doc_id, n_shingles, component_key, component_id): one row for each row of ``docs``.
-
-    Words are runs of bytes outside {0x20, 0x09-0x0D} after lower-casing A-Z; a text of fewer than
-    ``shingle_words`` words is one shingle, and one without words, or a null, has the empty set and
-    links with nothing.  Two rows link when their sets' Jaccard similarity is at least ``num / den``;
-    a component is named by its smallest key (the id, see ``common.keyed`` for repeated or null
-    ids).  Sets are compared by 64-bit shingle hashes.  Other columns are not read; an empty table
-    gives an empty result.
-    """
+def _links(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, num: int, den: int, every: bool, unique: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their keys; doc_key, n, rep of each row; linking pairs a, b of representatives, repeats included)."""
     if not 0 < num <= den:
         raise ValueError("the threshold num / den must be over 0 and at most 1")
     spark = docs.sparkSession
     ship(spark)
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, unique)
     texts = rows.select("doc_key", "text")
 
     profile = stored(map_arrow(texts, _profile(shingle_words), "doc_key long, n int, f1 long, f2 long, sketch binary, counts binary"), "profile")
@@ -399,23 +414,41 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return possible.join(places, F.col("doc_key") == F.col("x")).select(*places.columns, "text")
 
     schema = "y long, a long, b long, block int, linked boolean"
-    first = checkpoint(with_text(placed.drop("blocks")).groupBy("y", "block").applyInArrow(_check(shingle_words, num, den), schema))
+    first = checkpoint(with_text(placed.drop("blocks")).groupBy("y", "block").applyInArrow(_check(shingle_words, num, den, every), schema))
     edges = first.where("linked").select("a", "b")
 
     away = checkpoint(first.where("NOT linked").select(F.col("y").alias("wy"), F.col("a").alias("wa"), F.col("block").alias("wb")))
     large = checkpoint(placed.where("blocks > 1"))
     if large.limit(1).count():
-        # Blocks of one large cluster meet only where a member that does not link to the leader is involved.
-        open_blocks = away.select(F.col("wy").alias("oy"), F.col("wb").alias("ob")).distinct()
+        # Blocks of one large cluster meet only where a member that does not link to the leader is involved, or for all pairs.
         members_at = large.where("x <> y").join(away, (F.col("y") == F.col("wy")) & (F.col("x") == F.col("wa")), "left")
-        members_at = members_at.select("y", "x", "block", F.col("wa").isNotNull().alias("is_away"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        members_at = members_at.where("block <> other").join(open_blocks, (F.col("y") == F.col("oy")) & (F.col("other") == F.col("ob")), "left")
-        members_at = members_at.where("is_away OR oy IS NOT NULL").select("y", "x", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        is_away = F.lit(True) if every else F.col("wa").isNotNull()
+        members_at = members_at.select("y", "x", "block", is_away.alias("is_away"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block <> other")
+        if not every:
+            open_blocks = away.select(F.col("wy").alias("oy"), F.col("wb").alias("ob")).distinct()
+            members_at = members_at.join(open_blocks, (F.col("y") == F.col("oy")) & (F.col("other") == F.col("ob")), "left").where("is_away OR oy IS NOT NULL")
+        members_at = members_at.select("y", "x", "block", "is_away", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        # Sketches move before texts: only members with a possible partner in the other block go on.
+        meeting = members_at.join(sketches, F.col("x") == F.col("doc_key")).select("y", "x", "block", "is_away", "lo", "hi", "n", "sketch")
+        members_at = checkpoint(meeting.groupBy("y", "lo", "hi").applyInArrow(_meet(num, den), "y long, x long, block int, lo int, hi int"))
         pairs_of = members_at.select("y", "lo", "hi").distinct()
         tops = pairs_of.select("y", F.col("y").alias("x"), F.lit(-1).alias("block"), "lo", "hi")
-        second = with_text(members_at.unionByName(tops)).groupBy("y", "lo", "hi").applyInArrow(_check(shingle_words, num, den), schema)
+        second = with_text(members_at.unionByName(tops)).groupBy("y", "lo", "hi").applyInArrow(_check(shingle_words, num, den, every), schema)
         edges = edges.unionByName(second.where("linked AND block = -1").select("a", "b"))
+    return rows, reps, edges
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100, unique: bool = False) -> DataFrame:
+    """(doc_key, doc_id, n_shingles, component_key, component_id): one row for each row of ``docs``.
 
+    Words are runs of bytes outside {0x20, 0x09-0x0D} after lower-casing A-Z; a text of fewer than
+    ``shingle_words`` words is one shingle, and one without words, or a null, has the empty set and
+    links with nothing.  Two rows link when their sets' Jaccard similarity is at least ``num / den``;
+    a component is named by its smallest key (the id, see ``common.keyed`` for repeated or null
+    ids).  Sets are compared by 64-bit shingle hashes.  Other columns are not read; an empty table
+    gives an empty result.  ``unique`` as in ``common.keyed``.
+    """
+    rows, reps, edges = _links(docs, id_col, text_col, shingle_words, num, den, False, unique)
     parts = checkpoint(components(edges))
     named = reps.join(parts, reps.rep == parts.node, "left").select("doc_key", "n", F.coalesce("component", "rep").alias("component_key"))
     ids = rows.select("doc_key", "doc_id")
@@ -424,9 +457,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return named.join(names, F.col("component_key") == F.col("ck")).select("doc_key", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_key", "component_id")
 
 
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs): the whole join, in rows of classes of equal sets.
+
+    ``classes`` is (doc_key, doc_id, n_shingles, class_key, class_size, n_links), one row for each row of
+    ``docs``: rows of equal sets share the class named by its smallest key, and ``n_links`` counts
+    the other rows that a row links to, those of its own class included.  ``pairs`` is (a, b) with
+    a < b: every two classes whose sets link, each pair once.  Its size is that of the answer, which
+    may grow with the square of a group of near copies; ``near_groups`` never lists it.  Rows without
+    words are classes of their own and link with nothing.  Edge cases as in ``near_groups``.
+    """
+    rows, reps, edges = _links(docs, id_col, text_col, shingle_words, num, den, True, False)
+    pairs = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sizes = checkpoint(reps.groupBy(F.col("rep").alias("class_key")).agg(F.count("*").alias("class_size")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    outside = checkpoint(both.join(sizes, F.col("b") == F.col("class_key")).groupBy(F.col("a").alias("k")).agg(F.sum("class_size").alias("outside")))
+    linked = sizes.join(outside, F.col("class_key") == F.col("k"), "left").select("class_key", "class_size", (F.col("class_size") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"))
+    named = reps.join(linked, reps.rep == linked.class_key).join(rows.select("doc_key", "doc_id"), "doc_key")
+    return named.select("doc_key", "doc_id", F.col("n").cast("long").alias("n_shingles"), "class_key", "class_size", "n_links"), pairs
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one of the smallest key."""
     rows, key = with_key(docs, id_col, text_col)
     gone = free_name(rows.columns, "gone_key")
-    dropped = near_groups(rows, key, text_col, **settings).where("doc_key <> component_key").select(F.col("doc_key").alias(gone))
+    dropped = near_groups(rows, key, text_col, unique=True, **settings).where("doc_key <> component_key").select(F.col("doc_key").alias(gone))
     return rows.join(dropped, col(key) == F.col(gone), "left_anti").drop(key)

@@ -3,9 +3,10 @@
 For each language a byte context tree of orders 0 to ORDER is counted once and then frozen.  The
 next byte costs -log2 of its share in the longest context that has it; every longer known context
 adds the cost of its escape (as often as it has different successors), and below order 0 all 256
-bytes are equal (lower orders are not corrected for what higher ones have).  A text's code length is the exact sum over all its bytes, and the language of the
-shortest code wins.  As the statistics are frozen, the costs of all contexts are tabled once in each
-worker, and scoring is two table look-ups for a byte.
+bytes are equal (lower orders are not corrected for what higher ones have).  A text's code length is the exact
+sum over all its bytes, and the language of the shortest code wins.  As the statistics are frozen, each worker
+tables once the costs of the strings that some language has and the escape costs of their contexts, as sorted
+keys, so memory grows with what was seen, not with contexts times bytes times languages.
 """
 
 from __future__ import annotations
@@ -14,22 +15,27 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, col, keyed, map_arrow, ship
 from .words import _LOWER, steps
 
 ORDER = 3
-#: Training texts of each language (those of smallest hashed id): the bound on what is counted.
+#: Training texts of each language, expected: those whose hash is in the share of all hashes that makes so many.
 SAMPLE_TEXTS = 3000
 #: Contexts of the full order and followers seen less often than this are left out of the tree.
 LEAST_CONTEXT, LEAST_SEEN = 8, 2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_SIGN = re.compile(r"[^\W\d_]")
 _LEAD = bytes([0x20] * ORDER)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode category L occurs; signs like ² and ½ are none."""
+    return any(m.group().isalpha() for m in _SIGN.finditer(text))
+
+
 def _led(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes with ORDER spaces before each text, and the new offsets."""
     n = len(offsets) - 1
@@ -67,62 +73,53 @@ def _count(batches):
             yield batch([("lang", pa.array([lang] * len(gram), pa.string())), ("gram", gram), ("n", n)])
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each wanted key in the sorted keys, whether it is there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Model:
-    """Frozen trees of all languages as tables: ``row[class³]`` is a context's row, ``cost[row, class, language]``."""
+    """Frozen trees of all languages: for each order sorted strings with their costs, and sorted contexts with their escapes.
+
+    A string of order o is o bytes of context and the byte that follows, as one number.
+    """
 
     def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
         self.languages = languages
-        seen = np.zeros(256, bool)
-        for gram, _ in counts:
-            for shift in (0, 8, 16, 24):
-                seen[gram >> shift & 255] = True
-        seen[0x20] = True
-        self.classes = int(seen.sum()) + 1  # class 0: all bytes that no language has
-        self.of = np.zeros(256, np.int64)
-        self.of[seen] = np.arange(1, self.classes)
-        size = self.classes
-        grams = []
-        full: set[int] = set()
+        k = len(languages)
+        counts = [(np.asarray(g).astype(np.uint32), np.asarray(n, float)) for g, n in counts]
+        kept = [np.zeros(0, np.uint32)]
         for gram, n in counts:
-            c = [self.of[gram >> shift & 255] for shift in (24, 16, 8, 0)]
-            grams.append((c, n))
-            context, inverse = np.unique((c[0] * size + c[1]) * size + c[2], return_inverse=True)
-            full.update(context[np.bincount(inverse, n) >= LEAST_CONTEXT].tolist())
-        contexts3 = np.array(sorted(full), np.int64)
-        pairs = np.unique(np.concatenate([c[1] * size + c[2] for c, _ in grams] + [np.zeros(0, np.int64)]))
-        # Rows: order 0, then all of order 1, the known pairs, the kept triples.
-        first1, first2 = 1, 1 + size
-        first3 = first2 + len(pairs)
-        row2 = np.repeat(first1 + np.arange(size)[None, :], size, axis=0)
-        row2.reshape(-1)[pairs] = first2 + np.arange(len(pairs))
-        row3 = np.repeat(row2[None], size, axis=0)
-        row3.reshape(-1)[contexts3] = first3 + np.arange(len(contexts3))
-        self.row = row3.reshape(-1).astype(np.int32)
-        self.cost = np.zeros((first3 + len(contexts3), size, len(languages)), np.float32)
-        for k, (c, n) in enumerate(grams):
-            share = np.full((1, size), 1 / 256)
-            share = self._level(np.zeros(1, np.int64), np.zeros_like(c[3]), c[3], n, share)
-            levels = [share]
-            below = np.repeat(share, size, axis=0)
-            levels.append(self._level(np.arange(size), c[2], c[3], n, below))
-            levels.append(self._level(pairs, c[1] * size + c[2], c[3], n, levels[1][pairs % size]))
-            at2 = np.searchsorted(pairs, contexts3 % (size * size))
-            known2 = np.minimum(at2, max(len(pairs) - 1, 0))
-            has = (at2 < len(pairs)) & (pairs[known2] == contexts3 % (size * size)) if len(pairs) else np.zeros(len(contexts3), bool)
-            below = np.where(has[:, None], levels[2][known2] if len(pairs) else 0, levels[1][contexts3 % size])
-            keep = np.isin((c[0] * size + c[1]) * size + c[2], contexts3)
-            levels.append(self._level(contexts3, ((c[0] * size + c[1]) * size + c[2])[keep], c[3][keep], n[keep], below))
-            self.cost[:, :, k] = -np.log2(np.concatenate(levels))
-        self.cost = self.cost.reshape(-1, len(languages))
-
-    def _level(self, contexts, context, symbol, n, below):
-        """Shares of each symbol in ``contexts``: seen ones by count, others by escape to ``below``."""
-        table = np.zeros((len(contexts), self.classes))
-        np.add.at(table, (np.searchsorted(contexts, context), symbol), n)
-        total, different = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-        whole = np.maximum(total + different, 1)
-        escaped = np.where(total > 0, different / whole, 1.0) * below
-        return np.where(table > 0, table / whole, escaped)
+            context, inverse = np.unique(gram >> 8, return_inverse=True)
+            kept.append(context[np.bincount(inverse, n, len(context)) >= LEAST_CONTEXT])
+        kept = np.unique(np.concatenate(kept))
+        self.strings, self.costs, self.contexts, self.escapes = [], [], [], []
+        below_keys, below = np.zeros(0, np.uint32), np.full((1, k), 1 / 256)
+        for order in range(ORDER + 1):
+            mask = np.uint32((1 << 8 * (order + 1)) - 1)
+            of = [(g & mask, n) for g, n in counts]
+            if order == ORDER:
+                of = [(g[_find(kept, g >> 8)[1]], n[_find(kept, g >> 8)[1]]) for g, n in of]
+            keys = np.unique(np.concatenate([g for g, _ in of] + [np.zeros(0, np.uint32)]))
+            seen = np.zeros((len(keys), k))
+            for j, (g, n) in enumerate(of):
+                np.add.at(seen, (np.searchsorted(keys, g), j), n)
+            contexts, owner = np.unique(keys >> 8, return_inverse=True)
+            total, different = np.zeros((len(contexts), k)), np.zeros((len(contexts), k))
+            np.add.at(total, owner, seen)
+            np.add.at(different, owner, seen > 0)
+            escape = np.where(total > 0, different / np.maximum(total + different, 1), 1.0)
+            lower = below[np.zeros(len(keys), np.int64) if not order else np.searchsorted(below_keys, keys & (mask >> np.uint32(8)))] if len(keys) else np.zeros((0, k))
+            whole = np.maximum(total + different, 1)[owner]
+            share = np.where(seen > 0, seen / whole, escape[owner] * lower)
+            self.strings.append(keys)
+            self.costs.append(-np.log2(share).astype(np.float32))
+            self.contexts.append(contexts)
+            self.escapes.append(-np.log2(escape).astype(np.float32))
+            below_keys, below = keys, share
 
     def bits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text in each language."""
@@ -131,9 +128,17 @@ class Model:
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(place):
             return out
-        c = self.of[led]
-        row = self.row[(c[place - 3] * self.classes + c[place - 2]) * self.classes + c[place - 1]]
-        cost = self.cost[row.astype(np.int64) * self.classes + c[place]]
+        wide = led.astype(np.uint32)
+        gram = wide[place - 3] << 24 | wide[place - 2] << 16 | wide[place - 1] << 8 | wide[place]
+        cost, open_ = np.zeros((len(gram), len(self.languages)), np.float32), np.arange(len(gram))
+        for order in range(ORDER, -1, -1):
+            key = gram[open_] & np.uint32((1 << 8 * (order + 1)) - 1)
+            found, there = _find(self.strings[order], key)
+            cost[open_[there]] += self.costs[order][found[there]]
+            open_, key = open_[~there], key[~there]
+            found, there = _find(self.contexts[order], key >> 8)
+            cost[open_[there]] += self.escapes[order][found[there]]
+        cost[open_] += 8
         some = np.flatnonzero(np.diff(offsets))
         out[some] = np.add.reduceat(cost, offsets[some], axis=0, dtype=np.float64)
         return out
@@ -146,14 +151,14 @@ def learn(taught: DataFrame):
     """(languages, counts): the frozen statistics of ``taught`` (doc_id, text, lang); rows of null text or language teach nothing."""
     rows = taught.where("text IS NOT NULL AND lang IS NOT NULL")
     hashed = rows.withColumn("hashed", F.xxhash64("doc_id", "text"))
-    # The edge of each language's sample comes from the hashes alone; then only the samples' texts move.
-    order = Window.partitionBy("lang").orderBy("hashed")
-    first = hashed.select("lang", "hashed").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_TEXTS)
-    edges = {r.lang: r.edge for r in first.groupBy("lang").agg(F.max("hashed").alias("edge")).collect()}
-    if not edges:
+    # One number for each language; counts combine before they move.
+    many = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not many:
         return [], []
+    edges = {lang: int(min(SAMPLE_TEXTS / n, 1) * ((1 << 64) - 1)) - (1 << 63) for lang, n in many.items()}
     edge = F.create_map(*[F.lit(x) for pair in edges.items() for x in pair])[F.col("lang")]
-    sample = hashed.where(F.col("hashed") <= edge)
+    # Repeated rows have one hash and count once, so they cannot swell the sample.
+    sample = hashed.where(F.col("hashed") <= edge).dropDuplicates(["lang", "hashed"])
     parts = map_arrow(sample.select("text", "lang").repartition(16), _count, "lang string, gram long, n long")
     counts = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN).orderBy("lang", "gram").toArrow()
     lang = np.array(counts.column("lang").to_pylist(), dtype=object)
@@ -178,9 +183,9 @@ def predict(texts: DataFrame, statistics, keep: tuple[str, ...], text_col: str =
             _models[token] = Model(*shared.value)
         model = _models[token]
         for b in batches:
-            for r0, r1, raw, offsets in steps(b.column(b.num_columns - 1), 1 << 19):
+            for r0, r1, raw, offsets in steps(b.column(b.num_columns - 1), max(1 << 14, (1 << 21) // max(len(model.languages), 1))):
                 data = raw.tobytes()
-                letters = np.array([_LETTER.search(data[a:z].decode("utf-8", "replace")) is not None for a, z in zip(offsets[:-1], offsets[1:], strict=True)])
+                letters = np.array([has_letter(data[a:z].decode("utf-8", "replace")) for a, z in zip(offsets[:-1], offsets[1:], strict=True)])
                 names, score = np.full(r1 - r0, UNKNOWN, object), np.zeros(r1 - r0)
                 if model.languages:
                     bits = model.bits(raw, offsets)

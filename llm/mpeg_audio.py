@@ -20,7 +20,8 @@ from math import gcd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, col, map_arrow
+from .common import batch, col, free_names, map_arrow
+from .words import steps
 
 # Fixed values of the MPEG audio standards: kbit/s by bitrate index, sample rates, samples in a frame.
 BITRATES = {
@@ -35,6 +36,8 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
 
 _OWNER = b"payload-bytes\0"
+#: Bytes of texts or streams that a task works on together.
+STEP_BYTES = 1 << 22
 
 
 def _crc_table() -> list[int]:
@@ -234,18 +237,21 @@ def store(rows: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     """``keep`` columns, n_bytes and media (binary): each whole text, padded to 64 bytes, as an MPEG audio stream.
 
     A null counts as the empty text, whose payload is 64 zero bytes.  Rows are independent: any ids,
-    repeated rows and other columns are fine, and an empty table gives an empty result.
+    repeated rows and other columns are fine, and an empty table gives an empty result.  Where
+    ``keep`` has a column of a new one's name, the new one is n_bytes_1 or media_1.
     """
     base = rows.select(*[col(c) for c in keep], col(text_col).cast("string").alias("_source_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[:-1])
+    size, media = free_names(keep, ("n_bytes", "media"))
 
     def run(batches):
         for b in batches:
-            texts = [t.as_buffer().to_pybytes() for t in b.column(b.num_columns - 1).cast(pa.large_binary()).fill_null(b"")]
-            sizes, media = pa.array([len(t) for t in texts], pa.int64()), pa.array([write(padded(t)) for t in texts], pa.binary())
-            yield batch([(n, b.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [("n_bytes", sizes), ("media", media)])
+            for r0, r1, raw, offsets in steps(b.column(b.num_columns - 1), STEP_BYTES):
+                texts = [raw[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+                made = (size, pa.array([len(t) for t in texts], pa.int64())), (media, pa.array([write(padded(t)) for t in texts], pa.binary()))
+                yield batch([*[(n, b.column(i)[r0:r1]) for i, n in enumerate(b.schema.names[:-1])], *made])
 
-    return map_arrow(base, run, f"{schema}, n_bytes long, media binary")
+    return map_arrow(base, run, f"{schema}, {size} long, {media} binary")
 
 
 _FEATURES = "payload binary, frames int, samples long, sample_rate int, seconds_num long, seconds_den long, checked int, bad_checksums int, skipped_bytes long, table_frames long, seek_offsets array<int>, feature string"
@@ -254,25 +260,29 @@ _FEATURES = "payload binary, frames int, samples long, sample_rate int, seconds_
 def features(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes", "media")) -> DataFrame:
     """``keep`` columns and what reading each stream finds: payload, frames, exact duration, checksums, seek offsets.
 
-    Null or broken streams have no frames and an empty payload; nothing raises.  ``feature`` sums up
+    Null or broken streams have no frames and an empty payload; nothing raises.  Where ``keep`` has a
+    column of a new one's name, the new one gets _1 behind its name.  ``feature`` sums up
     the stream in one line, with a checksum of all seek offsets.
     """
     base = media.select(*[col(c) for c in keep], col(media_col).alias("_source_media"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema[:-1])
+    names = free_names(keep, [f.split()[0] for f in _FEATURES.split(", ")])
+    types = [f.split()[1] for f in _FEATURES.split(", ")]
+    kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string())
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in _FEATURES.split(", ")]
-            for data in b.column(b.num_columns - 1).fill_null(b""):
-                s = Stream(data.as_buffer().to_pybytes())
-                num, den = s.duration()
-                seeks = [o for o, _ in s.frames]
-                table = s.table["frames"] if s.table else None
-                line = f"frames={len(seeks)} samples={s.samples} rate={s.rate} seconds={num}/{den} bad={s.bad}/{s.checked} skipped={s.skipped} table={table} seek={zlib.crc32(struct.pack(f'<{len(seeks)}I', *seeks)):08x}"
-                for place, value in zip(out, (s.payload, len(seeks), s.samples, s.rate, num, den, s.checked, s.bad, s.skipped, table, seeks, line), strict=True):
-                    place.append(value)
-            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string())
-            named = [(f.split()[0], pa.array(v, k)) for f, v, k in zip(_FEATURES.split(", "), out, kinds, strict=True)]
-            yield batch([(n, b.column(i)) for i, n in enumerate(b.schema.names[:-1])] + named)
-
-    return map_arrow(base, run, f"{schema}, {_FEATURES}")
+            for r0, r1, raw, offsets in steps(b.column(b.num_columns - 1), STEP_BYTES):
+                out = [[] for _ in names]
+                for a, z in zip(offsets[:-1], offsets[1:], strict=True):
+                    s = Stream(raw[a:z].tobytes())
+                    num, den = s.duration()
+                    seeks = [o for o, _ in s.frames]
+                    table = s.table["frames"] if s.table else None
+                    line = f"frames={len(seeks)} samples={s.samples} rate={s.rate} seconds={num}/{den} bad={s.bad}/{s.checked} skipped={s.skipped} table={table} seek={zlib.crc32(struct.pack(f'<{len(seeks)}I', *seeks)):08x}"
+                    for place, value in zip(out, (s.payload, len(seeks), s.samples, s.rate, num, den, s.checked, s.bad, s.skipped, table, seeks, line), strict=True):
+                        place.append(value)
+                named = [(n, pa.array(v, k)) for n, v, k in zip(names, out, kinds, strict=True)]
+                yield batch([(n, b.column(i)[r0:r1]) for i, n in enumerate(b.schema.names[:-1])] + named)
+
+    return map_arrow(base, run, f"{schema}, " + ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))

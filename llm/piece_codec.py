@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, col, ints, map_arrow, ship
+from .common import batch, col, free_names, ints, map_arrow, ship
 from .words import steps
 
 #: Runs that a process keeps (about 200 MB at most), the longest that it keeps, bytes of text normalised and rows handed on together.
@@ -226,7 +226,9 @@ def encode(texts: DataFrame, model: str, text_col: str = "text", keep: tuple[str
     Spans are in the UTF-8 bytes of the original text and cover it without gaps; the dummy prefix
     covers no bytes.  No begin or end ids and no sampling.  A null counts as the empty text, which
     has no pieces.  Rows are independent; repeated rows, any ids and other columns are carried as they are.
+    Where ``keep`` has a column of a new one's name, the new one is ids_1, starts_1 or ends_1.
     """
+    names = free_names(keep, ("ids", "starts", "ends"))
     ship(texts.sparkSession)
     base = texts.select(*[col(c) for c in keep], col(text_col).cast("string").alias("_source_text"))
 
@@ -239,11 +241,11 @@ def encode(texts: DataFrame, model: str, text_col: str = "text", keep: tuple[str
                 for low in range(0, r1 - r0, _TOGETHER):
                     rows = at[low : min(low + _TOGETHER, r1 - r0) + 1]
                     part = slice(rows[0], rows[-1])
-                    lists = [(name, ints(rows - rows[0], x[part])) for name, x in (("ids", ids), ("starts", starts), ("ends", ends))]
+                    lists = [(name, ints(rows - rows[0], x[part])) for name, x in zip(names, (ids, starts, ends), strict=True)]
                     yield batch([(n, x[r0 + low : r0 + low + len(rows) - 1]) for n, x in kept] + lists)
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema[:-1])
-    return map_arrow(base, run, schema + "ids array<int>, starts array<int>, ends array<int>")
+    return map_arrow(base, run, schema + ", ".join(f"{n} array<int>" for n in names))
 
 
 def decode(pieces: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -5,6 +5,7 @@ positions i and j some offset k < PERIOD puts both i + k and j + k on the cover,
 of ``window`` words share an aligned anchor of ``window - PERIOD + 1`` words.  Anchors that occur
 once end there; around the others the match is extended to every whole window that contains one,
 and those windows are resolved by 96 bits of hash: the earliest stays, all later ones are marked.
+Whole texts that repeat are told by 96 bits as well and leave before their windows are looked at.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ def _period(window: int) -> int:
     return max(p for p in COVERS if p <= max(1, (2 * window + 2) // 3))
 
 
-def _text_ids(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each row's whole word sequence."""
+def _text_ids(words: np.ndarray, first: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of each row's whole word sequence; ``lane`` picks independent functions."""
     at = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
     sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mix(words, 61) * mix(at.astype(np.uint64), 62), out=sums[1:])
-    return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64), 63)
+    np.cumsum(mix(words, 61 + 10 * lane) * mix(at.astype(np.uint64), 62 + 10 * lane), out=sums[1:])
+    return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64), 63 + 10 * lane)
 
 
 class _Combiner:
@@ -124,9 +125,9 @@ def _anchors(window: int, period: int):
                 starts, ends, first = split_words(raw, offsets)
                 words = hash_words(raw, starts, ends)
                 docs, sizes = np.asarray(b.column(0)[r0:r1]), np.diff(first)
-                ids = _text_ids(words, first)
+                ids, checks = (_text_ids(words, first, lane) for lane in (0, 1))
                 long = sizes >= window
-                yield from combine.add(ids[long], np.zeros(long.sum(), np.uint64), docs[long], np.full(long.sum(), _COPY))
+                yield from combine.add(ids[long], checks[long] >> np.uint64(32), docs[long], np.full(long.sum(), _COPY))
                 runs = hash_runs(words, length)
                 at = np.arange(len(words)) - np.repeat(first[:-1], sizes)
                 left = np.repeat(sizes, sizes) - at
@@ -213,7 +214,7 @@ def _possibly(texts: DataFrame, wanted: DataFrame, schema: str) -> tuple[DataFra
     return map_arrow(texts, flag(True), schema), map_arrow(texts, flag(False), schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, trim: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, trim: bool = True, unique: bool = False) -> DataFrame:
     """(doc_key, doc_id, n_words, n_removed, kept_text): one row for each row of ``docs``.
 
     A word is a run of bytes outside {0x20, 0x09-0x0D}; a window is ``window`` consecutive words of
@@ -222,13 +223,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input.  ``kept_text`` joins the kept words by one space; with ``trim`` off a text that loses
     nothing stays as it is.  Nulls and texts of fewer than ``window`` words lose nothing.  Repeated
     and null ids are ordered as ``common.keyed`` says, each row being a text of its own.  Other
-    columns are not read; an empty table gives an empty result.
+    columns are not read; an empty table gives an empty result.  ``unique`` as in ``common.keyed``.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     spark = docs.sparkSession
     ship(spark)
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, unique)
     texts = rows.select("doc_key", "text")
     period = _period(window)
 
@@ -254,7 +255,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts that lose nothing stay as they are.
     """
     rows, key = with_key(docs, id_col, text_col)
-    kept = remove_repeats(rows, key, text_col, window, trim=False).where("n_removed > 0")
+    kept = remove_repeats(rows, key, text_col, window, trim=False, unique=True).where("n_removed > 0")
     cut, at = free_name(rows.columns, "cut_text"), free_name(rows.columns, "cut_key")
     changed = rows.join(kept.select(F.col("doc_key").alias(at), F.col("kept_text").alias(cut)), col(key) == F.col(at), "left")
     new = F.when(F.col(at).isNotNull(), F.col(cut)).otherwise(col(text_col))

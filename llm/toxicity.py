@@ -1,13 +1,17 @@
 """Toxicity: a linear classifier with counterfactual regularisation.
 
-Features are the distinct words of a text and their beginnings, hashed.  For every labelled text
-that mentions an identity term, a counterfactual copy has the term swapped for another of its group;
-training minimises the logistic loss plus COUNTERFACTUAL times the squared change of the logit
-between the two, so that mentions as such do not move the score.
+Features are the distinct words of a text and their beginnings, hashed.  In every sentence of a labelled
+text that mentions identity terms, the terms are swapped for each other one of their group; training
+minimises the logistic loss plus a weight times the squared change of the logit that the swaps make,
+averaged over the swaps of a text, so that mentions as such do not move the score.  As the model is
+linear, a swap is told by the features that it takes away and brings, whatever else the sentence says.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +30,7 @@ LEAST_TEXTS, PASSES, STEP_TEXTS, RATE = 15, 20, 128, 0.3
 SPARSE, SHRINK, BALANCE, COUNTERFACTUAL = 20.0, 1.0, 1.0, 2.0
 THRESHOLD = 0.7
 
-# Neutral group terms; a term is swapped for the next of its group.
+# Neutral group terms; a term is swapped for every other one of its group.
 IDENTITY_GROUPS = (
     ("women", "men", "people"),
     ("woman", "man", "person"),
@@ -48,14 +52,24 @@ IDENTITY_GROUPS = (
 )
 
 
-def _term_hashes() -> tuple[np.ndarray, list[bytes]]:
-    """Sorted hashes of the identity terms, and in that order the term that replaces each."""
-    terms = [(t, g[(i + 1) % len(g)]) for g in IDENTITY_GROUPS for i, t in enumerate(g)]
-    raw = np.frombuffer("".join(t for t, _ in terms).encode(), np.uint8)
-    ends = np.cumsum([len(t.encode()) for t, _ in terms])
+_TERMS = [t for g in IDENTITY_GROUPS for t in g]
+#: For each term its group's first place in _TERMS and the group's size.
+_GROUP = [(start, len(g)) for start, g in zip(itertools.accumulate([0, *map(len, IDENTITY_GROUPS)]), IDENTITY_GROUPS) for _ in g]
+
+
+def _term_hashes() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the identity terms, and the place of each in _TERMS."""
+    raw = np.frombuffer("".join(_TERMS).encode(), np.uint8)
+    ends = np.cumsum([len(t.encode()) for t in _TERMS])
     hashes = hash_words(raw, np.r_[0, ends[:-1]], ends, lower=True)
     order = np.argsort(hashes)
-    return hashes[order], [terms[i][1].encode() for i in order]
+    return hashes[order], order
+
+
+def _other(term: int, k: int) -> int:
+    """The k-th next term of the group, round and round."""
+    start, size = _GROUP[term]
+    return start + (term - start + k) % size
 
 
 def text_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,24 +110,31 @@ def _core(raw, starts, ends):
     return starts, ends
 
 
-def swap_terms(text: bytes, known=None) -> bytes | None:
-    """``text`` with every identity term swapped for another of its group, or None if it has none."""
-    hashes, others = known or _term_hashes()
-    raw = np.frombuffer(text, np.uint8)
-    starts, ends, _ = split_words(raw, np.array([0, len(raw)]))
-    if not len(starts):
-        return None
-    starts, ends = _core(raw, starts, ends)
-    words = hash_words(raw, starts, ends, lower=True)
+def _mentions(raw: np.ndarray, offsets: np.ndarray, known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, sentence, term, start, end) of every identity term; a sentence ends with . ! ? or a line."""
+    hashes, places = known
+    starts, ends, first = split_words(raw, offsets)
+    a, z = _core(raw, starts, ends)
+    words = hash_words(raw, a, z, lower=True)
     at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-    found = np.flatnonzero((hashes[at] == words) & (ends > starts))
-    if not len(found):
-        return None
+    found = np.flatnonzero((hashes[at] == words) & (z > a))
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    stops = np.r_[0, np.cumsum(np.isin(raw, np.frombuffer(b".!?", np.uint8)))]
+    lines = np.r_[0, np.cumsum(raw == 10)]
+    ended = stops[ends] > stops[z]  # signs behind a word's letters
+    sentence = np.r_[0, np.cumsum(ended)[:-1]] + lines[starts] if len(starts) else starts
+    return rows[found], sentence[found], places[at[found]], a[found], z[found]
+
+
+def swap_terms(text: bytes, k: int = 1, known=None) -> bytes | None:
+    """``text`` with every identity term swapped for the k-th next of its group, or None if it has none."""
+    raw = np.frombuffer(text, np.uint8)
+    _, _, terms, starts, ends = _mentions(raw, np.array([0, len(raw)]), known or _term_hashes())
     out, done = [], 0
-    for i in found.tolist():
-        out += [text[done : starts[i]], others[at[i]]]
-        done = ends[i]
-    return b"".join([*out, text[done:]])
+    for term, a, z in zip(terms.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        out += [text[done:a], _TERMS[_other(term, k)].encode()]
+        done = z
+    return b"".join([*out, text[done:]]) if out else None
 
 
 def _row_lists(rows, feats, n):
@@ -121,20 +142,69 @@ def _row_lists(rows, feats, n):
     return np.r_[0, np.cumsum(np.bincount(rows, minlength=n))], feats[order].astype(np.int32)
 
 
+def _term_features() -> list[frozenset[int]]:
+    """The features of each term, without the length's."""
+    raw = np.frombuffer("".join(_TERMS).encode(), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t.encode()) for t in _TERMS])]
+    rows, feats = text_features(raw, offsets)
+    return [frozenset(x for x in feats[rows == i].tolist() if x < 1 << BITS) for i in range(len(_TERMS))]
+
+
+def swaps(raw: np.ndarray, offsets: np.ndarray, known, features: list[frozenset[int]]) -> list[list[tuple[float, list[int], list[int]]]]:
+    """For each row its different swaps: (share of the row's swaps, features taken away, features brought)."""
+    rows, sentences, terms, _, _ = _mentions(raw, offsets, known)
+    said: dict[tuple[int, int], set[int]] = {}
+    for row, sentence, term in zip(rows.tolist(), sentences.tolist(), terms.tolist(), strict=True):
+        said.setdefault((row, sentence), set()).add(term)
+    count: list[Counter] = [Counter() for _ in range(len(offsets) - 1)]
+    for (row, _), found in said.items():
+        for k in range(1, max(_GROUP[t][1] for t in found)):
+            new = {_other(t, k) for t in found}
+            if new != found:
+                count[row][frozenset(found), frozenset(new)] += 1
+    out = []
+    for row in count:
+        total = sum(row.values())
+        made = []
+        for (old, new), n in sorted(row.items(), key=lambda x: (sorted(x[0][0]), sorted(x[0][1]))):
+            a, b = (frozenset().union(*[features[t] for t in side]) for side in (old, new))
+            made.append((n / total, sorted(a - b), sorted(b - a)))
+        out.append(made)
+    return out
+
+
 def _labelled(batches):
-    known = _term_hashes()
+    known, features = _term_hashes(), _term_features()
     for b in batches:
         for r0, r1, raw, offsets in steps(b.column(1)):
             at, flat = _row_lists(*text_features(raw, offsets), r1 - r0)
-            data = raw.tobytes()
-            swapped = [swap_terms(data[a:z], known) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-            twins = [np.zeros(0, np.int32) if s is None else text_features(np.frombuffer(s, np.uint8), np.array([0, len(s)]))[1].astype(np.int32) for s in swapped]
+            made = [[{"share": share, "away": away, "come": come} for share, away, come in row] for row in swaps(raw, offsets, known, features)]
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
-            twin = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(t) for t in twins])], pa.int32()), pa.array(np.concatenate(twins)))
-            yield batch([("hashed", b.column(0)[r0:r1]), ("label", b.column(2)[r0:r1]), ("features", lists), ("twin", twin)])
+            yield batch([("hashed", b.column(0)[r0:r1]), ("label", b.column(2)[r0:r1]), ("features", lists), ("swaps", pa.array(made, _SWAPS))])
+
+
+_SWAPS = pa.list_(pa.struct([("share", pa.float64()), ("away", pa.list_(pa.int32())), ("come", pa.list_(pa.int32()))]))
+
+
+class Pairs:
+    """The swaps of all texts in flat form: swaps of text i are ``at[i] .. at[i + 1]``, features of swap j ``of[j] .. of[j + 1]``."""
+
+    def __init__(self, rows: list[list[tuple[float, list[int], list[int]]]]):
+        self.at = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)
+        every = [p for r in rows for p in r]
+        self.share = np.array([p[0] for p in every], float)
+        self.of = np.r_[0, np.cumsum([len(p[1]) + len(p[2]) for p in every])].astype(np.int64)
+        self.feature = np.array([f for p in every for f in (*p[1], *p[2])], np.int64)
+        self.sign = np.array([s for p in every for s in [1.0] * len(p[1]) + [-1.0] * len(p[2])])
+
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of every place in the ranges."""
+    n = ends - starts
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
 
-def fit(labels: np.ndarray, at: np.ndarray, flat: np.ndarray, twin_at: np.ndarray, twin_flat: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+
+def fit(labels: np.ndarray, at: np.ndarray, flat: np.ndarray, pairs: Pairs | None = None, order: np.ndarray | None = None, counterfactual: float = COUNTERFACTUAL) -> np.ndarray:
     """Weights (the last is the bias) from feature lists in CSR form; deterministic for a given order of rows.
 
     Follow-the-regularised-leader steps with an absolute penalty, so that most weights are zero.
@@ -146,32 +216,25 @@ def fit(labels: np.ndarray, at: np.ndarray, flat: np.ndarray, twin_at: np.ndarra
     order = np.arange(len(labels)) if order is None else order
     share = float(labels.mean()) if len(labels) else 0.5
     weight_of = np.where(labels > 0, 0.5 / max(share, 0.02), 0.5 / max(1 - share, 0.02)) ** BALANCE
-
-    def rows_of(pick, at, flat):
-        n = at[pick + 1] - at[pick]
-        row = np.repeat(np.arange(len(pick)), n)
-        f = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[pick], n)]
-        keep = active[f]
-        return row[keep], f[keep]
-
     for _ in range(PASSES):
         for pick in np.array_split(order[order_of.permutation(len(labels))], max(1, len(labels) // STEP_TEXTS)):
             if not len(pick):
                 continue
-            row, f = rows_of(pick, at, flat)
+            row, place = _ranges(at[pick], at[pick + 1])
+            f = flat[place]
+            row, f = row[active[f]], f[active[f]]
             z = weights[-1] + np.bincount(row, weights[f], len(pick))
             pull = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) * weight_of[pick]
             grad = np.bincount(f, pull[row], size)
             grad[-1] += pull.sum()
-            paired = np.flatnonzero(twin_at[pick + 1] > twin_at[pick])
-            if len(paired):
-                row2, f2 = rows_of(pick[paired], twin_at, twin_flat)
-                change = z[paired] - weights[-1] - np.bincount(row2, weights[f2], len(paired))
-                force = 2 * COUNTERFACTUAL * change
-                side = np.full(len(pick), -1)
-                side[paired] = np.arange(len(paired))
-                mine = side[row] >= 0
-                grad += np.bincount(f[mine], force[side[row[mine]]], size) - np.bincount(f2, force[row2], size)
+            if pairs is not None and counterfactual:
+                swap = _ranges(pairs.at[pick], pairs.at[pick + 1])[1]
+                number, place = _ranges(pairs.of[swap], pairs.of[swap + 1])
+                f, sign = pairs.feature[place], pairs.sign[place]
+                number, f, sign = number[active[f]], f[active[f]], sign[active[f]]
+                change = np.bincount(number, sign * weights[f], len(swap))
+                force = 2 * counterfactual * pairs.share[swap] * change
+                grad += np.bincount(f, sign * force[number], size)
             hit = np.flatnonzero(grad)
             g = grad[hit]
             root = np.sqrt(squares[hit] + g * g)
@@ -183,22 +246,26 @@ def fit(labels: np.ndarray, at: np.ndarray, flat: np.ndarray, twin_at: np.ndarra
     return weights
 
 
-def _train(batches):
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    labels, hashed = np.asarray(table.column("label")).astype(float), np.asarray(table.column("hashed"))
-    lists = [table.column(c) for c in ("features", "twin")]
-    csr = [(np.r_[0, np.cumsum(np.concatenate([np.asarray(c.value_lengths()) for c in x.chunks]))], np.concatenate([np.asarray(c.flatten()) for c in x.chunks])) for x in lists]
-    # Rows arrive in any order: they are numbered by hash, label and length before anything random.
-    order = np.lexsort((np.diff(csr[0][0]), labels, hashed))
-    weights = fit(labels, *csr[0], *csr[1], order)
-    used = np.flatnonzero(weights)
-    yield batch([("feature", used.astype(np.int32)), ("weight", weights[used])])
-
-
-def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+def _train(counterfactual: float):
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        labels, hashed = np.asarray(table.column("label")).astype(float), np.asarray(table.column("hashed"))
+        lists = table.column("features")
+        at = np.r_[0, np.cumsum(np.concatenate([np.asarray(c.value_lengths()) for c in lists.chunks]))].astype(np.int64)
+        flat = np.concatenate([np.asarray(c.flatten()) for c in lists.chunks])
+        pairs = Pairs([[(p["share"], p["away"], p["come"]) for p in row] for row in table.column("swaps").to_pylist()])
+        # Rows arrive in any order: they are numbered by hash, label and length before anything random.
+        weights = fit(labels, at, flat, pairs, np.lexsort((np.diff(at), labels, hashed)), counterfactual)
+        used = np.flatnonzero(weights)
+        yield batch([("feature", used.astype(np.int32)), ("weight", weights[used])])
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFACTUAL) -> np.ndarray:
     """Weights of a classifier for ``docs`` (doc_id, text) and ``labels`` (id, label), fitted in one task on a bounded sample.
 
     The sample holds the texts of the SAMPLE_ROWS labelled ids of smallest hash, or of all if there
@@ -211,8 +278,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         return np.zeros((1 << BITS) + LENGTHS + 1, np.float32)
     texts = docs.where(F.xxhash64("doc_id") <= F.lit(edge)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = texts.join(known.where(F.col("hashed") <= F.lit(edge)), F.col("doc_id") == F.col("id")).select("hashed", "text", "label").repartition(16)
-    lists = map_arrow(sample, _labelled, "hashed long, label int, features array<int>, twin array<int>")
-    found = map_arrow(lists.repartition(1), _train, "feature int, weight double").collect()
+    lists = map_arrow(sample, _labelled, "hashed long, label int, features array<int>, swaps array<struct<share:double,away:array<int>,come:array<int>>>")
+    found = map_arrow(lists.repartition(1), _train(counterfactual), "feature int, weight double").collect()
     weights = np.zeros((1 << BITS) + LENGTHS + 1, np.float32)
     for r in found:
         weights[r.feature] = r.weight
@@ -241,18 +308,19 @@ def held_out(id_col: str, parts: int = 3, part: int = 1):
     return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", counterfactual: float = COUNTERFACTUAL) -> DataFrame:
     """(doc_key, doc_id, held_out, score, predicted): one row for each row of ``docs``.
 
     Learns from labelled rows that are not held out; language, source, labels and ids are no inputs
-    of a score.  ``predicted`` is 1 from a score of THRESHOLD on.  Several labels of one id all
+    of a score.  ``counterfactual`` weighs the penalty of score changes under swapped identity terms; 0
+    leaves it out.  ``predicted`` is 1 from a score of THRESHOLD on.  Several labels of one id all
     count.  Repeated and null ids are separate rows; a null id has no label.  Other columns are not
     read; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     known = labels.select(col(id_col).cast("long").alias("id"), col(label_col).cast("int").alias("label"))
-    weights = learn(rows.where(~held_out("doc_id")), known.where(~held_out("id")))
+    weights = learn(rows.where(~held_out("doc_id")), known.where(~held_out("id")), counterfactual)
     scored = score(rows, weights, ("doc_key", "doc_id"))
     return scored.select("doc_key", "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -79,6 +79,42 @@ def test_jaccard_components(spark, monkeypatch, k, num, den, hot, cluster):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, num, den)
 
 
+@pytest.mark.parametrize(("k", "num", "hot", "cluster"), [(4, 85, 1000, 512), (2, 60, 3, 4), (3, 30, 5, 3)])
+def test_jaccard_pairs_and_links(spark, monkeypatch, k, num, hot, cluster):
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", hot)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_ROWS", cluster)
+    rows = word_texts(60, k + 1)
+    rows += [(500 + i, t) for i, t in rows[:40:3]] + [(900, None), (901, ""), (902, "")]
+    sets = {i: shingles(t, k) for i, t in rows}
+    links = {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+    first = {}
+    of = {i: first.setdefault(frozenset(s), i) if s else i for i, s in sorted(sets.items())}
+    classes, pairs = jaccard_join.near_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle_words=k, num=num)
+    assert sorted(map(tuple, pairs.collect())) == sorted({tuple(sorted((of[a], of[b]))) for a, b in links if of[a] != of[b]})
+    degree = Counter(x for p in links for x in p)
+    got = {r.doc_id: (r.class_key, r.n_links, r.n_shingles) for r in classes.collect()}
+    assert got == {i: (of[i], degree[i], len(sets[i])) for i in sets}
+
+
+def test_large_clusters_move_few_texts(spark, monkeypatch):
+    """Members of one hot list that share little: their sketches rule the pairs out before texts move."""
+    monkeypatch.setattr(jaccard_join, "CLUSTER_ROWS", 8)
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", 10)
+    rng = random.Random(4)
+    line = "this very line is on every page of the site"
+    rows = [(i, f"{line} " + " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(30))) for i in range(60)]
+    rows += [(100 + i, t + " end") for i, t in rows[:6]]
+    got = jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle_words=3, num=60).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 60, 100)
+    n = np.full(40, 100)
+    sketches = [jaccard_join.sketch(np.random.default_rng(i).integers(0, 1 << 63, 100).astype(np.uint64)) for i in range(39)]
+    sketches.append(sketches[0])
+    block, away = np.arange(40) % 2, np.ones(40, bool)
+    may = np.flatnonzero(jaccard_join.may_link(sketches, n, 80, 100, block, away)).tolist()
+    assert {0, 39} <= set(may) and len(may) < 15
+    assert not jaccard_join.may_link(sketches, n, 80, 100, block, ~away).any()
+
+
 def test_sketches_bound_overlaps():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 4000).astype(np.uint64)

@@ -186,21 +186,72 @@ def test_toxicity(spark, sf_dir, edge_docs, no_docs):
     assert toxicity.score_documents(no_docs, none).count() == 0
 
 
-def test_counterfactual_pairs_lower_the_change():
+def test_swaps():
     assert toxicity.swap_terms("All Women and muslims, too".encode()) == b"All men and christians, too"
+    assert toxicity.swap_terms("All Women".encode(), 2) == b"All people"
     assert toxicity.swap_terms(b"nothing here") is None
+    features = toxicity._term_features()
+    texts = ["Old men talk. The deaf sing!\nmen walk", "no term", "", "young. young. men."]
+    made = toxicity.swaps(*_joined(texts), toxicity._term_hashes(), features)
+    term = {t: features[i] for i, t in enumerate(toxicity._TERMS)}
+    assert made[1] == made[2] == []
+    # Sentence by sentence: (old, men) two ways, deaf two, men two.
+    pairs = [("old men", "young women"), ("old men", "old people"), ("old men", "young people"), ("old men", "old women"), ("deaf", "blind"), ("deaf", "disabled"), ("men", "women"), ("men", "people")]
+    sets = [tuple(frozenset().union(*[term[w] for w in side.split()]) for side in p) for p in pairs]
+    allowed = {(tuple(sorted(a - b)), tuple(sorted(b - a))) for a, b in sets}
+    assert {(tuple(a), tuple(b)) for _, a, b in made[0]} <= allowed and len(made[0]) == 6
+    assert sum(x[0] for x in made[0]) == pytest.approx(1) and sorted(x[0] for x in made[3]) == pytest.approx([0.25, 0.25, 0.5])
+
+
+def test_counterfactual_pairs_lower_the_change():
     rng = np.random.default_rng(1)
     # Feature 1 (a mention) goes with the label in the sample, feature 2 is its counterfactual, feature 3 is abuse.
     labels = np.array([1, 0] * 200)
     rows = [[3, 1] if y else ([4, 2] if rng.random() < 0.9 else [4, 1]) for y in labels]
     at, flat = np.arange(0, 2 * len(rows) + 1, 2), np.array(rows).ravel()
-    twin = np.array([[a, 3 - b] for a, b in rows]).ravel()
-    plain = toxicity.fit(labels, at, flat, np.zeros(len(rows) + 1, int), np.zeros(0, int))
-    fair = toxicity.fit(labels, at, flat, at, twin)
+    pairs = toxicity.Pairs([[(1.0, [b], [3 - b])] for _, b in rows])
+    plain = toxicity.fit(labels, at, flat)
+    fair = toxicity.fit(labels, at, flat, pairs)
     assert abs(fair[1] - fair[2]) < 0.3 * abs(plain[1] - plain[2])
     assert fair[3] > fair[4]
 
 
+def test_fewer_false_positives_on_neutral_mentions(spark):
+    """Planted texts in which one group's mentions go with the label: the penalty frees neutral mentions."""
+    rng = random.Random(11)
+    plain = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    abuse = ["scumword", "vilething", "hatefool", "filthier", "rottenest", "dumbness"]
+
+    def text(toxic, term):
+        words = [rng.choice(plain) for _ in range(14)]
+        if term:
+            words.insert(rng.randrange(6), f"the {term}")
+        if toxic and rng.random() < 0.75:
+            words.insert(rng.randrange(9), rng.choice(abuse))
+        return " ".join(words) + ". " + " ".join(rng.choice(plain) for _ in range(8)) + "."
+
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 2
+        term = ("muslims" if rng.random() < 0.85 else "christians") if toxic and rng.random() < 0.7 else rng.choice(["christians", "jews", "hindus", None, None]) if not toxic else None
+        rows.append((i, text(toxic, term)))
+        labels.append((i, toxic))
+    neutral = {10_000 + i: text(0, "muslims") for i in range(150)}
+    swapped = {20_000 + i - 10_000: toxicity.swap_terms(t.encode()).decode() for i, t in neutral.items()}
+    docs = spark.createDataFrame([*rows, *neutral.items(), *swapped.items()], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    wrong, change, right = {}, {}, {}
+    for weight in (0.0, toxicity.COUNTERFACTUAL):
+        score = {r.doc_id: (r.score, r.predicted) for r in toxicity.score_documents(docs, known, counterfactual=weight).collect()}
+        wrong[weight] = sum(score[i][0] >= 0.5 for i in neutral)
+        change[weight] = np.mean([abs(score[i][0] - score[i + 10_000][0]) for i in neutral])
+        right[weight] = np.mean([(score[i][0] >= 0.5) == bool(y) for i, y in labels])
+    fair = toxicity.COUNTERFACTUAL
+    assert wrong[fair] < 0.5 * wrong[0.0] and wrong[0.0] > 50, (wrong, change, right)
+    assert change[fair] < 0.3 * change[0.0], (wrong, change, right)
+    assert right[fair] > 0.8, (wrong, change, right)
+
+
 def test_language_id(spark, edge_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -211,6 +262,22 @@ def test_language_id(spark, edge_docs, no_docs):
     assert language_id.identify(no_docs).count() == 0
 
 
+def test_language_without_letters_ties_and_hot_rows(spark, monkeypatch):
+    assert [language_id.has_letter(t) for t in ("² ½ Ⅷ 7_", "²a", "", "日", "ªx", "٣", "\u0301")] == [False, True, False, True, True, False, False]
+    monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 40)
+    texts = {"aa": "foo bar foo", "bb": "qux zip qux"}
+    rows = [(i, f"{texts[lang]} {i}", lang) for i, lang in enumerate(["aa", "bb"] * 300)] + [(-1, texts["aa"], "aa")] * 900
+    rows += [(-2, "½ ² 12", "aa"), (-3, None, "aa"), (-4, "zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, counts = language_id.learn(docs)
+    assert languages == ["aa", "bb"] and all(n.sum() < 40 * 3 * 16 for _, n in counts)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
+    assert all(got[i][0] == lang for i, _, lang in rows[:600]) and got[-2] == got[-3] == ("und", 0.0)
+    gram = (np.array([0x20207820, 0x20782079]), np.array([9, 9]))
+    tie = language_id.predict(spark.createDataFrame([("x y",), ("q",)], "text string"), (["a", "b"], [gram, gram]), ("text",)).collect()
+    assert [(r.lang_pred, r.score) for r in tie] == [("a", 0.5)] * 2
+
+
 def test_code_lengths_are_exact():
     text = b"abracadabra abracadabra abrac"
     led = b"   " + text
@@ -276,6 +343,93 @@ def test_words_in_long_runs_of_signs():
     assert features("", "!" * 40) == features("", "!!")
 
 
+def test_pages_edges(spark):
+    rows = [(1, "u", "<body>" + "<p>one more paragraph of a very long page.</p>" * 40000, "x", 5)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.extract(pages, keep=("page_id", "text", "n_chars"))
+    assert got.columns == ["page_id", "text", "n_chars", "text_1", "n_chars_1"]
+    assert [(r.text, r.n_chars, r.n_chars_1) for r in got.collect()] == [("x", 5, 40000 * 40 - 1)] * 2
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_density_sums_against_brute_force(sf_dir):
+    """Density sums by their definition, node by node, choose the same subtree."""
+    import math
+
+    def chars(node, linked):
+        total = 0
+        for x in node.children:
+            if isinstance(x, str):
+                total += len("".join(x.split())) * (linked or not _linked(node))
+            elif not x.drop:
+                total += chars(x, linked)
+        return total
+
+    def _linked(node):
+        while node is not None:
+            if node.tag == "a":
+                return True
+            node = node.parent
+        return False
+
+    def tags(node):
+        below = [x for x in node.walk() if x is not node and not any(u.drop for u in up(x, node))]
+        return sum(x.tag not in html_text.INLINE and x.tag != "br" or x.tag == "a" for x in below), sum(x.tag == "a" for x in below)
+
+    def up(x, top):
+        while x is not top:
+            yield x
+            x = x.parent
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist()[:40]:
+        if len(page) > 6000:
+            continue
+        builder = html_text._Builder()
+        builder.feed(page.replace("<nav>", "<div>").replace("</nav>", "</div>"))
+        for node in builder.root.walk():
+            node.drop = node.tag in ("head", "script", "style")
+        body = next(n for n in builder.root.walk() if n.tag == "body")
+        density, sums, nodes = html_text._densities(body)
+        c_body = chars(body, True)
+        share = (c_body - chars(body, False)) / c_body
+        block = [n for n in body.walk() if n.tag not in html_text.INLINE and n.tag != "br"]
+        assert {id(n) for n in nodes} == {id(n) for n in block} and len(nodes) == len(block)
+        for n in block:
+            c = chars(n, True)
+            lc, (t, lt) = c - chars(n, False), tags(n)
+            t = max(t, 1)
+            base = math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e) + 1e-9)
+            want = c / t * max(math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / max(base, 0.05), 0.0) if c else 0.0
+            assert density[id(n)] == pytest.approx(want)
+        for n in block:
+            below = [x for x in block if x is not n and next((u for u in list(up(x, None))[1:] if u in block), None) is n]
+            assert sums[id(n)] == pytest.approx(sum(density[id(x)] for x in below))
+
+
+def test_pages_without_telling_names(sf_dir):
+    """Given pages whose article, menu, advert and footer are all plain blocks: the densities find the article."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist()
+    plain = [re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", p)) for p in pages]
+    articles = [re.search("(?s)<article>.*</article>", p)[0] for p in pages]
+    want = [html_text._text([_tree(a)]) for a in articles]
+    assert [html_text.main_text(p) for p in pages] == want
+    right = sum(html_text.main_text(p) == t for p, t in zip(plain, want, strict=True))
+    assert right / len(pages) > 0.9
+
+
+def _tree(html):
+    builder = html_text._Builder()
+    builder.feed(html)
+    builder.close()
+    return builder.root
+
+
 LONG = ["".join(f"{w} of the {k} long passage goes on and on, " for k in range(12)).strip() for w in ("first", "second", "third")]
 
 
