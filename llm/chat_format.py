@@ -57,36 +57,30 @@ def reply_paths(messages: DataFrame) -> DataFrame:
 
 
 def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
-    """(tree, path_rank, score, formatted, segments): the ``best`` paths of each tree, or all if None.
+    """(tree, path_rank, score, formatted, loss): the ``best`` paths of each tree, or all if None.
 
     ``messages``: tree, node, parent (see ``reply_paths``), role, text, score.  Null roles and texts
     count as empty, null scores as 0.  A path's score is the sum of its messages'; ties go to the
-    longer path, then to the smaller leaf.  ``segments`` are (text, loss) whose texts concatenate to
-    ``formatted``; exactly the escaped texts of the role assistant are under the loss.  An empty
-    table gives an empty result; other columns are not read.
+    longer path, then to the smaller leaf.  ``loss`` has (turn_start, start, end) for each turn, code
+    points in ``formatted``: the escaped texts of the role assistant are under the loss, and of other
+    turns start and end are null.  An empty table gives an empty result; other columns are not read.
     """
     paths = reply_paths(messages)
-    said = messages.select(F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    turn = F.struct((-F.col("up")).alias("at"), "role", "text")
-    whole = (
-        paths.join(said, F.col("node") == F.col("n"))
-        .groupBy("tree", "leaf")
-        .agg(F.sum("score").alias("score"), F.count("*").alias("turns"), F.sort_array(F.collect_list(turn)).alias("path"))
-    )
+    role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
+    said = messages.select(F.col("node").alias("n"), role.alias("role"), text.alias("text"), (F.col("role") == "assistant").alias("taught"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    size = F.lit(len(TURN + TEXT + END)) + F.length("role") + F.length("text")
+    before = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = paths.join(said, F.col("node") == F.col("n")).withColumn("turn_start", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    start = F.when(F.col("taught"), F.col("turn_start") + len(TURN + TEXT) + F.length("role"))
+    turn = F.struct("turn_start", "role", "text", start.alias("start"), (start + F.length("text")).alias("end"))
+    whole = placed.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("turns"), F.sort_array(F.collect_list(turn)).alias("path"))
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("turns"), "leaf")
     whole = whole.withColumn("path_rank", F.row_number().over(order))
     if best is not None:
         whole = whole.where(F.col("path_rank") <= best)
-    parts = F.transform(
-        "path",
-        lambda t: F.array(
-            F.struct(F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")),
-            F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
-        ),
-    )
-    segments = whole.select("tree", "path_rank", "score", F.flatten(parts).alias("segments"))
-    return segments.select("tree", "path_rank", "score", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    made = F.array_join(F.transform("path", lambda t: F.concat(F.lit(TURN), t["role"], F.lit(TEXT), t["text"], F.lit(END))), "")
+    loss = F.transform("path", lambda t: F.struct(t["turn_start"].alias("turn_start"), t["start"].alias("start"), t["end"].alias("end")))
+    return whole.select("tree", "path_rank", "score", made.alias("formatted"), loss.alias("loss"))
 
 
 def turns(formatted: Column) -> Column:
@@ -96,9 +90,13 @@ def turns(formatted: Column) -> Column:
     return F.transform(cut, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text")))
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(formatted: Column, loss: Column) -> Column:
+    """All text under the loss, cut out of ``formatted`` by its spans, unescaped, in order.
+
+    Each span is cut from its own turn, so the work stays in proportion to the text.
+    """
+    cut = F.zip_with(F.split(formatted, r"<\|end\|>"), loss, lambda p, s: F.when(s["start"].isNotNull(), unescape(F.substring(p, (s["start"] - s["turn_start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))))
+    return F.array_join(cut, "")
 
 
 def linear(conversations: DataFrame, tree_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:

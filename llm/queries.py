@@ -71,7 +71,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(1).select(two.alias("t")).select(F.lit(-1).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), "t.role", hostile.alias("text"))
     made = chat_format.format_trees(chat_format.linear(rows.unionByName(extra)), best=1)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = made.select(F.col("tree").alias("conv_id"), "formatted", chat_format.turns(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"))
+    read = made.select(F.col("tree").alias("conv_id"), "formatted", chat_format.turns(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss")).alias("loss"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

