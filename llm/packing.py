@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import batch, keyed, map_arrow, ship, stored
 
-#: Chunks and words that a process keeps (about 400 MB at most), the longest that it keeps, and texts encoded together.
-_CACHED_WORDS, _CACHED_BYTES, _TOGETHER = 1_200_000, 64, 256
+#: Chunks and words that a process keeps (about 150 MB at most), the longest that it keeps, and texts encoded together.
+_CACHED_WORDS, _CACHED_BYTES, _TOGETHER = 500_000, 64, 256
 #: Bytes that do not stand for themselves in the vocabulary are numbered from 256 on.
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b and b != 0xAD))}
 

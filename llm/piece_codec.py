@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from .common import batch, col, free_names, ints, map_arrow, ship
 from .words import steps
 
-#: Runs that a process keeps (about 200 MB at most), the longest that it keeps, bytes of text normalised and rows handed on together.
-_CACHED_RUNS, _CACHED_BYTES, _STEP_BYTES, _TOGETHER = 800_000, 64, 1 << 19, 256
+#: Runs that a process keeps (about 150 MB at most), the longest that it keeps, bytes of text normalised and rows handed on together.
+_CACHED_RUNS, _CACHED_BYTES, _STEP_BYTES, _TOGETHER = 600_000, 64, 1 << 19, 256
 _MARK = "▁".encode()
 _TAIL = {True: re.compile(b"(?: |%b)*\\Z" % _MARK), False: re.compile(rb" *\Z")}
 
