@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import normalize_text, words
@@ -68,28 +68,30 @@ def _parts(match: Column, sep: str) -> list[Column]:
     return [F.split(match, sep)[i].cast("int") for i in range(3)]
 
 
-def check_birth_date(value: Column, evidence: Column, today: Column) -> Column:
-    """struct<date, reason>: the date if it is ISO, plausible and confirmed by the evidence, else why not.
+def _evidence(text: Column) -> dict[str, Column]:
+    """What a normalised text says of dates; month names and numbers only where no date in digits is found."""
+    found = {
+        "iso": F.regexp_extract_all(text, F.lit(r"(?<!\d)\d{4}-\d{1,2}-\d{1,2}(?!\d)"), F.lit(0)),
+        "dotted": F.regexp_extract(text, r"(?<!\d)\d{1,2}\.\d{1,2}\.\d{2,4}(?!\d)", 0),
+        "slashed": F.regexp_extract(text, r"(?<!\d)\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}(?!\d)", 0),
+    }
+    names = F.create_map(*[F.lit(x) for pair in month_words().items() for x in pair])
+    bare = ~text.rlike(r"\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}")
+    named = F.filter(F.transform(words(text), lambda w: names[w]), lambda n: n.isNotNull())
+    return found | {"named": F.when(bare, named), "numbers": F.when(bare, F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{1,4})(?!\d)"), F.lit(1)))}
 
-    Evidence is tried as ISO anywhere, then day.month.year (the first one decides), then with
-    slashes or dashes (both parts up to 12 and different: ambiguous), then with a month's name.
-    """
-    v, text = F.trim(value), normalize_text(evidence)
-    date = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), parse_date(v, "yyyy-MM-dd"))
-    year, month, day = F.year(date), F.month(date), F.dayofmonth(date)
 
-    iso = F.regexp_extract_all(text, F.lit(r"(?<!\d)\d{4}-\d{1,2}-\d{1,2}(?!\d)"), F.lit(0))
-    by_iso = F.exists(iso, lambda m: (_parts(m, "-")[0] == year) & (_parts(m, "-")[1] == month) & (_parts(m, "-")[2] == day))
-    dotted = F.regexp_extract(text, r"(?<!\d)\d{1,2}\.\d{1,2}\.\d{2,4}(?!\d)", 0)
+def _judged(v: Column, date: Column, text: Column, e: dict[str, Column], today: Column) -> Column:
+    """struct<date, reason> from a trimmed value, its date and what the evidence says."""
+    year, month, day = F.year(date), F.month(date), F.dayofmonth(date)
+    dotted, slashed = e["dotted"], e["slashed"]
+    by_iso = F.exists(e["iso"], lambda m: (_parts(m, "-")[0] == year) & (_parts(m, "-")[1] == month) & (_parts(m, "-")[2] == day))
     d, m, y = _parts(F.when(dotted != "", dotted), r"\.")
-    slashed = F.regexp_extract(text, r"(?<!\d)\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}(?!\d)", 0)
     a, b, c = _parts(F.when(slashed != "", slashed), r"[/\-]")
     four = lambda x: F.length(F.element_at(F.split(x, r"[./\-]"), -1)) == 4
-    names = F.create_map(*[F.lit(x) for pair in month_words().items() for x in pair])
-    named = F.filter(F.transform(words(text), lambda w: names[w]), lambda n: n.isNotNull())
-    numbers = F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{1,4})(?!\d)"), F.lit(1))
-    years = F.filter(numbers, lambda n: F.length(n) == 4)
-    has = lambda xs, n: F.exists(xs, lambda x: x.cast("int") == n)
+    none = F.array().cast("array<string>")
+    named, numbers = F.coalesce(e["named"], F.array().cast("array<int>")), F.coalesce(e["numbers"], none)
+    has = lambda n, size=0: F.exists(numbers, lambda x: (x.cast("int") == n) & (F.length(x) == size if size else F.lit(True)))
     reason = (
         F.when(date.isNull(), "not a valid ISO date")
         .when(year < LEAST_YEAR, "year too early")
@@ -104,13 +106,35 @@ def check_birth_date(value: Column, evidence: Column, today: Column) -> Column:
             .when((c == year) & (((a == day) & (b == month)) | ((b == day) & (a == month))), None)
             .otherwise("evidence has another date"),
         )
-        .when(F.size(named) > 0, F.when(has(years, year) & (named[0] == month) & has(numbers, day), None).otherwise("month name does not confirm the date"))
-        .when(F.size(years) > 0, "no full date in the evidence")
+        .when(F.size(named) > 0, F.when(has(year, 4) & (F.get(named, F.lit(0)) == month) & has(day), None).otherwise("month name does not confirm the date"))
+        .when(F.exists(numbers, lambda n: F.length(n) == 4), "no full date in the evidence")
         .otherwise("format of the evidence not known")
     )
     empty = F.length(F.coalesce(v, F.lit(""))) == 0
     return F.struct(F.when(reason.isNull() & ~empty, date).alias("date"), F.when(~empty, reason).alias("reason"))
 
 
+def _iso_date(v: Column) -> Column:
+    return F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), parse_date(v, "yyyy-MM-dd"))
+
+
+def check_birth_date(value: Column, evidence: Column, today: Column) -> Column:
+    """struct<date, reason>: the date if it is ISO, plausible and confirmed by the evidence, else why not.
+
+    Evidence is tried as ISO anywhere, then day.month.year (the first one decides), then with
+    slashes or dashes (both parts up to 12 and different: ambiguous), then with a month's name.
+    """
+    v, text = F.trim(value), normalize_text(evidence)
+    return _judged(v, _iso_date(v), text, _evidence(text), today)
+
+
+def with_birth_date(df: DataFrame, value: Column, evidence: Column, today: Column, out: str) -> DataFrame:
+    """``df`` with the column ``out`` of ``check_birth_date``, computed in steps so that nothing is computed twice."""
+    base = df.withColumns({"_bv": F.trim(value), "_bt": normalize_text(evidence)})
+    base = base.withColumns({"_bd": _iso_date(F.col("_bv")), **{f"_b_{k}": c for k, c in _evidence(F.col("_bt")).items()}})
+    e = {k: F.col(f"_b_{k}") for k in ("iso", "dotted", "slashed", "named", "numbers")}
+    return base.withColumn(out, _judged(F.col("_bv"), F.col("_bd"), F.col("_bt"), e, today)).drop("_bv", "_bt", "_bd", *[f"_b_{k}" for k in e])
+
+
 def unix_nanos(ts: Column) -> Column:
     return F.unix_micros(ts) * 1000

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import search_key, search_key_any
@@ -107,10 +107,25 @@ def term_frequency(tokens: Column, query: TextQuery) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(*wanted))).cast("long")
 
 
+def _may_match(text: Column, query: TextQuery) -> Column:
+    """A cheap test that every match passes: the query's words occur as plain strings."""
+    low, whole = F.lower(text), None
+    for term in query.terms:
+        hit = F.lit(True)
+        for part in _tokens(term):
+            hit = hit & F.contains(low, F.lit(part))
+        whole = hit if whole is None else (whole | hit if query.mode == "any" else whole & hit)
+    return whole
+
+
 def text_search(docs: DataFrame, text_col: str, query: TextQuery) -> DataFrame:
-    """Matching rows with their rank, the occurrences of the query's words."""
-    tokens = tokens_of(F.col(text_col))
-    return docs.where(text_predicate(tokens, query)).withColumn("rank", term_frequency(tokens, query))
+    """Matching rows with their rank, the occurrences of the query's words.
+
+    Only texts that hold the words as strings are cut into tokens, and each of them once: match and
+    rank come out of one expression behind a generator, through which filters are not pushed.
+    """
+    ranks = F.transform(F.array(tokens_of(F.col(text_col))), lambda t: F.when(text_predicate(t, query), term_frequency(t, query)))
+    return docs.where(_may_match(F.col(text_col), query)).select("*", F.explode(F.filter(ranks, lambda r: r.isNotNull())).alias("rank"))
 
 
 def token_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,14 +133,80 @@ def token_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(tokens_of(F.col(text_col))).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
 
 
+def write_token_index(index: DataFrame, path: str, buckets: int = 256) -> None:
+    """Stores a token index in folders by token hash, so that a search reads those of its words only."""
+    index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").option("buckets", buckets).parquet(path)
+
+
+def read_token_index(spark: SparkSession, path: str, query: TextQuery, buckets: int = 256) -> DataFrame:
+    """The part of a stored token index that a query needs; beginnings may lie in any folder."""
+    index = spark.read.parquet(path)
+    words = {p for t in query.terms for p in _tokens(t)}
+    if any(t.endswith("*") for t in query.terms):
+        return index.drop("bucket")
+    wanted = [r[0] for r in spark.createDataFrame([(w,) for w in sorted(words)], "token string").select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).distinct().collect()]
+    return index.where(F.col("bucket").isin(*wanted)).drop("bucket")
+
+
 def index_search(index: DataFrame, query: TextQuery, documents: int) -> DataFrame:
-    """(id, rank): single-word terms looked up in the index; rank sums tf times ln(1 + documents / df)."""
-    wanted = sorted({p for t in query.terms for p in _tokens(t)})
-    hits = index.where(F.col("token").isin(*wanted))
-    df = hits.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("df"))
+    """(id, rank): words and beginnings looked up in the index; rank sums tf times ln(1 + documents / df) over the terms.
+
+    The index has no places of words, so terms of several words are an error: use ``text_search``.
+    """
+    terms = sorted(set(query.terms))
+    if query.mode == "phrase" or any(len(_tokens(t)) > 1 for t in terms):
+        raise SearchError("the index holds single words; search phrases in the texts")
+    named = [(t, _tokens(t)[0], t.endswith("*")) for t in terms]
+    fits = F.array(*[F.when(F.col("token").startswith(w) if prefix else F.col("token") == w, F.lit(t)) for t, w, prefix in named])
+    some = None
+    for _, w, prefix in named:
+        hit = F.col("token").startswith(w) if prefix else F.col("token") == w
+        some = hit if some is None else some | hit
+    hits = index.where(some).select("id", "tf", F.explode(F.filter(fits, lambda t: t.isNotNull())).alias("term")).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+    df = hits.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df"))
     # One row for each query word.
-    scored = hits.join(F.broadcast(df), hits.token == df.t).groupBy("id").agg(F.sum(F.col("tf") * F.log(1 + F.lit(documents) / F.col("df"))).alias("rank"), F.count("*").alias("found"))
-    return scored.where(F.col("found") >= (1 if query.mode == "any" else len(wanted))).drop("found")
+    scored = hits.join(F.broadcast(df), hits.term == df.t).groupBy("id").agg(F.sum(F.col("tf") * F.log(1 + F.lit(documents) / F.col("df"))).alias("rank"), F.count("*").alias("found"))
+    return scored.where(F.col("found") >= (1 if query.mode == "any" else len(terms))).drop("found")
+
+
+def place_search(docs: DataFrame, place: str, text: str, value: str) -> tuple[DataFrame, str | None]:
+    """(rows whose projection has all words of a place, a notice): without a word in it, the place itself is searched as a string."""
+    try:
+        query = compile_query(value, "all")
+    except SearchError:
+        return docs.where(substring_predicate(place, value)), "the place has no words; searched as part of the field"
+    return docs.where(_may_match(F.col(text), query) & text_predicate(tokens_of(F.col(text)), query) & F.contains(F.lower(place), F.lit(_tokens(query.terms[0])[0]))), None
+
+
+def status_filter(jobs: DataFrame, status: str, wanted: tuple[str, ...]) -> DataFrame:
+    return jobs.where(F.col(status).isin(*wanted))
+
+
+def facts_by_type(values: DataFrame, id_col: str, type_col: str, value_col: str) -> DataFrame:
+    """(id, type, values): a record's facts grouped by type for its card, in order."""
+    return values.groupBy(id_col, type_col).agg(F.sort_array(F.collect_set(value_col)).alias("values"))
+
+
+def listed(people: DataFrame, values: DataFrame, id_col: str, owner: str, type_col: str, value_col: str) -> DataFrame:
+    """``people`` with facts, their ``type=value`` pairs in order, or null where there are none."""
+    pair = F.concat_ws("=", type_col, value_col)
+    facts = values.groupBy(F.col(owner).alias("_o")).agg(F.array_join(F.sort_array(F.collect_list(pair)), "|").alias("facts"))
+    return people.join(facts, people[id_col] == facts["_o"], "left").drop("_o")
+
+
+def card(people: DataFrame, docs: DataFrame, id_col: str, value, owner: str = "person_fact_id") -> DataFrame:
+    """(field, value) rows of one record from both tables: bytes in hex, dates as dd.MM.yyyy, others as they are."""
+
+    def shown(f) -> Column:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        return F.concat(F.lit("0x"), F.hex(c)) if kind == "binary" else F.date_format(c, "dd.MM.yyyy") if kind == "date" else F.date_format(c, "dd.MM.yyyy HH:mm:ss") if kind == "timestamp" else c.cast("string") if kind not in ("array", "struct", "map") else F.to_json(c)
+
+    def rows(df: DataFrame, key: str, name: str) -> DataFrame:
+        made = F.array(*[F.struct(F.lit(name).alias("table"), F.lit(f.name).alias("field"), shown(f).alias("value")) for f in df.schema])
+        return df.where(F.col(key) == value).select(F.explode(made).alias("r")).select("r.*")
+
+    return rows(people, id_col, "person_facts").unionByName(rows(docs, owner, "search_docs"))
 
 
 def starts_or_equals(column: str, value: str, exact: bool) -> Column:

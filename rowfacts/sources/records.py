@@ -1,7 +1,8 @@
 """Record readers: every record of a file with its ordinal, line span, ordered string fields and error.
 
 Formats of one record a line (JSON Lines, fixed width, delimited without quote and escape) are split by
-Spark; line numbers and ordinals come from counts of blocks.  A file of quoted fields, XML, a JSON array
+Spark; line numbers and ordinals come from counts of blocks, and fixed-width and delimited lines are cut
+by built-in functions.  A file of quoted fields, XML, a JSON array
 or UTF-16/32 is one task that reads a file handle, as a record's start depends on all before it; of these a
 JSON array and lines in UTF-16/32 are held whole.
 """
@@ -9,6 +10,7 @@ JSON array and lines in UTF-16/32 are held whole.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 import re
@@ -18,11 +20,11 @@ from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import record_hash
-from .sniff import CODECS, HEAD_BYTES, byte_order_mark, decode, sniff
+from .sniff import CODECS, HEAD_BYTES, WIDE, decode, sniff
 from .structure import Structure, unique_names
 
 LONGEST = 16 << 20
@@ -47,7 +49,8 @@ class _Lines:
 
     def __next__(self) -> str:
         self.at += 1
-        return next(self.lines).replace("\0", "�")
+        line = next(self.lines).replace("\0", "�")
+        return line.removeprefix("\ufeff") if self.at == 1 else line
 
 
 def _csv_settings(s: Structure) -> dict:
@@ -178,12 +181,12 @@ def json_array(text: str, s: Structure) -> Iterator[Record]:
     if not at:
         yield Record(None, None, [], ("invalid_json", "the file is no JSON array"))
         return
-    place, gap = at.end(), re.compile(r"[\s,]*")
+    place, gap, line, counted = at.end(), re.compile(r"[\s,]*"), 1, 0
     while True:
         place = gap.match(text, place).end()
         if place >= len(text) or text[place] == "]":
             return
-        line = text.count("\n", 0, place) + 1
+        line, counted = line + text.count("\n", counted, place), place
         try:
             value, end = _JSON.raw_decode(text, place)
         except ValueError as e:
@@ -194,16 +197,31 @@ def json_array(text: str, s: Structure) -> Iterator[Record]:
         place = end
 
 
+def _declares_entities(source: io.BufferedIOBase) -> bool:
+    """Whether an entity is declared before the first element, where alone that may be."""
+    from xml.parsers import expat
+
+    found: list[bool] = []
+    reader = expat.ParserCreate()
+    reader.EntityDeclHandler = lambda *_: found.append(True)
+    reader.StartElementHandler = lambda *_: found.append(False)
+    while not found and (part := source.read(1 << 16)):
+        try:
+            reader.Parse(part)
+        except expat.ExpatError:
+            break
+    return bool(found and found[0])
+
+
 def xml(content: bytes | io.BufferedIOBase, s: Structure) -> Iterator[Record]:
     """Elements at the record path, matched by local names or by namespace URI; entities are refused."""
     from xml.etree import ElementTree
 
     source = io.BytesIO(content) if isinstance(content, bytes) else content
-    head = source.read(1 << 20)
-    source.seek(0)
-    if b"<!ENTITY" in head:
+    if _declares_entities(source):
         yield Record(None, None, [], ("forbidden_entity", "entity declarations are not read"))
         return
+    source.seek(0)
     absolute = s.record_path.startswith("/")
     path = []
     for part in s.record_path.strip("/").split("/"):
@@ -252,10 +270,10 @@ def xml(content: bytes | io.BufferedIOBase, s: Structure) -> Iterator[Record]:
 
 
 def parse(content: bytes, s: Structure) -> Iterator[Record]:
+    """Records of whole content; UTF-8 where the structure names no encoding."""
     if s.format == "xml":
         return xml(content, s)
-    encoding = s.encoding or sniff(content)["encoding"] or "utf-8"
-    return {"delimited": delimited, "fixed_width": fixed_width, "jsonl": jsonl, "json_array": json_array}[s.format](decode(content, encoding), s)
+    return {"delimited": delimited, "fixed_width": fixed_width, "jsonl": jsonl, "json_array": json_array}[s.format](decode(content, s.encoding or "utf-8"), s)
 
 
 _SCHEMA = "file_id string, ordinal long, line long, end_line long, fields array<struct<name:string,value:string>>, error struct<code:string,message:string>"
@@ -274,9 +292,23 @@ def _open(file: str):
     return system.open_input_file(at)
 
 
-def _encoding(file: str) -> str:
-    with _open(file) as f:
-        return sniff(f.read(HEAD_BYTES + 1))["encoding"] or "utf-8"
+def _heads(batches):
+    """The first bytes of each file, and whether they are all."""
+    for b in batches:
+        heads = []
+        for file in b.column(0).to_pylist():
+            with _open(file) as f:
+                heads.append(f.read(HEAD_BYTES + 1))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([h[:HEAD_BYTES] for h in heads], pa.binary()), pa.array([len(h) <= HEAD_BYTES for h in heads], pa.bool_())], names=["file_id", "url", "length", "head", "whole"])
+
+
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, url, length, binary_kind, encoding, confidence, source) of all files at ``path``, told from their first bytes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file_id"), F.col("_metadata.file_path").alias("url"), "length")
+    heads = found.mapInArrow(_heads, "file_id string, url string, length long, head binary, whole boolean")
+    told = sniff(heads, "head", "whole").drop("head", "whole")
+    # Filters on the told columns stop here: pushed further they would repeat the expressions behind them.
+    return told.mapInArrow(lambda batches: batches, told.schema)
 
 
 def _parse_file(file: str, encoding: str, s: Structure) -> Iterator[Record]:
@@ -284,8 +316,6 @@ def _parse_file(file: str, encoding: str, s: Structure) -> Iterator[Record]:
         if s.format == "xml":
             yield from xml(f, s)
         elif s.format == "delimited":
-            mark, skip = byte_order_mark(f.read(4))
-            f.seek(skip if mark is not None and CODECS.get(encoding) == CODECS[mark] else 0)
             yield from delimited(io.TextIOWrapper(f, CODECS[encoding], "replace", newline=None), s)
         else:
             yield from parse(f.read(), replace(s, encoding=encoding))
@@ -300,21 +330,12 @@ def _shown(file: str, n: int, r: Record) -> dict:
     return {"file_id": file, "ordinal": n, "line": r.line, "end_line": r.end_line, "fields": [{"name": k, "value": v} for k, v in r.fields], "error": r.error and {"code": r.error[0], "message": r.error[1]}}
 
 
-def _wide(encoding: str) -> bool:
-    return encoding.startswith(("utf-16", "utf-32"))
-
-
 def read_records(spark: SparkSession, path: str, s: Structure, after: int = 0) -> DataFrame:
     """Records of all files at ``path`` with ordinals from 1; those up to ``after`` are skipped (resume)."""
     if s.problems():
         raise ValueError("; ".join(s.problems()))
     by_line = s.format in ("jsonl", "fixed_width") or s.format == "delimited" and not s.quote and not s.escape
 
-    def choose(batches):
-        for b in batches:
-            codes = [s.encoding or ("utf-8" if s.format == "xml" else _encoding(f)) for f in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.string()), pa.array([by_line and not _wide(c) for c in codes], pa.bool_())], names=["file_id", "url", "encoding", "split"])
-
     def run(batches):
         def rows():
             for b in batches:
@@ -323,38 +344,63 @@ def read_records(spark: SparkSession, path: str, s: Structure, after: int = 0) -
 
         return _batches(rows())
 
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file_id"), F.col("_metadata.file_path").alias("url"))
-    files = found.mapInArrow(choose, "file_id string, url string, encoding string, split boolean")
-    made = files.where("NOT split").select("file_id", "encoding").mapInArrow(run, _SCHEMA)
-    if by_line and not _wide(s.encoding or ""):
-        made = _line_records(spark, path, s, files.where("split").select("file_id", "url", "encoding"), after).unionByName(made)
+    if s.encoding or s.format == "xml":
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        files = found.select(F.col("path").alias("file_id"), F.col("_metadata.file_path").alias("url"), F.lit(s.encoding or "utf-8").alias("encoding"))
+    else:
+        # A row for each file, used several times: kept, so that heads are read and told once.
+        files = file_heads(spark, path).select("file_id", "url", F.coalesce("encoding", F.lit("utf-8")).alias("encoding")).persist()
+    split = F.lit(by_line) & ~F.col("encoding").isin(*WIDE)
+    made = files.where(~split).select("file_id", "encoding").mapInArrow(run, _SCHEMA)
+    if by_line and s.encoding not in WIDE:
+        made = _line_records(spark, path, s, files.where(split), after).unionByName(made)
     return made.withColumn("hash", F.when(F.col("error").isNull(), record_hash(F.col("fields"))))
 
 
-class _LineParser:
-    """Records of single lines of one file, with names from its header or its first record."""
+def text_of(value: Column, encoding: Column) -> Column:
+    """The text of a line's bytes in one of the encodings that are not wide; wrong bytes become U+FFFD."""
+    latin, high = F.decode(value, "ISO-8859-1"), bytes(range(128, 256))
+    made = F
+    for name, codec in CODECS.items():
+        if name not in WIDE and codec != "utf-8":
+            made = made.when(encoding == name, F.translate(latin, high.decode("latin-1"), high.decode(codec, "replace") if codec != "ascii" else "�" * 128))
+    return made.otherwise(F.make_valid_utf8(value.cast("string")))
 
-    def __init__(self, s: Structure, header: str | None, first: str | None):
-        self.s = s
-        if s.format == "fixed_width":
-            self.names = unique_names(list(s.columns) or (cut(header, s.widths) if header is not None else []) or [None] * len(s.widths))
-        elif s.format == "delimited":
-            named = self.row(header) if header is not None else []
-            self.shown = [h.strip().casefold() for h in named]
-            self.names = unique_names(list(s.columns) or named) or unique_names([None] * len(self.row(first or "")))
-
-    def row(self, line: str) -> list[str]:
-        return next(csv.reader([line.replace("\0", "�")], **_csv_settings(self.s)), [])
-
-    def record(self, line: str, n: int) -> Record:
-        if self.s.format == "jsonl":
-            return json_line(line, n)
-        if self.s.format == "fixed_width":
-            return Record(n, n, list(zip(self.names, cut(line, self.s.widths), strict=True)))
-        try:
-            return _csv_record(self.row(line), self.names, self.shown, n, n)
-        except csv.Error:
-            return Record(n, n, [], ("decode_error", "wrong use of quotes"))
+
+def _cut_names(s: Structure, header: str | None, first: str | None) -> list[str]:
+    """The names of a file's columns, from its header or by counting its first record."""
+    cells = (lambda line: cut(line, s.widths)) if s.format == "fixed_width" else (lambda line: line.split(s.delimiter))
+    size = len(s.widths) if s.format == "fixed_width" else len(cells(first or ""))
+    return unique_names(list(s.columns) or (cells(header) if header is not None else []) or [None] * size)
+
+
+def _cut_lines(placed: DataFrame, heads: DataFrame, s: Structure, with_header: bool) -> DataFrame:
+    """Fixed-width and delimited records, cut by built-in functions."""
+    text = lambda c: F.regexp_replace(F.translate(text_of(F.col(c), F.col("encoding")), "\0", "�"), "^\ufeff", "")
+
+    def name(batches):  # a row for each file
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_cut_names(s, h if with_header else None, f) for h, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.list_(pa.string()))], names=["file", "header", "names"])
+
+    named = heads.select("file_id", text("header").alias("header"), text("first").alias("first")).mapInArrow(name, "file string, header string, names array<string>")
+    lines = placed.join(F.broadcast(named), F.col("file_id") == F.col("file")).withColumn("text", F.when(F.col("line") == 1, text("value")).otherwise(F.translate(text_of(F.col("value"), F.col("encoding")), "\0", "�")))
+    if s.format == "fixed_width":
+        starts = [sum(s.widths[:i]) + 1 for i in range(len(s.widths))]
+        cells = F.array(*[F.trim(F.substring("text", a, w if i < len(starts) - 1 else LONGEST), F.lit(" \t")) for i, (a, w) in enumerate(zip(starts, s.widths, strict=True))])
+        error = F.lit(None).cast("struct<code:string,message:string>")
+    else:
+        cells = F.split("text", "\\Q" + s.delimiter + "\\E", -1)
+        n, m = F.size("cells"), F.size("names")
+        said = F.concat(n.cast("string"), F.lit(" fields, "), m.cast("string"), F.lit(" expected"))
+        fault = lambda code, message: F.struct(F.lit(code).alias("code"), message.alias("message"))
+        same = lambda x: F.transform(x, lambda v: F.lower(F.trim(v)))
+        error = F.when(n > m, fault("field_count_mismatch", said)).when(n < m, fault("short_record", said))
+        if with_header:
+            error = error.when(same(F.col("cells")) == same(F.split("header", "\\Q" + s.delimiter + "\\E", -1)), fault("structure_changed", F.lit("the header occurs again")))
+    lines = lines.withColumn("cells", cells).withColumn("error", error)
+    fields = F.zip_with("names", "cells", lambda k, v: F.struct(k.alias("name"), v.alias("value")))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return lines.select("file_id", "ordinal", "line", F.col("line").alias("end_line"), F.when(F.col("error").isNull(), fields).otherwise(none).alias("fields"), "error")
 
 
 def _line_records(spark: SparkSession, path: str, s: Structure, files: DataFrame, after: int) -> DataFrame:
@@ -374,32 +420,45 @@ def _line_records(spark: SparkSession, path: str, s: Structure, files: DataFrame
     lines = lines.join(F.broadcast(files), "url").select("file_id", "block", "encoding", "value")
     every = _numbered(lines, filled)
     is_record = F.col("filled") & (F.col("line") > lead)
-    heads = every.groupBy("file_id").agg(
+    heads = every.groupBy("file_id", "encoding").agg(
         F.count(F.when(F.col("filled") & (F.col("line") <= lead), 1)).alias("lead_filled"),
         F.max(F.when(F.col("line") == lead, F.col("value"))).alias("header"),
         F.min_by(F.when(is_record, F.col("value")), F.when(is_record, F.col("line"))).alias("first"),
     )
-    placed = every.join(F.broadcast(heads), "file_id").where(is_record).withColumn("ordinal", F.col("nth") - F.col("lead_filled")).where(F.col("ordinal") > after)
-    with_header = lead > s.skip_rows
+    placed = every.join(F.broadcast(heads.select("file_id", "lead_filled")), "file_id").where(is_record).withColumn("ordinal", F.col("nth") - F.col("lead_filled")).where(F.col("ordinal") > after)
+    if s.format != "jsonl":
+        return _cut_lines(placed, heads, s, lead > s.skip_rows)
 
     def run(batches):
-        parsers: dict[str, _LineParser] = {}
-
         def rows():
             for b in batches:
-                for file, encoding, n, line, value, header, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    text = lambda v: None if v is None else v.decode(CODECS[encoding], "replace").removeprefix("\ufeff" if encoding.startswith("utf-8") else "")  # noqa: B023, E731
-                    if file not in parsers:
-                        parsers[file] = _LineParser(s, text(header) if with_header else None, text(first))
-                    yield _shown(file, n, parsers[file].record(text(value) if line == 1 else value.decode(CODECS[encoding], "replace"), line))
+                for file, encoding, n, line, value in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    text = value.decode(CODECS[encoding], "replace")
+                    yield _shown(file, n, json_line(text.removeprefix("\ufeff") if line == 1 else text, line))
 
         return _batches(rows())
 
-    return placed.select("file_id", "encoding", "ordinal", "line", "value", "header", "first").mapInArrow(run, _SCHEMA)
+    return placed.select("file_id", "encoding", "ordinal", "line", "value").mapInArrow(run, _SCHEMA)
+
+
+def _content_hash(batches):
+    """SHA-256 of each file, in blocks of 1 MiB from a handle, so that files may have any size."""
+    for b in batches:
+        found = []
+        for file in b.column(b.num_columns - 1).to_pylist():
+            digest = hashlib.sha256()
+            with _open(file) as f:
+                while part := f.read(1 << 20):
+                    digest.update(part)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string())], names=[*b.schema.names[:-1], "content_hash"])
+
 
+def scan_folder(spark: SparkSession, path: str, hidden: bool = False) -> DataFrame:
+    """Files below a folder with name, extension, kind hint, size, time and content hash.
 
-def scan_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder with name, extension, kind hint, size, time and content hash."""
+    Files and folders whose name begins with a dot, and the system's own, are left out unless ``hidden``.
+    """
     text = "csv tsv tab txt dat prn psv dsv xml jsonl ndjson json log asc lst out list".split()
     adapter = "xlsx xlsm xls ods docx doc rtf odt mdb accdb dbf".split()
     binary = "pdf png jpg jpeg gif bmp tif tiff webp heic ico svgz zip rar 7z gz tgz bz2 xz tar cab iso exe dll sys msi bin dmp mp3 wav flac ogg m4a mp4 avi mkv mov wmv sqlite db mdf ldf bak pst".split()
@@ -407,7 +466,10 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     hint = F.when(ext.isin(text), "text_candidate").when(ext.isin(adapter), "adapter_required").when(ext.isin(binary), "binary").otherwise("unknown")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", name.alias("name"), ext.alias("extension"), hint.alias("hint"), "length", "modificationTime", F.sha2("content", 256).alias("content_hash"))
+    if not hidden:
+        files = files.where(~F.col("path").rlike(r"(?i)/(\.[^/]+|\$recycle\.bin|system volume information|thumbs\.db|desktop\.ini)(/|$)"))
+    seen = files.select("path", name.alias("name"), ext.alias("extension"), hint.alias("hint"), "length", "modificationTime", F.col("_metadata.file_path").alias("url"))
+    return seen.mapInArrow(_content_hash, "path string, name string, extension string, hint string, length long, modificationTime timestamp, content_hash string")
 
 
 def _numbered(lines: DataFrame, filled: Callable[[bytes, str], bool]) -> DataFrame:
