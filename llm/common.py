@@ -113,9 +113,30 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, unique: bool = False) ->
     return with_key(rows, "doc_id", "text")[0].select("doc_key", "doc_id", "text")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def register_cache(name: str, clear: Callable[[], None]) -> None:
+    """Names what a worker process keeps between tasks of one operator, and how to drop it."""
+    _caches[name] = clear
+
+
+def drop_caches(keep: str | None) -> None:
+    """Drops what other operators' tasks have left in this process, so that stages don't add up in memory."""
+    for name, clear in _caches.items():
+        if name != keep:
+            clear()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, cache: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` whose tasks drop all caches of their worker but ``cache``."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        drop_caches(cache)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(columns: Sequence[tuple[str, object]]) -> pa.RecordBatch:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, col, keyed, map_arrow, ship
+from .common import batch, col, keyed, map_arrow, register_cache, ship
 from .words import _LOWER, steps
 
 ORDER = 3
@@ -145,6 +145,7 @@ class Model:
 
 
 _models: dict[str, Model] = {}
+register_cache("languages", _models.clear)
 
 
 def learn(taught: DataFrame):
@@ -195,7 +196,7 @@ def predict(texts: DataFrame, statistics, keep: tuple[str, ...], text_col: str =
                     score[letters] = share[letters]
                 yield batch([(n, b.column(i)[r0:r1]) for i, n in enumerate(b.schema.names[:-1])] + [("lang_pred", pa.array(names.tolist(), pa.string())), ("score", score)])
 
-    return map_arrow(base, run, schema + "lang_pred string, score double")
+    return map_arrow(base, run, schema + "lang_pred string, score double", cache="languages")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, part: int = 2) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, keyed, map_arrow, ship, stored
+from .common import batch, keyed, map_arrow, register_cache, ship, stored
 
 #: Chunks and words that a process keeps (about 150 MB at most), the longest that it keeps, and texts encoded together.
 _CACHED_WORDS, _CACHED_BYTES, _TOGETHER = 500_000, 64, 256
@@ -209,6 +209,7 @@ class WordIds:
 
 
 _codecs: dict[str, WordIds] = {}
+register_cache("packing", _codecs.clear)
 
 
 def word_ids(path: str) -> WordIds:
@@ -260,7 +261,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ship(spark)
     names = "doc_key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long"
     schema = names + (", ids array<int>" if keep_ids else "")
-    pieces = stored(map_arrow(keyed(docs, id_col, text_col), _pieces(tokenizer, capacity, end_id, keep_ids), schema), "pieces")
+    pieces = stored(map_arrow(keyed(docs, id_col, text_col), _pieces(tokenizer, capacity, end_id, keep_ids), schema, cache="packing"), "pieces")
     counts = pieces.groupBy(F.col("task").alias("t"), F.col("length").alias("n")).agg(F.count("*").alias("many"))
     before = Window.partitionBy("n").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("t", "n", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("base"))

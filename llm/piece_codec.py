@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, col, free_names, ints, map_arrow, ship
+from .common import batch, col, free_names, ints, map_arrow, register_cache, ship
 from .words import steps
 
 #: Runs that a process keeps (about 150 MB at most), the longest that it keeps, bytes of text normalised and rows handed on together.
@@ -211,6 +211,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+register_cache("pieces", _codecs.clear)
 
 
 def codec(path: str) -> Codec:
@@ -245,7 +246,7 @@ def encode(texts: DataFrame, model: str, text_col: str = "text", keep: tuple[str
                     yield batch([(n, x[r0 + low : r0 + low + len(rows) - 1]) for n, x in kept] + lists)
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema[:-1])
-    return map_arrow(base, run, schema + ", ".join(f"{n} array<int>" for n in names))
+    return map_arrow(base, run, schema + ", ".join(f"{n} array<int>" for n in names), cache="pieces")
 
 
 def decode(pieces: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -266,4 +267,4 @@ def decode(pieces: DataFrame, model: str, ids_col: str = "ids", text_col: str =
                 texts = [library.decode(ids) if ids else "" for ids in part.column(b.num_columns - 1).to_pylist()]
                 yield batch([(n, part.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [(text_col, pa.array(texts, pa.string()))])
 
-    return map_arrow(base, run, schema + f"`{text_col}` string")
+    return map_arrow(base, run, schema + f"`{text_col}` string", cache="pieces")
