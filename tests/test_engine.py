@@ -275,3 +275,28 @@ def test_helpers(spark):
     assert batching.backoff_seconds(3, 0.5) == 2.0 and batching.backoff_seconds(9, 1.0, retry_after=7.0) == 7.0
     assert spark.range(1).select(F.round(batching.calibrated(F.array(F.lit(2.0), F.lit(9.0))), 3)).first()[0] == 2.5
     assert spark.range(1).select(records.file_code(F.lit("p"), F.lit("h"))).first()[0].startswith("T_")
+
+
+def test_cards_places_and_stored_index(spark, tmp_path):
+    people = spark.createDataFrame([(1, "Тестов", datetime.date(1990, 2, 15), b"\x01\xff", "Тверь"), (2, "Петров", None, None, "!!! 12")], "id long, surname string, birth_date date, mark binary, birth_place string")
+    docs = spark.createDataFrame([(1, "тестов тверь"), (2, "петров 12")], "person_fact_id long, all_text string")
+    shown = {(r.table, r.field): r.value for r in search.card(people, docs, "id", 1).collect()}
+    assert shown["person_facts", "birth_date"] == "15.02.1990" and shown["person_facts", "mark"] == "0x01FF" and shown["search_docs", "all_text"] == "тестов тверь"
+    joined = people.join(docs, people.id == docs.person_fact_id)
+    found, notice = search.place_search(joined, "birth_place", "all_text", "Тверь")
+    assert [r.id for r in found.collect()] == [1] and notice is None
+    found, notice = search.place_search(joined, "birth_place", "all_text", "!!!")
+    assert [r.id for r in found.collect()] == [2] and notice
+    path = str(tmp_path / "index")
+    search.write_token_index(search.token_index(docs, "person_fact_id", "all_text"), path, 8)
+    for words, want in (("тестов тверь", [1]), ("тест*", [1]), ("12", [2])):
+        query = search.compile_query(words)
+        assert [r.id for r in search.index_search(search.read_token_index(spark, path, query, 8), query, 2).collect()] == want
+    with pytest.raises(search.SearchError):
+        search.index_search(docs, search.compile_query('"тестов тверь"'), 2)
+
+
+def test_answers(spark):
+    said = ["```json\n[{\"source_row_id\":\"1\",\"persons\":[null,{\"surname\":\"Ann\"}]}]\n```", '{"rows":[{"source_row_id":"2","status":"no_facts"}]}', "no json"]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "a string").select(extract.parse_answer(F.col("a"))).collect()]
+    assert got[0][0].persons[1].surname == "Ann" and got[1][0].status == "no_facts" and not got[2]
