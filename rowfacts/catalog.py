@@ -572,6 +572,20 @@ def delimiter_guess(spark, sf_dir):
     return checks.delimiter_guess(lines, "c_mktsegment", "line")
 
 
+@query(
+    """WITH l AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag <> 'R') AS filled, count(*) FILTER (l_returnflag = 'A') AS cut FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1),
+    r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'binary' WHEN o_orderpriority = '5-LOW' THEN 'zip' WHEN coalesce(filled, 0) = 0 THEN 'empty' WHEN cut = 0 OR cut < 0.8 * filled THEN 'no_delimiter' END AS reason FROM orders LEFT JOIN l ON k = o_orderkey)
+    SELECT o_orderkey, CASE WHEN reason IS NULL THEN ';' END AS delimiter, CASE WHEN reason IS NULL THEN 'tabular' WHEN reason = 'empty' THEN 'not_tabular' WHEN reason = 'no_delimiter' THEN 'needs_configuration' ELSE 'not_supported' END AS status, reason FROM r"""
+)
+def detected_status(spark, sf_dir):
+    """Orders as files and their lines as lines: delimited, plain or blank by the return flag."""
+    files = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "binary").otherwise("unknown").alias("hint"), F.when(F.col("o_orderpriority") == "5-LOW", "zip").alias("binary_kind"))
+    flag = F.col("l_returnflag")
+    line = F.when(flag == "R", " ").when(flag == "A", F.concat_ws(";", flag, "l_linestatus")).otherwise(F.col("l_linestatus"))
+    lines = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", line.alias("line"))
+    return checks.detected(files, lines, "o_orderkey", "l_linenumber", "line")
+
+
 @query(
     """WITH c AS (SELECT o_orderpriority AS p, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), m AS (SELECT p, n, count(*) AS many FROM c GROUP BY ALL),
     r AS (SELECT p, n, row_number() OVER (PARTITION BY p ORDER BY many DESC, n = 4 DESC, n DESC) AS k FROM m) SELECT p AS o_orderpriority, 4 AS declared, n AS mode, n = 4 AS matches FROM r WHERE k = 1"""

@@ -11,15 +11,27 @@ from .text import digits_only
 RECORD = (
     "file_id string, ordinal long, line long, end_line long, fields array<struct<name:string,value:string>>, hash string, error struct<code:string,message:string>"
 )
+# Bytes around a record and around a chunk of records.
+RECORD_OVERHEAD, CHUNK_OVERHEAD = 160, 1024
 FACTS = "array<struct<type:string,label:string,value:string,normalized_value:string,source_column:string,evidence:string,search_key:string>>"
 UNRESOLVED = "array<struct<field:string,raw_value:string,reason:string>>"
 ALL_JSON = f"schema_version int, kind string, identity_status string, facts {FACTS}, unresolved_fields {UNRESOLVED}, warnings array<string>"
 
 
-def record_hash(fields: Column) -> Column:
-    """SHA-256 of the compact JSON [[name, value], ...] in the fields' own order."""
+def record_json(fields: Column) -> Column:
+    """The compact JSON [[name, value], ...] in the fields' own order."""
     pairs = F.transform(fields, lambda f: F.array(f["name"], f["value"]))
-    return F.sha2(F.to_json(pairs, {"ignoreNullFields": "false"}), 256)
+    return F.to_json(pairs, {"ignoreNullFields": "false"})
+
+
+def record_hash(fields: Column) -> Column:
+    """SHA-256 of a record's JSON."""
+    return F.sha2(record_json(fields), 256)
+
+
+def record_bytes(fields: Column) -> Column:
+    """What a record takes in a chunk: the bytes of its JSON and what goes around it."""
+    return (F.octet_length(record_json(fields)) + RECORD_OVERHEAD).cast("long")
 
 
 def extraction_version(prompt: Column, *parts: Column) -> Column:

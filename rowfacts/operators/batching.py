@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.records import CHUNK_OVERHEAD, RECORD_OVERHEAD, record_bytes
+
 
 def greedy_batches(df: DataFrame, by: list[str], order: str, weight: Column, max_rows: int, max_weight: int) -> DataFrame:
     """Number of each row's batch: rows in order fill a batch until a row or weight limit would break.
@@ -39,6 +41,12 @@ def greedy_batches(df: DataFrame, by: list[str], order: str, weight: Column, max
     return placed.mapInArrow(run, schema)
 
 
+def chunked(records: DataFrame, max_rows: int, max_bytes: int = 16 << 20) -> DataFrame:
+    """(file_id, ordinal, batch): records in order fill chunks of at most ``max_bytes`` of JSON; errors count by their message."""
+    size = F.when(F.col("error").isNull(), record_bytes(F.col("fields"))).otherwise(RECORD_OVERHEAD + 3 * F.length("error.message"))
+    return greedy_batches(records, ["file_id"], "ordinal", size, max_rows, max_bytes - CHUNK_OVERHEAD)
+
+
 def calibrated(ratios: Column) -> Column:
     """Running estimate of actual over estimated tokens: each ratio kept in 0.5..3, weight 1/n but at least 0.05."""
     start = F.struct(F.lit(0).alias("n"), F.lit(1.0).alias("v"))

@@ -56,6 +56,26 @@ def delimiter_guess(lines: DataFrame, by: str, text: str) -> DataFrame:
     return fit.groupBy(by).agg(F.max_by("delimiter", F.struct("mode.lines", "mode.n", "place")).alias("delimiter"))
 
 
+def detected(files: DataFrame, lines: DataFrame, by: str, ordinal: str, text: str, hint: str = "hint", binary: str = "binary_kind") -> DataFrame:
+    """(by, delimiter, status, reason) for each of ``files``: what a sample of its lines says about it.
+
+    not_supported where the name or the content tell a binary or a document format, not_tabular where the
+    sample is empty, needs_configuration where no delimiter fits, tabular otherwise.
+    """
+    sampled = sample_lines(lines, by, ordinal, text)
+    filled = sampled.groupBy(by).agg(F.count_if(F.length(F.trim(F.col(text))) > 0).alias("_filled"))
+    told = files.select(by, hint, binary).join(filled, by, "left").join(delimiter_guess(sampled, by, text), by, "left")
+    reason = (
+        F.when(F.col(hint).isin("binary", "adapter_required"), F.col(hint))
+        .when(F.col(binary).isNotNull(), F.col(binary))
+        .when(F.coalesce("_filled", F.lit(0)) == 0, "empty")
+        .when(F.col("delimiter").isNull(), "no_delimiter")
+    )
+    told = told.withColumn("reason", reason)
+    status = F.when(F.col("reason").isNull(), "tabular").when(F.col("reason") == "empty", "not_tabular").when(F.col("reason") == "no_delimiter", "needs_configuration").otherwise("not_supported")
+    return told.select(by, F.when(F.col("reason").isNull(), F.col("delimiter")).alias("delimiter"), status.alias("status"), "reason")
+
+
 def field_count_mode(counts: DataFrame, by: str, n: str, declared: str) -> DataFrame:
     """(by, declared, mode, matches): the most frequent number of fields; of equal frequencies the declared one wins, then the larger."""
     many = counts.groupBy(by, declared, n).agg(F.count("*").alias("many"))

@@ -25,6 +25,9 @@ TABLES = {
     "row_errors": "file_id string, extraction_version string, ordinal long, stage string, code string, message string",
     "commit_log": "commit_id string, rows long, requests long",
 }
+#: Folders of each table by source; a commit reads those of its own sources only.
+BUCKETS = 64
+ID_OF = {"person_facts": "id", "search_docs": "person_fact_id", "fact_values": "person_fact_id"}
 
 
 def observation_id(source_seq: Column, ordinal: Column, person_index: Column) -> Column:
@@ -32,21 +35,42 @@ def observation_id(source_seq: Column, ordinal: Column, person_index: Column) ->
     return F.shiftleft(source_seq.cast("long"), 44) + F.shiftleft(ordinal.cast("long"), 10) + (person_index + 1).cast("long")
 
 
+def bucket_of(name: str) -> Column | None:
+    """The folder number of a row: by its source's number where the id has it, else by file and version; small tables have none."""
+    if name in ID_OF:
+        return F.pmod(F.shiftright(ID_OF[name], 44), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(*SOURCE), F.lit(BUCKETS)).cast("int") if name in ("row_outcomes", "row_errors") else None
+
+
 class Store:
-    """Parquet tables below one folder."""
+    """Parquet tables below one folder, those that grow with the records in folders by source."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, like: DataFrame | None = None) -> DataFrame:
+        """A table, or only the folders that the rows of ``like`` belong to; a table not written yet is empty."""
+        bucket = bucket_of(name)
+        schema = TABLES[name] + (", bucket int" if bucket is not None else "")
         try:
-            return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
-        except AnalysisException:
+            found = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], TABLES[name])
+        if like is not None and bucket is not None:
+            # At most BUCKETS numbers.
+            found = found.where(F.col("bucket").isin([r[0] for r in like.select(bucket.alias("b")).distinct().collect()]))
+        return found.drop("bucket")
 
     def append(self, name: str, rows: DataFrame) -> None:
         wanted = [F.col(c.split()[0]).cast(c.split()[1]) for c in TABLES[name].split(", ")]
-        rows.select(*wanted).write.mode("append").parquet(f"{self.root}/{name}")
+        rows, bucket = rows.select(*wanted), bucket_of(name)
+        if bucket is None:
+            rows.write.mode("append").parquet(f"{self.root}/{name}")
+        else:
+            # Rebalancing makes few files of a folder and splits the rows of a large source.
+            rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.root}/{name}")
 
     def with_source_seq(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the stored number of their file and extraction version; new ones get the next numbers, in order."""
@@ -60,8 +84,7 @@ class Store:
         try:
             n = new.count()
             if n:
-                used = [known.agg(F.max("source_seq")).first()[0], self.read("person_facts").agg(F.max(F.shiftright("id", 44))).first()[0]]
-                last = max((x for x in used if x is not None), default=0)
+                last = known.agg(F.max("source_seq")).first()[0] or 0  # sources are written before all that has their numbers
                 if last + n > MOST_SOURCES:
                     raise ValueError(f"{last + n} sources, {MOST_SOURCES} at most")
                 self.append("sources", new.withColumn("source_seq", F.row_number().over(Window.orderBy(*SOURCE)) + F.lit(last)))
@@ -80,13 +103,13 @@ class Store:
         if "error" not in verified.columns:
             verified = verified.withColumn("error", F.lit(None).cast("struct<code:string,message:string>"))
         rows = verified.dropDuplicates(KEY)
-        fresh = rows.join(self.read("row_outcomes").select(*KEY), KEY, "left_anti").persist()
+        fresh = rows.join(self.read("row_outcomes", rows).select(*KEY), KEY, "left_anti").persist()
         try:
             n_all, n_new = rows.count(), fresh.count()
             people = self.with_source_seq(fresh.where("outcome = 1")).withColumns({"person_index": F.lit(0), "id": observation_id(F.col("source_seq"), F.col("ordinal"), F.lit(0))})
             people = people.withColumn("all_json", all_json(F.lit("person"), F.col("identity_status"), F.col("facts"), F.col("unresolved"), F.array().cast("array<string>")))
             # An earlier run may have died between tables: what it wrote is not written again.
-            observed = people.join(self.read("person_facts").select("id"), "id", "left_anti")
+            observed = people.join(self.read("person_facts", people).select("id"), "id", "left_anti")
             said = facts_text(F.col("facts"), F.col("unresolved"))
             named = F.concat_ws(" ", "surname", "name", "patronymic")
             whole = search_text(F.col("surname"), F.col("name"), F.col("patronymic"), F.col("birth_date"), F.col("birth_place"), said, F.col("file_id"))
@@ -94,10 +117,10 @@ class Store:
             values = people.select(F.col("id").alias("person_fact_id"), F.explode("facts").alias("f")).select(F.col("f.type").alias("fact_type"), F.col("f.search_key").alias("normalized_value"), "person_fact_id")
             values = values.where("normalized_value IS NOT NULL").distinct()
             self.append("person_facts", observed)
-            self.append("search_docs", docs.join(self.read("search_docs").select("person_fact_id"), "person_fact_id", "left_anti"))
-            self.append("fact_values", values.join(self.read("fact_values"), ["fact_type", "normalized_value", "person_fact_id"], "left_anti"))
+            self.append("search_docs", docs.join(self.read("search_docs", docs).select("person_fact_id"), "person_fact_id", "left_anti"))
+            self.append("fact_values", values.join(self.read("fact_values", values), ["fact_type", "normalized_value", "person_fact_id"], "left_anti"))
             errors = fresh.where("outcome = 3").select(*KEY, F.lit("parse").alias("stage"), F.col("error.code").alias("code"), F.col("error.message").alias("message"))
-            self.append("row_errors", errors.join(self.read("row_errors").select(*KEY), KEY, "left_anti"))
+            self.append("row_errors", errors.join(self.read("row_errors", errors).select(*KEY), KEY, "left_anti"))
             observations = fresh.where("outcome = 1").count()
             self.append("row_outcomes", fresh.select(*KEY, "outcome", F.lit(commit_id).alias("commit_id")))
             self.append("commit_log", self.spark.range(1).select(F.lit(commit_id).alias("commit_id"), F.lit(n_new).alias("rows"), F.lit(requests).alias("requests")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.records import record_hash
+from ..functions.records import CHUNK_OVERHEAD, record_bytes, record_hash
 from .sniff import CODECS, HEAD_BYTES, WIDE, decode, sniff
 from .structure import Structure, unique_names
 
@@ -330,8 +330,11 @@ def _shown(file: str, n: int, r: Record) -> dict:
     return {"file_id": file, "ordinal": n, "line": r.line, "end_line": r.end_line, "fields": [{"name": k, "value": v} for k, v in r.fields], "error": r.error and {"code": r.error[0], "message": r.error[1]}}
 
 
-def read_records(spark: SparkSession, path: str, s: Structure, after: int = 0) -> DataFrame:
-    """Records of all files at ``path`` with ordinals from 1; those up to ``after`` are skipped (resume)."""
+def read_records(spark: SparkSession, path: str, s: Structure, after: int = 0, longest: int = LONGEST) -> DataFrame:
+    """Records of all files at ``path`` with ordinals from 1; those up to ``after`` are skipped (resume).
+
+    A record whose JSON takes over ``longest`` bytes is the error record_too_large, without its fields.
+    """
     if s.problems():
         raise ValueError("; ".join(s.problems()))
     by_line = s.format in ("jsonl", "fixed_width") or s.format == "delimited" and not s.quote and not s.escape
@@ -354,7 +357,12 @@ def read_records(spark: SparkSession, path: str, s: Structure, after: int = 0) -
     made = files.where(~split).select("file_id", "encoding").mapInArrow(run, _SCHEMA)
     if by_line and s.encoding not in WIDE:
         made = _line_records(spark, path, s, files.where(split), after).unionByName(made)
-    return made.withColumn("hash", F.when(F.col("error").isNull(), record_hash(F.col("fields"))))
+    good = F.col("error").isNull()
+    large = good & (record_bytes(F.col("fields")) + CHUNK_OVERHEAD > longest)
+    fault = F.struct(F.lit("record_too_large").alias("code"), F.lit(f"the record is over {longest} bytes").alias("message"))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    plain = [c for c in made.columns if c not in ("fields", "error")]
+    return made.select(*plain, F.when(large, none).otherwise(F.col("fields")).alias("fields"), F.when(large, fault).otherwise(F.col("error")).alias("error"), F.when(good & ~large, record_hash(F.col("fields"))).alias("hash"))
 
 
 def text_of(value: Column, encoding: Column) -> Column:

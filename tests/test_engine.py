@@ -173,6 +173,13 @@ def test_sources_and_commit(spark, tmp_path):
     rows = read_records(spark, str(tmp_path / "in"), s)
     assert [r.ordinal for r in rows.orderBy("ordinal").collect()] == [1, 2, 3, 4]
     assert read_records(spark, str(tmp_path / "in"), s, after=2).count() == 2
+    sizes = {r.ordinal: r.n for r in rows.where("error IS NULL").select("ordinal", records.record_bytes(F.col("fields")).alias("n")).collect()}
+    assert sizes[2] < sizes[1]
+    short = read_records(spark, str(tmp_path / "in"), s, longest=sizes[2] + records.CHUNK_OVERHEAD).orderBy("ordinal").collect()
+    assert [(r.error and r.error.code, len(r.fields), r.hash is None) for r in short[:2]] == [("record_too_large", 0, True), (None, 3, False)]
+    room = sizes[1] + sizes[2] + records.CHUNK_OVERHEAD
+    assert [r.batch for r in batching.chunked(rows, 10, room).orderBy("ordinal").collect()] == [0, 0, 1, 1]
+    assert [r.batch for r in batching.chunked(rows, 10, room - 1).orderBy("ordinal").collect()][:2] == [0, 1]
     verified = extract.verify(extract.extract_by_columns(rows), F.lit("2024-01-01").cast("date")).withColumn("extraction_version", F.lit("v1"))
     got = verified.orderBy("ordinal").collect()
     assert [r.outcome for r in got] == [1, 1, 2, 3]
@@ -184,6 +191,11 @@ def test_sources_and_commit(spark, tmp_path):
     assert store.commit("c1", verified)["duplicate"] == 1
     assert store.commit("c2", verified) == {"duplicate": 0, "new_rows": 0, "observations": 0, "present": 4}
     assert [(r.saved, r.no_facts, r.errors, r.confirmed) for r in store.progress().collect()] == [(2, 1, 1, 4)]
+    assert len(list((tmp_path / "store/row_outcomes").glob("bucket=*"))) == 1
+    (tmp_path / "store/commit_log/part-broken.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        store.commit("c3", verified)
+    (tmp_path / "store/commit_log/part-broken.parquet").unlink()
     people = store.read("person_facts")
     assert search.with_identifier(people, store.read("fact_values"), "7 (900) 123 45 67").count() == 1
     assert search.with_identifier(people, store.read("fact_values"), "88005", "phone", prefix=True).count() == 1
