@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, and the SQL of those that SQL can express."""
+"""The registered queries of the operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_text, jaccard_join, language_id, mpeg_audio, packing, piece_codec, substring_dedup, toxicity
+from . import chat_format, conversation_trie, exact_dedup, html_text, jaccard_join, language_id, mpeg_audio, packing, piece_codec, quality, substring_dedup, toxicity, whitening
 from .common import table
 
 
@@ -102,8 +102,26 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("doc_key")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, weights="one")
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(rows, family=20, heads=4))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_sentencepiece, op4_exact_dedup, op5_toxicity, op6_substring_dedup, op7_html_extraction, op8_chat_formatting, op9_language_id, op10_media_columns)}
+    every = (
+        op1_packing, op2_jaccard_join, op3_sentencepiece, op4_exact_dedup, op5_toxicity, op6_substring_dedup, op7_html_extraction,
+        op8_chat_formatting, op9_language_id, op10_media_columns, op11_quality_classifier, op12_embedding_whitening, op13_conversation_trie,
+    )
+    return {f.__name__: f for f in every}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,4 +172,33 @@ def oracle_sql() -> dict[str, str]:
                 sum({len(chat_format.TURN + chat_format.TEXT + chat_format.END)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
             FROM c GROUP BY conv_id
         """,
+        "op13_conversation_trie": r"""
+            WITH RECURSIVE o AS (
+                SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+                FROM conversations WHERE conv_id IS NOT NULL
+            ),
+            crc AS (
+                SELECT DISTINCT conv_id AS c, 0 AS k, 4294967295::BIGINT AS x FROM o
+                UNION ALL
+                SELECT c, k + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END
+                FROM (SELECT c, k, CASE WHEN k % 8 = 0 THEN xor(x, ascii(substr(c::VARCHAR, k // 8 + 1, 1))::BIGINT) ELSE x END AS y FROM crc WHERE k < 8 * length(c::VARCHAR))
+            ),
+            h AS (SELECT c, xor(x, 4294967295) % 4 AS h FROM crc WHERE k = 8 * length(c::VARCHAR)),
+            t AS (
+                SELECT c, 0 AS own, p, role, text FROM h JOIN o ON o.conv_id = c - c % 20 WHERE p <= h
+                UNION ALL SELECT c, 1, p, role, text FROM h JOIN o ON o.conv_id = c WHERE p > h
+            ),
+            s AS (SELECT c, row_number() OVER w AS d, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t WINDOW w AS (PARTITION BY c ORDER BY own, p)),
+            path AS (SELECT c, d, key, words, left(key, length(key) - 64) AS up FROM s UNION ALL SELECT c, 0, '', 0, NULL FROM h),
+            n AS (SELECT key, any_value(d) AS depth, any_value(up) AS up, count(*) AS n_convs, min(c) AS conv_id, any_value(words) AS words FROM path GROUP BY key),
+            k AS (SELECT up, count(*) AS n_children FROM n GROUP BY up),
+            below AS (
+                SELECT path.key, sum((k.up IS NULL)::INT)::BIGINT AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens
+                FROM n LEFT JOIN k ON k.up = n.key JOIN path ON path.c = n.conv_id AND path.d <= n.depth GROUP BY path.key
+            ),
+            e AS (SELECT key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha FROM (SELECT c, key FROM path QUALIFY d = max(d) OVER (PARTITION BY c)) GROUP BY key)
+            SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+            FROM n JOIN below USING (key) LEFT JOIN n q ON q.key = n.up LEFT JOIN k ON k.up = n.key LEFT JOIN e ON e.key = n.key
+        """,
     }
