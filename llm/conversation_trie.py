@@ -348,9 +348,9 @@ def prefix_trie(turns: DataFrame, band: int = BAND, heavy: int | None = None) ->
 
     # Across the heavy nodes and the root.
     ended = kept.where("kind IS NULL").select("conv")
-    convs = kept.select("conv").distinct().agg(F.count("*").alias("n_convs"), F.min("conv").alias("conv_id")).where("n_convs > 0")
-    first = nodes.where("depth = 1").agg(F.count("*").alias("n_children"))
-    start = convs.crossJoin(F.broadcast(first)).select(  # one row each
+    # One row from counts of conversations and of nodes of depth 1.
+    seen = kept.select("conv").distinct().select("conv", F.lit(0).alias("child")).unionByName(nodes.where("depth = 1").select(F.lit(None).cast("long").alias("conv"), F.lit(1).alias("child")))
+    start = seen.agg(F.count("conv").alias("n_convs"), F.min("conv").alias("conv_id"), F.sum("child").alias("n_children")).where("n_convs > 0").select(
         F.lit(ROOT).alias("key"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("binary").alias("up"), "n_convs", "conv_id", F.lit(0).cast("long").alias("words"), "n_children",
     )
     peak = stored(top.select("key", "depth", "up", "n_convs", "conv_id", "words", "n_children").unionByName(start), "heavy-nodes")

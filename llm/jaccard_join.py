@@ -24,7 +24,7 @@ sets.  ``near_groups`` needs to know only which rows hang together: of the links
 spanning forest goes on, at most one link for each member, which joins the same rows as all of them.
 
 Lists of frequent shingles get their leaders by an aggregate that combines before the shuffle, and
-clusters of over ``CLUSTER_ROWS`` members are compared in blocks.  All members meet the leader once;
+clusters of over ``CLUSTER_ROWS`` members or ``BLOCK_SHINGLES`` shingles are compared in blocks.  All members meet the leader once;
 where blocks have to meet, sketches move first, and only texts whose bounds leave a partner in the other
 block follow.  Nothing is capped or sampled.
 """
@@ -50,6 +50,8 @@ BUCKET_BITS = 22
 HOT_LIST = 1000
 #: Members of a cluster that one task compares at a time.
 CLUSTER_ROWS = 512
+#: Shingles of all members of a block, expected: bounds a task's memory where texts are long.
+BLOCK_SHINGLES = 1 << 20
 #: log2 of the number of buckets in the shortest and the longest sketch.
 SKETCH_BITS = (4, 12)
 _CHUNK = 1 << 14
@@ -384,12 +386,13 @@ def _links(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, num:
     hot_members = joined.where(F.least("r", "most") >= need).select("x", F.col("first.x").alias("y")).where("x <> y")
 
     found = members.unionByName(hot_members).distinct()
-    for side in ("x", "y"):
-        of = reps.select(F.col("doc_key").alias("k"), "rep")
+    for side, more in (("x", ["n"]), ("y", [])):
+        of = reps.select(F.col("doc_key").alias("k"), "rep", *more)
         found = found.join(of, F.col(side) == F.col("k")).drop(side, "k").withColumnRenamed("rep", side)
     found = checkpoint(found.where("x <> y").distinct())
 
-    sizes = found.groupBy(F.col("y").alias("c")).agg(F.ceil(F.count("*") / F.lit(CLUSTER_ROWS)).cast("int").alias("blocks"))
+    by_rows, by_shingles = F.ceil(F.count("*") / F.lit(CLUSTER_ROWS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))
+    sizes = found.groupBy(F.col("y").alias("c")).agg(F.greatest(by_rows, by_shingles).cast("int").alias("blocks"))
     placed = found.join(sizes, F.col("y") == F.col("c")).select("y", "x", "blocks", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"))
     heads = sizes.select(F.col("c").alias("y"), F.col("c").alias("x"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     placed = checkpoint(placed.unionByName(heads))

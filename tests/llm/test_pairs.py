@@ -197,3 +197,23 @@ def test_repeat_edges(edge_docs, no_docs):
     cut = substring_dedup.drop_repeats(edge_docs, window=4)
     assert cut.columns == edge_docs.columns and cut.count() == len(EDGE_ROWS)
     assert substring_dedup.remove_repeats(no_docs).count() == 0
+
+
+def test_clusters_of_long_texts_are_cut_by_shingles(spark, monkeypatch):
+    """A cluster of few but long texts is compared in several blocks, with the links of one."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(1000)}" for _ in range(3000)]
+    rows = []
+    for i in range(12):
+        words = list(base)
+        for _ in range(rng.randrange(0, 40)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(99)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found():
+        return sorted(map(tuple, jaccard_join.near_pairs(docs)[1].collect())), sorted(map(tuple, jaccard_join.near_groups(docs).collect()))
+
+    whole = found()
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 9000)
+    assert found() == whole and len(whole[0]) > 12
