@@ -64,7 +64,11 @@ def row_prompt(row_id: Column, fields: Column) -> Column:
     return F.to_json(F.struct(row_id.alias("source_row_id"), F.map_from_entries(fields).alias("fields")))
 
 
-def all_json(kind: Column, identity_status: Column, facts: Column, unresolved: Column, warnings: Column) -> Column:
+def all_json(kind: Column, identity_status: Column, facts: Column, unresolved: Column, warnings: Column, provenance: Column | None = None, rejected: Column | None = None) -> Column:
+    """The JSON document of an observation; where it came from and rejected candidates are shown if given and not empty."""
+    more = [] if provenance is None else [provenance.alias("provenance")]
+    if rejected is not None:
+        more.append(F.when(F.size(rejected) > 0, rejected).alias("rejected_candidates"))
     return F.to_json(
         F.struct(
             F.lit(1).alias("schema_version"),
@@ -73,6 +77,7 @@ def all_json(kind: Column, identity_status: Column, facts: Column, unresolved: C
             facts.alias("facts"),
             unresolved.alias("unresolved_fields"),
             F.array_distinct(warnings).alias("warnings"),
+            *more,
         )
     )
 

@@ -1,147 +1,228 @@
 """Idempotent commits of extraction results into Parquet tables.
 
-Keys are deterministic, so a repeated commit finds its rows and adds none.  The outcome of a row is
-written last: readers join on it, and a commit that died before is completed by running it again.
-A store takes one commit at a time.
+Keys are deterministic, so a repeated commit finds its rows and adds none.  A record's outcome is
+written after all its persons, and the log entry last: a commit that died before is completed by
+running it again.  A store takes one commit at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import all_json, facts_text, search_text
+from .tables import Tables
 
 KEY = ["file_id", "extraction_version", "ordinal"]
 SOURCE = KEY[:2]
-MOST_SOURCES = (1 << 19) - 1  # what a 64-bit id leaves above 44 bits
 TABLES = {
-    "sources": "file_id string, extraction_version string, source_seq long",
-    "row_outcomes": "file_id string, extraction_version string, ordinal long, outcome int, commit_id string",
-    "person_facts": "id long, surname string, name string, patronymic string, birth_date date, birth_place string, all_json string, file_id string, ordinal long, person_index int, extraction_version string",
-    "search_docs": "person_fact_id long, file_id string, all_text string, name_text string, facts_text string",
-    "fact_values": "fact_type string, normalized_value string, person_fact_id long",
+    "sources": "file_id string, extraction_version string, source_key string",
+    "row_outcomes": "file_id string, extraction_version string, ordinal long, outcome int, commit_id string, observations long",
+    "person_facts": "id string, surname string, name string, patronymic string, birth_date date, birth_place string, all_json string, file_id string, ordinal long, person_index int, extraction_version string",
+    "search_docs": "person_fact_id string, file_id string, all_text string, name_text string, facts_text string, place_text string",
+    "fact_values": "fact_type string, normalized_value string, person_fact_id string",
     "row_errors": "file_id string, extraction_version string, ordinal long, stage string, code string, message string",
-    "commit_log": "commit_id string, rows long, requests long",
+    "commit_log": "commit_id string, job_id string, file_id string, extraction_version string, to_ordinal long, rows long, extracted long, no_facts long, errors long, observations long, requests long, input_tokens long, output_tokens long",
+    "deleted": "file_id string, extraction_version string, source_key string",
 }
 #: Folders of each table by source; a commit reads those of its own sources only.
 BUCKETS = 64
 ID_OF = {"person_facts": "id", "search_docs": "person_fact_id", "fact_values": "person_fact_id"}
+COUNTERS = ("extracted", "no_facts", "errors", "observations", "requests", "input_tokens", "output_tokens")
 
 
-def observation_id(source_seq: Column, ordinal: Column, person_index: Column) -> Column:
-    """An id that sorts by source, ordinal and person; person -1 holds unassigned facts."""
-    return F.shiftleft(source_seq.cast("long"), 44) + F.shiftleft(ordinal.cast("long"), 10) + (person_index + 1).cast("long")
+def source_key(file_id: Column, version: Column) -> Column:
+    """32 hex digits of a file and its extraction version; a null is not an empty string."""
+    return F.substring(F.sha2(F.to_json(F.struct(file_id.alias("f"), version.alias("v"))), 256), 1, 32)
 
 
-def bucket_of(name: str) -> Column | None:
-    """The folder number of a row: by its source's number where the id has it, else by file and version; small tables have none."""
-    if name in ID_OF:
-        return F.pmod(F.shiftright(ID_OF[name], 44), F.lit(BUCKETS)).cast("int")
-    return F.pmod(F.xxhash64(*SOURCE), F.lit(BUCKETS)).cast("int") if name in ("row_outcomes", "row_errors") else None
+def observation_id(source: Column, ordinal: Column, person_index: Column) -> Column:
+    """Source key, 16 hex digits of the ordinal and 8 of the person: sorts by ordinal and person in a source, for all longs and ints from -1 on."""
+    digits = lambda x, n: F.lpad(F.lower(F.hex(x.cast("long"))), n, "0")
+    return F.concat(source, digits(ordinal, 16), digits(person_index.cast("long") + 1, 8))
 
 
-class Store:
-    """Parquet tables below one folder, those that grow with the records in folders by source."""
+def bucket_of(name: str) -> Column | None:
+    """The folder number of a row, from the key of its source; small tables have none."""
+    key = F.substring(ID_OF[name], 1, 32) if name in ID_OF else source_key(F.col("file_id"), F.col("extraction_version")) if name in ("row_outcomes", "row_errors") else None
+    return None if key is None else F.pmod(F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), F.lit(BUCKETS)).cast("int")
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def read(self, name: str, like: DataFrame | None = None) -> DataFrame:
-        """A table, or only the folders that the rows of ``like`` belong to; a table not written yet is empty."""
-        bucket = bucket_of(name)
-        schema = TABLES[name] + (", bucket int" if bucket is not None else "")
-        try:
-            found = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], TABLES[name])
-        if like is not None and bucket is not None:
-            # At most BUCKETS numbers.
-            found = found.where(F.col("bucket").isin([r[0] for r in like.select(bucket.alias("b")).distinct().collect()]))
-        return found.drop("bucket")
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys where null equals null; the keys of ``left`` stay."""
+    renamed = right.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(renamed, on, how).drop(*[f"_{k}" for k in keys])
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        wanted = [F.col(c.split()[0]).cast(c.split()[1]) for c in TABLES[name].split(", ")]
-        rows, bucket = rows.select(*wanted), bucket_of(name)
-        if bucket is None:
-            rows.write.mode("append").parquet(f"{self.root}/{name}")
-        else:
-            # Rebalancing makes few files of a folder and splits the rows of a large source.
-            rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.root}/{name}")
 
-    def with_source_seq(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the stored number of their file and extraction version; new ones get the next numbers, in order."""
+def projection(people: DataFrame, facts: str = "facts", unresolved: str = "unresolved") -> DataFrame:
+    """The search document of each observation."""
+    said = facts_text(F.col(facts), F.col(unresolved))
+    whole = search_text(F.col("surname"), F.col("name"), F.col("patronymic"), F.col("birth_date"), F.col("birth_place"), said, F.col("file_id"))
+    named = F.concat_ws(" ", "surname", "name", "patronymic")
+    return people.select(F.col("id").alias("person_fact_id"), "file_id", whole.alias("all_text"), named.alias("name_text"), said.alias("facts_text"), F.coalesce("birth_place", F.lit("")).alias("place_text"))
 
-        def same(a: DataFrame, b: DataFrame) -> Column:
-            return a.file_id.eqNullSafe(b.file_id) & a.extraction_version.eqNullSafe(b.extraction_version)
 
-        known = self.read("sources")
-        found = rows.select(*SOURCE).distinct()
-        new = found.join(known, same(found, known), "left_anti").persist()
-        try:
-            n = new.count()
-            if n:
-                last = known.agg(F.max("source_seq")).first()[0] or 0  # sources are written before all that has their numbers
-                if last + n > MOST_SOURCES:
-                    raise ValueError(f"{last + n} sources, {MOST_SOURCES} at most")
-                self.append("sources", new.withColumn("source_seq", F.row_number().over(Window.orderBy(*SOURCE)) + F.lit(last)))
-        finally:
-            new.unpersist()
-        known = self.read("sources")
-        return rows.join(known, same(rows, known)).select(*[rows[c] for c in rows.columns], known.source_seq)
+class Store:
+    """Observations, their documents and values, outcomes, errors and the commit log below one folder."""
 
-    def commit(self, commit_id: str, verified: DataFrame, requests: int = 0) -> dict[str, int]:
-        """Adds the rows of ``verified`` that have no outcome yet; counts what was new.
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str] | None = None, mapped: dict[str, dict[str, str]] | None = None):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.tables = Tables(spark, root, schemas or TABLES, bucket_of, mapped)
+
+    def read(self, name: str, like: DataFrame | None = None) -> DataFrame:
+        """A table without the rows of sources whose deletion has begun."""
+        found = self.tables.read(name, like)
+        if name == "deleted" or not self.tables.exists(self.tables.folder("deleted")):
+            return found
+        gone = self.tables.read("deleted").select(F.col("source_key").alias("_gone")).distinct()
+        if name in ID_OF:
+            return found.join(gone, F.substring(ID_OF[name], 1, 32) == F.col("_gone"), "left_anti")
+        return found.join(gone, source_key(F.col("file_id"), F.col("extraction_version")) == F.col("_gone"), "left_anti")
 
-        A commit id that is logged already changes nothing.
+    def append(self, name: str, rows: DataFrame) -> None:
+        self.tables.append(name, rows)
+
+    def _staged(self, commit_id: str, rows: DataFrame) -> tuple[DataFrame, str]:
+        """The input, evaluated once: its plan is the dearest of a commit."""
+        path = f"{self.root}/_staged/{''.join(c if c.isalnum() else '-' for c in commit_id)}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
+
+    def commit(self, commit_id: str, verified: DataFrame, requests: int = 0, job_id: str | None = None, input_tokens: int = 0, output_tokens: int = 0) -> dict[str, int]:
+        """Adds the records of ``verified`` that have no outcome yet, with all their persons; counts what was new.
+
+        ``verified`` has a row for each person of a record (``person_index`` from 0, -1 for facts of
+        nobody; 0 where the column is missing).  A record's outcome is an error (3) if one of its rows
+        is one, else extracted (1) if one of them is; persons are the rows of outcome 1.  Of several rows
+        of one person the one of least content hash counts.  A commit id that is logged already changes nothing; the
+        same records under another id add nothing but its requests and tokens, which count for the commit's first file.
         """
-        if self.read("commit_log").where(F.col("commit_id") == commit_id).limit(1).count():
+        self.finish_deletes()
+        log = self.read("commit_log").where(F.col("commit_id") == commit_id)
+        if log.limit(1).count():
             return {"duplicate": 1, "new_rows": 0, "observations": 0, "present": 0}
-        if "error" not in verified.columns:
-            verified = verified.withColumn("error", F.lit(None).cast("struct<code:string,message:string>"))
-        rows = verified.dropDuplicates(KEY)
-        fresh = rows.join(self.read("row_outcomes", rows).select(*KEY), KEY, "left_anti").persist()
+        for name, kind in (("error", "struct<code:string,message:string>"), ("person_index", "int"), ("birth_place", "string"), ("stage", "string"), ("rejected", "array<struct<name:string,value:string,reason:string>>")):
+            if name not in verified.columns:
+                verified = verified.withColumn(name, F.lit(0 if name == "person_index" else None).cast(kind))
+        rows, path = self._staged(commit_id, verified)
+        records = rows.groupBy(*KEY).agg(F.max((F.col("outcome") == 3).cast("int")).alias("failed"), F.max((F.col("outcome") == 1).cast("int")).alias("told"), F.min_by(F.struct("error.code", "error.message", "stage"), F.when(F.col("outcome") == 3, 0).otherwise(1)).alias("fault"))
+        records = records.withColumn("outcome", F.when(F.col("failed") == 1, 3).when(F.col("told") == 1, 1).otherwise(2))
+        fresh = matched(records, self.read("row_outcomes", rows).select(*KEY), KEY, "left_anti").persist()
         try:
-            n_all, n_new = rows.count(), fresh.count()
-            people = self.with_source_seq(fresh.where("outcome = 1")).withColumns({"person_index": F.lit(0), "id": observation_id(F.col("source_seq"), F.col("ordinal"), F.lit(0))})
-            people = people.withColumn("all_json", all_json(F.lit("person"), F.col("identity_status"), F.col("facts"), F.col("unresolved"), F.array().cast("array<string>")))
+            n_all, n_new = records.count(), fresh.count()
+            kept = fresh.where("outcome = 1").select(*KEY)
+            first = Window.partitionBy(*KEY, "person_index").orderBy(F.xxhash64("surname", "name", "patronymic", "birth_date", "birth_place", F.to_json("facts")))
+            people = matched(rows.where("outcome = 1"), kept, KEY, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+            key = source_key(F.col("file_id"), F.col("extraction_version"))
+            people = people.withColumn("id", observation_id(key, F.col("ordinal"), F.col("person_index")))
+            provenance = F.struct(F.concat(F.lit("r"), F.col("ordinal").cast("string")).alias("source_row_id"), "person_index", "extraction_version", F.lit(job_id).cast("string").alias("job_id"))
+            kind = F.when(F.col("person_index") < 0, "unassigned").otherwise("person")
+            people = people.withColumn("all_json", all_json(kind, F.col("identity_status"), F.col("facts"), F.col("unresolved"), F.array().cast("array<string>"), provenance, F.col("rejected")))
             # An earlier run may have died between tables: what it wrote is not written again.
             observed = people.join(self.read("person_facts", people).select("id"), "id", "left_anti")
-            said = facts_text(F.col("facts"), F.col("unresolved"))
-            named = F.concat_ws(" ", "surname", "name", "patronymic")
-            whole = search_text(F.col("surname"), F.col("name"), F.col("patronymic"), F.col("birth_date"), F.col("birth_place"), said, F.col("file_id"))
-            docs = people.select(F.col("id").alias("person_fact_id"), "file_id", whole.alias("all_text"), named.alias("name_text"), said.alias("facts_text"))
+            docs = projection(people)
             values = people.select(F.col("id").alias("person_fact_id"), F.explode("facts").alias("f")).select(F.col("f.type").alias("fact_type"), F.col("f.search_key").alias("normalized_value"), "person_fact_id")
             values = values.where("normalized_value IS NOT NULL").distinct()
+            sources = fresh.select(*SOURCE).distinct().withColumn("source_key", key)
+            self.append("sources", sources.join(self.read("sources").select("source_key"), "source_key", "left_anti"))
             self.append("person_facts", observed)
             self.append("search_docs", docs.join(self.read("search_docs", docs).select("person_fact_id"), "person_fact_id", "left_anti"))
             self.append("fact_values", values.join(self.read("fact_values", values), ["fact_type", "normalized_value", "person_fact_id"], "left_anti"))
-            errors = fresh.where("outcome = 3").select(*KEY, F.lit("parse").alias("stage"), F.col("error.code").alias("code"), F.col("error.message").alias("message"))
-            self.append("row_errors", errors.join(self.read("row_errors", errors).select(*KEY), KEY, "left_anti"))
-            observations = fresh.where("outcome = 1").count()
-            self.append("row_outcomes", fresh.select(*KEY, "outcome", F.lit(commit_id).alias("commit_id")))
-            self.append("commit_log", self.spark.range(1).select(F.lit(commit_id).alias("commit_id"), F.lit(n_new).alias("rows"), F.lit(requests).alias("requests")))
+            errors = fresh.where("outcome = 3").select(*KEY, F.coalesce("fault.stage", F.lit("parse")).alias("stage"), F.coalesce("fault.code", F.lit("unknown")).alias("code"), F.col("fault.message").alias("message"))
+            self.append("row_errors", matched(errors, self.read("row_errors", errors), [*KEY, "stage"], "left_anti"))
+            held = people.groupBy(*KEY).agg(F.count("*").alias("n"))
+            told = matched(fresh, held, KEY, "left").select(*KEY, "outcome", F.lit(commit_id).alias("commit_id"), F.coalesce("n", F.lit(0)).alias("observations"))
+            self.append("row_outcomes", told)
+            self._log(commit_id, rows, job_id, requests, input_tokens, output_tokens)
+            observations = self.read("commit_log").where(F.col("commit_id") == commit_id).agg(F.sum("observations")).first()[0] or 0
         finally:
             fresh.unpersist()
+        self.tables.delete(path)
         return {"duplicate": 0, "new_rows": n_new, "observations": observations, "present": n_all - n_new}
 
+    def _log(self, commit_id: str, rows: DataFrame, job_id: str | None, *usage: int) -> None:
+        """One entry a source: counts of the outcomes that bear the commit's id, so a repeated run logs the same."""
+        mine = self.read("row_outcomes", rows).where(F.col("commit_id") == commit_id)
+        is_ = lambda k: F.count_if(F.col("outcome") == k)
+        counts = mine.groupBy(*SOURCE).agg(is_(1).alias("extracted"), is_(2).alias("no_facts"), is_(3).alias("errors"), F.sum("observations").alias("observations"))
+        seen = rows.groupBy(*SOURCE).agg(F.max("ordinal").alias("to_ordinal"), F.count_distinct("ordinal").alias("rows"))
+        both = matched(seen, counts, SOURCE, "left")
+        first = F.struct(F.coalesce("file_id", F.lit("")), F.coalesce("extraction_version", F.lit("")))
+        least = both.agg(F.min(first).alias("least"))
+        made = both.join(F.broadcast(least), F.lit(True), "left")  # one row
+        spent = {n: F.when(first == F.col("least"), F.lit(v)).otherwise(0) for n, v in zip(COUNTERS[4:], usage, strict=True)}
+        made = made.withColumns(spent | {n: F.coalesce(n, F.lit(0)) for n in COUNTERS[:4]} | {"commit_id": F.lit(commit_id), "job_id": F.lit(job_id).cast("string")})
+        if rows.limit(1).count() == 0:
+            entry = {n: F.lit(v) for n, v in zip(COUNTERS[4:], usage, strict=True)} | {n: F.lit(0) for n in ("rows", *COUNTERS[:4])} | {n: F.lit(None) for n in ("file_id", "extraction_version", "to_ordinal")}
+            made = self.spark.range(1).select(*[c.alias(n) for n, c in entry.items()], F.lit(commit_id).alias("commit_id"), F.lit(job_id).cast("string").alias("job_id"))
+        self.append("commit_log", made.coalesce(1))  # a row for each source of one commit, in one file
+
     def progress(self) -> DataFrame:
-        """Progress derived from outcomes: rows by outcome and the last ordinal without a gap before it."""
+        """Progress of each source, folded from the commit log: counters add up, the confirmed ordinal only grows."""
+        from .jobs import merged_progress
+
+        log = self.read("commit_log").where("to_ordinal IS NOT NULL").withColumnsRenamed({"to_ordinal": "confirmed"})
+        return merged_progress(log, SOURCE, "confirmed", list(COUNTERS)).withColumn("saved", F.col("extracted"))
+
+    def job_counters(self) -> DataFrame:
+        """What each job's commits have added up to."""
+        return self.read("commit_log").groupBy("job_id").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+    def compact_log(self) -> None:
+        """Folds the log to one entry for each job and source, and a bare entry for each commit id that must not run again."""
+        log = self.read("commit_log")
+        folded = log.groupBy("job_id", *SOURCE).agg(F.max("to_ordinal").alias("to_ordinal"), *[F.sum(c).alias(c) for c in ("rows", *COUNTERS)]).withColumn("commit_id", F.lit(None).cast("string"))
+        ids = log.where("commit_id IS NOT NULL").select("commit_id", "job_id").distinct()
+        bare = {c: F.lit(0).cast("long") for c in ("rows", *COUNTERS)} | {c: F.lit(None).cast("string") for c in SOURCE} | {"to_ordinal": F.lit(None).cast("long")}
+        self.tables.swap("commit_log", folded.unionByName(ids.withColumns(bare)))
+
+    def audited_progress(self) -> DataFrame:
+        """Progress counted anew from all outcomes, and the last ordinal without a gap before it."""
         from .audit import conditional_counts, contiguous_checkpoint
 
-        by = KEY[:2]
-        counts = conditional_counts(self.read("row_outcomes"), by, saved=F.col("outcome") == 1, no_facts=F.col("outcome") == 2, errors=F.col("outcome") == 3)
-        return counts.join(contiguous_checkpoint(self.read("row_outcomes"), by, "ordinal"), by)
+        counts = conditional_counts(self.read("row_outcomes"), SOURCE, saved=F.col("outcome") == 1, no_facts=F.col("outcome") == 2, errors=F.col("outcome") == 3)
+        return counts.join(contiguous_checkpoint(self.read("row_outcomes"), SOURCE, "ordinal"), SOURCE)
 
-    def rebuild_search(self, target: str) -> None:
-        """Writes search documents anew from the stored observations."""
+    def projected(self) -> DataFrame:
+        """Search documents anew from the stored observations."""
         from ..functions.records import parse_all_json
 
         p = self.read("person_facts").withColumn("doc", parse_all_json(F.col("all_json")))
-        said = facts_text(F.col("doc.facts"), F.col("doc.unresolved_fields"))
-        whole = search_text(F.col("surname"), F.col("name"), F.col("patronymic"), F.col("birth_date"), F.col("birth_place"), said, F.col("file_id"))
-        named = F.concat_ws(" ", "surname", "name", "patronymic")
-        p.select(F.col("id").alias("person_fact_id"), "file_id", whole.alias("all_text"), named.alias("name_text"), said.alias("facts_text")).write.mode("overwrite").parquet(target)
+        return projection(p.withColumns({"facts": F.col("doc.facts"), "unresolved": F.col("doc.unresolved_fields")}))
+
+    def rebuild_search(self, target: str | None = None) -> None:
+        """Writes search documents anew, into ``target`` or as the store's next version, which readers see once it is whole."""
+        if target is not None:
+            self.projected().write.mode("overwrite").parquet(target)
+        else:
+            self.tables.swap("search_docs", self.projected())
+
+    def delete_source(self, file_id: str, extraction_version: str | None = None) -> None:
+        """Deletes what came from a file, or from one extraction version of it: people, documents, values, outcomes, errors, log.
+
+        The deletion is noted first, and from then on no reader sees the rows; files are rewritten after
+        that, bucket by bucket.  A deletion that died goes on with ``finish_deletes``, as every commit begins.
+        """
+        wanted = F.col("file_id") == file_id
+        if extraction_version is not None:
+            wanted = wanted & (F.col("extraction_version") == extraction_version)
+        self.append("deleted", self.read("sources").where(wanted))
+        self.finish_deletes()
+
+    def finish_deletes(self) -> None:
+        """Carries out the deletions that are noted."""
+        if not self.tables.exists(self.tables.folder("deleted")):
+            return
+        gone = [tuple(r) for r in self.tables.read("deleted").select("source_key").distinct().collect()]  # sources whose deletion was asked for
+        if gone:
+            keys = [k for (k,) in gone]
+            buckets = sorted({int(k[:4], 16) % BUCKETS for k in keys})
+            for name in ("search_docs", "fact_values", "person_facts", "row_errors", "row_outcomes"):
+                of = F.substring(ID_OF[name], 1, 32) if name in ID_OF else source_key(F.col("file_id"), F.col("extraction_version"))
+                self.tables.rewrite(name, buckets, ~of.isin(keys))
+            for name in ("commit_log", "sources"):
+                self.tables.swap(name, self.read(name))
+        self.tables.delete(self.tables.folder("deleted"))

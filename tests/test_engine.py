@@ -239,7 +239,7 @@ def test_files_with_equal_ordinals(spark, tmp_path, batches):
     assert people.select("id").distinct().count() == people.count() == store.read("search_docs").count() == store.read("row_outcomes").count() == 9
     said = people.join(store.read("fact_values"), F.col("id") == F.col("person_fact_id")).select("file_id", "extraction_version", "ordinal", "normalized_value")
     assert sorted(map(tuple, said.collect())) == sorted((f, v, i, p.translate({ord(c): None for c in "+- "})) for part in files for f, v, i, _, p in part)
-    assert store.read("sources").count() == store.read("sources").select("source_seq").distinct().count() == 3
+    assert store.read("sources").count() == store.read("sources").select("source_key").distinct().count() == 3
 
 
 def test_batches_of_a_hot_group(spark):
