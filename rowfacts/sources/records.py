@@ -3,8 +3,8 @@
 Formats of one record a line (JSON Lines, fixed width, delimited without quote and escape) are split by
 Spark; line numbers and ordinals come from counts of blocks, and fixed-width and delimited lines are cut
 by built-in functions.  A file of quoted fields, XML, a JSON array
-or UTF-16/32 is one task that reads a file handle, as a record's start depends on all before it; of these a
-JSON array and lines in UTF-16/32 are held whole.
+or UTF-16/32 is one task that reads a file handle, as a record's start depends on all before it; of these
+only lines in UTF-16/32 are held whole.
 """
 
 from __future__ import annotations
@@ -175,26 +175,78 @@ def jsonl(text: str, s: Structure) -> Iterator[Record]:
             yield json_line(line, n)
 
 
-def json_array(text: str, s: Structure) -> Iterator[Record]:
-    """Objects of one array; the first broken element ends the file."""
-    at = re.compile(r"\s*\[").match(text)
-    if not at:
+#: Characters read at a time, and how near to a buffer's end an error may come from what is not read yet.
+READ_CHARS, EDGE_CHARS = 1 << 18, 16
+
+
+class _Buffer:
+    """The unread end of a text, extended from its handle as far as one element needs."""
+
+    def __init__(self, source: io.TextIOBase):
+        self.source, self.text, self.at, self.ended, self.line, self.counted = source, "", 0, False, 1, 0
+
+    def more(self) -> bool:
+        """Reads on, at least as much as is held, so that a long element is tried a logarithmic number of times."""
+        kept = self.text[self.at :]
+        self._count(self.at)
+        part = self.source.read(max(READ_CHARS, len(kept)))
+        self.text, self.at, self.counted, self.ended = kept + part, 0, 0, not part
+        return not self.ended
+
+    def _count(self, to: int) -> None:
+        self.line += self.text.count("\n", self.counted, to)
+        self.counted = to
+
+    def skip(self, signs: str) -> str:
+        """The next character that is none of ``signs``, not yet taken; empty at the end."""
+        while True:
+            while self.at < len(self.text):
+                if self.text[self.at] not in signs:
+                    return self.text[self.at]
+                self.at += 1
+            if not self.more():
+                return ""
+
+    def element(self, longest: int):
+        """(value, first line, last line) of the element that begins here; ValueError where it is broken or too long."""
+        while True:
+            try:
+                value, end = _JSON.raw_decode(self.text, self.at)
+            except ValueError as e:
+                cut_off = e.msg.startswith(("Unterminated string", "Invalid \\")) or e.pos >= len(self.text) - EDGE_CHARS
+                if cut_off and not self.ended and len(self.text) - self.at <= longest and self.more():
+                    continue
+                raise
+            if end == len(self.text) and not self.ended and self.more():
+                continue  # a number may go on
+            self._count(self.at)
+            first = self.line
+            self._count(end)
+            self.at = end
+            return value, first, self.line
+
+
+def json_array(text: str | io.TextIOBase, s: Structure, after: int = 0, longest: int = LONGEST) -> Iterator[Record]:
+    """Objects of one array; the first broken element ends the file.  No more than an element and a block is held.
+
+    The first ``after`` records are passed over: read, but not flattened or yielded.
+    """
+    buffer = _Buffer(io.StringIO(text, newline="") if isinstance(text, str) else text)
+    if buffer.skip(" \t\r\n\ufeff") != "[":
         yield Record(None, None, [], ("invalid_json", "the file is no JSON array"))
         return
-    place, gap, line, counted = at.end(), re.compile(r"[\s,]*"), 1, 0
-    while True:
-        place = gap.match(text, place).end()
-        if place >= len(text) or text[place] == "]":
-            return
-        line, counted = line + text.count("\n", counted, place), place
+    buffer.at += 1
+    n = 0
+    while buffer.skip(" \t\r\n,") not in ("", "]"):
         try:
-            value, end = _JSON.raw_decode(text, place)
+            value, first, last = buffer.element(longest)
         except ValueError as e:
-            yield Record(line, line, [], ("invalid_json", str(e)))
+            buffer._count(buffer.at)
+            yield Record(buffer.line, buffer.line, [], ("invalid_json", str(e)))
             return
-        last = line + text.count("\n", place, end)
-        yield Record(line, last, flatten(value)) if isinstance(value, dict) else Record(line, last, [], ("not_an_object", "the element is no object"))
-        place = end
+        n += 1
+        if n > after:
+            yield Record(first, last, flatten(value)) if isinstance(value, dict) else Record(first, last, [], ("not_an_object", "the element is no object"))
 
 
 def _declares_entities(source: io.BufferedIOBase) -> bool:
@@ -213,8 +265,12 @@ def _declares_entities(source: io.BufferedIOBase) -> bool:
     return bool(found and found[0])
 
 
-def xml(content: bytes | io.BufferedIOBase, s: Structure) -> Iterator[Record]:
-    """Elements at the record path, matched by local names or by namespace URI; entities are refused."""
+def xml(content: bytes | io.BufferedIOBase, s: Structure, after: int = 0) -> Iterator[Record]:
+    """Elements at the record path, matched by local names or by namespace URI; entities are refused.
+
+    What is done with leaves its parent, so that memory holds one record and the path to it.  The first
+    ``after`` records are passed over.
+    """
     from xml.etree import ElementTree
 
     source = io.BytesIO(content) if isinstance(content, bytes) else content
@@ -248,32 +304,38 @@ def xml(content: bytes | io.BufferedIOBase, s: Structure) -> Iterator[Record]:
         if text:
             out.append((f"{at}#text" if at.endswith("/") or not at else at, text))
 
-    stack, inside = [], 0
+    stack, above, inside, n = [], [], 0, 0
     try:
         for event, e in ElementTree.iterparse(source, events=("start", "end")):
             if event == "start":
                 stack.append(e.tag)
+                above.append(e)
             hit = len(stack) >= len(path) and (not absolute or len(stack) == len(path)) and all(same(t, w) for t, w in zip(stack[-len(path) :], path, strict=True))
             if event == "start":
                 inside += hit
                 continue
             stack.pop()
-            if hit:
-                inside -= 1
-                if not inside:  # a match within a record belongs to it
+            above.pop()
+            inside -= hit
+            if hit and not inside:  # a match within a record belongs to it
+                n += 1
+                if n > after:
                     out: list = []
                     fields(e, "", out)
                     yield Record(None, None, out)
-                    e.clear()
+            if not inside and above:
+                above[-1].remove(e)
     except ElementTree.ParseError as e:
         yield Record(None, None, [], ("invalid_xml", str(e)))
 
 
 def parse(content: bytes, s: Structure) -> Iterator[Record]:
     """Records of whole content; UTF-8 where the structure names no encoding."""
+    if s.format == "json_array":
+        return json_array(decode(content, s.encoding or "utf-8"), s)
     if s.format == "xml":
         return xml(content, s)
-    return {"delimited": delimited, "fixed_width": fixed_width, "jsonl": jsonl, "json_array": json_array}[s.format](decode(content, s.encoding or "utf-8"), s)
+    return {"delimited": delimited, "fixed_width": fixed_width, "jsonl": jsonl}[s.format](decode(content, s.encoding or "utf-8"), s)
 
 
 _SCHEMA = "file_id string, ordinal long, line long, end_line long, fields array<struct<name:string,value:string>>, error struct<code:string,message:string>"
@@ -311,14 +373,17 @@ def file_heads(spark: SparkSession, path: str) -> DataFrame:
     return told.mapInArrow(lambda batches: batches, told.schema)
 
 
-def _parse_file(file: str, encoding: str, s: Structure) -> Iterator[Record]:
+def _parse_file(file: str, encoding: str, s: Structure, after: int = 0) -> Iterator[tuple[int, Record]]:
+    """(ordinal, record) of the records behind the first ``after``."""
     with _open(file) as f:
         if s.format == "xml":
-            yield from xml(f, s)
+            yield from enumerate(xml(f, s, after), after + 1)
+        elif s.format == "json_array":
+            yield from enumerate(json_array(io.TextIOWrapper(f, CODECS[encoding], "replace", newline=""), s, after), after + 1)
         elif s.format == "delimited":
-            yield from delimited(io.TextIOWrapper(f, CODECS[encoding], "replace", newline=None), s)
+            yield from islice(enumerate(delimited(io.TextIOWrapper(f, CODECS[encoding], "replace", newline=None), s), 1), after, None)
         else:
-            yield from parse(f.read(), replace(s, encoding=encoding))
+            yield from islice(enumerate(parse(f.read(), replace(s, encoding=encoding)), 1), after, None)
 
 
 def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +408,7 @@ def read_records(spark: SparkSession, path: str, s: Structure, after: int = 0, l
         def rows():
             for b in batches:
                 for file, encoding in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    yield from (_shown(file, n, r) for n, r in enumerate(_parse_file(file, encoding, s), 1) if n > after)
+                    yield from (_shown(file, n, r) for n, r in _parse_file(file, encoding, s, after))
 
         return _batches(rows())
 
@@ -357,6 +422,11 @@ def read_records(spark: SparkSession, path: str, s: Structure, after: int = 0, l
     made = files.where(~split).select("file_id", "encoding").mapInArrow(run, _SCHEMA)
     if by_line and s.encoding not in WIDE:
         made = _line_records(spark, path, s, files.where(split), after).unionByName(made)
+    return finished(made, longest)
+
+
+def finished(made: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """Parsed records with their hash; one of over ``longest`` bytes is the error record_too_large."""
     good = F.col("error").isNull()
     large = good & (record_bytes(F.col("fields")) + CHUNK_OVERHEAD > longest)
     fault = F.struct(F.lit("record_too_large").alias("code"), F.lit(f"the record is over {longest} bytes").alias("message"))
