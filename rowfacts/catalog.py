@@ -34,13 +34,27 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import store_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, or in a temporary one on one machine."""
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _W = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')"
 _NORM = (
     r"trim(regexp_replace(regexp_replace(translate(lower(text), 'ё" + text.QUOTES.replace("'", "''") + text.DASHES + "', 'е" + '"' * len(text.QUOTES) + "-" * len(text.DASHES) + r"'), '["
@@ -520,14 +534,8 @@ def all_json(spark, sf_dir):
 
 
 def _written(spark, lines: DataFrame) -> str:
-    """A folder of text files in the shared folder, or in a temporary one on one machine."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    """A folder of text files."""
+    path = shared_folder(spark, "lines")
     lines.write.text(path)
     return path
 
@@ -611,15 +619,6 @@ def column_starts(spark, sf_dir):
     return checks.column_starts(t(spark, sf_dir, "nation").select("n_regionkey", F.concat(F.rpad("n_name", 16, " "), F.lit(" "), F.col("n_nationkey").cast("string")).alias("line")), "n_regionkey", "line")
 
 
-@query(
-    """WITH p AS (SELECT r_name AS f, 'tpch/' || n_name || '/' || c_mktsegment AS path, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL HAVING count(*) > 1)
-    SELECT f AS r_name, path, n FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, path) AS k FROM p) WHERE k = 1"""
-)
-def record_path(spark, sf_dir):
-    rows = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return checks.record_path(rows.select("r_name", F.concat_ws("/", F.lit("tpch"), "n_name", "c_mktsegment").alias("path")), "r_name", "path")
-
-
 @query("SELECT c_custkey, c_name, string_agg(o_orderstatus || '=' || o_orderkey, '|' ORDER BY o_orderstatus || '=' || o_orderkey) AS facts FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
 def listed_facts(spark, sf_dir):
     values = t(spark, sf_dir, "orders").withColumn("o_orderkey", F.col("o_orderkey").cast("string"))

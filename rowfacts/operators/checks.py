@@ -104,10 +104,13 @@ def header_issue(found: Column, declared: Column) -> Column:
     return F.when(F.size(found) != F.size(declared), "column_count_mismatch").when(same(found) != same(declared), "header_differs")
 
 
-def record_path(paths: DataFrame, by: str, path: str) -> DataFrame:
-    """(by, path, n): the element path that occurs most often, at least twice; of equal counts the shallowest, then the first by name."""
+def record_path(paths: DataFrame, by: str, path: str, n: str | None = None) -> DataFrame:
+    """(by, path, n): the element path that occurs most often, at least twice; of equal counts the shallowest, then the first by name.
+
+    ``paths`` has a row for each element, or for each path of a file with its count ``n``.
+    """
     depth = F.length(path) - F.length(F.replace(F.col(path), F.lit("/")))
-    counts = paths.groupBy(by, path).agg(F.count("*").alias("n")).where("n >= 2").withColumn("_depth", depth)
+    counts = paths.groupBy(by, path).agg((F.sum(n) if n else F.count("*")).alias("n")).where("n >= 2").withColumn("_depth", depth)
     order = Window.partitionBy(by).orderBy(F.desc("n"), "_depth", path)
     return counts.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_depth", "_k")
 
@@ -116,7 +119,7 @@ def inferred_names(columns: DataFrame, values: DataFrame, by: str, place: str, n
     """(by, place, name, new_name, hits, total): columns whose name implies a type that four in five of at least two values deny.
 
     ``columns`` is (by, place, name), ``values`` (by, place, value).  A name that another column of
-    the file has already gets the place behind it.
+    the file has already gets the first number from 2 on behind it that makes it free.
     """
     implied = F
     for type_, pattern in NAME_HINTS.items():
@@ -127,10 +130,16 @@ def inferred_names(columns: DataFrame, values: DataFrame, by: str, place: str, n
     most = counts.groupBy(by, place, name, "_implied").agg(F.max_by("_type", F.struct("n", "_type")).alias("_type"), F.max("n").alias("hits"), F.sum("n").alias("total"))
     names = F.create_map(*[F.lit(x) for pair in CANONICAL_NAMES.items() for x in pair])
     new = most.where((F.col("total") >= 2) & (F.col("_type") != F.col("_implied")) & (F.col("hits") >= NAME_SHARE * F.col("total"))).withColumn("_new", names[F.col("_type")]).where("_new IS NOT NULL")
-    taken = columns.select(F.col(by).alias("_b"), F.col(place).alias("_p"), F.lower(name).alias("_taken"))
-    clash = new.join(taken, (F.col(by) == F.col("_b")) & (F.lower("_new") == F.col("_taken")) & (F.col(place) != F.col("_p")), "left_semi").select(by, place, F.lit(True).alias("_clash"))
-    shown = F.when(F.col("_clash"), F.concat_ws(" ", "_new", F.col(place).cast("string"))).otherwise(F.col("_new"))
-    return new.join(clash, [by, place], "left").select(by, place, name, shown.alias("new_name"), "hits", "total")
+    # A file's names are as many as its columns.
+    named = columns.groupBy(F.col(by).alias("_b")).agg(F.collect_list(F.struct(F.col(place).alias("p"), F.lower(name).alias("n"))).alias("_names"))
+    taken = F.transform(F.filter("_names", lambda x: x["p"] != F.col(place)), lambda x: x["n"])
+    said = new.join(named, F.col(by) == F.col("_b")).withColumn("_taken", taken)
+    # Columns that get the same name take the free ones in order.
+    said = said.withColumn("_nth", F.row_number().over(Window.partitionBy(by, "_new").orderBy(place)))
+    numbered = F.transform(F.sequence(F.lit(2), F.size("_taken") + F.col("_nth") + 1), lambda k: F.concat_ws(" ", "_new", k.cast("string")))
+    free = F.filter(F.concat(F.array("_new"), numbered), lambda x: ~F.array_contains("_taken", F.lower(x)))
+    shown = F.get(free, F.col("_nth") - 1)
+    return said.select(by, place, name, shown.alias("new_name"), "hits", "total")
 
 
 def column_starts(lines: DataFrame, by: str, text: str) -> DataFrame:

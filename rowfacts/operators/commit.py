@@ -48,6 +48,11 @@ def bucket_of(name: str) -> Column | None:
     return None if key is None else F.pmod(F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), F.lit(BUCKETS)).cast("int")
 
 
+def buckets_of(sources: DataFrame) -> list[int]:
+    """The folder numbers of the rows of these sources, BUCKETS at most."""
+    return [r[0] for r in sources.select(bucket_of("row_outcomes").alias("b")).distinct().collect()]
+
+
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """A join on keys where null equals null; the keys of ``left`` stay."""
     renamed = right.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in right.columns])
@@ -72,9 +77,9 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self.tables = Tables(spark, root, schemas or TABLES, bucket_of, mapped)
 
-    def read(self, name: str, like: DataFrame | None = None) -> DataFrame:
-        """A table without the rows of sources whose deletion has begun."""
-        found = self.tables.read(name, like)
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table (or some of its buckets) without the rows of sources whose deletion has begun."""
+        found = self.tables.read(name, buckets)
         if name == "deleted" or not self.tables.exists(self.tables.folder("deleted")):
             return found
         gone = self.tables.read("deleted").select(F.col("source_key").alias("_gone")).distinct()
@@ -83,7 +88,9 @@ class Store:
         return found.join(gone, source_key(F.col("file_id"), F.col("extraction_version")) == F.col("_gone"), "left_anti")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.tables.append(name, rows)
+        """Adds rows; columns that a table was given since (see ``migrate``) and the rows lack are null."""
+        known = dict(c.split() for c in self.tables.schemas[name].split(", "))
+        self.tables.append(name, rows.withColumns({c: F.lit(None).cast(kind) for c, kind in known.items() if c not in rows.columns}))
 
     def _staged(self, commit_id: str, rows: DataFrame) -> tuple[DataFrame, str]:
         """The input, evaluated once: its plan is the dearest of a commit."""
@@ -110,42 +117,50 @@ class Store:
         rows, path = self._staged(commit_id, verified)
         records = rows.groupBy(*KEY).agg(F.max((F.col("outcome") == 3).cast("int")).alias("failed"), F.max((F.col("outcome") == 1).cast("int")).alias("told"), F.min_by(F.struct("error.code", "error.message", "stage"), F.when(F.col("outcome") == 3, 0).otherwise(1)).alias("fault"))
         records = records.withColumn("outcome", F.when(F.col("failed") == 1, 3).when(F.col("told") == 1, 1).otherwise(2))
-        fresh = matched(records, self.read("row_outcomes", rows).select(*KEY), KEY, "left_anti").persist()
+        buckets = buckets_of(rows)
+        known = self.read("row_outcomes", buckets).select(*KEY, F.lit(True).alias("known"))
+        records = matched(records, known, KEY, "left").persist()
         try:
-            n_all, n_new = records.count(), fresh.count()
-            kept = fresh.where("outcome = 1").select(*KEY)
-            first = Window.partitionBy(*KEY, "person_index").orderBy(F.xxhash64("surname", "name", "patronymic", "birth_date", "birth_place", F.to_json("facts")))
-            people = matched(rows.where("outcome = 1"), kept, KEY, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-            key = source_key(F.col("file_id"), F.col("extraction_version"))
-            people = people.withColumn("id", observation_id(key, F.col("ordinal"), F.col("person_index")))
-            provenance = F.struct(F.concat(F.lit("r"), F.col("ordinal").cast("string")).alias("source_row_id"), "person_index", "extraction_version", F.lit(job_id).cast("string").alias("job_id"))
-            kind = F.when(F.col("person_index") < 0, "unassigned").otherwise("person")
-            people = people.withColumn("all_json", all_json(kind, F.col("identity_status"), F.col("facts"), F.col("unresolved"), F.array().cast("array<string>"), provenance, F.col("rejected")))
-            # An earlier run may have died between tables: what it wrote is not written again.
-            observed = people.join(self.read("person_facts", people).select("id"), "id", "left_anti")
-            docs = projection(people)
-            values = people.select(F.col("id").alias("person_fact_id"), F.explode("facts").alias("f")).select(F.col("f.type").alias("fact_type"), F.col("f.search_key").alias("normalized_value"), "person_fact_id")
-            values = values.where("normalized_value IS NOT NULL").distinct()
-            sources = fresh.select(*SOURCE).distinct().withColumn("source_key", key)
-            self.append("sources", sources.join(self.read("sources").select("source_key"), "source_key", "left_anti"))
-            self.append("person_facts", observed)
-            self.append("search_docs", docs.join(self.read("search_docs", docs).select("person_fact_id"), "person_fact_id", "left_anti"))
-            self.append("fact_values", values.join(self.read("fact_values", values), ["fact_type", "normalized_value", "person_fact_id"], "left_anti"))
-            errors = fresh.where("outcome = 3").select(*KEY, F.coalesce("fault.stage", F.lit("parse")).alias("stage"), F.coalesce("fault.code", F.lit("unknown")).alias("code"), F.col("fault.message").alias("message"))
-            self.append("row_errors", matched(errors, self.read("row_errors", errors), [*KEY, "stage"], "left_anti"))
-            held = people.groupBy(*KEY).agg(F.count("*").alias("n"))
-            told = matched(fresh, held, KEY, "left").select(*KEY, "outcome", F.lit(commit_id).alias("commit_id"), F.coalesce("n", F.lit(0)).alias("observations"))
-            self.append("row_outcomes", told)
-            self._log(commit_id, rows, job_id, requests, input_tokens, output_tokens)
+            n = records.agg(F.count("*").alias("all"), F.count_if(F.col("known").isNull()).alias("new"), F.count_if(F.col("known").isNull() & (F.col("outcome") == 3)).alias("errors")).first()
+            if n.new:  # else all persons are there too, as outcomes come after them
+                self._add(commit_id, rows, records.where("known IS NULL"), buckets, job_id, n.errors)
+            self._log(commit_id, rows, buckets, job_id, requests, input_tokens, output_tokens)
             observations = self.read("commit_log").where(F.col("commit_id") == commit_id).agg(F.sum("observations")).first()[0] or 0
         finally:
-            fresh.unpersist()
+            records.unpersist()
         self.tables.delete(path)
-        return {"duplicate": 0, "new_rows": n_new, "observations": observations, "present": n_all - n_new}
+        return {"duplicate": 0, "new_rows": n.new, "observations": observations, "present": n.all - n.new}
+
+    def _add(self, commit_id: str, rows: DataFrame, fresh: DataFrame, buckets: list[int], job_id: str | None, n_errors: int) -> None:
+        """Writes the persons of the ``fresh`` records, their documents, values and errors, and then their outcomes."""
+        kept = fresh.where("outcome = 1").select(*KEY)
+        first = Window.partitionBy(*KEY, "person_index").orderBy(F.xxhash64("surname", "name", "patronymic", "birth_date", "birth_place", F.to_json("facts")))
+        people = matched(rows.where("outcome = 1"), kept, KEY, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+        key = source_key(F.col("file_id"), F.col("extraction_version"))
+        people = people.withColumn("id", observation_id(key, F.col("ordinal"), F.col("person_index")))
+        provenance = F.struct(F.concat(F.lit("r"), F.col("ordinal").cast("string")).alias("source_row_id"), "person_index", "extraction_version", F.lit(job_id).cast("string").alias("job_id"))
+        kind = F.when(F.col("person_index") < 0, "unassigned").otherwise("person")
+        people = people.withColumn("all_json", all_json(kind, F.col("identity_status"), F.col("facts"), F.col("unresolved"), F.array().cast("array<string>"), provenance, F.col("rejected")))
+        # An earlier run may have died between tables: what it wrote is not written again.
+        observed = people.join(self.read("person_facts", buckets).select("id"), "id", "left_anti")
+        docs = projection(people)
+        values = people.select(F.col("id").alias("person_fact_id"), F.explode("facts").alias("f")).select(F.col("f.type").alias("fact_type"), F.col("f.search_key").alias("normalized_value"), "person_fact_id")
+        values = values.where("normalized_value IS NOT NULL").distinct()
+        sources = fresh.select(*SOURCE).distinct().withColumn("source_key", key)
+        self.append("sources", sources.join(self.read("sources").select("source_key"), "source_key", "left_anti"))
+        self.append("person_facts", observed)
+        self.append("search_docs", docs.join(self.read("search_docs", buckets).select("person_fact_id"), "person_fact_id", "left_anti"))
+        self.append("fact_values", values.join(self.read("fact_values", buckets), ["fact_type", "normalized_value", "person_fact_id"], "left_anti"))
+        if n_errors:
+            errors = fresh.where("outcome = 3").select(*KEY, F.coalesce("fault.stage", F.lit("parse")).alias("stage"), F.coalesce("fault.code", F.lit("unknown")).alias("code"), F.col("fault.message").alias("message"))
+            self.append("row_errors", matched(errors, self.read("row_errors", buckets), [*KEY, "stage"], "left_anti"))
+        held = people.groupBy(*KEY).agg(F.count("*").alias("n"))
+        told = matched(fresh, held, KEY, "left").select(*KEY, "outcome", F.lit(commit_id).alias("commit_id"), F.coalesce("n", F.lit(0)).alias("observations"))
+        self.append("row_outcomes", told)
 
-    def _log(self, commit_id: str, rows: DataFrame, job_id: str | None, *usage: int) -> None:
+    def _log(self, commit_id: str, rows: DataFrame, buckets: list[int], job_id: str | None, *usage: int) -> None:
         """One entry a source: counts of the outcomes that bear the commit's id, so a repeated run logs the same."""
-        mine = self.read("row_outcomes", rows).where(F.col("commit_id") == commit_id)
+        mine = self.read("row_outcomes", buckets).where(F.col("commit_id") == commit_id)
         is_ = lambda k: F.count_if(F.col("outcome") == k)
         counts = mine.groupBy(*SOURCE).agg(is_(1).alias("extracted"), is_(2).alias("no_facts"), is_(3).alias("errors"), F.sum("observations").alias("observations"))
         seen = rows.groupBy(*SOURCE).agg(F.max("ordinal").alias("to_ordinal"), F.count_distinct("ordinal").alias("rows"))
@@ -155,7 +170,7 @@ class Store:
         made = both.join(F.broadcast(least), F.lit(True), "left")  # one row
         spent = {n: F.when(first == F.col("least"), F.lit(v)).otherwise(0) for n, v in zip(COUNTERS[4:], usage, strict=True)}
         made = made.withColumns(spent | {n: F.coalesce(n, F.lit(0)) for n in COUNTERS[:4]} | {"commit_id": F.lit(commit_id), "job_id": F.lit(job_id).cast("string")})
-        if rows.limit(1).count() == 0:
+        if not buckets:
             entry = {n: F.lit(v) for n, v in zip(COUNTERS[4:], usage, strict=True)} | {n: F.lit(0) for n in ("rows", *COUNTERS[:4])} | {n: F.lit(None) for n in ("file_id", "extraction_version", "to_ordinal")}
             made = self.spark.range(1).select(*[c.alias(n) for n, c in entry.items()], F.lit(commit_id).alias("commit_id"), F.lit(job_id).cast("string").alias("job_id"))
         self.append("commit_log", made.coalesce(1))  # a row for each source of one commit, in one file

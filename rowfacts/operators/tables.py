@@ -6,7 +6,6 @@ as complete: a rewrite that dies leaves readers with the version before.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,22 +43,19 @@ class Tables:
     def _columns(self, name: str) -> list[tuple[str, str]]:
         return [(c.split()[0], c.split()[1]) for c in self.schemas[name].split(", ")]
 
-    def read(self, name: str, like: DataFrame | None = None) -> DataFrame:
-        """A table, or only the buckets that the rows of ``like`` belong to; a table not written yet is empty.
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or only some of its buckets; a table not written yet is empty.
 
         Columns that older files lack are null: files are read by the declared schema.
         """
         bucket, names = self.bucket_of(name), self.mapped.get(name, {})
         schema = ", ".join(f"{names.get(c, c)} {kind}" for c, kind in self._columns(name)) + (", bucket int" if bucket is not None else "")
-        try:
-            found = self.spark.read.schema(schema).parquet(self.folder(name))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        folder = self.folder(name)
+        if not self.exists(folder):
             return self.spark.createDataFrame([], self.schemas[name])
-        if like is not None and bucket is not None:
-            # As many numbers as there are buckets at most.
-            found = found.where(F.col("bucket").isin([r[0] for r in like.select(bucket.alias("b")).distinct().collect()]))
+        found = self.spark.read.schema(schema).parquet(folder)
+        if buckets is not None and bucket is not None:
+            found = found.where(F.col("bucket").isin(buckets))
         return found.select(*[F.col(names.get(c, c)).alias(c) for c, _ in self._columns(name)])
 
     def _write(self, name: str, rows: DataFrame, folder: str, mode: str, **options: str) -> None:

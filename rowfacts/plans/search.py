@@ -169,6 +169,20 @@ def index_search(index: DataFrame, query: TextQuery, documents: int) -> DataFram
     return scored.where(F.col("found") >= (1 if query.mode == "any" else len(terms))).drop("found")
 
 
+def people_search(people: DataFrame, docs: DataFrame, query: TextQuery | None = None, where: Column | None = None, text: str = "all_text", id_col: str = "id", owner: str = "person_fact_id") -> DataFrame:
+    """People joined with their search documents: rows that pass ``where`` on either table and match the query, with its rank (0 without one).
+
+    Filters on people run before the join, and only texts that hold the query's words as strings reach it.
+    """
+    named = docs.withColumnRenamed(owner, "_owner")
+    if query is not None:
+        named = text_search(named, text, query)
+    else:
+        named = named.withColumn("rank", F.lit(0).cast("long"))
+    joined = people.join(named.select("_owner", text, "rank"), people[id_col] == F.col("_owner")).drop("_owner")
+    return joined if where is None else joined.where(where)
+
+
 def place_search(docs: DataFrame, place: str, text: str, value: str) -> tuple[DataFrame, str | None]:
     """(rows whose projection has all words of a place, a notice): without a word in it, the place itself is searched as a string."""
     try:

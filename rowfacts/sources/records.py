@@ -140,11 +140,14 @@ def flatten(value: dict, prefix: str = "") -> list[tuple[str, str | None]]:
                 out.append((name, show(x)))
 
     walk(value, prefix)
-    taken: dict[str, int] = {}
-    named = []
+    own, taken, named = {name for name, _ in out}, set(), []
     for name, v in out:
-        taken[name] = taken.get(name, 0) + 1
-        named.append((name if taken[name] == 1 else f"{name} ({taken[name]})", v))
+        shown, k = name, 1
+        while shown in taken or k > 1 and shown in own:
+            k += 1
+            shown = f"{name} ({k})"
+        taken.add(shown)
+        named.append((shown, v))
     return named
 
 

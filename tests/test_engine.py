@@ -139,7 +139,7 @@ def test_structure_checks(spark):
     assert [tuple(r) for r in checks.record_path(paths, "file", "path").collect()] == [("f", "r/x", 3)]
     columns = spark.createDataFrame([("f", 0, "Номер СНИЛС"), ("f", 1, "ИНН"), ("f", 2, "Имя"), ("g", 0, "снилс")], "file string, place int, name string")
     cells = spark.createDataFrame([("f", 0, "770123456789")] * 4 + [("f", 0, "123-456-789 01"), ("f", 1, "7701234567"), ("f", 1, "7701234568"), ("g", 0, "7701234567")], "file string, place int, value string")
-    assert [tuple(r) for r in checks.inferred_names(columns, cells, "file", "place", "name", "value").collect()] == [("f", 0, "Номер СНИЛС", "ИНН 0", 4, 5)]
+    assert [tuple(r) for r in checks.inferred_names(columns, cells, "file", "place", "name", "value").collect()] == [("f", 0, "Номер СНИЛС", "ИНН 2", 4, 5)]
 
 
 def rows_of(content, **settings):
