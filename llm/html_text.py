@@ -25,13 +25,16 @@ from .common import batch, col, free_names, map_arrow
 
 # Fixed values of HTML: elements without content, elements that stay inside a line, elements that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark math object output q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtext munder munderover semantics".split()
+)
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Boilerplate by tag, by role, and by class or id.
-DROP = frozenset("head title script style noscript template svg math canvas object iframe audio video nav footer aside button select option input label textarea datalist output menu dialog map".split())
+DROP = frozenset("head title script style noscript template svg annotation annotation-xml iframe audio video nav footer aside button select option input textarea datalist menu dialog".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 # A class or id counts as a whole: a name of its own, or a compound of nothing but names and parts of a page.
 NAMES = frozenset(
@@ -61,10 +64,14 @@ def _named(token: str) -> str:
 
 
 class Node:
-    __slots__ = ("attrs", "children", "drop", "parent", "tag")
+    """An element; ``measure`` adds what is below: characters, those in links, headings or main parts, live articles; and whether it is inside a part."""
+
+    __slots__ = ("attrs", "chars", "children", "core", "drop", "inside", "linked", "live", "parent", "tag")
 
     def __init__(self, tag: str, attrs=(), parent: Node | None = None):
         self.tag, self.attrs, self.parent, self.children, self.drop = tag, attrs, parent, [], False
+        self.chars = self.linked = 0
+        self.core = self.live = self.inside = False
 
     def walk(self):
         """This node and all below, parents first."""
@@ -128,7 +135,28 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
+def _measure(root: Node) -> None:
+    """One pass down and one up, so that no question about a node walks its subtree."""
+    order = list(root.walk())
+    for node in order:
+        up = node.parent
+        node.inside = up is not None and (up.inside or up.tag in ("article", "main", "section"))
+    for node in reversed(order):
+        node.core = node.tag in ("article", "main", "h1")
+        node.live = node.tag == "main" or node.tag == "article" and not _is_boilerplate(node)
+        for x in node.children:
+            if isinstance(x, str):
+                node.chars += len("".join(x.split()))
+            else:
+                node.core, node.live = node.core or x.core, node.live or x.live
+                if x.tag not in DROP:
+                    node.chars, node.linked = node.chars + x.chars, node.linked + x.linked
+        if node.tag == "a":
+            node.linked = node.chars
+
+
 def _is_boilerplate(node: Node) -> bool:
+    """Whether a measured node is boilerplate by its tag, role or names; of an article its attributes alone tell."""
     tag = node.tag
     if tag in ("html", "body", "main", "#root"):
         return False
@@ -137,12 +165,9 @@ def _is_boilerplate(node: Node) -> bool:
     if tag in DROP:
         return True
     if tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main", "section"):
-            up = up.parent
-        return up is None
+        return not node.inside
     if tag == "form":
-        return not any(n.tag in ("article", "main", "h1") for n in node.walk())
+        return not node.core
     for name, value in node.attrs:
         if name == "role" and (value or "").strip().lower() in ROLES or name in ("hidden",) or name == "aria-hidden" and value == "true":
             return True
@@ -151,9 +176,7 @@ def _is_boilerplate(node: Node) -> bool:
     classes = [x for name, value in node.attrs if name == "class" and value for x in value.split()]
     ids = [] if tag in TITLED or "section" in classes else [x for name, value in node.attrs if name == "id" and value for x in value.split()]
     kinds = {_named(x) for x in (*classes, *ids)}
-    if "boilerplate" in kinds or "ambiguous" in kinds and _mostly_links(node):
-        return not any(n.tag == "main" or n.tag == "article" and not _is_boilerplate(n) for n in node.walk())
-    return False
+    return ("boilerplate" in kinds or "ambiguous" in kinds and node.linked * 2 >= node.chars) and not node.live
 
 
 def _mostly_links(node: Node) -> bool:
@@ -171,15 +194,16 @@ def _mostly_links(node: Node) -> bool:
 
 def _densities(body: Node) -> tuple[dict[int, float], dict[int, float], list[Node]]:
     """Composite density and density sum of each block node below ``body``, and those nodes, parents first."""
-    nodes, order, todo = [], [], [(body, False)]
+    nodes, order, todo = [], [], [(body, False, None)]
     while todo:
-        node, linked = todo.pop()
+        node, linked, block = todo.pop()
         if node.drop:
             continue
-        order.append((node, linked or node.tag == "a"))
-        todo.extend((x, linked or node.tag == "a") for x in node.children if isinstance(x, Node))
+        order.append((node, linked or node.tag == "a", block))
+        block = block if node.tag in INLINE or node.tag == "br" else node
+        todo.extend((x, linked or node.tag == "a", block) for x in node.children if isinstance(x, Node))
     stats: dict[int, list[int]] = {}
-    for node, linked in reversed(order):
+    for node, linked, _ in reversed(order):
         chars = sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
         own = [chars, chars if linked else 0, 0, 0]
         for x in node.children:
@@ -191,7 +215,7 @@ def _densities(body: Node) -> tuple[dict[int, float], dict[int, float], list[Nod
     chars_of_body, links_of_body = stats[id(body)][:2]
     share = links_of_body / chars_of_body if chars_of_body else 0.0
     density, sums = {}, {}
-    for node, _ in order:
+    for node, _, block in order:
         if node.tag in INLINE or node.tag == "br":
             continue
         nodes.append(node)
@@ -203,12 +227,8 @@ def _densities(body: Node) -> tuple[dict[int, float], dict[int, float], list[Nod
             value = c / t * max(log(max(arg, 1.0)) / max(base, 0.05), 0.0)
         density[id(node)] = value
         sums[id(node)] = 0.0
-        up = node.parent
-        while up is not None and node is not body:
-            if id(up) in sums:
-                sums[id(up)] += value
-                break
-            up = up.parent
+        if block is not None:
+            sums[id(block)] += value
     return density, sums, nodes
 
 
@@ -231,6 +251,7 @@ def main_text(html: str) -> str:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    _measure(builder.root)
     for node in builder.root.walk():
         node.drop = _is_boilerplate(node)
     body = next((n for n in builder.root.walk() if n.tag == "body"), builder.root)

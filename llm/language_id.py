@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, col, keyed, map_arrow, register_cache, ship
+from .common import batch, col, free_names, keyed, map_arrow, register_cache, ship
 from .words import _LOWER, steps
 
 ORDER = 3
@@ -172,8 +172,9 @@ def predict(texts: DataFrame, statistics, keep: tuple[str, ...], text_col: str =
     """``keep`` columns, lang_pred and score (the language's share of the likelihood) of each whole text.
 
     ``und`` and 0 where the text is null or has no letter, or nothing was learned.  Ties go to the
-    language first by name.
+    language first by name.  Where ``keep`` has a lang_pred or score already, the new one is lang_pred_1 or score_1.
     """
+    names_of = free_names(keep, ("lang_pred", "score"))
     shared, token = texts.sparkSession.sparkContext.broadcast(statistics), f"{id(statistics)}-{np.random.default_rng().integers(1 << 62)}"
     base = texts.select(*[col(c) for c in keep], col(text_col).cast("string").alias("_source_text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema[:-1])
@@ -194,9 +195,9 @@ def predict(texts: DataFrame, statistics, keep: tuple[str, ...], text_col: str =
                     share = 1 / np.exp2(np.minimum(bits.min(axis=1, keepdims=True) - bits, 0)).sum(axis=1)
                     names[letters] = np.array(model.languages, object)[best[letters]]
                     score[letters] = share[letters]
-                yield batch([(n, b.column(i)[r0:r1]) for i, n in enumerate(b.schema.names[:-1])] + [("lang_pred", pa.array(names.tolist(), pa.string())), ("score", score)])
+                yield batch([(n, b.column(i)[r0:r1]) for i, n in enumerate(b.schema.names[:-1])] + [(names_of[0], pa.array(names.tolist(), pa.string())), (names_of[1], score)])
 
-    return map_arrow(base, run, schema + "lang_pred string, score double", cache="languages")
+    return map_arrow(base, run, schema + f"{names_of[0]} string, {names_of[1]} double", cache="languages")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, part: int = 2) -> DataFrame:

@@ -5,9 +5,10 @@ with the variable-bitrate table (frame and byte counts, 100 seek points), then f
 information declares silence, so that all bytes behind it are ancillary data, which hold the payload.
 Every frame carries the CRC-16 of its header and side information.
 
-The reader takes any stream of layers I-III, MPEG-1, 2 and 2.5: it skips ID3v2, ID3v1 and APE tags,
-resynchronises at the next header that another valid header or the end follows, parses Xing, Info
-and VBRI tables, verifies checksums, and returns exact durations and all frames' offsets.
+The reader takes any stream of layers I-III, MPEG-1, 2 and 2.5, free format included: it skips ID3v2,
+ID3v1 and APE tags, resynchronises at the next header that another valid header or the end follows, parses
+Xing, Info and VBRI tables, verifies the checksums of layers I and III (those of layer II, whose extent
+depends on its allocation tables, are passed over), and returns exact durations and all frames' offsets.
 """
 
 from __future__ import annotations
@@ -63,11 +64,11 @@ def crc16(data: bytes) -> int:
 
 
 class Header:
-    """A parsed frame header; ``size`` is 0 for the free format."""
+    """A parsed frame header; ``size`` is 0 for the free format, ``covered`` the bytes that a checksum covers besides the header's last two."""
 
-    __slots__ = ("layer", "mono", "padded", "protected", "rate", "samples", "side", "size", "version")
+    __slots__ = ("covered", "layer", "mono", "padded", "padding", "protected", "rate", "samples", "side", "size", "version")
 
-    def __init__(self, version, layer, protected, bitrate, rate, padded, mono):
+    def __init__(self, version, layer, protected, bitrate, rate, padded, mono, bound=32):
         family = 1 if version == 3 else 2
         self.version, self.layer, self.protected, self.rate, self.padded, self.mono = version, layer, protected, rate, padded, mono
         self.samples = SAMPLES[family, layer]
@@ -77,7 +78,10 @@ class Header:
             self.size = (12000 * bitrate // rate + padded) * 4
         else:
             self.size = self.samples // 8 * 1000 * bitrate // rate + padded
+        self.padding = padded * (4 if layer == 1 else 1)
         self.side = ((17 if mono else 32) if family == 1 else (9 if mono else 17)) if layer == 3 else 0
+        # Layer I: four bits of allocation for each of 32 bands, and again for the bands below ``bound`` of a second channel.
+        self.covered = self.side or ((16 if mono else (32 + bound) // 2) if layer == 1 else 0)
 
 
 @lru_cache(1024)
@@ -90,7 +94,7 @@ def header(data: bytes) -> Header | None:
     if version == 1 or layer == 4 or bitrate == 15 or rate == 3 or data[3] & 3 == 2:
         return None
     family = 1 if version == 3 else 2
-    return Header(version, layer, not data[1] & 1, BITRATES[family, layer][bitrate], RATES[version][rate], data[2] >> 1 & 1, data[3] >> 6 == 3)
+    return Header(version, layer, not data[1] & 1, BITRATES[family, layer][bitrate], RATES[version][rate], data[2] >> 1 & 1, data[3] >> 6 == 3, 4 * (data[3] >> 4 & 3) + 4 if data[3] >> 6 == 1 else 32)
 
 
 def _like(a: Header, b: Header | None) -> bool:
@@ -147,6 +151,25 @@ def _vbr(data: bytes, at: int, h: Header, length: int) -> dict | None:
     return None
 
 
+#: Bytes in which the second frame of a free format stream must begin.
+FREE_REACH = 1 << 14
+
+
+def _free_size(data: bytes, at: int, end: int, h: Header) -> int:
+    """Bytes of a frame of the free format without padding: up to the next header alike whose own frame another one, or the end, follows; 0 if none."""
+    place = data.find(b"\xff", at + 8, min(end, at + FREE_REACH))
+    while place >= 0:
+        next_ = header(data[place : place + 4])
+        if _like(h, next_) and not next_.size:
+            size = place - at - h.padding
+            after = place + size + next_.padding
+            third = header(data[after : after + 4])
+            if after == end or after < end and _like(h, third) and not third.size:
+                return size
+        place = data.find(b"\xff", place + 1, min(end, at + FREE_REACH))
+    return 0
+
+
 class Stream:
     """What reading a stream finds: frames (offset, size), samples, rate, bad checksums, skipped bytes, table, tags, payload."""
 
@@ -154,13 +177,17 @@ class Stream:
         start, end, self.tags = _tags(data)
         self.frames: list[tuple[int, int]] = []
         self.samples = self.bad = self.checked = self.skipped = self.rate = 0
-        self.table, parts, at, first = None, [], start, None
+        self.table, parts, at, first, free = None, [], start, None, 0
         while at + 4 <= end:
             h = header(data[at : at + 4])
-            fits = h is not None and h.size > 4 + 2 * h.protected + h.side and at + h.size <= end and (first is None or _like(first, h))
+            size = h.size if h is not None else 0
+            if h is not None and not size and (first is None or _like(first, h)):
+                free = free or _free_size(data, at, end, h)
+                size = free and free + h.padding
+            fits = h is not None and size > 4 + 2 * h.protected + h.covered and at + size <= end and (first is None or _like(first, h))
             if fits and (not self.frames or self.frames[-1][0] + self.frames[-1][1] != at):
                 # After a gap a header counts only if another one, or the end, follows its frame.
-                fits = at + h.size >= end - 3 or _like(h, header(data[at + h.size : at + h.size + 4]))
+                fits = at + size >= end - 3 or _like(h, header(data[at + size : at + size + 4]))
             if not fits:
                 further = data.find(b"\xff", at + 1, end)
                 further = end if further < 0 else further
@@ -168,19 +195,19 @@ class Stream:
                 at = further
                 continue
             body = at + 4 + 2 * h.protected
-            if h.protected and h.layer == 3:
+            if h.protected and h.covered:
                 self.checked += 1
-                self.bad += crc16(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
-            table = _vbr(data, at, h, h.size) if first is None and h.layer == 3 else None
+                self.bad += crc16(data[at + 2 : at + 4] + data[body : body + h.covered]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            table = _vbr(data, at, h, size) if first is None and h.layer == 3 else None
             if first is None:
                 first, self.rate = h, h.rate
             if table:
                 self.table = table
             else:
-                self.frames.append((at, h.size))
+                self.frames.append((at, size))
                 self.samples += h.samples
-                parts.append(data[body + h.side : at + h.size])
-            at += h.size
+                parts.append(data[body + h.side : at + size])
+            at += size
         self.skipped += max(0, end - at)
         private = self.tags.get("PRIV", b"")
         length = int(private[len(_OWNER) :]) if private.startswith(_OWNER) else None

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, col, free_names, ints, map_arrow, register_cache, ship
+from .common import batch, col, free_name, free_names, ints, map_arrow, register_cache, ship
 from .words import steps
 
 #: Runs that a process keeps (about 150 MB at most), the longest that it keeps, bytes of text normalised and rows handed on together.
@@ -252,10 +252,9 @@ def encode(texts: DataFrame, model: str, text_col: str = "text", keep: tuple[str
 def decode(pieces: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``pieces`` with one more column: the library's decoding of each row's ids; null ids decode to the empty text.
 
-    A column that has the new one's name already is an error, as its values would be lost.
+    Where ``pieces`` has a column of that name already, the new one is decoded_1, decoded_2 and so on.
     """
-    if text_col.lower() in {c.lower() for c in pieces.columns}:
-        raise ValueError(f"{text_col} is a column already")
+    text_col = free_name(pieces.columns, text_col)
     base = pieces.select("*", col(ids_col).cast("array<int>").alias("_decoded_ids"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema[:-1])
 

@@ -115,8 +115,7 @@ def test_pieces_equal_the_library(spark, edge_docs, no_docs):
         assert list(r.ids) == codec.library.encode(r.text or "") and r.decoded == codec.library.decode(list(r.ids))
         assert r.starts[1:] == r.ends[:-1]
     assert piece_codec.encode(no_docs, model).count() == 0
-    with pytest.raises(ValueError, match="column already"):
-        piece_codec.decode(piece_codec.encode(edge_docs, model, keep=("text",)), model, text_col="text")
+    assert piece_codec.decode(piece_codec.encode(edge_docs, model, keep=("text",)), model, text_col="text").columns[-1] == "text_1"
 
 
 def test_few_cached_runs(monkeypatch):
@@ -524,3 +523,58 @@ def test_media(spark, edge_docs, no_docs):
     assert kept.columns == ["doc_id", "payload", "feature", "media", "n_bytes", "media_1"]
     read = mpeg_audio.features(kept, media_col="media_1", keep=("payload", "feature")).select("payload", "feature", "payload_1", "feature_1").collect()
     assert len(read) == len(EDGE_ROWS) and all(r.payload == 1 and r.feature == "f" and len(r.payload_1) % 64 == 0 for r in read)
+
+
+def _frame_of(layer, body, protected=True, bitrate=8, mode=0, good=True):
+    """An MPEG-1 frame at 44.1 kHz without padding; bitrate 0 is the free format, whose size is that of ``body``."""
+    head = bytes((0xFF, 0xF8 | (4 - layer) << 1 | (not protected), bitrate << 4, mode))
+    covered = {1: 16 if mode >> 6 == 3 else (32 + (4 * (mode >> 4 & 3) + 4 if mode >> 6 == 1 else 32)) // 2, 2: 0, 3: 17 if mode >> 6 == 3 else 32}[layer]
+    crc = mpeg_audio.crc16(head[2:] + body[:covered]) ^ (not good)
+    return head + (crc.to_bytes(2, "big") if protected else b"") + body
+
+
+def test_checksums_of_layer_one():
+    for mode in (0x00, 0x40, 0x50, 0x70, 0x80, 0xC0):
+        size = mpeg_audio.header(bytes((0xFF, 0xFE, 8 << 4, mode))).size
+        body = bytes(i * 7 % 200 for i in range(size - 6))
+        for good in (True, False):
+            found = mpeg_audio.Stream(_frame_of(1, body, mode=mode, good=good) * 4)
+            assert (len(found.frames), found.checked, found.bad, found.skipped) == (4, 4, 0 if good else 4, 0)
+
+
+def test_free_format():
+    body = bytes(i * 7 % 200 for i in range(394))
+    for layer in (1, 2, 3):
+        data = b"junk" + _frame_of(layer, body, bitrate=0) * 4
+        found = mpeg_audio.Stream(data)
+        assert [s for _, s in found.frames] == [400] * 4 and found.skipped == 4 and found.samples == 4 * mpeg_audio.SAMPLES[1, layer]
+    assert mpeg_audio.Stream(_frame_of(3, body, bitrate=0)).frames == []
+
+
+def test_pages_keep_formulas_and_labels():
+    long = "word " * 80
+    page = f"<body><article><p>{long}<math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <label>so</label> <output>2</output></p><p>{long}<object>shown</object></p></article><form><label>mail</label></form></body>"
+    found = html_text.main_text(page)
+    assert "x=1 and so 2" in found and "shown" in found and "mail" not in found
+
+
+def test_deep_named_blocks_take_linear_time():
+    import time
+
+    def took(n):
+        page = "<body>" + '<div class="comments"><header>' * n + "x" + "</header></div>" * n + "<p>" + "word " * 50 + "</p></body>"
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16000) < 16 * max(took(4000), 0.05)
+
+
+def test_clashing_names_of_decoded_and_predicted(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = spark.createDataFrame([([5, 6], "kept", 1.5, "text of it")], "ids array<int>, decoded string, score double, text string")
+    made = piece_codec.decode(rows, path)
+    assert made.columns[-1] == "decoded_1" and made.first().decoded == "kept"
+    found = language_id.predict(rows, ([], []), ("score",)).first()
+    assert found.score == 1.5 and found.score_1 == 0
