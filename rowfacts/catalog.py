@@ -286,10 +286,10 @@ def json_valid(spark, sf_dir):
     ELSE string_agg('Документ: ' || o_orderkey, '; ' ORDER BY o_orderkey) END AS summary FROM orders GROUP BY o_custkey"""
 )
 def facts_summary(spark, sf_dir):
-    fact = F.struct(F.lit("document").alias("type"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("k"))
-    facts = F.array_sort(F.collect_list(fact), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    fact = F.struct(F.lit("document").alias("type"), F.col("o_orderkey").cast("string").alias("value"))
     none = F.array().cast("array<struct<raw_value:string>>")
-    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(facts.alias("f")).select("o_custkey", records.facts_summary(F.col("f"), none).alias("summary"))
+    first = audit.first_of_groups(t(spark, sf_dir, "orders"), ["o_custkey"], [F.asc("o_orderkey")], fact, 4)
+    return first.select("o_custkey", records.facts_summary(F.col("first"), none, 4, F.col("n")).alias("summary"))
 
 
 @query("SELECT o_custkey, ceil(count(*) / 10)::BIGINT AS requests, ((count(*) * 120 * 0.5 + count(*) * 80 * 1.5) / 1000000)::DOUBLE AS cost FROM orders GROUP BY o_custkey")

@@ -111,10 +111,11 @@ def search_text(surname: Column, name: Column, patronymic: Column, birth_date: C
     return F.concat_ws(" ", blank(surname), blank(name), blank(patronymic), *dates, blank(birth_place), blank(facts), blank(file))
 
 
-def facts_summary(facts: Column, unresolved: Column, shown: int = 4) -> Column:
-    """The first facts as ``Title: value``, how many more there are, or a dash."""
+def facts_summary(facts: Column, unresolved: Column, shown: int = 4, total: Column | None = None) -> Column:
+    """The first facts as ``Title: value``, how many more there are (of ``total``, if ``facts`` are the first ones only), or a dash."""
+    total = F.size(facts) if total is None else total
     first = F.array_join(F.transform(F.slice(facts, 1, shown), lambda f: F.concat(title(f["type"]), F.lit(": "), f["value"])), "; ")
-    more = F.when(F.size(facts) > shown, F.concat(F.lit("; ещё "), (F.size(facts) - shown).cast("string"))).otherwise("")
+    more = F.when(total > shown, F.concat(F.lit("; ещё "), (total - shown).cast("string"))).otherwise("")
     open_ = F.when(F.size(unresolved) > 0, F.array_join(F.transform(unresolved, lambda u: F.concat(F.lit("? "), u["raw_value"])), "; ")).otherwise("")
     whole = F.concat_ws("; ", F.when(F.size(facts) > 0, F.concat(first, more)), F.when(open_ != "", open_))
     return F.when(F.length(whole) > 0, whole).otherwise("—")

@@ -7,6 +7,8 @@ holds (token, folder, documents) sorted by token: a beginning is a range of it,
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +22,45 @@ def _folder(token: Column, folders: int) -> Column:
 
 
 def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, folders: int = FOLDERS) -> None:
-    """Writes the index of ``docs``; a text's places count from 0, and equal ids count as one text each."""
-    said = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens_of(F.col(text_col))).alias("at", "token"))
-    # A token's places in one text are as many as the text has words at most.
-    postings = said.groupBy("token", "id").agg(F.sort_array(F.collect_list("at")).alias("positions")).withColumn("folder", _folder(F.col("token"), folders))
+    """Writes the index of ``docs``, whose ids are unique; a text's places count from 0.
+
+    A text's words are gathered where it is read, so that only postings move, once.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    said = docs.select(F.col(id_col).alias("id"), tokens_of(F.col(text_col)).alias("tokens"))
+    postings = said.mapInArrow(_gather, f"id {kind}, token string, positions array<int>").withColumn("folder", _folder(F.col("token"), folders))
     rows = postings.hint("rebalance", "folder").sortWithinPartitions("folder", "token", "id")
-    rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("folder").parquet(f"{path}/postings")
+    rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("folder").parquet(f"{path}/postings")
     stored = docs.sparkSession.read.parquet(f"{path}/postings")
     stored.groupBy("token", "folder").agg(F.count("*").alias("documents")).sort("token").write.mode("overwrite").parquet(f"{path}/terms")
 
 
+#: Words of the texts that one step of a task gathers.
+STEP_WORDS = 1 << 18
+
+
+def _gather(batches):
+    """(id, token, positions) of each text's different words."""
+    for b in batches:
+        ids, lists = b.column(0), b.column(1)
+        ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
+        row = 0
+        while row < b.num_rows:
+            stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + STEP_WORDS, "right")))
+            part = lists.slice(row, stop - row)
+            sizes = np.asarray(part.value_lengths().fill_null(0))
+            owner = np.repeat(np.arange(stop - row), sizes)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            words = part.flatten().dictionary_encode()
+            code = np.asarray(words.indices).astype(np.int64)
+            order = np.lexsort((place, code, owner))
+            owner, code, place = owner[order], code[order], place[order]
+            starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])]) if len(owner) else np.zeros(0, np.int64)
+            positions = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(owner)].astype(np.int32)), pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[starts] + row)), words.dictionary.take(pa.array(code[starts])), positions], names=["id", "token", "positions"])
+            row = stop
+
+
 def _between(token: Column, word: str, prefix: bool) -> Column:
     """The words that a part of a query stands for; a range first, which files are pruned by."""
     return (token >= word) & token.startswith(word) if prefix else token == word

@@ -14,11 +14,12 @@ import hashlib
 import io
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import replace
 from itertools import islice
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -415,6 +416,8 @@ def read_records(spark: SparkSession, path: str, s: Structure, after: int = 0, l
 
         return _batches(rows())
 
+    if by_line and s.encoding and s.encoding not in WIDE:
+        return finished(_line_records(spark, path, s, None, after), longest)
     if s.encoding or s.format == "xml":
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         files = found.select(F.col("path").alias("file_id"), F.col("_metadata.file_path").alias("url"), F.lit(s.encoding or "utf-8").alias("encoding"))
@@ -455,16 +458,16 @@ def _cut_names(s: Structure, header: str | None, first: str | None) -> list[str]
     return unique_names(list(s.columns) or (cells(header) if header is not None else []) or [None] * size)
 
 
-def _cut_lines(placed: DataFrame, heads: DataFrame, s: Structure, with_header: bool) -> DataFrame:
+def _cut_lines(placed: DataFrame, heads: DataFrame, s: Structure, with_header: bool, by_file) -> DataFrame:
     """Fixed-width and delimited records, cut by built-in functions."""
-    text = lambda c: F.regexp_replace(F.translate(text_of(F.col(c), F.col("encoding")), "\0", "�"), "^\ufeff", "")
+    clean = lambda c: F.regexp_replace(F.translate(c, "\0", "�"), "^\ufeff", "")
 
     def name(batches):  # a row for each file
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_cut_names(s, h if with_header else None, f) for h, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.list_(pa.string()))], names=["file", "header", "names"])
 
-    named = heads.select("file_id", text("header").alias("header"), text("first").alias("first")).mapInArrow(name, "file string, header string, names array<string>")
-    lines = placed.join(F.broadcast(named), F.col("file_id") == F.col("file")).withColumn("text", F.when(F.col("line") == 1, text("value")).otherwise(F.translate(text_of(F.col("value"), F.col("encoding")), "\0", "�")))
+    named = heads.select("file_id", clean("header").alias("header"), clean("first").alias("first")).mapInArrow(name, "file string, header string, names array<string>")
+    lines = placed.join(by_file(named), F.col("file_id") == F.col("file")).withColumn("text", F.translate("text", "\0", "�"))
     if s.format == "fixed_width":
         starts = [sum(s.widths[:i]) + 1 for i in range(len(s.widths))]
         cells = F.array(*[F.trim(F.substring("text", a, w if i < len(starts) - 1 else LONGEST), F.lit(" \t")) for i, (a, w) in enumerate(zip(starts, s.widths, strict=True))])
@@ -484,42 +487,62 @@ def _cut_lines(placed: DataFrame, heads: DataFrame, s: Structure, with_header: b
     return lines.select("file_id", "ordinal", "line", F.col("line").alias("end_line"), F.when(F.col("error").isNull(), fields).otherwise(none).alias("fields"), "error")
 
 
-def _line_records(spark: SparkSession, path: str, s: Structure, files: DataFrame, after: int) -> DataFrame:
-    """Records of the files that Spark splits."""
+#: Files and blocks of them whose headers and counts may be sent to all tasks.
+FEW_FILES = 20_000
+# What counts as blank in a line, as in Unicode's definition of white space and the separators of ASCII.
+BLANK = "\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+
+
+def _line_records(spark: SparkSession, path: str, s: Structure, files: DataFrame | None, after: int) -> DataFrame:
+    """Records of the files that Spark splits; ``files`` (file_id, url, encoding) where the structure names no encoding."""
     lead = s.skip_rows + (s.has_header and s.format != "jsonl")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    blocks = found.n + found.bytes // max(1, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    few = blocks <= FEW_FILES
 
-    def filled(line: bytes, encoding: str) -> bool:
-        text = line.decode(CODECS[encoding], "replace")
-        if s.format == "fixed_width":
-            return bool(text.strip(" \t"))
-        return bool(text.strip()) or s.format == "delimited" and s.delimiter in text
+    def by_file(df: DataFrame) -> DataFrame:
+        """A row for each file or block, to be joined with lines: sent to all tasks where they are few, so that a large file's lines stay where they are."""
+        return F.broadcast(df) if few else df
 
     lines = spark.read.option("recursiveFileLookup", True)
     if s.format == "jsonl":  # a carriage return alone ends no line
         lines = lines.option("lineSep", "\n")
     lines = lines.text(path).select(F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
-    lines = lines.join(F.broadcast(files), "url").select("file_id", "block", "encoding", "value")
-    every = _numbered(lines, filled)
+    if files is None:
+        # Names come with escapes, in which a plus is a plus.
+        lines = lines.select(F.url_decode(F.replace(F.col("url"), F.lit("+"), F.lit("%2B"))).alias("file_id"), "block", text_of(F.col("value"), F.lit(s.encoding)).alias("text"))
+    else:
+        # A broadcast join leaves lines in their order; after a shuffle they are put in order again.
+        order = [] if few else ["at"]
+        placed = lines if few else lines.withColumn("at", F.monotonically_increasing_id())
+        lines = placed.join(by_file(files), "url").select("file_id", "block", text_of(F.col("value"), F.col("encoding")).alias("text"), *order)
+    some = F.length(F.trim("text", F.lit(" \t"))) > 0 if s.format == "fixed_width" else F.col("text").rlike(f"[^{BLANK}]")
+    if s.format == "delimited":
+        some = some | F.contains("text", F.lit(s.delimiter))
+    every = _numbered(lines.withColumn("filled", some), by_file)
     is_record = F.col("filled") & (F.col("line") > lead)
-    heads = every.groupBy("file_id", "encoding").agg(
+    heads = every.groupBy("file_id").agg(
         F.count(F.when(F.col("filled") & (F.col("line") <= lead), 1)).alias("lead_filled"),
-        F.max(F.when(F.col("line") == lead, F.col("value"))).alias("header"),
-        F.min_by(F.when(is_record, F.col("value")), F.when(is_record, F.col("line"))).alias("first"),
+        F.max(F.when(F.col("line") == lead, F.col("text"))).alias("header"),
+        F.min_by(F.when(is_record, F.col("text")), F.when(is_record, F.col("line"))).alias("first"),
     )
-    placed = every.join(F.broadcast(heads.select("file_id", "lead_filled")), "file_id").where(is_record).withColumn("ordinal", F.col("nth") - F.col("lead_filled")).where(F.col("ordinal") > after)
+    placed = every.where(is_record)
+    if lead:
+        placed = placed.join(by_file(heads.select("file_id", "lead_filled")), "file_id").withColumn("nth", F.col("nth") - F.col("lead_filled"))
+    text = F.when(F.col("line") == 1, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))
+    placed = placed.select("file_id", "line", F.col("nth").alias("ordinal"), text.alias("text")).where(F.col("ordinal") > after)
     if s.format != "jsonl":
-        return _cut_lines(placed, heads, s, lead > s.skip_rows)
+        return _cut_lines(placed, heads, s, lead > s.skip_rows, by_file)
 
     def run(batches):
         def rows():
             for b in batches:
-                for file, encoding, n, line, value in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    text = value.decode(CODECS[encoding], "replace")
-                    yield _shown(file, n, json_line(text.removeprefix("\ufeff") if line == 1 else text, line))
+                for file, line, n, value in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    yield _shown(file, n, json_line(value, line))
 
         return _batches(rows())
 
-    return placed.select("file_id", "encoding", "ordinal", "line", "value").mapInArrow(run, _SCHEMA)
+    return placed.select("file_id", "line", "ordinal", "text").mapInArrow(run, _SCHEMA)
 
 
 def _content_hash(batches):
@@ -553,33 +576,45 @@ def scan_folder(spark: SparkSession, path: str, hidden: bool = False) -> DataFra
     return seen.mapInArrow(_content_hash, "path string, name string, extension string, hint string, length long, modificationTime timestamp, content_hash string")
 
 
-def _numbered(lines: DataFrame, filled: Callable[[bytes, str], bool]) -> DataFrame:
-    """(file_id, block, encoding, value) with line, filled and nth: a block's lines are numbered in its task, and counts of earlier blocks are added."""
-
-    def number(batches):
-        at: dict[tuple, list[int]] = {}
-        for b in batches:
-            place, full, nth = [], [], []
-            for file, block, encoding, value in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                count = at.setdefault((file, block), [0, 0])
-                some = filled(value, encoding)
-                count[0] += 1
-                count[1] += some
-                place.append(count[0])
-                full.append(some)
-                nth.append(count[1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int64()), pa.array(full, pa.bool_()), pa.array(nth, pa.int64())], names=[*names, "place", "filled", "in_block"])
-
-    names = lines.columns
-    counted = lines.mapInArrow(number, "file_id string, block long, encoding string, value binary, place long, filled boolean, in_block long")
+def _number(batches):
+    """Adds place and in_block: numbers of the line, and of the filled ones so far, within its block; vectors, as a block's lines come together."""
+    key, lines, some = None, 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        file, block = np.asarray(b.column(0).dictionary_encode().indices), np.asarray(b.column(1))
+        filled = np.asarray(b.column(3).cast(pa.int64()))
+        new = np.r_[True, (file[1:] != file[:-1]) | (block[1:] != block[:-1])]
+        starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+        place = np.arange(1, b.num_rows + 1) - starts[run]
+        total = np.cumsum(filled)
+        nth = total - (total[starts] - filled[starts])[run]
+        if key == (b.column(0)[0].as_py(), b.column(1)[0].as_py()):
+            place[run == 0] += lines
+            nth[run == 0] += some
+        key, lines, some = (b.column(0)[-1].as_py(), b.column(1)[-1].as_py()), int(place[-1]), int(nth[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place), pa.array(nth)], names=[*b.schema.names, "place", "in_block"])
+
+
+def _numbered(lines: DataFrame, by_block=lambda df: df) -> DataFrame:
+    """(file_id, block, text, filled) with line and nth, the numbers of the line and of the filled ones in its file.
+
+    Lines are numbered within their block, and counts of the blocks before are added.  Lines that a
+    join has moved have ``at``, by which their block is put in order again; a block is as large as Spark splits files.
+    """
+    if "at" in lines.columns:
+        within = Window.partitionBy("file_id", "block").orderBy("at")
+        counted = lines.withColumns({"place": F.row_number().over(within).cast("long"), "in_block": F.count_if("filled").over(within)}).drop("at")
+    else:
+        counted = lines.mapInArrow(_number, "file_id string, block long, text string, filled boolean, place long, in_block long")
     before = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counted.groupBy(F.col("file_id").alias("f"), F.col("block").alias("b")).agg(F.count("*").alias("n"), F.max("in_block").alias("m"))
+    blocks = counted.groupBy(F.col("file_id").alias("f"), F.col("block").alias("b")).agg(F.max("place").alias("n"), F.max("in_block").alias("m"))
     bases = blocks.select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("full_base"))
-    joined = counted.join(F.broadcast(bases), (F.col("file_id") == F.col("f")) & (F.col("block") == F.col("b")))
-    return joined.select("file_id", "encoding", "value", (F.col("base") + F.col("place")).alias("line"), "filled", (F.col("full_base") + F.col("in_block")).alias("nth"))
+    joined = counted.join(by_block(bases), (F.col("file_id") == F.col("f")) & (F.col("block") == F.col("b")))
+    return joined.select("file_id", "text", (F.col("base") + F.col("place")).alias("line"), "filled", (F.col("full_base") + F.col("in_block")).alias("nth"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, ordinal, value) of text files that Spark splits."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), F.lit("utf-8").alias("encoding"), F.col("value").cast("binary").alias("value"))
-    return _numbered(lines, lambda line, encoding: True).select("file_id", F.col("line").alias("ordinal"), F.col("value").cast("string").alias("value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"), F.lit(True).alias("filled"))
+    return _numbered(lines).select("file_id", F.col("line").alias("ordinal"), F.col("text").alias("value"))

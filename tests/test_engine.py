@@ -10,6 +10,7 @@ from rowfacts.functions import dates, identifiers, records, text
 from rowfacts.operators import batching, checks, extract
 from rowfacts.operators.commit import Store
 from rowfacts.plans import search
+from rowfacts.sources import records as source_records
 from rowfacts.sources import sniff
 from rowfacts.sources.records import numbered_lines, parse, read_records, scan_folder
 from rowfacts.sources.structure import Structure, unique_names
@@ -256,7 +257,9 @@ def test_batches_of_a_hot_group(spark):
     assert sorted(map(tuple, made.collect()), key=lambda r: r[1]) == want
 
 
-def test_big_files_are_split(spark, tmp_path):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_big_files_are_split(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(source_records, "FEW_FILES", few)
     made = {
         "d": (Structure("delimited", quote=None), "x;Имя\r\n1;a\r\n \r\n;\n1\n\"q;b\n" + "7;ж\n" * 900),
         "n": (Structure("delimited", quote=None, has_header=False, skip_rows=2), "no\n\n\n1;2\n3;4;5\n" + "7;8\n" * 900),
@@ -267,6 +270,7 @@ def test_big_files_are_split(spark, tmp_path):
     }
     named = {"utf-8": "utf-8", "cp1251": "windows-1251", "utf-16": "utf-16-le"}
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else joins of a few rows end in one partition
     try:
         for name, (s, text) in made.items():
             for code in {"d": ("utf-8", "cp1251", "utf-16"), "f": ("cp1251",), "q": ("cp1251",)}.get(name, ("utf-8",)):
@@ -276,11 +280,12 @@ def test_big_files_are_split(spark, tmp_path):
                 got = read_records(spark, str(file.parent), s, after=1)
                 rows = sorted((r.ordinal, r.line, r.end_line, [tuple(x) for x in r.fields], r.error and tuple(r.error)) for r in got.withColumn("part", F.spark_partition_id()).collect())
                 assert rows == [(n, r.line, r.end_line, r.fields, r.error) for n, r in enumerate(parse(file.read_bytes(), s if name == "x" else replace(s, encoding=named[code])), 1) if n > 1], (name, code)
-                if name in "dnfj" and code != "utf-16":
+                if name in "dnfj" and code != "utf-16" and few:
                     assert got.where("ordinal > 1").select(F.spark_partition_id().alias("p")).distinct().count() > 2
                 assert got.select("file_id").distinct().first()[0] == f"file:{file}"
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_helpers(spark):

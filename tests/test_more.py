@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from rowfacts.operators import checks, extract
+from rowfacts.operators import audit, checks, extract
 from rowfacts.operators.align import aligned, column_union
 from rowfacts.operators.commit import Store
 from rowfacts.operators.migrate import Step, migrate, migration_plan
@@ -168,3 +168,24 @@ def test_people_search(spark):
     found = search.people_search(people, docs, search.compile_query("red"), F.col("surname") != "B")
     assert [(r.id, r.rank) for r in found.collect()] == [(1, 2)]
     assert search.people_search(people, docs, None, F.col("surname") == "C").first()["rank"] == 0
+
+
+def test_streaks_and_checkpoints_by_ranges(spark):
+    rng = random.Random(9)
+    rows = [(g, at, rng.random() < 0.8) for g in ("a", "b", None) for at in rng.sample(range(-50, 400), 250)] + [("c", at, True) for at in range(1, 200)]
+    frame = spark.createDataFrame(rows, "g string, at long, bad boolean")
+    expected = []
+    for g in {r[0] for r in rows}:
+        run = []
+        for _, at, bad in [*sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), (g, None, False)]:
+            if bad:
+                run.append(at)
+            else:
+                expected += [(g, run[0], run[-1], len(run))] if len(run) >= 4 else []
+                run = []
+    for width in (1, 7, 64, 1 << 16):
+        assert sorted(map(repr, map(tuple, audit.error_streaks(frame, ["g"], "at", F.col("bad"), 4, width).collect()))) == sorted(map(repr, expected))
+    rows = [("a", k) for k in range(1, 40)] + [("a", 44)] + [("b", 2)] + [("c", k) for k in range(1, 17)] * 2 + [("d", 0), ("d", -3)] + [("e", k) for k in range(1, 30) if k != 9] + [(None, 1)] + [("f", k) for k in range(9, 17)]
+    frame = spark.createDataFrame(rows, "g string, at long")
+    for width in (1, 4, 8, 1 << 16):
+        assert {r.g: r.confirmed for r in audit.contiguous_checkpoint(frame, ["g"], "at", width).collect()} == {"a": 39, "b": 0, "c": 16, "d": 0, "e": 8, None: 1, "f": 0}
