@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import CHUNK_OVERHEAD, record_bytes, record_hash
+from .folders import hint_reason, kind_hint, walk
 from .sniff import CODECS, HEAD_BYTES, WIDE, decode, sniff
 from .structure import Structure, unique_names
 
@@ -559,21 +560,14 @@ def _content_hash(batches):
 
 
 def scan_folder(spark: SparkSession, path: str, hidden: bool = False) -> DataFrame:
-    """Files below a folder with name, extension, kind hint, size, time and content hash.
+    """Files below a folder, empty ones too, with name, extension, kind hint and its reason, size, time and content hash.
 
     Files and folders whose name begins with a dot, and the system's own, are left out unless ``hidden``.
     """
-    text = "csv tsv tab txt dat prn psv dsv xml jsonl ndjson json log asc lst out list".split()
-    adapter = "xlsx xlsm xls ods docx doc rtf odt mdb accdb dbf".split()
-    binary = "pdf png jpg jpeg gif bmp tif tiff webp heic ico svgz zip rar 7z gz tgz bz2 xz tar cab iso exe dll sys msi bin dmp mp3 wav flac ogg m4a mp4 avi mkv mov wmv sqlite db mdf ldf bak pst".split()
-    name = F.element_at(F.split("path", "/"), -1)
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    hint = F.when(ext.isin(text), "text_candidate").when(ext.isin(adapter), "adapter_required").when(ext.isin(binary), "binary").otherwise("unknown")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    if not hidden:
-        files = files.where(~F.col("path").rlike(r"(?i)/(\.[^/]+|\$recycle\.bin|system volume information|thumbs\.db|desktop\.ini)(/|$)"))
-    seen = files.select("path", name.alias("name"), ext.alias("extension"), hint.alias("hint"), "length", "modificationTime", F.col("_metadata.file_path").alias("url"))
-    return seen.mapInArrow(_content_hash, "path string, name string, extension string, hint string, length long, modificationTime timestamp, content_hash string")
+    files, _ = walk(spark, path, hidden)
+    extension = F.col("extension")
+    seen = files.select("path", "name", "extension", kind_hint(extension).alias("hint"), hint_reason(extension).alias("reason"), "length", F.col("modified").alias("modificationTime"), F.col("path").alias("url"))
+    return seen.mapInArrow(_content_hash, "path string, name string, extension string, hint string, reason string, length long, modificationTime timestamp, content_hash string")
 
 
 def _number(batches):

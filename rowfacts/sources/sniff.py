@@ -97,6 +97,15 @@ def control_share(text: Column) -> Column:
     return F.when(F.length(text) > 0, 1 - _size_without(text, r"[\x00-\x08\x0E-\x19\x1C-\x1F\x7F]") / F.length(text)).otherwise(0.0)
 
 
+# The share of controls that no text has, and the one that none with a run of zeros has.
+MANY_CONTROLS, SOME_CONTROLS = 0.05, 0.01
+
+
+def looks_binary(controls: Column, text: Column) -> Column:
+    """Whether bytes with such a share of controls are no text in a single-byte encoding or UTF-8."""
+    return (controls >= MANY_CONTROLS) | (controls >= SOME_CONTROLS) & F.contains(text, F.lit("\0" * 4))
+
+
 def byte_order_mark(head: Column) -> Column:
     """The encoding that a byte order mark names, or null."""
     mark = F
@@ -180,7 +189,7 @@ def sniff(files: DataFrame, head: str, whole: str) -> DataFrame:
     by = lambda **x: F.coalesce(*[F.when(F.col("source") == n, v) for n, v in x.items()])
     encoding = F.coalesce(by(mark=F.col("_mark"), zeros=F.col("_wide"), ascii=F.lit("utf-8"), words=best["name"]), F.lit("utf-8"))
     base = base.withColumns({"encoding": encoding, "confidence": F.coalesce(by(mark=F.lit(1.0), zeros=F.round(F.least(F.lit(0.99), 1 - F.col("_odd")), 3), ascii=F.lit(0.9), words=sure), F.lit(0.99))})
-    binary = ~F.col("encoding").isin(*WIDE) & ((F.col("_controls") >= 0.05) | (F.col("_controls") >= 0.01) & F.contains(text, F.lit("\0" * 4)))
+    binary = ~F.col("encoding").isin(*WIDE) & looks_binary(F.col("_controls"), text)
     base = base.withColumn("binary_kind", F.coalesce("_kind", F.when(binary, F.lit("unknown_binary"))))
     is_text = F.col("binary_kind").isNull()
     return base.select(*files.columns, "binary_kind", F.when(is_text, F.col("encoding")).alias("encoding"), F.when(is_text, F.col("confidence")).otherwise(0.0).alias("confidence"), F.when(is_text, F.col("source")).alias("source"))

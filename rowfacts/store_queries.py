@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _ORDERS, _ORDERS_SQL, _W, _rank_sql, query, shared_folder, t
 from .functions import records
-from .operators import audit, batching, checks, extract
+from .operators import audit, batching, checks, contract, extract
 from .operators.align import aligned
 from .operators.commit import Store
 from .operators.migrate import Step, migrate
@@ -16,8 +16,10 @@ from .plans import extensions, search
 from .plans.positions import PositionIndex, write_index
 from .sources.datasource import load_records
 from .sources.element_paths import element_paths
+from .sources.folders import kind_hint, walk
 from .sources.metrics import observed
 from .sources.records import read_records
+from .sources.samples import sample_files
 from .sources.structure import Structure
 
 # --- commits ------------------------------------------------------------------------------------------------
@@ -327,3 +329,97 @@ def people_search(spark, sf_dir):
     docs = t(spark, sf_dir, "customer").join(active, "c_custkey", "left_semi").select(F.col("c_custkey").alias("person_fact_id"), text.alias("all_text"))
     found = search.people_search(people, docs, search.compile_query("Building"), id_col="c_custkey")
     return found.select("c_custkey", "n_name", "c_acctbal", "rank")
+
+
+# --- structures, samples and folders ----------------------------------------------------------------------------
+
+# What a model might say about one order each; every rule of the contract is met and broken by some.
+_SAID = """SELECT o_orderkey, {told} AS told, CASE o_orderstatus WHEN 'F' THEN ' Structured' WHEN 'O' THEN 'structured' ELSE 'table' END AS classification,
+    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'delimited' WHEN '2' THEN 'Fixed_Width' WHEN '3' THEN 'xml' WHEN '4' THEN 'jsonl' ELSE 'csv' END AS format,
+    CASE o_custkey % 3 WHEN 0 THEN 'cp1251' WHEN 1 THEN 'utf8' ELSE 'ebcdic' END AS encoding, CASE o_custkey % 5 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS has_header,
+    CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 2 AS INT) END AS header_row, CASE o_custkey % 7 WHEN 0 THEN 1001 WHEN 1 THEN NULL ELSE CAST(o_custkey % 2 AS INT) END AS skip_rows,
+    CASE o_orderkey % 5 WHEN 0 THEN 'tab' WHEN 1 THEN ';' WHEN 2 THEN ' Semicolon' WHEN 3 THEN '||' END AS delimiter, CASE WHEN o_custkey % 2 = 0 THEN ';' ELSE '' END AS quote_char,
+    CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 'Order' || o_orderkey END AS name, CAST(o_custkey % 6 AS INT) AS width,
+    CASE o_orderkey % 3 WHEN 0 THEN './orders/order/' WHEN 1 THEN '/orders/order[1]' ELSE 'o:order' END AS path, CASE WHEN o_orderkey % 2 = 1 THEN '$.x' END AS json_path,
+    CAST(o_totalprice / 250000 AS DOUBLE) AS confidence FROM orders"""
+_TOLD = "CASE o_orderkey % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'windows-1251' END"
+
+
+@query(
+    f"""WITH a AS ({_SAID.format(told=_TOLD)}),
+    b AS (SELECT *, o_orderkey AS k, classification <> 'table' AS ok, classification <> 'table' AND format = 'delimited' AS cells, classification <> 'table' AND format = 'Fixed_Width' AS wide,
+        coalesce(skip_rows, 0) AS skip, CASE delimiter WHEN 'tab' THEN chr(9) WHEN ' Semicolon' THEN ';' ELSE delimiter END AS d,
+        CASE encoding WHEN 'cp1251' THEN 'windows-1251' WHEN 'utf8' THEN 'utf-8' END AS proposed FROM a),
+    c AS (SELECT *, cells OR wide AS lines, (cells OR wide) AND skip <= 1000 AS head FROM b)
+    SELECT o_orderkey,
+        concat_ws(',', CASE WHEN NOT ok THEN 'classification_invalid' END, CASE WHEN ok AND format = 'csv' THEN 'format_invalid' END,
+            CASE WHEN cells AND d IS NULL THEN 'delimiter_missing' END, CASE WHEN cells AND d = '||' THEN 'delimiter_too_long' END,
+            CASE WHEN cells AND quote_char = d THEN 'quote_is_delimiter' END, CASE WHEN lines AND skip > 1000 THEN 'skip_rows_out_of_range' END,
+            CASE WHEN head AND has_header IS NULL THEN 'has_header_missing' END, CASE WHEN head AND has_header AND header_row <> skip THEN 'header_row_differs' END,
+            CASE WHEN wide AND width = 0 THEN 'width_out_of_range' END, CASE WHEN wide AND width = 5 THEN 'columns_differ_from_widths' END,
+            CASE WHEN ok AND format = 'xml' AND contains(path, '[') THEN 'record_path_invalid' END,
+            CASE WHEN ok AND format = 'jsonl' AND json_path IS NOT NULL THEN 'json_record_path_unsupported' END, CASE WHEN ok AND format = 'xml' AND path = 'o:order' THEN 'prefix_undeclared' END) AS errors,
+        concat_ws(',', CASE WHEN ok AND confidence > 1 THEN 'confidence_ignored' END, CASE WHEN ok AND proposed IS NULL THEN 'encoding_unsupported' END, CASE WHEN ok AND told <> proposed THEN 'encoding_differs' END,
+            CASE WHEN head AND has_header AND header_row IS NULL THEN 'header_row_assumed' END, CASE WHEN head AND NOT has_header AND header_row IS NOT NULL THEN 'header_row_ignored' END,
+            CASE WHEN lines AND NOT (wide AND width = 5) THEN 'columns_renamed' END) AS warnings,
+        CASE WHEN cells THEN d ELSE delimiter END AS delimiter, CASE WHEN ok THEN coalesce(told, proposed) ELSE encoding END AS encoding,
+        CASE WHEN head AND has_header THEN coalesce(header_row, skip) WHEN head AND NOT has_header THEN NULL ELSE header_row END AS header_row,
+        CASE WHEN lines AND NOT (wide AND width = 5) THEN CASE WHEN name = '' THEN 'Колонка 1|Колонка 2' ELSE name || '|' || lower(name) || ' (2)' END ELSE name || '|' || lower(name) END AS columns,
+        CASE WHEN ok AND format = 'xml' AND path = './orders/order/' THEN 'orders/order' ELSE path END AS path, CASE WHEN NOT (ok AND confidence > 1) THEN confidence END AS confidence
+    FROM c"""
+)
+def structure_contract(spark, sf_dir):
+    """An answer for each order held against the contract of structures."""
+    said = spark.sql(_SAID.format(told=_TOLD).replace("FROM orders", "FROM {orders}"), orders=t(spark, sf_dir, "orders"))
+    said = said.withColumns({"columns": F.array("name", F.lower("name")), "fixed_widths": F.when(F.col("width") == 5, F.array(F.lit(5))).otherwise(F.array(F.lit(5), F.col("width")))})
+    fields = ["classification", "format", "encoding", "has_header", "header_row", "skip_rows", "delimiter", "quote_char", "columns", "fixed_widths", "confidence"]
+    answer = F.to_json(F.struct(*fields, F.col("path").alias("xml_record_path"), F.col("json_path").alias("json_record_path")))
+    found = contract.checked_structures(said.select("o_orderkey", "told", answer.alias("answer")), "answer", "told")
+    codes = lambda c: F.array_join(F.transform(c, lambda x: x["code"]), ",").alias(c)
+    s = F.col("structure")
+    return found.select("o_orderkey", codes("errors"), codes("warnings"), *[s[c].alias(c) for c in ("delimiter", "encoding", "header_row")], F.array_join(s["columns"], "|").alias("columns"), s["xml_record_path"].alias("path"), s["confidence"].alias("confidence"))
+
+
+_ENDS = {"lf": "\n", "crlf": "\r\n", "cr": "\r"}
+
+
+def _customer_files(spark, sf_dir, name: str) -> str:
+    """A folder with a file for each nation, customers in order, and line ends by the nation's key; those of one key also have other ones within."""
+    path = shared_folder(spark, name)
+    rows = t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("value"))
+    rows = rows.withColumn("value", F.when(F.col("c_nationkey") % 4 == 3, F.concat("value", F.lit("\nmore"))).otherwise(F.col("value")))
+    for i, (kind, end) in enumerate(_ENDS.items()):
+        part = rows.where(F.col("c_nationkey") % len(_ENDS) == i).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+        part.select("c_nationkey", "value").write.partitionBy("c_nationkey").option("lineSep", end).text(f"{path}/{kind}")
+    return path
+
+
+@query(
+    r"""WITH r AS (SELECT c_nationkey, c_custkey, CASE c_nationkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN chr(13) || chr(10) ELSE chr(13) END AS e,
+        c_custkey || ';' || c_name || ';' || c_mktsegment || CASE WHEN c_nationkey % 4 = 3 THEN chr(10) || 'more' ELSE '' END AS v FROM customer),
+    f AS (SELECT c_nationkey, string_agg(v || e, '' ORDER BY c_custkey) AS text FROM r GROUP BY c_nationkey),
+    h AS (SELECT c_nationkey, length(text) AS length, substr(text, 1, 1024) AS head, length(text) <= 1024 AS whole FROM f),
+    p AS (SELECT *, string_split_regex(head, '\r\n|\r|\n') AS parts, (len(head) - len(replace(head, chr(13) || chr(10), ''))) // 2 AS crlf FROM h),
+    n AS (SELECT *, len(head) - len(replace(head, chr(13), '')) - crlf - CASE WHEN NOT whole AND ends_with(head, chr(13)) THEN 1 ELSE 0 END AS cr, len(head) - len(replace(head, chr(10), '')) - crlf AS lf,
+        len(parts) > 20 AS full_, parts[-1] <> '' AS rest FROM p)
+    SELECT c_nationkey, length, array_to_string(CASE WHEN full_ THEN parts[:20] WHEN rest THEN parts ELSE parts[:-2] END, '|') AS lines, NOT full_ AND NOT whole AS truncated,
+        CASE WHEN NOT full_ AND rest AND NOT whole THEN len(parts) - 1 END AS truncated_line, whole AND NOT full_ AND len(CASE WHEN rest THEN parts ELSE parts[:-2] END) < 20 AS fewer_lines,
+        CASE WHEN (crlf > 0)::INT + (lf > 0)::INT + (cr > 0)::INT > 1 THEN 'mixed' WHEN crlf > 0 THEN 'crlf' WHEN lf > 0 THEN 'lf' WHEN cr > 0 THEN 'cr' END AS line_terminator FROM n"""
+)
+def file_samples(spark, sf_dir):
+    """The first twenty lines and 1,024 bytes of each nation's file."""
+    found = sample_files(spark, _customer_files(spark, sf_dir, "samples"), 20, 1024).where(F.endswith("file_id", F.lit(".txt")))
+    key = F.regexp_extract("file_id", "/c_nationkey=([0-9]+)/", 1).cast("int").alias("c_nationkey")
+    return found.select(key, "length", F.array_join("lines", "|").alias("lines"), "truncated", "truncated_line", "fewer_lines", "line_terminator")
+
+
+@query(
+    """WITH r AS (SELECT c_nationkey, octet_length(encode(c_custkey || ';' || c_name || ';' || c_mktsegment)) + CASE WHEN c_nationkey % 4 = 3 THEN 5 ELSE 0 END + CASE WHEN c_nationkey % 3 = 1 THEN 2 ELSE 1 END AS n FROM customer)
+    SELECT CASE c_nationkey % 3 WHEN 0 THEN 'lf' WHEN 1 THEN 'crlf' ELSE 'cr' END || '/c_nationkey=' || c_nationkey AS folder, 'txt' AS extension, 'text_candidate' AS hint, 1::BIGINT AS files, sum(n)::BIGINT AS bytes FROM r GROUP BY ALL"""
+)
+def folder_walk(spark, sf_dir):
+    """Files and bytes of each folder below one."""
+    files, _ = walk(spark, _customer_files(spark, sf_dir, "walked"))
+    data = files.where(F.col("extension") == "txt")
+    folder = F.regexp_replace("relative", "/[^/]*$", "")
+    return data.groupBy(folder.alias("folder"), "extension", kind_hint(F.col("extension")).alias("hint")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
