@@ -24,23 +24,35 @@ def _folder(token: Column, folders: int) -> Column:
 def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, folders: int = FOLDERS) -> None:
     """Writes the index of ``docs``, whose ids are unique; a text's places count from 0.
 
-    A text's words are gathered where it is read, so that only postings move, once.
+    Words are gathered where texts are read, and the postings that a step of a task has of one word move
+    together, once: its texts, the ends of their places in a row, and the places.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     said = docs.select(F.col(id_col).alias("id"), tokens_of(F.col(text_col)).alias("tokens"))
-    postings = said.mapInArrow(_gather, f"id {kind}, token string, positions array<int>").withColumn("folder", _folder(F.col("token"), folders))
-    rows = postings.hint("rebalance", "folder").sortWithinPartitions("folder", "token", "id")
+    gathered = said.mapInArrow(_gather, f"token string, ids array<{kind}>, ends array<int>, positions array<int>").withColumn("folder", _folder(F.col("token"), folders))
+
+    def posting(i: Column) -> Column:
+        start = F.coalesce(F.get("ends", i - 1), F.lit(0))
+        return F.struct(F.get("ids", i).alias("id"), F.slice(F.col("positions"), start + 1, F.get("ends", i) - start).alias("positions"))
+
+    moved = gathered.hint("rebalance", "folder")
+    rows = moved.select("token", "folder", F.explode(F.transform(F.sequence(F.lit(0), F.size("ids") - 1), posting)).alias("p")).select("p.id", "token", "p.positions", "folder")
+    rows = rows.sortWithinPartitions("folder", "token", "id")
     rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("folder").parquet(f"{path}/postings")
     stored = docs.sparkSession.read.parquet(f"{path}/postings")
     stored.groupBy("token", "folder").agg(F.count("*").alias("documents")).sort("token").write.mode("overwrite").parquet(f"{path}/terms")
 
 
 #: Words of the texts that one step of a task gathers.
-STEP_WORDS = 1 << 18
+STEP_WORDS = 1 << 20
+
+
+def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), values)
 
 
 def _gather(batches):
-    """(id, token, positions) of each text's different words."""
+    """(token, ids, ends, positions) of the different words of texts that are read together."""
     for b in batches:
         ids, lists = b.column(0), b.column(1)
         ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
@@ -53,11 +65,18 @@ def _gather(batches):
             place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             words = part.flatten().dictionary_encode()
             code = np.asarray(words.indices).astype(np.int64)
-            order = np.lexsort((place, code, owner))
+            order = np.argsort(code, kind="stable")  # within a word by text and place, as they come
             owner, code, place = owner[order], code[order], place[order]
-            starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])]) if len(owner) else np.zeros(0, np.int64)
-            positions = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(owner)].astype(np.int32)), pa.array(place.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[starts] + row)), words.dictionary.take(pa.array(code[starts])), positions], names=["id", "token", "positions"])
+            if len(owner):
+                new = np.r_[True, code[1:] != code[:-1]]
+                starts = np.flatnonzero(new)
+                firsts = np.flatnonzero(new | np.r_[True, owner[1:] != owner[:-1]])  # of each posting
+                word = np.searchsorted(starts, firsts, "right") - 1
+                until = np.r_[firsts[1:], len(owner)] - starts[word]
+                of_word = np.searchsorted(firsts, starts)
+                texts = ids.take(pa.array(owner[firsts] + row))
+                columns = [words.dictionary.take(pa.array(code[starts])), _lists(of_word, texts), _lists(of_word, pa.array(until.astype(np.int32))), _lists(starts, pa.array(place.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "ids", "ends", "positions"])
             row = stop
 
 
