@@ -61,13 +61,13 @@ def _system(path: str):
 
 
 def listed(path: str) -> list[FilePart]:
-    """All files below a folder (or one file) in order, but hidden and marker files."""
+    """All files below a folder (or one file) in order, but hidden and marker files and, as in Spark's own sources, those without a byte."""
     from pyarrow import fs
 
     system, at, lead = _system(path)
     info = system.get_file_info(at)
     found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at, recursive=True))
-    files = [f for f in found if f.type == fs.FileType.File and not any(p.startswith((".", "_")) for p in f.path[len(at) :].split("/"))]
+    files = [f for f in found if f.type == fs.FileType.File and f.size and not any(p.startswith((".", "_")) for p in f.path[len(at) :].split("/"))]
     return sorted((FilePart(lead + f.path, f.size, f.mtime_ns or 0) for f in files), key=lambda f: f.file)
 
 

@@ -147,3 +147,13 @@ def test_stream_of_raw_files(spark, tmp_path):
     assert ingest_files(spark, str(root), s, shape, store, str(tmp_path / "c1")) == 1
     assert ingest_files(spark, str(root), s, shape, store, str(tmp_path / "c1")) == 0
     assert store.read("sources").count() == 5 and store.read("person_facts").where("surname = 'Другой'").count() == 1
+
+
+@pytest.mark.parametrize("name", ["xml", "json_array"])
+def test_files_without_a_byte_hold_no_records(spark, tmp_path, name):
+    """Spark's XML writer leaves such a file where the first partition has no rows."""
+    s, text = FILES[name]
+    (tmp_path / "part-0").write_text("")
+    (tmp_path / "part-1").write_text(text)
+    found = _rows(load_records(spark, str(tmp_path), s))
+    assert found == _rows(read_records(spark, str(tmp_path), s)) and {r[0][-6:] for r in found} == {"part-1"}
