@@ -476,7 +476,7 @@ def _customer_records(spark, sf_dir):
     pair = lambda n, c: F.struct(F.lit(n).alias("name"), c.cast("string").alias("value"))
     phone = F.concat(F.lit("+7 ("), F.lpad(F.col("c_nationkey").cast("string"), 3, "0"), F.lit(") "), F.lpad((F.col("c_custkey") % 10000000).cast("string"), 7, "0"))
     fields = F.array(pair("ФИО", F.concat(F.lit("Testov Ivan "), "c_mktsegment")), pair("Телефон", phone), pair("E-mail", F.concat(F.lit("User"), F.col("c_custkey").cast("string"), F.lit("@Example.org"))), pair("Дата рождения", F.lit("15.02.1990")))
-    return t(spark, sf_dir, "customer").select("c_custkey", fields.alias("fields"))
+    return extract.spread(t(spark, sf_dir, "customer")).select("c_custkey", fields.alias("fields"))
 
 
 @query(

@@ -37,41 +37,59 @@ LONGEST_FACT = 4000
 CANDIDATE_FACT = "struct<type:string,label:string,value:string,source_column:string,evidence:string>"
 
 
-def _is(name: Column, parts: tuple[str, ...]) -> Column:
-    return F.greatest(*[F.contains(F.lower(name), F.lit(p)) for p in parts]) if len(parts) > 1 else F.contains(F.lower(name), F.lit(parts[0]))
+def _is(low: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a name, in lower case, has one of the parts."""
+    some = F.contains(low, F.lit(parts[0]))
+    for p in parts[1:]:
+        some = some | F.contains(low, F.lit(p))
+    return some
 
 
-def _first(fields: Column, parts: tuple[str, ...]) -> Column:
-    return blank_to_null(F.try_element_at(F.filter(fields, lambda f: _is(f["name"], parts)), F.lit(1))["value"])
+def _first(lowered: Column, parts: tuple[str, ...]) -> Column:
+    return blank_to_null(F.try_element_at(F.filter(lowered, lambda f: _is(f["low"], parts)), F.lit(1))["value"])
 
 
-def fact_kind(name: Column) -> Column:
-    """The fact type that a column's name stands for, or null."""
+def fact_kind(low: Column) -> Column:
+    """The fact type that a column's name, in lower case, stands for, or null."""
     chain = F
     for type_, names in FACT_COLUMNS.items():
-        chain = chain.when(_is(name, names), type_)
+        chain = chain.when(_is(low, names), type_)
     return chain
 
 
+#: Tasks over which records are dealt at least; each has to set up the long expressions for itself.
+LEAST_TASKS = 24
+
+
+def spread(records: DataFrame) -> DataFrame:
+    """``records`` dealt over all cores: a file of one row group is one task, and to extract from a record and verify it takes far longer than to move it."""
+    return records.repartition(max(3 * records.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS))
+
+
 def extract_by_columns(records: DataFrame, fields: str = "fields") -> DataFrame:
     """``records`` with person and candidate facts read off the columns' names.
 
     A full name is surname, name and patronymic by position; a cell of several phones is split.
     """
-    f = F.col(fields)
-    full = F.split(collapse_spaces(_first(f, NAME_COLUMNS)), " ")
-    parts = {p: F.coalesce(_first(f, c), F.try_element_at(full, F.lit(i))) for i, (p, c) in enumerate(PART_COLUMNS.items(), 1)}
-    raw_date = _first(f, BIRTH_DATE)
-    date = F.coalesce(parse_date(raw_date, "yyyy-MM-dd"), F.when(raw_date.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), parse_date(raw_date, "d.M.yyyy")))
-    person = F.struct(*[parts[p].alias(p) for p in parts], F.date_format(date, "yyyy-MM-dd").alias("birth_date"), raw_date.alias("birth_evidence"), _first(f, BIRTH_PLACE).alias("birth_place"))
+    # In steps: names are put in lower case once a field, and a cell that several parts need is found once a record.
+    lowered = F.transform(F.col(fields), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), F.lower(x["name"]).alias("low")))
+    base = records.withColumn("_low", lowered)
+    cells = {f"_{p}": _first(F.col("_low"), c) for p, c in PART_COLUMNS.items()}
+    base = base.withColumns(cells | {"_full": F.split(collapse_spaces(_first(F.col("_low"), NAME_COLUMNS)), " "), "_raw": _first(F.col("_low"), BIRTH_DATE), "_place": _first(F.col("_low"), BIRTH_PLACE)})
+    parts = {p: F.coalesce(F.col(f"_{p}"), F.try_element_at("_full", F.lit(i))) for i, p in enumerate(PART_COLUMNS, 1)}
+    raw_date = F.col("_raw")
+    # Formats are told before they are parsed: a date that does not parse costs an exception.
+    iso = F.when(raw_date.rlike(r"^[+-]?\d{4,}-\d{2}-\d{2}$"), parse_date(raw_date, "yyyy-MM-dd"))
+    date = F.coalesce(iso, F.when(raw_date.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), parse_date(raw_date, "d.M.yyyy")))
+    person = F.struct(*[parts[p].alias(p) for p in parts], F.date_format(date, "yyyy-MM-dd").alias("birth_date"), raw_date.alias("birth_evidence"), F.col("_place").alias("birth_place"))
 
     def candidates(x: Column) -> Column:
         values = F.when(x["kind"] == "phone", F.split(x["value"], "[,;]")).otherwise(F.array(x["value"]))
         return F.transform(F.transform(values, lambda v: F.trim(v)), lambda v: F.struct(x["kind"].alias("type"), F.lit(None).cast("string").alias("label"), v.alias("value"), x["name"].alias("source_column"), v.alias("evidence")))
 
-    kinds = F.filter(F.transform(f, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), fact_kind(x["name"]).alias("kind"))), lambda x: x["kind"].isNotNull())
+    kinds = F.filter(F.transform("_low", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), fact_kind(x["low"]).alias("kind"))), lambda x: x["kind"].isNotNull())
     facts = F.filter(F.flatten(F.transform(kinds, candidates)), lambda c: F.length(c["value"]) > 0)
-    return records.withColumn("person", person).withColumn("candidates", facts)
+    return base.withColumns({"person": person, "candidates": facts}).drop("_low", *cells, "_full", "_raw", "_place")
 
 
 def verify(records: DataFrame, today: Column, fields: str = "fields") -> DataFrame:

@@ -189,3 +189,11 @@ def test_streaks_and_checkpoints_by_ranges(spark):
     frame = spark.createDataFrame(rows, "g string, at long")
     for width in (1, 4, 8, 1 << 16):
         assert {r.g: r.confirmed for r in audit.contiguous_checkpoint(frame, ["g"], "at", width).collect()} == {"a": 39, "b": 0, "c": 16, "d": 0, "e": 8, None: 1, "f": 0}
+
+
+def test_records_of_one_row_group_are_verified_by_many_tasks(spark, sf_dir):
+    from rowfacts.catalog import document_projection, extract_and_verify
+
+    assert spark.read.parquet(f"{sf_dir}/customer.parquet").rdd.getNumPartitions() == 1
+    for query in (extract_and_verify, document_projection):
+        assert query(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
