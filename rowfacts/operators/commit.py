@@ -50,7 +50,7 @@ def bucket_of(name: str) -> Column | None:
 
 def buckets_of(sources: DataFrame) -> list[int]:
     """The folder numbers of the rows of these sources, BUCKETS at most."""
-    return [r[0] for r in sources.select(bucket_of("row_outcomes").alias("b")).distinct().collect()]
+    return [r[0] for r in sources.select(*SOURCE).distinct().select(bucket_of("row_outcomes").alias("b")).distinct().collect()]
 
 
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -62,12 +62,12 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
     return left.join(renamed, on, how).drop(*[f"_{k}" for k in keys])
 
 
-def projection(people: DataFrame, facts: str = "facts", unresolved: str = "unresolved") -> DataFrame:
-    """The search document of each observation."""
+def projection(people: DataFrame, *more: str, facts: str = "facts", unresolved: str = "unresolved") -> DataFrame:
+    """The search document of each observation, and ``more`` of its columns."""
     said = facts_text(F.col(facts), F.col(unresolved))
     whole = search_text(F.col("surname"), F.col("name"), F.col("patronymic"), F.col("birth_date"), F.col("birth_place"), said, F.col("file_id"))
     named = F.concat_ws(" ", "surname", "name", "patronymic")
-    return people.select(F.col("id").alias("person_fact_id"), "file_id", whole.alias("all_text"), named.alias("name_text"), said.alias("facts_text"), F.coalesce("birth_place", F.lit("")).alias("place_text"))
+    return people.select(F.col("id").alias("person_fact_id"), "file_id", whole.alias("all_text"), named.alias("name_text"), said.alias("facts_text"), F.coalesce("birth_place", F.lit("")).alias("place_text"), *more)
 
 
 class Store:
@@ -92,11 +92,16 @@ class Store:
         known = dict(c.split() for c in self.tables.schemas[name].split(", "))
         self.tables.append(name, rows.withColumns({c: F.lit(None).cast(kind) for c, kind in known.items() if c not in rows.columns}))
 
-    def _staged(self, commit_id: str, rows: DataFrame) -> tuple[DataFrame, str]:
-        """The input, evaluated once: its plan is the dearest of a commit."""
-        path = f"{self.root}/_staged/{''.join(c if c.isalnum() else '-' for c in commit_id)}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path), path
+    def _staged(self, path: str, rows: DataFrame, *by: str) -> DataFrame:
+        """Rows that a commit uses several times, evaluated once and written, in folders ``by`` a column if given."""
+        made = rows.hint("rebalance", *by) if by else rows
+        made.write.mode("overwrite").partitionBy(*by).parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _unfinished(self, buckets: list[int]) -> bool:
+        """Whether a commit died before the outcomes of its persons: else the outcomes count all persons, which are written first."""
+        people = self.read("person_facts", buckets).count()
+        return people != (self.read("row_outcomes", buckets).agg(F.sum("observations")).first()[0] or 0)
 
     def commit(self, commit_id: str, verified: DataFrame, requests: int = 0, job_id: str | None = None, input_tokens: int = 0, output_tokens: int = 0) -> dict[str, int]:
         """Adds the records of ``verified`` that have no outcome yet, with all their persons; counts what was new.
@@ -114,43 +119,50 @@ class Store:
         for name, kind in (("error", "struct<code:string,message:string>"), ("person_index", "int"), ("birth_place", "string"), ("stage", "string"), ("rejected", "array<struct<name:string,value:string,reason:string>>")):
             if name not in verified.columns:
                 verified = verified.withColumn(name, F.lit(0 if name == "person_index" else None).cast(kind))
-        rows, path = self._staged(commit_id, verified)
+        path = f"{self.root}/_staged/{''.join(c if c.isalnum() else '-' for c in commit_id)}"
+        rows = self._staged(f"{path}/rows", verified)
         records = rows.groupBy(*KEY).agg(F.max((F.col("outcome") == 3).cast("int")).alias("failed"), F.max((F.col("outcome") == 1).cast("int")).alias("told"), F.min_by(F.struct("error.code", "error.message", "stage"), F.when(F.col("outcome") == 3, 0).otherwise(1)).alias("fault"))
         records = records.withColumn("outcome", F.when(F.col("failed") == 1, 3).when(F.col("told") == 1, 1).otherwise(2))
         buckets = buckets_of(rows)
         known = self.read("row_outcomes", buckets).select(*KEY, F.lit(True).alias("known"))
-        records = matched(records, known, KEY, "left").persist()
-        try:
-            n = records.agg(F.count("*").alias("all"), F.count_if(F.col("known").isNull()).alias("new"), F.count_if(F.col("known").isNull() & (F.col("outcome") == 3)).alias("errors")).first()
-            if n.new:  # else all persons are there too, as outcomes come after them
-                self._add(commit_id, rows, records.where("known IS NULL"), buckets, job_id, n.errors)
-            self._log(commit_id, rows, buckets, job_id, requests, input_tokens, output_tokens)
-            observations = self.read("commit_log").where(F.col("commit_id") == commit_id).agg(F.sum("observations")).first()[0] or 0
-        finally:
-            records.unpersist()
+        records = self._staged(f"{path}/records", matched(records, known, KEY, "left"))
+        n = records.agg(F.count("*").alias("all"), F.count_if(F.col("known").isNull()).alias("new"), F.count_if(F.col("known").isNull() & (F.col("outcome") == 3)).alias("errors")).first()
+        if n.new:  # else all persons are there too, as outcomes come after them
+            self._add(commit_id, path, rows, records.where("known IS NULL"), buckets, job_id, n.errors, n.new == n.all)
+        self._log(commit_id, records, buckets, job_id, requests, input_tokens, output_tokens)
+        observations = self.read("commit_log").where(F.col("commit_id") == commit_id).agg(F.sum("observations")).first()[0] or 0
         self.tables.delete(path)
         return {"duplicate": 0, "new_rows": n.new, "observations": observations, "present": n.all - n.new}
 
-    def _add(self, commit_id: str, rows: DataFrame, fresh: DataFrame, buckets: list[int], job_id: str | None, n_errors: int) -> None:
-        """Writes the persons of the ``fresh`` records, their documents, values and errors, and then their outcomes."""
-        kept = fresh.where("outcome = 1").select(*KEY)
+    def _add(self, commit_id: str, path: str, rows: DataFrame, fresh: DataFrame, buckets: list[int], job_id: str | None, n_errors: int, all_fresh: bool) -> None:
+        """Writes the persons of the ``fresh`` records, their documents, values and errors, and then their outcomes.
+
+        Persons are staged by bucket, so that all tables get their rows from there without moving them again.
+        """
         first = Window.partitionBy(*KEY, "person_index").orderBy(F.xxhash64("surname", "name", "patronymic", "birth_date", "birth_place", F.to_json("facts")))
-        people = matched(rows.where("outcome = 1"), kept, KEY, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+        people = rows.where("outcome = 1")
+        if n_errors or not all_fresh:
+            people = matched(people, fresh.where("outcome = 1").select(*KEY), KEY, "left_semi")
+        people = people.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
         key = source_key(F.col("file_id"), F.col("extraction_version"))
         people = people.withColumn("id", observation_id(key, F.col("ordinal"), F.col("person_index")))
+        people = self._staged(f"{path}/people", people.withColumn("bucket", bucket_of("person_facts")), "bucket")
         provenance = F.struct(F.concat(F.lit("r"), F.col("ordinal").cast("string")).alias("source_row_id"), "person_index", "extraction_version", F.lit(job_id).cast("string").alias("job_id"))
         kind = F.when(F.col("person_index") < 0, "unassigned").otherwise("person")
-        people = people.withColumn("all_json", all_json(kind, F.col("identity_status"), F.col("facts"), F.col("unresolved"), F.array().cast("array<string>"), provenance, F.col("rejected")))
-        # An earlier run may have died between tables: what it wrote is not written again.
-        observed = people.join(self.read("person_facts", buckets).select("id"), "id", "left_anti")
-        docs = projection(people)
-        values = people.select(F.col("id").alias("person_fact_id"), F.explode("facts").alias("f")).select(F.col("f.type").alias("fact_type"), F.col("f.search_key").alias("normalized_value"), "person_fact_id")
-        values = values.where("normalized_value IS NOT NULL").distinct()
+        observed = people.withColumn("all_json", all_json(kind, F.col("identity_status"), F.col("facts"), F.col("unresolved"), F.array().cast("array<string>"), provenance, F.col("rejected")))
+        docs = projection(people, "bucket")
+        said = F.array_distinct(F.transform("facts", lambda f: F.struct(f["type"].alias("fact_type"), f["search_key"].alias("normalized_value"))))
+        values = people.select(F.col("id").alias("person_fact_id"), "bucket", F.inline(said)).where("normalized_value IS NOT NULL")
+        if self._unfinished(buckets):
+            # An earlier run has died between tables: what it wrote is not written again.
+            observed = observed.join(self.read("person_facts", buckets).select("id"), "id", "left_anti")
+            docs = docs.join(self.read("search_docs", buckets).select("person_fact_id"), "person_fact_id", "left_anti")
+            values = matched(values, self.read("fact_values", buckets), ["fact_type", "normalized_value", "person_fact_id"], "left_anti")
         sources = fresh.select(*SOURCE).distinct().withColumn("source_key", key)
         self.append("sources", sources.join(self.read("sources").select("source_key"), "source_key", "left_anti"))
         self.append("person_facts", observed)
-        self.append("search_docs", docs.join(self.read("search_docs", buckets).select("person_fact_id"), "person_fact_id", "left_anti"))
-        self.append("fact_values", values.join(self.read("fact_values", buckets), ["fact_type", "normalized_value", "person_fact_id"], "left_anti"))
+        self.append("search_docs", docs)
+        self.append("fact_values", values)
         if n_errors:
             errors = fresh.where("outcome = 3").select(*KEY, F.coalesce("fault.stage", F.lit("parse")).alias("stage"), F.coalesce("fault.code", F.lit("unknown")).alias("code"), F.col("fault.message").alias("message"))
             self.append("row_errors", matched(errors, self.read("row_errors", buckets), [*KEY, "stage"], "left_anti"))
@@ -158,12 +170,12 @@ class Store:
         told = matched(fresh, held, KEY, "left").select(*KEY, "outcome", F.lit(commit_id).alias("commit_id"), F.coalesce("n", F.lit(0)).alias("observations"))
         self.append("row_outcomes", told)
 
-    def _log(self, commit_id: str, rows: DataFrame, buckets: list[int], job_id: str | None, *usage: int) -> None:
+    def _log(self, commit_id: str, records: DataFrame, buckets: list[int], job_id: str | None, *usage: int) -> None:
         """One entry a source: counts of the outcomes that bear the commit's id, so a repeated run logs the same."""
         mine = self.read("row_outcomes", buckets).where(F.col("commit_id") == commit_id)
         is_ = lambda k: F.count_if(F.col("outcome") == k)
         counts = mine.groupBy(*SOURCE).agg(is_(1).alias("extracted"), is_(2).alias("no_facts"), is_(3).alias("errors"), F.sum("observations").alias("observations"))
-        seen = rows.groupBy(*SOURCE).agg(F.max("ordinal").alias("to_ordinal"), F.count_distinct("ordinal").alias("rows"))
+        seen = records.groupBy(*SOURCE).agg(F.max("ordinal").alias("to_ordinal"), F.count("ordinal").alias("rows"))
         both = matched(seen, counts, SOURCE, "left")
         first = F.struct(F.coalesce("file_id", F.lit("")), F.coalesce("extraction_version", F.lit("")))
         least = both.agg(F.min(first).alias("least"))

@@ -60,15 +60,17 @@ class Tables:
 
     def _write(self, name: str, rows: DataFrame, folder: str, mode: str, **options: str) -> None:
         names, bucket = self.mapped.get(name, {}), self.bucket_of(name)
-        rows = rows.select(*[F.col(c).cast(kind) for c, kind in self._columns(name)])
-        if bucket is not None:
+        placed = "bucket" in rows.columns  # rows come from files of one bucket each
+        rows = rows.select(*[F.col(c).cast(kind) for c, kind in self._columns(name)], *["bucket"] * placed)
+        if bucket is not None and not placed:
             rows = rows.withColumn("bucket", bucket)
         rows = rows.withColumnsRenamed(names)
         if bucket is None:
             rows.write.mode(mode).options(**options).parquet(folder)
         else:
             # Rebalancing makes few files of a folder and splits the rows of a large source.
-            rows.hint("rebalance", "bucket").write.mode(mode).options(**options).partitionBy("bucket").parquet(folder)
+            rows = rows if placed else rows.hint("rebalance", "bucket")
+            rows.write.mode(mode).options(**options).partitionBy("bucket").parquet(folder)
 
     def append(self, name: str, rows: DataFrame) -> None:
         self._write(name, rows, self.folder(name), "append")

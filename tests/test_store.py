@@ -140,3 +140,14 @@ def test_verified_answers_are_stored_whole(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.commit("c", verified)["observations"] == expected == 3
     assert sorted(r.surname or "" for r in store.read("person_facts").collect()) == ["", "Иванов", "Сидоров"]
+
+
+def test_persons_are_moved_once_by_a_commit(spark, tmp_path, monkeypatch):
+    """All tables of persons get them from files of one bucket each: none is dealt by bucket again."""
+    store, plans = Store(spark, str(tmp_path / "s")), {}
+    append = Store.append
+    monkeypatch.setattr(Store, "append", lambda self, name, made: plans.update({name: made}) or append(self, name, made))
+    store.commit("c", spark.createDataFrame(_rows(), SCHEMA))
+    for name in ("person_facts", "search_docs", "fact_values"):
+        plan = plans[name]._jdf.queryExecution().executedPlan().toString()
+        assert "bucket" in plans[name].columns and "Exchange" not in plan and "Join" not in plan
