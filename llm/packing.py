@@ -16,17 +16,19 @@ import re
 import struct
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, keyed, map_arrow, register_cache, ship, stored
 
-#: Chunks and words that a process keeps (about 150 MB at most), the longest that it keeps, and texts encoded together.
-_CACHED_WORDS, _CACHED_BYTES, _TOGETHER = 500_000, 64, 256
+#: Chunks and words that a process keeps (about 150 MB at most), the longest that it keeps, and texts and bytes encoded together.
+_CACHED_WORDS, _CACHED_BYTES, _TOGETHER, _TOGETHER_BYTES = 500_000, 64, 1024, 4 << 20
 #: Bytes that do not stand for themselves in the vocabulary are numbered from 256 on.
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b and b != 0xAD))}
 
@@ -195,17 +197,28 @@ class WordIds:
             out[chunk] = ids[word] + signs[rest]
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each whole text."""
-        split = [t.split() for t in texts]
-        parts = [list(map(self.young.get, words)) for words in split]
-        new = {w for words, ids in zip(split, parts, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
+        """The ids of each whole text; each chunk of the texts is looked up once, and its ids are put in place by numpy."""
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_binary())).view(pa.large_string())
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(column))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.view(pa.large_binary()).to_pylist()
+        ids = list(map(self.young.get, chunks))
+        new = {w for w, i in zip(chunks, ids, strict=True) if i is None}
         known = {w: self.old[w] for w in new if w in self.old}
         known |= self.learn(new - known.keys())
-        self.young.update((w, i) for w, i in known.items() if len(w) <= _CACHED_BYTES)
+        if known:
+            ids = [known[w] if i is None else i for w, i in zip(chunks, ids, strict=True)]
+            self.young.update((w, i) for w, i in known.items() if len(w) <= _CACHED_BYTES)
         if len(self.young) >= self.most // 2:
             self.young, self.old = {}, self.young
-        return [b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, parts, strict=True)]
+        sizes, code = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.asarray(coded.indices)
+        starts, n = np.cumsum(sizes) - sizes, sizes[code]
+        ends = np.r_[0, np.cumsum(n)]
+        place = np.arange(ends[-1]) + np.repeat(starts[code] - ends[:-1], n)
+        data = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
+        cuts = 4 * ends[np.r_[0, np.cumsum(np.asarray(split.value_lengths()))]]
+        return [data[a:z] for a, z in itertools.pairwise(cuts.tolist())]
 
 
 _codecs: dict[str, WordIds] = {}
@@ -219,6 +232,16 @@ def word_ids(path: str) -> WordIds:
     return _codecs[path]
 
 
+def _groups(sizes: np.ndarray) -> Iterator[slice]:
+    """Rows in a row that are encoded together: at most _TOGETHER, and _TOGETHER_BYTES or one row."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        most = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _TOGETHER_BYTES, "right"))
+        high = min(max(low + 1, most), low + _TOGETHER)
+        yield slice(low, high)
+        low = high
+
+
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -227,9 +250,8 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
         for b in batches:
             rows = []
             keys, docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()).fill_null(b"")
-            for low in range(0, b.num_rows, _TOGETHER):
-                some = slice(low, low + _TOGETHER)
-                encoded = ids_of.encode([t.as_buffer().to_pybytes() for t in texts[some]])
+            for some in _groups(np.asarray(pc.binary_length(texts))):
+                encoded = ids_of.encode(texts[some])
                 for key, doc, ids in zip(keys[some], docs[some], encoded, strict=True):
                     ids += end
                     for a in range(0, len(ids), step):

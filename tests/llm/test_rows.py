@@ -82,6 +82,28 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_encoded_together_are_bounded_by_bytes():
+    sizes = np.array([0, 5 << 20, 1, 0, 3 << 20, 1 << 20, 7] + [10] * 2000)
+    groups = list(packing._groups(sizes))
+    assert [g.start for g in groups[1:]] == [g.stop for g in groups[:-1]] and groups[-1].stop == len(sizes)
+    assert all(g.stop - g.start == 1 or g.stop - g.start <= 1024 and sizes[g].sum() <= 4 << 20 for g in groups)
+    assert list(packing._groups(sizes[:0])) == []
+
+
+def test_known_chunks_are_looked_up_once():
+    ids = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
+    asked, table = [], ids.young
+
+    class Counted(dict):
+        def get(self, key, other=None):
+            asked.append(key)
+            return super().get(key, other)
+
+    ids.young = Counted(table)
+    first = ids.encode([b"the cat the cat " * 50, b"cat"])
+    assert asked.count(b"the") == asked.count(b"cat") == 1 and first == ids.encode([b"the cat the cat " * 50, b"cat"])
+
+
 def _joined(texts):
     data = [t.encode() for t in texts]
     return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
