@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -122,10 +123,21 @@ def register_cache(name: str, clear: Callable[[], None]) -> None:
 
 
 def drop_caches(keep: str | None) -> None:
-    """Drops what other operators' tasks have left in this process, so that stages don't add up in memory."""
+    """Drops what other operators' tasks have left in this process, so that stages don't add up in memory.
+
+    Freed memory goes back to the system: the executor's other workers and its JVM share one limit.
+    """
     for name, clear in _caches.items():
         if name != keep:
             clear()
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives memory that this process holds free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, cache: str | None = None) -> DataFrame:

@@ -198,8 +198,11 @@ def _strip(window: int, trim: bool):
     return run
 
 
-def _possibly(texts: DataFrame, wanted: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may be in ``wanted``, and those whose key is not: a Bloom filter of bounded size."""
+def _possibly(texts: DataFrame, wanted: DataFrame, schema: str, rest=None, rest_schema: str = "") -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key may be in ``wanted``, and what ``rest`` makes of the others: a Bloom filter of bounded size.
+
+    ``rest`` works in the process that filters: a task of two Python steps would hold two workers.
+    """
     plane, bits = repeated_plane(wanted.select("doc_key"), wanted.count(), key="doc_key", repeated=False)
     want = texts.sparkSession.sparkContext.broadcast(plane)
 
@@ -211,7 +214,8 @@ def _possibly(texts: DataFrame, wanted: DataFrame, schema: str) -> tuple[DataFra
 
         return run
 
-    return map_arrow(texts, flag(True), schema), map_arrow(texts, flag(False), schema)
+    others = flag(False)
+    return map_arrow(texts, flag(True), schema), rest and map_arrow(texts, lambda batches: rest(others(batches)), rest_schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, trim: bool = True, unique: bool = False) -> DataFrame:
@@ -236,17 +240,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = stored(_resolved(map_arrow(texts, _anchors(window, period), _COMBINED), True), "anchors")
     is_copy = F.array_contains("places", _COPY)
     near = _possibly(texts, anchors.where(~is_copy), "doc_key long, text string")[0]
-    near = near.join(anchors.where(~is_copy).withColumnRenamed("doc_key", "k"), F.col("doc_key") == F.col("k"))
+    # Merged, so that rows are filtered and worked on in tasks of their own, each with one worker.
+    near = near.join(anchors.where(~is_copy).withColumnRenamed("doc_key", "k").hint("merge"), F.col("doc_key") == F.col("k"))
     later = _resolved(map_arrow(near.select("doc_key", "text", "places"), _windows(window, period), _COMBINED), False)
     none = F.array().cast("array<int>")
     copies = anchors.where(is_copy).select("doc_key", none.alias("places"), F.lit(True).alias("copy"))
     lost = stored(later.withColumn("copy", F.lit(False)).unionByName(copies), "lost")
 
-    hit, clear = _possibly(rows, lost, "doc_key long, doc_id long, text string")
-    hit = hit.join(lost.withColumnRenamed("doc_key", "k"), F.col("doc_key") == F.col("k"), "left")
+    strip, schema = _strip(window, trim), "doc_key long, doc_id long, n_words long, n_removed long, kept_text string"
+
+    def untouched(batches):
+        for b in batches:
+            nothing = pa.ListArray.from_arrays(pa.array(np.zeros(b.num_rows + 1, np.int32)), pa.array([], pa.int32()))
+            yield from strip([batch([*((n, b.column(i)) for i, n in enumerate(b.schema.names)), ("places", nothing), ("copy", np.zeros(b.num_rows, bool))])])
+
+    hit, clear = _possibly(rows, lost, "doc_key long, doc_id long, text string", untouched, schema)
+    hit = hit.join(lost.withColumnRenamed("doc_key", "k").hint("merge"), F.col("doc_key") == F.col("k"), "left")
     hit = hit.select("doc_key", "doc_id", "text", F.coalesce("places", none).alias("places"), F.coalesce("copy", F.lit(False)).alias("copy"))
-    clear = clear.withColumn("places", none).withColumn("copy", F.lit(False))
-    return map_arrow(hit.unionByName(clear), _strip(window, trim), "doc_key long, doc_id long, n_words long, n_removed long, kept_text string")
+    return map_arrow(hit, strip, schema).unionByName(clear)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:

@@ -199,6 +199,18 @@ def test_repeat_edges(edge_docs, no_docs):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_passages_hold_one_python_worker_a_task(edge_docs):
+    def longest(node, n=0):
+        """Most Python steps in a row that no shuffle divides."""
+        name = node.nodeName()
+        n = 0 if "SortMergeJoin" in name or "Aggregate" in name else n + (name == "MapInArrow")
+        children = node.children()
+        return max([n, *(longest(children.apply(i), n) for i in range(children.size()))])
+
+    for made in (substring_dedup.remove_repeats(edge_docs, window=4), substring_dedup.drop_repeats(edge_docs, window=4)):
+        assert longest(made._jdf.queryExecution().sparkPlan()) == 1
+
+
 def test_clusters_of_long_texts_are_cut_by_shingles(spark, monkeypatch):
     """A cluster of few but long texts is compared in several blocks, with the links of one."""
     rng = random.Random(8)
