@@ -56,15 +56,30 @@ def delimiter_guess(lines: DataFrame, by: str, text: str) -> DataFrame:
     return fit.groupBy(by).agg(F.max_by("delimiter", F.struct("mode.lines", "mode.n", "place")).alias("delimiter"))
 
 
+def _guess(said: str) -> Column:
+    """The delimiter that ``delimiter_guess`` finds for an array of the counts (n0, n1 ...) of each delimiter in filled lines."""
+
+    def mode(place: int) -> Column:
+        having = F.filter(F.transform(said, lambda x: x[f"n{place}"]), lambda n: n > 0)
+        modes = F.transform(F.array_distinct(having), lambda n: F.struct(F.size(F.filter(having, lambda m: m == n)).alias("lines"), n.alias("n"), F.lit(place).alias("place")))
+        return F.when(F.size(having) >= DELIMITED_SHARE * F.size(said), F.array_max(modes))
+
+    best = F.array_max(F.array(*[mode(i) for i in range(len(DELIMITERS))]))
+    return F.get(F.array(*map(F.lit, DELIMITERS)), best["place"])
+
+
 def detected(files: DataFrame, lines: DataFrame, by: str, ordinal: str, text: str, hint: str = "hint", binary: str = "binary_kind") -> DataFrame:
     """(by, delimiter, status, reason) for each of ``files``: what a sample of its lines says about it.
 
     not_supported where the name or the content tell a binary or a document format, not_tabular where the
     sample is empty, needs_configuration where no delimiter fits, tabular otherwise.
     """
-    sampled = sample_lines(lines, by, ordinal, text)
-    filled = sampled.groupBy(by).agg(F.count_if(F.length(F.trim(F.col(text))) > 0).alias("_filled"))
-    told = files.select(by, hint, binary).join(filled, by, "left").join(delimiter_guess(sampled, by, text), by, "left")
+    # A file's sample is a few lines, so what they say fits a row, and only its counts are gathered.
+    line = sample_lines(lines, by, ordinal, text).where(F.length(F.trim(F.col(text))) > 0)
+    many = F.struct(*[(F.length(text) - F.length(F.replace(F.col(text), F.lit(d)))).alias(f"n{i}") for i, d in enumerate(DELIMITERS)])
+    said = line.groupBy(by).agg(F.collect_list(many).alias("_said"))
+    found = said.select(by, F.size("_said").alias("_filled"), _guess("_said").alias("delimiter"))
+    told = files.select(by, hint, binary).join(found, by, "left")
     reason = (
         F.when(F.col(hint).isin("binary", "adapter_required"), F.col(hint))
         .when(F.col(binary).isNotNull(), F.col(binary))
