@@ -197,3 +197,31 @@ def test_records_of_one_row_group_are_verified_by_many_tasks(spark, sf_dir):
     assert spark.read.parquet(f"{sf_dir}/customer.parquet").rdd.getNumPartitions() == 1
     for query in (extract_and_verify, document_projection):
         assert query(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_detection_gathers_a_row_a_file(spark):
+    rng = random.Random(5)
+    rows = [(f, i, "".join(rng.choice(["a", ";", ",", "\t", "|", " "]) for _ in range(rng.randint(0, 6)))) for f in range(300) for i in range(1, 1 + rng.randint(0, 6))]
+    lines = spark.createDataFrame(rows, "f int, i int, line string")
+    files = spark.range(300).selectExpr("int(id) AS f", "'unknown' AS hint", "string(null) AS binary_kind")
+    found = checks.detected(files, lines, "f", "i", "line")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1
+    guessed = {r.f: r.delimiter for r in checks.delimiter_guess(checks.sample_lines(lines, "f", "i", "line"), "f", "line").collect()}
+    filled = {f for f, i, x in rows if i <= 5 and x.strip(" ")}
+    for r in found.collect():
+        assert r.delimiter == guessed.get(r.f) and (r.reason == "empty") == (r.f not in filled)
+
+
+def test_the_task_that_writes_the_measured_file_sorts_nothing(spark, monkeypatch):
+    from rowfacts.catalog import queries
+
+    plans, coalesce = [], type(spark.range(0)).coalesce
+
+    def noted(self, n):
+        plans.append(self._jdf.queryExecution().sparkPlan().toString())
+        return coalesce(self, n)
+
+    monkeypatch.setattr(type(spark.range(0)), "coalesce", noted)
+    assert queries()["read_metrics"](spark, "/root/testdata/sf0.001").first().skipped == 100
+    assert len(plans) == 1 and "Sort" not in plans[0]
