@@ -8,7 +8,9 @@ and pieces, measured in normalised bytes, are projected through that record.
 
 from __future__ import annotations
 
+import itertools
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +179,7 @@ class Codec:
         asked = list(new - known.keys())
         texts_of = [(w[1:] if w.startswith(b"\0") else _MARK + w).decode("utf-8", "replace") for w in asked]
         for w, ids in zip(asked, self.bare.encode(texts_of, num_threads=1), strict=True):
-            known[w] = np.array(ids, np.int32).tobytes()
+            known[w] = struct.pack(f"={len(ids)}i", *ids)
         young.update((w, i) for w, i in known.items() if len(w) <= _CACHED_BYTES)
         if len(young) >= _CACHED_RUNS // 2:
             self.young, self.old = {}, young
@@ -249,6 +251,12 @@ def encode(texts: DataFrame, model: str, text_col: str = "text", keep: tuple[str
     return map_arrow(base, run, schema + ", ".join(f"{n} array<int>" for n in names), cache="pieces")
 
 
+def decoded(library, lists: pa.ListArray) -> list[str]:
+    """The library's decoding of each list; its numbers become one Python list, without an Arrow object for each."""
+    ids, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(lists.value_lengths().fill_null(0))
+    return [library.decode(ids[a:z]) if z > a else "" for a, z in itertools.pairwise([0, *ends.tolist()])]
+
+
 def decode(pieces: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``pieces`` with one more column: the library's decoding of each row's ids; null ids decode to the empty text.
 
@@ -263,7 +271,7 @@ def decode(pieces: DataFrame, model: str, ids_col: str = "ids", text_col: str =
         for b in batches:
             for low in range(0, b.num_rows, _TOGETHER):
                 part = b.slice(low, _TOGETHER)
-                texts = [library.decode(ids) if ids else "" for ids in part.column(b.num_columns - 1).to_pylist()]
+                texts = decoded(library, part.column(b.num_columns - 1))
                 yield batch([(n, part.column(i)) for i, n in enumerate(b.schema.names[:-1])] + [(text_col, pa.array(texts, pa.string()))])
 
     return map_arrow(base, run, schema + f"`{text_col}` string", cache="pieces")

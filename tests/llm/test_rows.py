@@ -2,9 +2,11 @@
 
 import bisect
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm import chat_format, html_text, language_id, mpeg_audio, packing, piece_codec, toxicity
 from llm.queries import tokenizer_path
@@ -140,6 +142,23 @@ def test_pieces_equal_the_library(spark, edge_docs, no_docs):
     assert piece_codec.decode(piece_codec.encode(edge_docs, model, keep=("text",)), model, text_col="text").columns[-1] == "text_1"
 
 
+def test_decoding_costs_little_more_than_the_library():
+    library = piece_codec.codec(tokenizer_path("piece_bpe_32k.model")).library
+    ids = library.encode(" ".join(_odd_texts(1500, 4)))
+    some = pa.array([[5], None, ids[:9], [], ids[3:7]], pa.list_(pa.int32())).slice(1)
+    assert piece_codec.decoded(library, some) == ["", library.decode(ids[:9]), "", library.decode(ids[3:7])]
+    lists = [ids] * 100
+    column = pa.array(lists, pa.list_(pa.int32()))
+
+    def took(fn):
+        began = time.process_time()
+        assert fn() == [library.decode(ids)] * 100
+        return time.process_time() - began
+
+    least = min(took(lambda: [library.decode(x) for x in lists]) for _ in range(3))
+    assert min(took(lambda: piece_codec.decoded(library, column)) for _ in range(3)) < 3 * least
+
+
 def test_few_cached_runs(monkeypatch):
     monkeypatch.setattr(piece_codec, "_CACHED_RUNS", 8)
     codec = piece_codec.Codec(tokenizer_path("piece_bpe_32k.model"))
