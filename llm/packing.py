@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, keyed, map_arrow, register_cache, ship, stored
 
-#: Chunks and words that a process keeps (about 150 MB at most), the longest that it keeps, and texts and bytes encoded together.
+#: Parts of chunks that a process keeps (about 75 MB at most), the longest that it keeps, and texts and bytes encoded together.
 _CACHED_WORDS, _CACHED_BYTES, _TOGETHER, _TOGETHER_BYTES = 500_000, 64, 1024, 4 << 20
 #: Bytes that do not stand for themselves in the vocabulary are numbered from 256 on.
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b and b != 0xAD))}
@@ -98,22 +98,33 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
+def _bytes(strings: pa.Array) -> list[bytes]:
+    return strings.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of ``values`` one behind the other, their ends after a 0)."""
+    ends = np.r_[0, np.cumsum(sizes)]
+    return values[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)], ends
+
+
 class WordIds:
     """Ids of white-space separated chunks as little-endian 32-bit bytes, computed once in a process.
 
     The tokenizer drops white space before it splits and merges, so a text's ids are those of its
     chunks in order, and a chunk of letters followed by signs gives the ids of its letters and then
-    of its signs.  Words of Latin letters, normalised, go to the tokenizer's merges directly, in the
-    characters that stand for their bytes.  Other new letters of one group of texts are encoded
-    together, joined to one text, and cut again behind the ids that end a word.
-
-    Chunks and words are kept in a young and an old table: a hit in the old one moves to the young
-    one, and when the young one is full it replaces the old one, so that rare chunks leave and
-    frequent ones stay.
+    of its signs.  Arrow cuts the different chunks of a group of texts into such parts, other chunks
+    stay whole, and only different parts that are new are seen by Python.  Words of Latin letters,
+    normalised, go to the tokenizer's merges directly, in the characters that stand for their bytes.
+    Other new letters are encoded together, joined to one text, and cut again behind the ids that end
+    a word.
+
+    Parts are kept in a young and an old table: a hit in the old one moves to the young one, and when
+    the young one is full it replaces the old one, so that rare parts leave and frequent ones stay.
     """
 
     #: ASCII signs but the apostrophe, which the tokenizer takes together with letters.
-    _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
+    _SIGNS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
     _LATIN = re.compile("[a-zß-öø-ɏ]+")
 
     def __init__(self, path: str, most: int = _CACHED_WORDS):
@@ -128,96 +139,88 @@ class WordIds:
         self.most = most
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         # Of the library's calls the one that leaves out offsets.
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _of_words(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words of letters."""
-        young, old = self.words
-        out, new = {}, []
-        for word in words:
-            ids = young.get(word)
-            if ids is None:
-                ids = old.get(word)
-                if ids is None:
-                    if not word.isascii():
-                        new.append(word)
-                        continue
-                    ids = self._merged(word.decode())
-                if len(word) <= _CACHED_BYTES:
-                    young[word] = ids
-            out[word] = ids
-        for group in itertools.batched(new, 4096):
-            normal = self.tokenizer.normalizer.normalize_str(b" ".join(group).decode()).split(" ")
-            if len(normal) != len(group):
-                normal = [""] * len(group)
-            rest = []
-            for word, text in zip(group, normal, strict=True):
-                if self._LATIN.fullmatch(text):
-                    out[word] = self._merged(text.encode().decode("latin-1").translate(_BYTE_CHARS))
-                else:
-                    rest.append(word)
-            if rest:
-                out.update(zip(rest, self._by_library([w.decode() for w in rest]), strict=True))
-            young.update((w, out[w]) for w in group if len(w) <= _CACHED_BYTES)
-        if len(young) >= self.most // 2:
-            self.words = ({}, young)
-        return out
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merged(self, shown: str) -> bytes:
         made = [t.id for t in self.merge(shown)]
         return struct.pack(f"<{len(made)}I", *made)
 
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, not all of them ASCII."""
+        normal = self.tokenizer.normalizer.normalize_str(b" ".join(words).decode()).split(" ")
+        if len(normal) != len(words):
+            normal = [""] * len(words)
+        out = [self._merged(text.encode().decode("latin-1").translate(_BYTE_CHARS)) if self._LATIN.fullmatch(text) else None for text in normal]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        if rest:
+            for i, ids in zip(rest, self._by_library([words[i].decode() for i in rest]), strict=True):
+                out[i] = ids
+        return out
+
     def _by_library(self, words: list[str]) -> list[bytes]:
-        ids = self._ids(" ".join(words))
-        ends = np.flatnonzero(self.last[ids]) + 1
+        data = self._ids([" ".join(words)])[0]
+        ends = np.flatnonzero(self.last[np.frombuffer(data, "<u4")]) + 1
         if len(ends) == len(words):  # every one gives at least one word, so each gave exactly one
-            data = ids.tobytes()
             return [data[a:z] for a, z in itertools.pairwise([0, *(4 * ends).tolist()])]
-        return [self._ids(w).tobytes() for w in words]
-
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new chunks."""
-        out, parts, signs = {}, [], {b"": b""}
-        for chunk in chunks:
-            word = chunk.rstrip(self._SIGNS)
-            if word.isalpha():  # of bytes: ASCII letters only
-                parts.append((chunk, word.lower(), chunk[len(word) :]))
-            elif not word.isascii() and word.decode("utf-8", "replace").isalpha():
-                parts.append((chunk, word, chunk[len(word) :]))
+        return self._ids(words)
+
+    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new parts; words of ASCII letters are in lower case."""
+        out, letters, others = {}, [], []
+        for part in parts:
+            if part.isalpha():  # of bytes: ASCII letters only
+                out[part] = self._merged(part.decode())
+            elif not part.isascii() and part.decode("utf-8", "replace").isalpha():
+                letters.append(part)
             else:
-                out[chunk] = self._ids(chunk.decode("utf-8", "replace")).tobytes()
-        ids = self._of_words({word for _, word, _ in parts})
-        for chunk, word, rest in parts:
-            if rest not in signs:
-                signs[rest] = self._ids(rest.decode()).tobytes()
-            out[chunk] = ids[word] + signs[rest]
+                others.append(part)
+        for group in itertools.batched(letters, 4096):
+            out.update(zip(group, self._of_words(list(group)), strict=True))
+        out.update(zip(others, self._ids([x.decode("utf-8", "replace") for x in others]), strict=True))
         return out
 
+    def _parts(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(word of letters or whole chunk, signs behind the word) of each chunk."""
+        words = pc.ascii_rtrim(chunks, characters=self._SIGNS)
+        plain = pc.ascii_is_alpha(words)
+        letters = np.array(plain)
+        foreign = np.flatnonzero(~np.asarray(pc.string_is_ascii(words)))
+        letters[foreign] = [w.decode("utf-8", "replace").isalpha() for w in _bytes(words.take(pa.array(foreign)))]
+        heads = pc.if_else(pa.array(letters), pc.if_else(plain, pc.ascii_lower(words), words), chunks)
+        width = np.where(letters, np.asarray(pc.binary_length(chunks)) - np.asarray(pc.binary_length(words)), 0)
+        _, at, data = chunks.buffers()
+        ends = np.frombuffer(at, np.int64)[chunks.offset + 1 : chunks.offset + len(chunks) + 1]
+        signs, cuts = _runs(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), ends - width, width)
+        return heads, pa.LargeStringArray.from_buffers(len(chunks), pa.py_buffer(cuts), pa.py_buffer(signs))
+
     def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
-        """The ids of each whole text; each chunk of the texts is looked up once, and its ids are put in place by numpy."""
+        """The ids of each whole text; each part of the texts is looked up once, and its ids are put in place by numpy."""
         column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_binary())).view(pa.large_string())
         split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(column))
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.view(pa.large_binary()).to_pylist()
-        ids = list(map(self.young.get, chunks))
-        new = {w for w, i in zip(chunks, ids, strict=True) if i is None}
-        known = {w: self.old[w] for w in new if w in self.old}
-        known |= self.learn(new - known.keys())
-        if known:
-            ids = [known[w] if i is None else i for w, i in zip(chunks, ids, strict=True)]
-            self.young.update((w, i) for w, i in known.items() if len(w) <= _CACHED_BYTES)
+        if not len(coded):
+            return [b""] * len(column)
+        parted = pa.concat_arrays(self._parts(coded.dictionary)).dictionary_encode()
+        parts = _bytes(parted.dictionary)
+        ids = list(map(self.young.get, parts))
+        new = [i for i, x in enumerate(ids) if x is None]
+        known = {w: self.old[w] for w in (parts[i] for i in new) if w in self.old}
+        known |= self.learn([parts[i] for i in new if parts[i] not in known])
+        for i in new:
+            ids[i] = known[parts[i]]
+        self.young.update((w, x) for w, x in known.items() if len(w) <= _CACHED_BYTES)
         if len(self.young) >= self.most // 2:
             self.young, self.old = {}, self.young
-        sizes, code = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.asarray(coded.indices)
-        starts, n = np.cumsum(sizes) - sizes, sizes[code]
-        ends = np.r_[0, np.cumsum(n)]
-        place = np.arange(ends[-1]) + np.repeat(starts[code] - ends[:-1], n)
-        data = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
-        cuts = 4 * ends[np.r_[0, np.cumsum(np.asarray(split.value_lengths()))]]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # A chunk is its word and its signs, a text its chunks.
+        both = np.asarray(parted.indices).reshape(2, -1).T.ravel()
+        flat, ends = _runs(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(sizes) - sizes)[both], sizes[both])
+        starts, code = ends[::2], np.asarray(coded.indices)
+        flat, ends = _runs(flat, starts[code], np.diff(starts)[code])
+        data, cuts = flat.tobytes(), 4 * ends[np.r_[0, np.cumsum(np.asarray(split.value_lengths()))]]
         return [data[a:z] for a, z in itertools.pairwise(cuts.tolist())]
 
 

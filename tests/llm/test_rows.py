@@ -106,6 +106,23 @@ def test_known_chunks_are_looked_up_once():
     assert asked.count(b"the") == asked.count(b"cat") == 1 and first == ids.encode([b"the cat the cat " * 50, b"cat"])
 
 
+def test_chunks_are_looked_up_by_their_parts():
+    ids = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
+    asked, table = [], ids.young
+
+    class Counted(dict):
+        def get(self, key, other=None):
+            asked.append(key)
+            return super().get(key, other)
+
+    ids.young = Counted(table)
+    texts = ["Cat, cat. CAT!? cat naïve, Naïve. don't 12.", "... cat..."]
+    found = ids.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count(b"cat") == asked.count("naïve".encode()) == asked.count(b"...") == 1 and b"cat," not in asked
+    assert ids.encode([b"", b" \n"]) == [b"", b""] and ids.encode([]) == []
+
+
 def _joined(texts):
     data = [t.encode() for t in texts]
     return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
