@@ -45,6 +45,11 @@ def words(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
 
 
+def spaced_words(x: Column) -> Column:
+    """The words of ``words`` in one text with a space between, perhaps one at its ends."""
+    return F.regexp_replace(x, r"[^\p{L}\p{Nd}]+", " ")
+
+
 def contains_fragment(normalized: Column, fragment: Column) -> Column:
     """Whether an already normalised text has the fragment; an empty fragment is in nothing."""
     needle = normalize_text(fragment)

@@ -1,18 +1,21 @@
 """A stored inverted index with positions: words, beginnings and phrases without reading any text.
 
-``postings`` holds (token, id, positions) in folders by token hash, sorted by token, so that a search
-reads the folders of its words and in them the row groups whose range of tokens has one.  ``terms``
-holds (token, folder, documents) sorted by token: a beginning is a range of it, and tells the folders.
+``postings`` holds blocks (token, ids, ends, positions) in folders by token hash, sorted by token, so
+that a search reads the folders of its words and in them the row groups whose range of tokens has one.  A
+block is what a step of a task found of a word: its texts, the ends of their places in a row but the last, and the places.
+``terms`` holds (token, folder, documents) sorted by token: a beginning is a range of it, and tells the folders.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import TextQuery, _tokens, tokens_of
+from ..functions.text import spaced_words
+from .search import TextQuery, _tokens
 
 FOLDERS = 64
 
@@ -24,27 +27,19 @@ def _folder(token: Column, folders: int) -> Column:
 def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, folders: int = FOLDERS) -> None:
     """Writes the index of ``docs``, whose ids are unique; a text's places count from 0.
 
-    Words are gathered where texts are read, and the postings that a step of a task has of one word move
-    together, once: its texts, the ends of their places in a row, and the places.
+    Words are gathered where texts are read; blocks move and are sorted whole, and only a search takes them apart.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    said = docs.select(F.col(id_col).alias("id"), tokens_of(F.col(text_col)).alias("tokens"))
-    gathered = said.mapInArrow(_gather, f"token string, ids array<{kind}>, ends array<int>, positions array<int>").withColumn("folder", _folder(F.col("token"), folders))
-
-    def posting(i: Column) -> Column:
-        start = F.coalesce(F.get("ends", i - 1), F.lit(0))
-        return F.struct(F.get("ids", i).alias("id"), F.slice(F.col("positions"), start + 1, F.get("ends", i) - start).alias("positions"))
-
-    moved = gathered.hint("rebalance", "folder")
-    rows = moved.select("token", "folder", F.explode(F.transform(F.sequence(F.lit(0), F.size("ids") - 1), posting)).alias("p")).select("p.id", "token", "p.positions", "folder")
-    rows = rows.sortWithinPartitions("folder", "token", "id")
+    said = docs.select(F.col(id_col).alias("id"), spaced_words(F.lower(F.col(text_col))).alias("words"))
+    blocks = said.mapInArrow(_gather, f"token string, ids array<{kind}>, ends array<int>, positions array<int>").withColumn("folder", _folder(F.col("token"), folders))
+    rows = blocks.hint("rebalance", "folder").sortWithinPartitions("folder", "token", F.get("ids", F.lit(0)))
     rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("folder").parquet(f"{path}/postings")
     stored = docs.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("token", "folder").agg(F.count("*").alias("documents")).sort("token").write.mode("overwrite").parquet(f"{path}/terms")
+    stored.groupBy("token", "folder").agg(F.sum(F.size("ids")).alias("documents")).sort("token").write.mode("overwrite").parquet(f"{path}/terms")
 
 
-#: Words of the texts that one step of a task gathers.
-STEP_WORDS = 1 << 20
+#: Words of the texts that one step of a task gathers, and texts of a block.
+STEP_WORDS, BLOCK_TEXTS = 1 << 20, 1 << 12
 
 
 def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -54,32 +49,49 @@ def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
 def _gather(batches):
     """(token, ids, ends, positions) of the different words of texts that are read together."""
     for b in batches:
-        ids, lists = b.column(0), b.column(1)
-        ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
+        ids, texts = b.column(0), pc.ascii_trim_whitespace(b.column(1).cast(pa.large_string()).fill_null(""))
+        # A text without words would be split into one empty word; spaces between words are single.
+        counts = np.where(np.asarray(pc.binary_length(texts)) > 0, np.asarray(pc.count_substring(texts, " ")) + 1, 0)
+        ends = np.cumsum(counts)
         row = 0
         while row < b.num_rows:
             stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + STEP_WORDS, "right")))
-            part = lists.slice(row, stop - row)
-            sizes = np.asarray(part.value_lengths().fill_null(0))
+            sizes = counts[row:stop]
             owner = np.repeat(np.arange(stop - row), sizes)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            words = part.flatten().dictionary_encode()
+            some = texts.slice(row, stop - row).filter(pa.array(sizes > 0))
+            words = pc.split_pattern(some, " ").flatten().dictionary_encode()
             code = np.asarray(words.indices).astype(np.int64)
             order = np.argsort(code, kind="stable")  # within a word by text and place, as they come
             owner, code, place = owner[order], code[order], place[order]
             if len(owner):
                 new = np.r_[True, code[1:] != code[:-1]]
-                starts = np.flatnonzero(new)
                 firsts = np.flatnonzero(new | np.r_[True, owner[1:] != owner[:-1]])  # of each posting
-                word = np.searchsorted(starts, firsts, "right") - 1
-                until = np.r_[firsts[1:], len(owner)] - starts[word]
-                of_word = np.searchsorted(firsts, starts)
-                texts = ids.take(pa.array(owner[firsts] + row))
-                columns = [words.dictionary.take(pa.array(code[starts])), _lists(of_word, texts), _lists(of_word, pa.array(until.astype(np.int32))), _lists(starts, pa.array(place.astype(np.int32)))]
+                begins = np.flatnonzero(new[firsts])  # the first posting of each word
+                nth = np.arange(len(firsts)) - np.repeat(begins, np.diff(np.r_[begins, len(firsts)]))
+                of_block = np.flatnonzero(nth % BLOCK_TEXTS == 0)  # the first posting of each block
+                starts = firsts[of_block]
+                documents = np.diff(np.r_[of_block, len(firsts)])
+                until = np.r_[firsts[1:], len(owner)] - np.repeat(starts, documents)
+                found = ids.take(pa.array(owner[firsts] + row))
+                inner = np.ones(len(firsts), bool)
+                inner[np.r_[of_block[1:], len(firsts)] - 1] = False  # a block's last end is the number of its places
+                inner_ends = _lists(of_block - np.arange(len(of_block)), pa.array(until[inner].astype(np.int32)))
+                columns = [words.dictionary.take(pa.array(code[starts])).cast(pa.string()), _lists(of_block, found), inner_ends, _lists(starts, pa.array(place.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "ids", "ends", "positions"])
             row = stop
 
 
+def _postings(blocks: DataFrame) -> DataFrame:
+    """(token, id, positions) of the texts in ``blocks``."""
+
+    def posting(i: Column) -> Column:
+        start, end = F.coalesce(F.get("ends", i - 1), F.lit(0)), F.coalesce(F.get("ends", i), F.size("positions"))
+        return F.struct(F.get("ids", i).alias("id"), F.slice(F.col("positions"), start + 1, end - start).alias("positions"))
+
+    return blocks.select("token", F.explode(F.transform(F.sequence(F.lit(0), F.size("ids") - 1), posting)).alias("p")).select("token", "p.id", "p.positions")
+
+
 def _between(token: Column, word: str, prefix: bool) -> Column:
     """The words that a part of a query stands for; a range first, which files are pruned by."""
     return (token >= word) & token.startswith(word) if prefix else token == word
@@ -89,7 +101,7 @@ class PositionIndex:
     def __init__(self, spark: SparkSession, path: str, folders: int = FOLDERS):
         self.spark, self.path, self.folders = spark, path, folders
         self.terms = spark.read.parquet(f"{path}/terms")
-        self.all_postings = spark.read.parquet(f"{path}/postings")
+        self.blocks = spark.read.parquet(f"{path}/postings")
 
     def parts(self, query: TextQuery) -> list[list[tuple[str, bool]]]:
         """Each term as (word, is a beginning) parts in a row."""
@@ -109,7 +121,7 @@ class PositionIndex:
             some = some | h
         # As many numbers as there are folders at most.
         wanted = [r[0] for r in self.terms.where(some).select("folder").distinct().collect()]
-        return self.all_postings.where(F.col("folder").isin(wanted) & some)
+        return _postings(self.blocks.where(F.col("folder").isin(wanted) & some))
 
     def search(self, query: TextQuery) -> DataFrame:
         """(id, rank) of the matching texts, as ``search.text_search`` ranks them: occurrences of the query's words."""

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from rowfacts.operators import audit, checks, extract
@@ -10,7 +11,7 @@ from rowfacts.operators.align import aligned, column_union
 from rowfacts.operators.commit import Store
 from rowfacts.operators.migrate import Step, migrate, migration_plan
 from rowfacts.operators.retry import split_and_retry
-from rowfacts.plans import extensions, search
+from rowfacts.plans import extensions, positions, search
 from rowfacts.plans.positions import PositionIndex, write_index
 from rowfacts.sources.element_paths import element_paths
 from rowfacts.sources.metrics import observed
@@ -34,6 +35,25 @@ def test_positions_equal_the_search_of_texts(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(token,ab)" in plan
 
 
+def test_stored_postings_are_blocks(spark, tmp_path, monkeypatch):
+    texts = ["of the", "the", None, "", "- of: THE of  the!", "ё-9"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    write_index(docs, "id", "text", str(tmp_path / "index"), folders=4)
+    stored = spark.read.parquet(str(tmp_path / "index/postings"))
+    assert stored.where("token = 'the'").count() <= 2  # a row a step, not a row a text
+    index = PositionIndex(spark, str(tmp_path / "index"), folders=4)
+    found = {(r.id, tuple(r.positions)) for r in index.postings(search.compile_query("the")).collect()}
+    assert found == {(i, at) for i, t in enumerate(texts) if (at := {"of the": (1,), "the": (0,)}.get(t, (1, 3) if t and "THE" in t else ()))}
+    assert index.count(search.compile_query("the")) == 150 and index.count(search.compile_query("of the", "phrase")) == 100
+    monkeypatch.setattr(positions, "STEP_WORDS", 9)
+    monkeypatch.setattr(positions, "BLOCK_TEXTS", 2)
+    rows = pa.RecordBatch.from_pydict({"id": list(range(9)), "words": ["a b a", None, "", " ", " a ", "b a", "a", "b", "a " * 20]})
+    blocks = [r for b in positions._gather([rows]) for r in b.to_pylist()]
+    assert all(len(r["ids"]) == len(r["ends"]) + 1 <= 2 for r in blocks)
+    read = sorted((r["token"], i, tuple(r["positions"][a:z])) for r in blocks for i, a, z in zip(r["ids"], [0, *r["ends"]], [*r["ends"], len(r["positions"])], strict=True))
+    assert read == [("a", 0, (0, 2)), ("a", 4, (0,)), ("a", 5, (1,)), ("a", 6, (0,)), ("a", 8, tuple(range(20))), ("b", 0, (1,)), ("b", 5, (0,)), ("b", 7, (0,))]
+
+
 def test_extractors_and_parsers(spark, tmp_path):
     def two(fields):
         for word in dict(fields).get("names", "").split():
